@@ -5,27 +5,79 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .line_dedup import remove_repeated_lines
 from .minhash_dedup import MinHash, near_duplicates
+from .sentencepieces import decode_pieces, encode_pieces
+from .substring_dedup import Repeats, remove_repeats
+from .toxicity import toxicity, train
+
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 50 words: doc_id, n_words, n_removed, kept_sha256."""
+    out = remove_repeats(_table(spark, sf_dir, "documents"), Repeats(window=50))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, similarity 0.8: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(_table(spark, sf_dir, "documents"), MinHash(shingle=2))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three lines: doc_id, n_lines, n_removed, kept_sha256 (null for null texts)."""
+    out = remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_sentencepieces(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    rows = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op8_sentencepieces": op8_sentencepieces,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 49], chr(32)) AS t
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)
+), least_ AS (SELECT t, min(doc_id) AS d FROM win GROUP BY t HAVING min(doc_id) < max(doc_id)),
+bad AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN least_ USING (t) WHERE d < doc_id),
+pos AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, chr(32) ORDER BY p) AS t, count(*) AS n FROM pos ANTI JOIN bad USING (doc_id, p) GROUP BY 1)
+SELECT w.doc_id, len(w.ws) AS n_words, len(w.ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""",
     "op3_minhash_dedup": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS ws FROM documents
@@ -41,5 +93,18 @@ WITH RECURSIVE w AS (
   SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT reach.d, link.b FROM reach JOIN link ON link.a = reach.r
 ), c AS (SELECT d, min(r) AS component_id FROM reach GROUP BY 1)
 SELECT n.doc_id, n.n AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept FROM n JOIN c ON c.d = n.doc_id
+""",
+    "op4_line_dedup": """
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+win AS (
+  SELECT doc_id, i, ls[i:i + 2] AS t FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM l WHERE len(ls) >= 3)
+  WHERE trim(ls[i] || ls[i + 1] || ls[i + 2], ' ') <> ''
+), ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k FROM win),
+bad AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM ranked WHERE k > 1),
+pos AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS p FROM l),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS t, count(*) AS n FROM pos ANTI JOIN bad USING (doc_id, p) GROUP BY 1)
+SELECT l.doc_id, coalesce(len(l.ls), 0) AS n_lines, coalesce(len(l.ls), 0) - coalesce(kept.n, 0) AS n_removed,
+  CASE WHEN l.text IS NOT NULL THEN sha256(coalesce(kept.t, '')) END AS kept_sha256
+FROM l LEFT JOIN kept USING (doc_id)
 """,
 }

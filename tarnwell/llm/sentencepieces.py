@@ -59,7 +59,7 @@ class PieceCodec:
         number = dict(self.ids)
         for c in sorted(letters - number.keys()):  # characters of pieces that are no piece themselves
             number[c] = len(pieces) + len(number) - len(self.ids)
-        self.by_code = np.full(0x110000, -1, np.int64)
+        self.by_code = np.full(0x110000, -1, np.int32)
         for c in letters:
             self.by_code[ord(c)] = number[c]
         joins = {}
@@ -70,12 +70,12 @@ class PieceCodec:
                     joins[a << 20 | b] = (self.rank[piece], i)
         self.join_keys = np.array(sorted(joins) + [np.iinfo(np.int64).max], dtype=np.int64)
         self.join_ranks = np.array([joins[k][0] for k in sorted(joins)] + [_NEVER], dtype=np.int32)
-        self.join_ids = np.array([joins[k][1] for k in sorted(joins)] + [-1], dtype=np.int64)
+        self.join_ids = np.array([joins[k][1] for k in sorted(joins)] + [-1], dtype=np.int32)
         self.n_pieces = len(pieces)
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and id of the piece that two symbols make; _NEVER where they make none."""
-        key = np.where((left >= 0) & (right >= 0), left << 20 | right, -1)
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) << 20 | right, -1)
         at = np.searchsorted(self.join_keys, key)
         hit = self.join_keys[at] == key
         return np.where(hit, self.join_ranks[at], _NEVER), self.join_ids[at]
@@ -86,12 +86,12 @@ class PieceCodec:
         codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         width = int(lengths.max()) + 2
         inside = np.arange(width) < lengths[:, None]
-        symbol = np.full((len(segments), width), -2, np.int64)  # -2: behind the end, -1: in no piece
+        symbol = np.full((len(segments), width), -2, np.int32)  # -2: behind the end, -1: in no piece
         symbol[inside] = self.by_code[codes]
         final = symbol.copy()
         rows = np.arange(len(segments))
         rank = np.full((len(segments), width), _NEVER, np.int32)
-        piece = np.full((len(segments), width), -1, np.int64)
+        piece = np.full((len(segments), width), -1, np.int32)
         rank[:, :-1], piece[:, :-1] = self._pairs(symbol[:, :-1], symbol[:, 1:])
         column = np.arange(width)
         while len(rows):
@@ -189,38 +189,33 @@ class PieceCodec:
         """Ids of each text, with the end id."""
         cut = [self._cut.findall((" " + x).replace(_SPACE, " ")) if x else [] for x in texts]
         new, old = self.new, self.old
-        found = [list(map(new.get, segments)) for segments in cut]
-        fresh: dict[str, bytes] = {}
-        for segments, ids in zip(cut, found, strict=True):
-            if None in ids:
-                for x, known in zip(segments, ids, strict=True):
-                    if known is None and x not in fresh:
-                        fresh[x] = old.get(x)
+        fresh = dict.fromkeys(set().union(*cut).difference(new))
+        for x in fresh:
+            fresh[x] = old.get(x)
         missing = [x for x, known in fresh.items() if known is None]
         if missing:
             fresh.update(self._checked(missing))
-        tail = array("i", [self.end]).tobytes()
-        out = []
-        for segments, ids in zip(cut, found, strict=True):
-            if None in ids:
-                ids = [fresh[x] if known is None else known for x, known in zip(segments, ids, strict=True)]
-            out.append(np.frombuffer(b"".join(ids) + tail, "<i4"))
-        new.update((k, v) for k, v in fresh.items() if len(k) <= 2 * SHORT)
+        new.update(fresh)
+        tail, of = array("i", [self.end]).tobytes(), new.__getitem__
+        out = [np.frombuffer(b"".join(map(of, segments)) + tail, "<i4") for segments in cut]
+        for x in missing:
+            if len(x) > 2 * SHORT:
+                del new[x]
         if len(new) > REMEMBERED:
             self.old, self.new = new, {}
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids, as the library's decode(ids)."""
-        raw = self.raw
-        inner = [int(i) for i in ids[: np.flatnonzero(ids != self.end)[-1] + 1]] if (ids != self.end).any() else []
-        if any(i >= len(raw) or i < 0 for i in inner) or self.unknown in inner:
-            return self.library.decode([int(i) for i in ids])
-        text = b"".join([raw[i] for i in inner])
+        raw, every = self.raw, ids.tolist()
+        if not every:
+            return ""
+        if min(every) < 0 or max(every) >= len(raw) or self.unknown in every or self.end in every[:-1]:
+            return self.library.decode(every)
         try:
-            out = text.decode("utf-8")
+            out = b"".join([raw[i] for i in every]).decode("utf-8")
         except UnicodeDecodeError:
-            return self.library.decode([int(i) for i in ids])
+            return self.library.decode(every)
         return out[1:] if out.startswith(" ") else out
 
 

@@ -327,9 +327,8 @@ def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = _Plan.of(how, n_bytes)
-    dealt = F.pmod(F.coalesce(F.xxhash64("id"), F.xxhash64("text")), F.lit(plan.buckets).cast("long"))
-    dealt = F.when(F.col("id").isNull(), F.pmod(F.xxhash64("text"), F.lit(plan.buckets).cast("long"))).otherwise(dealt)
-    source = source.withColumn("bucket", dealt).repartition("bucket")
+    dealt = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
+    source = source.withColumn("bucket", F.pmod(dealt, F.lit(plan.buckets).cast("long"))).repartition("bucket")
 
     sketches = source.groupBy("bucket").applyInArrow(_sketch(plan), _SKETCH)
     counted = sketches.groupBy("shard").applyInArrow(_merge(plan), _ANSWER)
