@@ -25,7 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches handed to Python by rows and bytes; whole texts can be long."""
+    """Session settings of the operators.
+
+    Arrow batches handed to Python are bounded by rows and bytes, as whole texts can be long.
+    Shuffle files go when the query that made them ends: every step's result is a written table,
+    so nothing reads them again, and disk use does not wait for a driver's garbage collection.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
