@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import Decontamination, benchmark_leaks
+from .fingerprints import fingerprint_pairs
+from .license_scan import license_notices
 from .line_dedup import remove_repeated_lines
 from .minhash_dedup import MinHash, near_duplicates
+from .secret_scan import secrets
 from .sentencepieces import decode_pieces, encode_pieces
 from .substring_dedup import Repeats, remove_repeats
+from .token_files import tokens_round_trip
 from .toxicity import toxicity, train
 
 TOKENIZERS = "/opt/tokenizers"
@@ -26,6 +31,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items with up to 20 % of their words edited: doc_id, item_id, edits, first_word, end_word."""
+    return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Decontamination())
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, similarity 0.8: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(_table(spark, sf_dir, "documents"), MinHash(shingle=2))
@@ -43,6 +53,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    out = secrets(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, read back from the files."""
+    return tokens_round_trip(_table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op8_sentencepieces(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     rows = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
@@ -54,12 +75,28 @@ def op8_sentencepieces(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZ
     )
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    out = fingerprint_pairs(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    return license_notices(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_token_files": op7_token_files,
     "op8_sentencepieces": op8_sentencepieces,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_license_scan": op10_license_scan,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
