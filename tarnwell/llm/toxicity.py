@@ -1,13 +1,14 @@
 """Toxicity scores from non-negative positive-unlabelled learning.
 
-A logistic model on the distinct words of a text is trained in numpy from confirmed toxic examples
-(P) and unlabelled text (U). With the class prior p the risk of calling U negative contains the
+A logistic model on the distinct words and five-byte character grams of a text is trained in numpy
+from confirmed toxic examples (P) and unlabelled text (U). Features whose share differs clearly
+between P and U are chosen first. With the class prior p the risk of calling U negative contains the
 toxic part of U, which P estimates: risk = p * R_P(+) + max(0, R_U(-) - p * R_P(-)). The maximum
 keeps the negative part from going below zero; where it does, its gradient step is reversed
 (non-negative correction). Scores are computed by executors over whole texts.
 
 The training set is a bounded sample, the bounds are parameters; rows are drawn by a hash of their
-id, so that the same rows are drawn whatever the partitioning. Nothing but words enters a score.
+id, so that the same rows are drawn whatever the partitioning. Nothing but the text enters a score.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import pieces, word_lists
+from .kernels import BLOCK, mix64, pieces, word_lists
 from .scratch import arrow_batches
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -30,63 +31,101 @@ _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 class Learning:
     """max_positive, max_unlabelled: bounds of the training sample (rows in expectation).
 
-    bits: words are hashed to 2**bits weights. least_documents: words in fewer training texts get
-    no weight. l2: weight decay. margin: risk below which the negative part is reversed.
+    bits: features are hashed to 2**bits numbers. least_documents: toxic training texts that a
+    feature must be in. clear: least z-score of the difference of its shares. max_features: weights
+    of the model. l2: weight decay. margin: risk below which the negative part is reversed.
     """
 
     max_positive: int = 4000
     max_unlabelled: int = 12000
-    bits: int = 20
+    bits: int = 22
     least_documents: int = 4
-    steps: int = 240
-    rate: float = 0.08
-    l2: float = 2e-4
+    clear: float = 4.0
+    max_features: int = 6000
+    steps: int = 300
+    rate: float = 0.05
+    l2: float = 1e-4
     margin: float = 0.0
     seed: int = 11
 
 
 @dataclass(frozen=True)
 class Model:
-    """weights: float32 by hashed word; bias. A text scores sigmoid(bias + sum of its words' weights)."""
+    """features: ascending numbers; weights: float32 of each; bias. A text scores sigmoid(bias + sum of its features' weights)."""
 
+    features: np.ndarray
     weights: np.ndarray
     bias: float
     bits: int
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        out = np.full(len(texts), self.bias, dtype=np.float64)
-        for part in pieces(texts):
-            word, bounds = word_numbers(texts[part], self.bits)
-            owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            known = self.weights[word] != 0
-            pair = np.unique((owner[known].astype(np.int64) << self.bits) | word[known])
-            out[part] += np.bincount(pair >> self.bits, weights=self.weights[pair & ((1 << self.bits) - 1)], minlength=len(bounds) - 1)
+        table = np.full(1 << self.bits, -1, np.int32)
+        table[self.features] = np.arange(len(self.features))
+        width = max(1, len(self.features))
+        cut = [(i, y) for i, x in enumerate(texts) for y in _cuts(x)]
+        owners, blocks = np.array([x[0] for x in cut], np.int64), [x[1] for x in cut]
+        pairs = [np.zeros(0, np.int64)]
+        for part in pieces(blocks):
+            number, owner = features_of(blocks[part], self.bits)
+            known = table[number]
+            hit = np.flatnonzero(known >= 0)
+            pairs.append(np.unique(owners[part][owner[hit]] * np.int64(width) + known[hit]))
+        pair = np.unique(np.concatenate(pairs))
+        out = self.bias + np.bincount(pair // width, weights=self.weights[pair % width] if len(pair) else None, minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def word_numbers(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words of each text, letters in lower case, ASCII signs as blanks; bounds by text."""
-    value, bounds = word_lists([x.translate(_PLAIN) for x in texts])
-    return (value >> np.uint64(64 - bits)).astype(np.int64), bounds
+def _cuts(text: bytes) -> Iterator[bytes]:
+    """A text in blocks of about a megabyte, cut at blanks, where no feature is lost."""
+    at = 0
+    while len(text) - at > 2 * BLOCK:
+        end = next((k for k in (text.find(b" ", at + BLOCK), text.find(b"\n", at + BLOCK)) if k >= 0), len(text))
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def features_of(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number, text): hashed words and character grams of each text, with repetitions.
+
+    Letters are lower-cased, ASCII signs count as blanks; a gram may begin at the blank before a word.
+    """
+    plain = [b" " + x.translate(_PLAIN) for x in texts]
+    word, bounds = word_lists(plain)
+    flat = np.frombuffer(b"".join(plain) + b"    ", np.uint8).astype(np.uint64)
+    n = len(flat) - 4
+    gram = np.zeros(n, np.uint64)
+    for k in range(5):
+        gram = (gram << np.uint64(8)) | flat[k : k + n]
+    ends = np.cumsum([len(x) for x in plain])
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in plain])
+    blank = flat == 32
+    inside = (np.arange(n) + 5 <= ends[owner]) & ~(blank[1 : n + 1] | blank[2 : n + 2] | blank[3 : n + 3] | blank[4 : n + 4])
+    number = np.concatenate([word, mix64(gram[inside] ^ np.uint64(0x6A09E667F3BCC909))]) >> np.uint64(64 - bits)
+    return number.astype(np.int64), np.concatenate([np.repeat(np.arange(len(texts)), np.diff(bounds)), owner[inside]])
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, how: Learning) -> Model:
-    """Weights from the word numbers of toxic and of unlabelled texts. Without toxic texts: score 0."""
-    size = 1 << how.bits
+    """Weights from the feature numbers of toxic and of unlabelled texts. Without toxic texts: score 0."""
     if not positive or not unlabelled or prior <= 0:
-        return Model(np.zeros(size, np.float32), -40.0, how.bits)
-    rows = positive + unlabelled
-    n_pos = len(positive)
-    word = np.concatenate(rows)
-    often = np.bincount(word, minlength=size) >= how.least_documents
-    names = np.flatnonzero(often)
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0, how.bits)
+    rows, size = positive + unlabelled, 1 << how.bits
+    n_pos, n_un = len(positive), len(unlabelled)
+    in_pos = np.bincount(np.concatenate(positive), minlength=size)
+    in_un = np.bincount(np.concatenate(unlabelled), minlength=size)
+    seen = np.flatnonzero((in_pos >= how.least_documents) | (in_un >= 10 * how.least_documents))
+    p, q = (in_pos[seen] + 0.5) / (n_pos + 1), (in_un[seen] + 0.5) / (n_un + 1)
+    both = (in_pos[seen] + in_un[seen] + 1) / (n_pos + n_un + 2)
+    z = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_un))
+    seen = seen[z >= how.clear][np.argsort(-z[z >= how.clear], kind="stable")[: how.max_features]]
+    names = np.sort(seen)
     number = np.full(size, -1, np.int64)
     number[names] = np.arange(len(names))
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    keep = often[word]
-    word, owner = number[word[keep]], owner[keep]
-    weight, bias = np.zeros(len(names) + 1), float(np.log(prior / (1 - prior))) if prior < 1 else 0.0
-    weight[-1] = bias
+    word = number[np.concatenate(rows)]
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])[word >= 0]
+    word = word[word >= 0]
+    weight = np.zeros(len(names) + 1)
+    weight[-1] = float(np.log(prior / (1 - prior))) if prior < 1 else 0.0
     first, second = np.zeros_like(weight), np.zeros_like(weight)
 
     def grad(slope: np.ndarray) -> np.ndarray:
@@ -100,28 +139,26 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         slope = np.zeros(len(rows))
         if negative >= -how.margin:
             slope[:n_pos] = prior * (p[:n_pos] - 1) / n_pos - prior * p[:n_pos] / n_pos
-            slope[n_pos:] = p[n_pos:] / (len(rows) - n_pos)
+            slope[n_pos:] = p[n_pos:] / n_un
         else:  # the negative part is below zero: step back along its gradient
             slope[:n_pos] = prior * p[:n_pos] / n_pos
-            slope[n_pos:] = -p[n_pos:] / (len(rows) - n_pos)
+            slope[n_pos:] = -p[n_pos:] / n_un
         g = grad(slope)
         g[:-1] += how.l2 * weight[:-1]
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
         weight -= how.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    full = np.zeros(size, np.float32)
-    full[names] = weight[:-1]
-    return Model(full, float(weight[-1]), how.bits)
+    return Model(names, weight[:-1].astype(np.float32), float(weight[-1]), how.bits)
 
 
-def _distinct_words(bits: int):
+def _distinct_features(bits: int):
     schema = pa.schema([("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
-                out.append(np.unique(word_numbers([text or b""], bits)[0]).astype("<u4").tobytes())
+                out.append(np.unique(np.concatenate([np.unique(features_of([x], bits)[0]) for x in _cuts(text or b"")])).astype("<u4").tobytes())
             yield pa.record_batch([pa.array(out, pa.binary())], schema=schema)
 
     return run
@@ -156,10 +193,11 @@ def train(docs: DataFrame, labels: DataFrame, how: Learning = Learning(), id_col
     unlabelled = texts.filter(_drawn(n_docs, how.max_unlabelled, how.seed + 1))
 
     def gather(part: DataFrame) -> list[np.ndarray]:
-        got = part.select("text").mapInArrow(_distinct_words(how.bits), "words binary").collect()
-        return [np.frombuffer(x.words, "<u4").astype(np.int64) for x in got]
+        got = part.select("text").mapInArrow(_distinct_features(how.bits), "words binary").collect()
+        # copies of a text count once, in an order of their own
+        return [np.frombuffer(x, "<u4").astype(np.int64) for x in sorted({bytes(x.words) for x in got})]
 
-    return fit(sorted(gather(positive), key=lambda x: x.tobytes()), sorted(gather(unlabelled), key=lambda x: x.tobytes()), toxic / rows, how)
+    return fit(gather(positive), gather(unlabelled), toxic / rows, how)
 
 
 def _score(model: Model):
