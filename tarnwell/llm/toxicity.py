@@ -105,25 +105,31 @@ def features_of(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return number.astype(np.int64), np.concatenate([np.repeat(np.arange(len(texts)), np.diff(bounds)), owner[inside]])
 
 
+def _shares(rows: list[np.ndarray], size: int) -> np.ndarray:
+    """In how many of ``rows`` each feature is; rows hold a feature once."""
+    out = np.zeros(size, np.int32)
+    for row in rows:
+        out[row] += 1
+    return out
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, how: Learning) -> Model:
     """Weights from the feature numbers of toxic and of unlabelled texts. Without toxic texts: score 0."""
     if not positive or not unlabelled or prior <= 0:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0, how.bits)
     rows, size = positive + unlabelled, 1 << how.bits
     n_pos, n_un = len(positive), len(unlabelled)
-    in_pos = np.bincount(np.concatenate(positive), minlength=size)
-    in_un = np.bincount(np.concatenate(unlabelled), minlength=size)
+    in_pos, in_un = _shares(positive, size), _shares(unlabelled, size)
     seen = np.flatnonzero((in_pos >= how.least_documents) | (in_un >= 10 * how.least_documents))
     p, q = (in_pos[seen] + 0.5) / (n_pos + 1), (in_un[seen] + 0.5) / (n_un + 1)
     both = (in_pos[seen] + in_un[seen] + 1) / (n_pos + n_un + 2)
     z = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_un))
     seen = seen[z >= how.clear][np.argsort(-z[z >= how.clear], kind="stable")[: how.max_features]]
     names = np.sort(seen)
-    number = np.full(size, -1, np.int64)
+    number = np.full(size, -1, np.int32)
     number[names] = np.arange(len(names))
-    word = number[np.concatenate(rows)]
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])[word >= 0]
-    word = word[word >= 0]
+    kept = [k[k >= 0] for k in (number[x] for x in rows)]
+    word, owner = np.concatenate(kept), np.repeat(np.arange(len(rows)), [len(x) for x in kept])
     weight = np.zeros(len(names) + 1)
     weight[-1] = float(np.log(prior / (1 - prior))) if prior < 1 else 0.0
     first, second = np.zeros_like(weight), np.zeros_like(weight)
@@ -195,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Learning = Learning(), id_col
     def gather(part: DataFrame) -> list[np.ndarray]:
         got = part.select("text").mapInArrow(_distinct_features(how.bits), "words binary").collect()
         # copies of a text count once, in an order of their own
-        return [np.frombuffer(x, "<u4").astype(np.int64) for x in sorted({bytes(x.words) for x in got})]
+        return [np.frombuffer(x, "<u4") for x in sorted({bytes(x.words) for x in got})]
 
     return fit(gather(positive), gather(unlabelled), toxic / rows, how)
 
