@@ -27,11 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .kernels import pieces
 from .scratch import Scratch, arrow_batches
 
 _HEAD = struct.Struct("<4sBBI")  # magic, 1 for bit planes, number of planes, number of ids
 _MAGIC = b"TWP1"
-REMEMBERED = 250_000  # segments in each of two generations
+REMEMBERED = 200_000  # segments in each of two generations
 
 
 @dataclass(frozen=True)
@@ -74,12 +75,14 @@ def unpack(chunk: bytes) -> np.ndarray:
 class SegmentEncoder:
     """Ids of texts by the tokenizers library, which is asked once for each distinct segment.
 
-    The pre-tokenizer of byte-level vocabularies never joins what stands before a blank, tab or line
-    end with it, unless white space stands before it. The text is cut at such places; texts with
-    other white space characters go to the library whole.
+    The pre-tokenizer of byte-level vocabularies puts a boundary behind a character that is not
+    white space where white space follows, and between a letter and an ASCII sign. The text is cut
+    at such places; texts with other white space characters go to the library whole. New segments
+    are handed to the library as one text, and its ids are dealt back by their byte lengths.
     """
 
-    _cut = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+    _letters = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+    _cut = re.compile(rf"[ \t\n\r]*{_letters}++(?=[\x00-/:-@\[-`{{-\x7f]|\Z)|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
     _other_space = re.compile(r"[^\S \t\n\r]")
 
     def __init__(self, path: str):
@@ -91,12 +94,37 @@ class SegmentEncoder:
         known = json.loads(self.library.to_str())
         before = known.get("pre_tokenizer") or {}
         self.by_segment = known.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        # in byte-level vocabularies every character of a token stands for a byte
+        self.sizes = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.sizes[i] = len(token)
+        for added in known.get("added_tokens", []):
+            self.sizes[added["id"]] = len(added["content"].encode())
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _segments(self, segments: list[str]) -> dict[str, bytes]:
+        """Ids of new segments."""
+        blank = [x for x in segments if x.isspace()]
+        rest = [x for x in segments if not x.isspace()]
+        out = dict(zip(blank, self._library(blank), strict=True)) if blank else {}
+        # a line end before a segment that begins without white space is a token of its own
+        joined = [x if x[0] in " \t\n\r" else "\n" + x for x in rest]
+        lead = np.fromiter((x[0] not in " \t\n\r" for x in rest), np.int64, len(rest))
+        ids = np.array(self.library.encode("".join(joined), add_special_tokens=False).ids, "<u4")
+        ends = np.cumsum(np.fromiter((len(x.encode()) for x in joined), np.int64, len(joined)))
+        reached = np.cumsum(self.sizes[ids])
+        last = np.searchsorted(reached, ends) + 1
+        if len(rest) and (last[-1] != len(ids) or (reached[last - 1] != ends).any()):  # not cut where expected
+            return out | dict(zip(rest, self._library(rest), strict=True))
+        first = np.concatenate([[0], last[:-1]]) + lead
+        raw = ids.tobytes()
+        out.update((x, raw[4 * a : 4 * b]) for x, a, b in zip(rest, first.tolist(), last.tolist(), strict=True))
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
         whole = [i for i, x in enumerate(texts) if not self.by_segment or self._other_space.search(x)]
@@ -105,7 +133,7 @@ class SegmentEncoder:
         fresh = {x: self.old.get(x) for x in set().union(*cut).difference(self.new)}
         missing = [x for x, known in fresh.items() if known is None]
         if missing:
-            fresh.update(zip(missing, self._library(missing), strict=True))
+            fresh.update(self._segments(missing))
         self.new.update(fresh)
         of = self.new.__getitem__
         out = [np.frombuffer(direct[i] if i in direct else b"".join(map(of, segments)), "<u4") for i, segments in enumerate(cut)]
@@ -152,7 +180,8 @@ def _write(path: str, how: Files, end_id: int):
             return row
 
         for batch in batches:
-            encoded = encoder(path).encode([x or "" for x in batch.column("text").to_pylist()])
+            texts, codes = [x or "" for x in batch.column("text").to_pylist()], encoder(path)
+            encoded = (ids for part in pieces(texts) for ids in codes.encode(texts[part]))
             for doc, ids in zip(batch.column("id").to_pylist(), encoded, strict=True):
                 docs.append({"id": doc, "start": at, "n": len(ids) + 1})
                 at += len(ids) + 1
