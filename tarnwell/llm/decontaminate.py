@@ -21,7 +21,7 @@ of bounded size, and each block is held against all documents.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +35,7 @@ from .scratch import arrow_batches
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)  # window sizes; longer items use the last
+WINDOWS = 4096  # document windows embedded at a time
 _PAD = np.uint64(0x8F4C7E21A3D5B969)
 
 
@@ -72,20 +73,21 @@ def _window(n: int) -> tuple[int, int]:
     return best
 
 
-def walk(value: np.ndarray, start: np.ndarray, size: int, steps: np.ndarray, seed: int) -> np.ndarray:
-    """Hash of what the CGK walk of ``seed`` writes at ``steps`` from each start, in windows of ``size`` words."""
-    at, stop = start.copy(), start + size
-    out = np.full(len(start), seed, np.uint64)
+def walk(window: np.ndarray, steps: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of what the CGK walk of ``seed`` writes at ``steps``, for each row of words of ``window``."""
+    rows, size = window.shape
+    flat, base = window.ravel(), np.arange(rows) * size
+    at = np.zeros(rows, np.int64)
+    out = np.full(rows, seed, np.uint64)
     last, taken = int(steps.max()), set(steps.tolist())
-    bits = np.zeros(0, np.uint64)
+    bits = flat
     for j in range(last + 1):
         if j % 64 == 0:
-            bits = mix64(value ^ np.uint64((seed * 0x9E3779B97F4A7C15 + j * 0xD6E8FEB86659FD93) % (1 << 64)))
-        inside = np.minimum(at, stop - 1)
+            bits = mix64(flat ^ np.uint64((seed * 0x9E3779B97F4A7C15 + j * 0xD6E8FEB86659FD93) % (1 << 64)))
+        inside = base + np.minimum(at, size - 1)
         if j in taken:
-            out = mix64(out * np.uint64(31) + np.where(at < stop, value[inside], _PAD))
-        at += ((bits[inside] >> np.uint64(j % 64)) & np.uint64(1)).astype(at.dtype)
-        np.minimum(at, stop, out=at)
+            out = mix64(out * np.uint64(31) + np.where(at < size, flat[inside], _PAD))
+        at += ((bits[inside] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
     return out
 
 
@@ -98,6 +100,7 @@ class Items:
         value, bounds = _words([x[1] for x in rows])
         self.words: list[np.ndarray] = [value[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         self.ids = [x[0] for x in rows]
+        self.bags = [Counter(w.tolist()) for w in self.words]
         self.most = [len(w) * how.percent // 100 for w in self.words]
         by_window = defaultdict(list)
         for i, words in enumerate(self.words):
@@ -114,17 +117,22 @@ class Items:
                     owner.append((i, offset))
                 at += len(self.words[i])
             words, start = np.concatenate(flat), np.array(start, np.int64)
-            # walks that stay on one word at every step share little; the first step is always read
             tables = []
             rng = np.random.default_rng((how.seed, size))
             for r in range(how.repetitions):
                 steps = np.sort(rng.choice(2 * size, min(how.samples, 2 * size), replace=False))
                 seed = int(rng.integers(1, 1 << 62))
-                keys = walk(words, start, size, steps, seed)
+                keys = walk(words[start[:, None] + np.arange(size)], steps, seed)
                 order = np.argsort(keys, kind="stable")
                 tables.append((steps, seed, keys[order], order))
             self.classes.append((size, stride, max(self.most[i] for i in items), np.unique(words), owner, tables))
 
+    def _apart(self, item: int, text: np.ndarray) -> bool:
+        """Whether a stretch lacks too many of an item's words: each of them costs an edit at least."""
+        bag, have = self.bags[item], Counter(text.tolist())
+        lacking = len(self.words[item]) - sum(min(n, have[w]) for w, n in bag.items() if w in have)
+        return lacking > self.most[item]
+
     def _distance(self, item: int, text: np.ndarray) -> tuple[int, int, int]:
         """(edits, begin, end): the stretch of ``text`` with the fewest edits to an item; the first, shortest one of equals."""
         words = self.words[item].tolist()
@@ -163,22 +171,26 @@ class Items:
                 start = start[known[start + size] - known[start] >= size - edits]
                 if not len(start):
                     continue
-                for steps, seed, keys, order in tables:
-                    got = walk(value, start, size, steps, seed)
-                    lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-                    for i in np.flatnonzero(hi > lo).tolist():
-                        for k in order[lo[i] : hi[i]].tolist():
-                            item, offset = owners[k]
-                            text, first = int(owner[start[i]]), int(start[i]) - offset
-                            if (item, first) in tried:
-                                continue
-                            tried.add((item, first))
-                            t, n = self.most[item], len(self.words[item])
-                            a, b = max(int(begin[text]), first - 2 * t), min(int(bounds[text + 1]), first + n + 2 * t)
-                            cost, x, y = self._distance(item, value[a:b])
-                            if cost <= t:
-                                hit = (cost, a - int(begin[text]) + x, a - int(begin[text]) + y)
-                                best[text, item] = min(best.get((text, item), hit), hit)
+                for some in np.split(start, range(WINDOWS, len(start), WINDOWS)):
+                    window = value[some[:, None] + np.arange(size)]
+                    for steps, seed, keys, order in tables:
+                        got = walk(window, steps, seed)
+                        lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
+                        for i in np.flatnonzero(hi > lo).tolist():
+                            for k in order[lo[i] : hi[i]].tolist():
+                                item, offset = owners[k]
+                                text, first = int(owner[some[i]]), int(some[i]) - offset
+                                if (item, first) in tried:
+                                    continue
+                                tried.add((item, first))
+                                t, n = self.most[item], len(self.words[item])
+                                a, b = max(int(begin[text]), first - 2 * t), min(int(bounds[text + 1]), first + n + 2 * t)
+                                if self._apart(item, value[a:b]):
+                                    continue
+                                cost, x, y = self._distance(item, value[a:b])
+                                if cost <= t:
+                                    hit = (cost, a - int(begin[text]) + x, a - int(begin[text]) + y)
+                                    best[text, item] = min(best.get((text, item), hit), hit)
             for (text, item), hit in sorted(best.items()):
                 yield done + text, item, *hit
             done += part.stop - part.start
