@@ -32,7 +32,7 @@ from .scratch import Scratch, arrow_batches
 
 _HEAD = struct.Struct("<4sBBI")  # magic, 1 for bit planes, number of planes, number of ids
 _MAGIC = b"TWP1"
-REMEMBERED = 200_000  # segments in each of two generations
+REMEMBERED = 350_000  # segments in each of two generations
 
 
 @dataclass(frozen=True)
@@ -108,8 +108,8 @@ class SegmentEncoder:
 
     def _segments(self, segments: list[str]) -> dict[str, bytes]:
         """Ids of new segments."""
-        blank = [x for x in segments if x.isspace()]
-        rest = [x for x in segments if not x.isspace()]
+        blank = [x for x in segments if x[-1] in " \t\n\r"]  # nothing else ends in white space
+        rest = [x for x in segments if x[-1] not in " \t\n\r"] if blank else segments
         out = dict(zip(blank, self._library(blank), strict=True)) if blank else {}
         # a line end before a segment that begins without white space is a token of its own
         joined = [x if x[0] in " \t\n\r" else "\n" + x for x in rest]
@@ -287,10 +287,12 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, n, crc32) of each document in the files; the ids themselves are not moved."""
     files = _files(spark, path)
-    parts = files.mapInArrow(_parts(False), "shard int, start long, id long, n long, offset long, length long, part long")
-    whole = parts.groupBy("shard", "start").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("offset", "length", "part"))).alias("parts"))
-    rows = whole.join(_shard_starts(files), "shard").select("id", (F.col("base") + F.col("start")).alias("start"), "n", "parts")
-    return rows.mapInArrow(_joined, "id long, start long, n long, crc32 long")
+    names = ["shard", "start", "id", "n", "offset", "length", "part"]
+    parts = Scratch(spark, "digests").save(files.mapInArrow(_parts(False), "shard int, start long, id long, n long, offset long, length long, part long").select(*names), "parts")
+    whole = parts.filter("length = n").select("id", "shard", "start", "n", F.col("part").alias("crc32"))
+    split = parts.filter("length < n").groupBy("shard", "start").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("offset", "length", "part"))).alias("parts"))
+    joined = split.select("id", "shard", "start", "n", "parts").mapInArrow(_joined, "id long, shard int, start long, n long, crc32 long")
+    return whole.union(joined).join(_shard_starts(files), "shard").select("id", (F.col("base") + F.col("start")).alias("start"), "n", "crc32")
 
 
 def tokens_round_trip(docs: DataFrame, vocabulary: str, how: Files = Files(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
