@@ -155,3 +155,11 @@ def pieces(texts: list[bytes], limit: int = BLOCK) -> Iterator[slice]:
         size += len(text) + 1
     if begin < len(texts):
         yield slice(begin, len(texts))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span of ``data`` (a block of bounded size)."""
+    up, down = _byte_powers.to(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_byte_values[data] * up[:-1], out=total[1:])
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))

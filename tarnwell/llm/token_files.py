@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .kernels import pieces
+from .kernels import BLOCK, pieces, span_hashes
 from .scratch import Scratch, arrow_batches
 
 _HEAD = struct.Struct("<4sBBI")  # magic, 1 for bit planes, number of planes, number of ids
 _MAGIC = b"TWP1"
-REMEMBERED = 350_000  # segments in each of two generations
+REMEMBERED = 1_000_000  # segments
 
 
 @dataclass(frozen=True)
@@ -72,18 +72,71 @@ def unpack(chunk: bytes) -> np.ndarray:
     return (np.packbits(out, axis=1, bitorder="little") if bits else out).reshape(-1).view("<u4")
 
 
+class _Known:
+    """Ids of segments by a 64-bit hash, a check value (first bytes and length), all in arrays.
+
+    When it is full, segments not used since the last time go.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.array([np.iinfo(np.uint64).max])  # a last entry, so that every search ends on one
+        self.checks = np.zeros(1, np.uint64)
+        self.start, self.size, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, bool)
+        self.pool = np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entry, whether it is the segment's) of each."""
+        at = np.searchsorted(self.keys, keys)
+        return at, (self.keys[at] == keys) & (self.checks[at] == checks)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Segments with distinct ascending keys, none of which is known."""
+        at, n = np.searchsorted(self.keys, keys), np.array([len(x) for x in ids], np.int64)
+        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
+        self.start = np.insert(self.start, at, len(self.pool) + np.cumsum(n) - n)
+        self.size, self.used = np.insert(self.size, at, n), np.insert(self.used, at, True)
+        self.pool = np.concatenate([self.pool, *ids])
+
+    def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries in a row, and how many each has."""
+        self.used[entries] = True
+        n = self.size[entries]
+        ends = np.cumsum(n)
+        return self.pool[np.repeat(self.start[entries] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
+
+    def shrink(self) -> None:
+        if len(self.keys) <= self.most:
+            return
+        kept = np.append(np.flatnonzero(self.used[:-1]), len(self.keys) - 1)
+        if len(kept) > 3 * self.most // 4:
+            self.clear()
+            return
+        pool, n = self.ids(kept)
+        self.keys, self.checks, self.size, self.pool = self.keys[kept], self.checks[kept], n, pool
+        self.start, self.used = np.cumsum(n) - n, np.zeros(len(kept), bool)
+
+
 class SegmentEncoder:
     """Ids of texts by the tokenizers library, which is asked once for each distinct segment.
 
     The pre-tokenizer of byte-level vocabularies puts a boundary behind a character that is not
     white space where white space follows, and between a letter and an ASCII sign. The text is cut
-    at such places; texts with other white space characters go to the library whole. New segments
+    at such places; texts with other white space or with an added token go to the library whole. New segments
     are handed to the library as one text, and its ids are dealt back by their byte lengths.
     """
 
-    _letters = "[A-Za-zÀ-ÖØ-öø-ɏ]"
-    _cut = re.compile(rf"[ \t\n\r]*{_letters}++(?=[\x00-/:-@\[-`{{-\x7f]|\Z)|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
     _other_space = re.compile(r"[^\S \t\n\r]")
+    _BLANK, _LETTER, _SIGN, _LATIN, _TRAIL = 1, 2, 4, 8, 16
+    _kind = np.zeros(256, np.uint8)
+    _kind[[c for c in range(128) if not chr(c).isalnum()]] = _SIGN
+    _kind[[9, 10, 13, 32]] = _BLANK
+    _kind[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
+    _kind[0xC3:0xC9] = _LATIN  # first byte of a Latin letter, but for two signs
+    _kind[0x80:0xC0] = _TRAIL
 
     def __init__(self, path: str):
         import json
@@ -98,51 +151,68 @@ class SegmentEncoder:
         self.sizes = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
             self.sizes[i] = len(token)
-        for added in known.get("added_tokens", []):
-            self.sizes[added["id"]] = len(added["content"].encode())
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.added = [x["content"] for x in known.get("added_tokens", [])]
+        self.known = _Known(REMEMBERED)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _segments(self, segments: list[str]) -> dict[str, bytes]:
+    def _segments(self, segments: list[str]) -> list[np.ndarray]:
         """Ids of new segments."""
-        blank = [x for x in segments if x[-1] in " \t\n\r"]  # nothing else ends in white space
-        rest = [x for x in segments if x[-1] not in " \t\n\r"] if blank else segments
-        out = dict(zip(blank, self._library(blank), strict=True)) if blank else {}
+        spaces = " \t\n\r"
         # a line end before a segment that begins without white space is a token of its own
-        joined = [x if x[0] in " \t\n\r" else "\n" + x for x in rest]
-        lead = np.fromiter((x[0] not in " \t\n\r" for x in rest), np.int64, len(rest))
-        ids = np.array(self.library.encode("".join(joined), add_special_tokens=False).ids, "<u4")
+        joined = [x if x[0] in spaces else "\n" + x for x in segments]
+        lead = np.fromiter((x[0] not in spaces for x in segments), np.int64, len(segments))
+        if any(x[-1] in spaces for x in segments):  # at the end of a text
+            return self._library(segments)
+        ids = np.array(self.library.encode("".join(joined), add_special_tokens=False).ids, np.uint32)
         ends = np.cumsum(np.fromiter((len(x.encode()) for x in joined), np.int64, len(joined)))
         reached = np.cumsum(self.sizes[ids])
         last = np.searchsorted(reached, ends) + 1
-        if len(rest) and (last[-1] != len(ids) or (reached[last - 1] != ends).any()):  # not cut where expected
-            return out | dict(zip(rest, self._library(rest), strict=True))
-        first = np.concatenate([[0], last[:-1]]) + lead
-        raw = ids.tobytes()
-        out.update((x, raw[4 * a : 4 * b]) for x, a, b in zip(rest, first.tolist(), last.tolist(), strict=True))
-        return out
+        if last[-1] != len(ids) or (reached[last - 1] != ends).any():  # not cut where expected
+            return self._library(segments)
+        return [ids[a:b] for a, b in zip((np.concatenate([[0], last[:-1]]) + lead).tolist(), last.tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
-        whole = [i for i, x in enumerate(texts) if not self.by_segment or self._other_space.search(x)]
+        whole = [i for i, x in enumerate(texts) if not self.by_segment or len(x) > 4 * BLOCK or self._other_space.search(x) or any(a in x for a in self.added)]
         direct = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True)) if whole else {}
-        cut = [[] if i in direct else self._cut.findall(x) for i, x in enumerate(texts)]
-        fresh = {x: self.old.get(x) for x in set().union(*cut).difference(self.new)}
-        missing = [x for x, known in fresh.items() if known is None]
-        if missing:
-            fresh.update(self._segments(missing))
-        self.new.update(fresh)
-        of = self.new.__getitem__
-        out = [np.frombuffer(direct[i] if i in direct else b"".join(map(of, segments)), "<u4") for i, segments in enumerate(cut)]
-        for x in missing:
-            if len(x) > 48:
-                del self.new[x]
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        return out
+        raw = [b"" if i in direct else x.encode() for i, x in enumerate(texts)]
+        bounds = np.cumsum([0, *map(len, raw)])
+        flat = np.frombuffer(b"".join(raw) + bytes(8), np.uint8)
+        kind = self._kind[flat[:-8]]
+        n = len(kind)
+        if not n:
+            return [direct.get(i, np.zeros(0, np.uint32)) for i in range(len(texts))]
+        letter = (kind == self._LETTER)
+        signs = (flat[1:n] == 0x97) | (flat[1:n] == 0xB7)
+        letter[1:] |= (kind[1:] == self._TRAIL) & (kind[:-1] == self._LATIN) & ~((flat[: n - 1] == 0xC3) & signs)
+        cut = np.zeros(n, bool)
+        cut[1:] = ((kind[1:] == self._BLANK) & (kind[:-1] != self._BLANK)) | ((kind[1:] == self._SIGN) & letter[:-1])
+        cut[bounds[:-1][bounds[:-1] < n]] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], n)
+        key = span_hashes(flat[:n], start, end)
+        head = np.zeros(len(start), np.uint64)
+        size = end - start
+        for k in range(7):
+            head = (head << np.uint64(8)) | np.where(k < size, flat[start + k], 0).astype(np.uint64)
+        check = (head << np.uint64(8)) | np.minimum(size, 255).astype(np.uint64)
+        entry, hit = self.known.find(key, check)
+        if not hit.all():
+            new, first = np.unique(key[~hit], return_index=True)
+            at = np.flatnonzero(~hit)[first]
+            found = self._segments([flat[a:b].tobytes().decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            clash = self.known.keys[np.searchsorted(self.known.keys, new)] == new  # another segment has this hash: encode such texts whole
+            self.known.add(new[~clash], check[at][~clash], [x for x, c in zip(found, clash.tolist(), strict=True) if not c])
+            entry, late = np.searchsorted(self.known.keys, key), ~hit
+            hit[late] = (self.known.keys[entry[late]] == key[late]) & (self.known.checks[entry[late]] == check[late])
+        ids, many = self.known.ids(entry)
+        ends = np.concatenate([[0], np.cumsum(many)])[np.searchsorted(start, bounds)]
+        for i in {int(np.searchsorted(bounds, a, "right")) - 1 for a in start[~hit].tolist()}:
+            direct[i] = self._library([texts[i]])[0]
+        self.known.shrink()
+        return [direct[i] if i in direct else ids[a:b] for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))]
 
 
 @lru_cache(maxsize=4)
