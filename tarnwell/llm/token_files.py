@@ -32,7 +32,7 @@ from .scratch import Scratch, arrow_batches
 
 _HEAD = struct.Struct("<4sBBI")  # magic, 1 for bit planes, number of planes, number of ids
 _MAGIC = b"TWP1"
-REMEMBERED = 1_000_000  # segments
+REMEMBERED = 700_000  # segments
 
 
 @dataclass(frozen=True)
@@ -73,51 +73,76 @@ def unpack(chunk: bytes) -> np.ndarray:
 
 
 class _Known:
-    """Ids of segments by a 64-bit hash, a check value (first bytes and length), all in arrays.
+    """Ids of segments by a 64-bit hash, a check value (first bytes and length): an open-addressed table in arrays.
 
     When it is full, segments not used since the last time go.
     """
 
     def __init__(self, most: int):
         self.most = most
+        self.mask = (1 << (2 * most - 1).bit_length()) - 1
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.array([np.iinfo(np.uint64).max])  # a last entry, so that every search ends on one
-        self.checks = np.zeros(1, np.uint64)
-        self.start, self.size, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, bool)
-        self.pool = np.zeros(0, np.uint32)
+        n = self.mask + 1
+        self.keys, self.checks = np.zeros(n, np.uint64), np.zeros(n, np.uint64)  # key 0: free
+        self.start, self.size, self.used = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)
+        self.pool, self.count = np.zeros(0, np.uint32), 0
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or the free one where it would go."""
+        at = (keys & np.uint64(self.mask)).astype(np.int64)
+        found = self.keys[at]
+        open_ = np.flatnonzero((found != keys) & (found != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            found = self.keys[at[open_]]
+            open_ = open_[(found != keys[open_]) & (found != 0)]
+        return at
 
     def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(entry, whether it is the segment's) of each."""
-        at = np.searchsorted(self.keys, keys)
+        """(slot, whether it holds the segment) of each."""
+        at = self.slots(keys)
         return at, (self.keys[at] == keys) & (self.checks[at] == checks)
 
-    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Segments with distinct ascending keys, none of which is known."""
-        at, n = np.searchsorted(self.keys, keys), np.array([len(x) for x in ids], np.int64)
-        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
-        self.start = np.insert(self.start, at, len(self.pool) + np.cumsum(n) - n)
-        self.size, self.used = np.insert(self.size, at, n), np.insert(self.used, at, True)
+    def add(self, keys: np.ndarray, checks: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Segments with distinct keys, none of which is known; their ids lie in the pool."""
+        self.count += len(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            at = self.slots(keys[left])
+            self.keys[at] = keys[left]  # of several for one free slot, one stays
+            won = self.keys[at] == keys[left]
+            own, at = left[won], at[won]
+            self.checks[at], self.start[at], self.size[at], self.used[at] = checks[own], start[own], size[own], True
+            left = left[~won]
+
+    def learn(self, keys: np.ndarray, checks: np.ndarray, ids: list[np.ndarray]) -> None:
+        n = np.array([len(x) for x in ids], np.int64)
+        begin = len(self.pool) + np.cumsum(n) - n
         self.pool = np.concatenate([self.pool, *ids])
+        self.add(keys, checks, begin, n)
 
-    def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of entries in a row, and how many each has."""
-        self.used[entries] = True
-        n = self.size[entries]
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of slots in a row, and how many each has."""
+        self.used[at] = True
+        n = self.size[at].astype(np.int64)
         ends = np.cumsum(n)
-        return self.pool[np.repeat(self.start[entries] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
+        return self.pool[np.repeat(self.start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
 
     def shrink(self) -> None:
-        if len(self.keys) <= self.most:
+        if self.count <= self.most:
             return
-        kept = np.append(np.flatnonzero(self.used[:-1]), len(self.keys) - 1)
+        kept = np.flatnonzero(self.used & (self.keys != 0))
         if len(kept) > 3 * self.most // 4:
             self.clear()
             return
         pool, n = self.ids(kept)
-        self.keys, self.checks, self.size, self.pool = self.keys[kept], self.checks[kept], n, pool
-        self.start, self.used = np.cumsum(n) - n, np.zeros(len(kept), bool)
+        keys, checks = self.keys[kept], self.checks[kept]
+        self.clear()
+        self.pool = pool
+        self.add(keys, checks, np.cumsum(n) - n, n)
+        self.used[:] = False
 
 
 class SegmentEncoder:
@@ -192,7 +217,7 @@ class SegmentEncoder:
         cut[bounds[:-1][bounds[:-1] < n]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
-        key = span_hashes(flat[:n], start, end)
+        key = span_hashes(flat[:n], start, end) | np.uint64(1)
         head = np.zeros(len(start), np.uint64)
         size = end - start
         for k in range(7):
@@ -203,10 +228,10 @@ class SegmentEncoder:
             new, first = np.unique(key[~hit], return_index=True)
             at = np.flatnonzero(~hit)[first]
             found = self._segments([flat[a:b].tobytes().decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
-            clash = self.known.keys[np.searchsorted(self.known.keys, new)] == new  # another segment has this hash: encode such texts whole
-            self.known.add(new[~clash], check[at][~clash], [x for x, c in zip(found, clash.tolist(), strict=True) if not c])
-            entry, late = np.searchsorted(self.known.keys, key), ~hit
-            hit[late] = (self.known.keys[entry[late]] == key[late]) & (self.known.checks[entry[late]] == check[late])
+            clash = self.known.keys[self.known.slots(new)] == new  # another segment has this hash: such texts go whole
+            self.known.learn(new[~clash], check[at][~clash], [x for x, c in zip(found, clash.tolist(), strict=True) if not c])
+            late = np.flatnonzero(~hit)
+            entry[late], hit[late] = self.known.find(key[late], check[late])
         ids, many = self.known.ids(entry)
         ends = np.concatenate([[0], np.cumsum(many)])[np.searchsorted(start, bounds)]
         for i in {int(np.searchsorted(bounds, a, "right")) - 1 for a in start[~hit].tolist()}:
