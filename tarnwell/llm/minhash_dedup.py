@@ -234,6 +234,8 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     members = scratch.save(full.select("id", "n", "digest").join(classes, "digest").select("id", "n", "node"), "members")
     nodes = full.join(classes.select(F.col("digest").alias("d"), "node"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("node")))
     signed = scratch.save(nodes.select("id", "signature").dropDuplicates(["id", "signature"]), "signatures")
+    bare = scratch.save(features.filter("id is null or digest is null").select("id", "n", F.col("id").alias("component_id")), "bare")
+    scratch.drop(features)
 
     posted = signed.mapInArrow(_postings(how), "list long, id long").repartition("list")
     shared = posted.groupBy("list").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1")
@@ -298,7 +300,6 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     found = members.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").select(
         "id", "n", F.coalesce("component", "node").alias("component_id")
     )
-    bare = features.filter("id is null or digest is null").select("id", "n", F.col("id").alias("component_id"))
     return found.union(bare).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
