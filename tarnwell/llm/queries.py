@@ -13,7 +13,7 @@ from .license_scan import license_notices
 from .line_dedup import remove_repeated_lines
 from .minhash_dedup import MinHash, near_duplicates
 from .secret_scan import secrets
-from .sentencepieces import decode_pieces, encode_pieces
+from .sentencepieces import encode_pieces
 from .substring_dedup import Repeats, remove_repeats
 from .token_files import tokens_round_trip
 from .toxicity import toxicity, train
@@ -66,7 +66,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKEN
 
 def op8_sentencepieces(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    rows = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    rows = encode_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded=True)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import pieces
 from .scratch import arrow_batches
 
 REMEMBERED = 250_000  # segments in each of two generations
@@ -225,15 +226,17 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-def _encode(path: str, text_col: str):
+def _encode(path: str, text_col: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            rows = codec(path).encode([x or "" for x in batch.column(at).to_pylist()])
+            at, own = batch.schema.get_field_index(text_col), codec(path)
+            texts = [x or "" for x in batch.column(at).to_pylist()]
+            rows = [ids for part in pieces(texts) for ids in own.encode(texts[part])]
             offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
             rest = [i for i in range(batch.num_columns) if i != at]
-            yield pa.record_batch([*(batch.column(i) for i in rest), ids], names=[*(batch.schema.names[i] for i in rest), "ids"])
+            more = [pa.array([own.decode(x) for x in rows], pa.string())] if decoded else []
+            yield pa.record_batch([*(batch.column(i) for i in rest), ids, *more], names=[*(batch.schema.names[i] for i in rest), "ids", *["decoded"] * decoded])
 
     return run
 
@@ -249,16 +252,18 @@ def _decode(path: str):
     return run
 
 
-def encode_pieces(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """The rows of ``docs`` with ``ids`` array<int> (end id included) in place of ``text_col``.
 
-    path: model file, at the same place on every executor. Null and empty texts have the end id
-    alone. Repeated rows are each encoded; a column named ids is replaced.
+    path: model file, at the same place on every executor. decoded: add the text of the ids as
+    column ``decoded``, in the same pass. Null and empty texts have the end id alone. Repeated rows
+    are each encoded; columns named like the added ones are replaced.
     """
     arrow_batches(docs.sparkSession)
-    rest = [f for f in docs.schema.fields if f.name not in (text_col, "ids")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "ids array<int>"])
-    return docs.select(*[F.col(f"`{f.name}`") for f in rest], text_col).mapInArrow(_encode(path, text_col), schema)
+    added = ("ids", "decoded") if decoded else ("ids",)
+    rest = [f for f in docs.schema.fields if f.name not in (text_col, *added)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "ids array<int>", *["decoded string"] * decoded])
+    return docs.select(*[F.col(f"`{f.name}`") for f in rest], text_col).mapInArrow(_encode(path, text_col, decoded), schema)
 
 
 def decode_pieces(rows: DataFrame, path: str) -> DataFrame:
