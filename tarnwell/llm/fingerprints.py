@@ -134,5 +134,5 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.col("id").alias(id_col), "n_chars", "edited",
         fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
-        F.coalesce(likeness(F.col("own"), F.col("next_signatures")), F.lit(0.0)).alias("near_next"),
+        F.when(F.col("next_signatures").isNull(), F.lit(0.0)).otherwise(likeness(F.col("own"), F.col("next_signatures"))).alias("near_next"),
     )
