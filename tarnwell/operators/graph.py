@@ -7,10 +7,13 @@ number of steps is the depth of the graph.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from ..plans.numbering import numbered
 
 COMPACT = 8  # steps after which the parts of the visited set are written together
 
@@ -146,6 +149,116 @@ def critical_path(weights: DataFrame, deps: DataFrame) -> DataFrame:
             out = cut(out)
 
 
+def codegened(items: DataFrame, gone: DataFrame, mono_items: DataFrame) -> DataFrame:
+    """(key, codegened): false for local items in ``gone``, else whether the item is generated."""
+    marked = items.join(gone.select("key", F.lit(True).alias("gone")).distinct(), "key", "left").join(mono_items.select("key", F.lit(True).alias("mono")).distinct(), "key", "left")
+    return marked.select("key", F.when(F.col("is_local") & F.col("gone").isNotNull(), False).otherwise(F.col("mono").isNotNull()).alias("codegened"))
+
+
+@dataclass(frozen=True)
+class Analysis:
+    """Results of ``analyse``; reached and seeds are None where no walk was made."""
+
+    gone: DataFrame
+    reached: DataFrame | None = None
+    seeds: DataFrame | None = None
+
+
+def analyse(items: DataFrame, edges: DataFrame, vtable_traits: DataFrame, address_taken: DataFrame, mono_items: DataFrame, keep: DataFrame | None = None) -> Analysis:
+    """The whole analysis of one partition: with a keep table no graph is walked; without an entry nothing goes."""
+    if keep is not None:
+        return Analysis(seeded_elimination(items, keep, vtable_traits))
+    if items.filter("is_entry").isEmpty():
+        return Analysis(items.select("key").limit(0))
+    seeds = collect_seeds(items, vtable_traits, address_taken)
+    reached = reachable(edges, seeds)
+    return Analysis(eliminable(items, reached, mono_items, vtable_traits), reached, seeds)
+
+
+def feedback_seeds(keep: DataFrame, items: DataFrame) -> DataFrame:
+    """(key): items of a library that another partition's walk reached, found by stable id (scid, lo); seeds of its own walk."""
+    return items.join(keep, ["scid", "lo"], "left_semi").select("key").distinct()
+
+
+def forced_elimination(items: DataFrame, reached: DataFrame, forced: DataFrame, mono_items: DataFrame, vtable_traits: DataFrame) -> DataFrame:
+    """(key): ``eliminable`` of a second pass, with the first pass's generated set (key) kept by force."""
+    return eliminable(items, reached.select("key").union(forced.select("key")).distinct(), mono_items, vtable_traits)
+
+
+def phase_graph(units: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (key, unit, phase) and deps (src, dst) of a build in which libraries are generated after the binaries' analysis.
+
+    units: (unit, is_binary), unit below 2**31; phase 0: analysis, 1: generation, key = unit * 2 + phase. Analysis
+    follows the analysis of dependencies, generation follows the own analysis and, for libraries,
+    the analysis of every binary that depends on them, directly or not: no cycle of its own arises.
+    """
+    phase = units.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("phase"), F.col("unit").cast("long").alias("unit"))
+    nodes = phase.select((F.col("unit") * 2 + F.col("phase")).alias("key"), "unit", "phase")
+    own = units.select((F.col("unit").cast("long") * 2 + 1).alias("src"), (F.col("unit").cast("long") * 2).alias("dst"))
+    before = deps.select((F.col("src").cast("long") * 2).alias("src"), (F.col("dst").cast("long") * 2).alias("dst"))
+    libraries = units.filter("not is_binary").select(F.col("unit").alias("library"))
+    pairs = labelled_reach(deps, units.filter("is_binary").select(F.col("unit").alias("label"), F.col("unit").alias("key")))
+    waits = pairs.join(libraries, F.col("key") == F.col("library")).select((F.col("key").cast("long") * 2 + 1).alias("src"), (F.col("label").cast("long") * 2).alias("dst"))
+    return nodes, own.union(before).union(waits).distinct()
+
+
+def labelled_reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(label, key): what each label of ``seeds`` (label, key) reaches, its seeds included. Size: labels times nodes reached."""
+    edges = cut(edges.filter("src is not null and dst is not null").select("src", "dst").distinct())
+    seen = frontier = cut(seeds.select("label", F.col("key").cast("long").alias("key")).distinct())
+    while not frontier.isEmpty():
+        found = frontier.join(edges, F.col("key") == F.col("src")).select("label", F.col("dst").cast("long").alias("key")).distinct()
+        frontier = cut(found.join(seen, ["label", "key"], "left_anti"))
+        seen = cut(seen.union(frontier))
+    return seen
+
+
+def degrees(nodes: DataFrame, deps: DataFrame) -> DataFrame:
+    """(key, n_out, n_in): distinct dependencies of each node, and nodes that depend on it; counted before the shuffle."""
+    ends = deps.select("src", "dst").distinct().select(F.explode(F.array(F.struct(F.col("src").alias("key"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("key"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x")).select("x.*")
+    counts = ends.groupBy("key").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
+    return nodes.select("key").distinct().join(counts, "key", "left").select("key", F.coalesce("n_out", F.lit(0)).alias("n_out"), F.coalesce("n_in", F.lit(0)).alias("n_in"))
+
+
+def cyclic(nodes: DataFrame, deps: DataFrame) -> DataFrame:
+    """(key): nodes on a cycle, or on a path from one cycle to another: what is left after peeling from both ends."""
+    behind = topological_levels(nodes, deps).filter("level is null").select("key")
+    inner = deps.join(behind.select(F.col("key").alias("src")), "src", "left_semi").join(behind.select(F.col("key").alias("dst")), "dst", "left_semi")
+    back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return topological_levels(behind, back).filter("level is null").select("key")
+
+
+def without_cycles(nodes: DataFrame, deps: DataFrame) -> DataFrame:
+    """``deps`` (src, dst) made acyclic: between nodes of ``cyclic``, only dependencies on a smaller key stay."""
+    held = cut(cyclic(nodes, deps))
+    a, b = held.select(F.col("key").alias("src"), F.lit(True).alias("a")), held.select(F.col("key").alias("dst"), F.lit(True).alias("b"))
+    return deps.join(a, "src", "left").join(b, "dst", "left").filter("a is null or b is null or dst < src").select("src", "dst")
+
+
+def topological_order(nodes: DataFrame, deps: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(key, position): dependencies first, equals by key, from 1; ``roots`` (key) take a place and are left out, as are cycles."""
+    placed = topological_levels(nodes, deps).filter("level is not null")
+    out = numbered(placed, ["level", "key"], "position")
+    return (out if roots is None else out.join(roots, "key", "left_anti")).select("key", "position")
+
+
+def admission(paths: DataFrame, slots: int) -> DataFrame:
+    """(key, cp, rank, wave): in what order and in which wave of ``slots`` units are admitted, longest critical path first; ties by key."""
+    ranked = numbered(paths.select("key", "cp", (-F.col("cp")).alias("less")), ["less", "key"], "rank")
+    return ranked.select("key", "cp", "rank", (F.floor((F.col("rank") - 1) / F.lit(slots)) + 1).alias("wave"))
+
+
+def scheduled(units: DataFrame, source_col: str = "source") -> DataFrame:
+    """Units that the scheduler sees: those whose source is not a registry; a null source is local."""
+    return units.filter(~F.coalesce(F.col(source_col).startswith("registry"), F.lit(False)))
+
+
+def with_tier(units: DataFrame, tiers: DataFrame, crate: str = "crate") -> DataFrame:
+    """``units`` with the smallest tier that holds their crate (crate, tier); null without one."""
+    least = tiers.groupBy(crate).agg(F.min("tier").alias("tier"))
+    return units.drop("tier").join(least, crate, "left") if "tier" in units.columns else units.join(least, crate, "left")
+
+
 def weight_ms(size_bytes: Column) -> Column:
     """Estimated build weight: a millisecond for 350 bytes, from 100 to 60,000."""
     return F.least(F.greatest(size_bytes / 350.0, F.lit(100.0)), F.lit(60000.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bucket edges of the speedup histogram.
@@ -77,3 +77,65 @@ def over_failure_rate(results: DataFrame, most: float) -> DataFrame:
 def phase_profile(timings: DataFrame) -> DataFrame:
     """(phase, n, total_ms) of (phase, ms)."""
     return timings.groupBy("phase").agg(F.count("*").alias("n"), F.sum("ms").alias("total_ms"))
+
+
+def elimination_counters(items: DataFrame, reached: DataFrame, gone: DataFrame, by: str) -> DataFrame:
+    """(by, total_fn_like, reachable_set, post_bfs, eliminated) of local items: one row a partition."""
+    marked = items.filter("is_local").join(reached.select("key", F.lit(True).alias("hit")).distinct(), "key", "left").join(gone.select("key", F.lit(True).alias("gone")).distinct(), "key", "left")
+    return marked.groupBy(by).agg(
+        F.count_if(F.col("is_fn_like")).alias("total_fn_like"), F.count_if(F.col("in_reachable_set")).alias("reachable_set"),
+        F.count("hit").alias("post_bfs"), F.count("gone").alias("eliminated"),
+    )
+
+
+def size_reduction(before: DataFrame, after: DataFrame, by: str, size: str) -> DataFrame:
+    """(by, before, after, percent_removed): summed sizes on both sides; a side without rows counts 0, no size before: null."""
+    both = before.select(by, F.col(size).alias("b"), F.lit(None).cast("long").alias("a")).union(after.select(by, F.lit(None).cast("long"), F.col(size)))
+    out = both.groupBy(by).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("before"), F.coalesce(F.sum("a"), F.lit(0)).alias("after"))
+    return out.withColumn("percent_removed", F.try_divide(100.0 * (F.col("before") - F.col("after")), F.col("before")))
+
+
+def source_size(texts: DataFrame, order: str, most: int = 600, text_col: str = "text") -> DataFrame:
+    """(files, lines) of the first ``most`` texts in ``order``; a text's last line counts without a line end, null texts have none."""
+    body = F.col(text_col)
+    count = F.when(body.isNull() | (body == ""), 0).otherwise(F.size(F.split(body, "\n")) - F.when(body.endswith("\n"), 1).otherwise(0))
+    return texts.orderBy(order).limit(most).agg(F.count("*").alias("files"), F.coalesce(F.sum(count), F.lit(0)).cast("long").alias("lines"))
+
+
+def repeated_runs(runs: DataFrame, unit: str, value: str) -> DataFrame:
+    """(unit, runs, mean, median) over repeated runs; null values are no runs."""
+    return runs.groupBy(unit).agg(F.count(value).alias("runs"), F.avg(value).alias("mean"), F.percentile(F.col(value), F.lit(0.5)).alias("median"))
+
+
+def pair_rounds(runs: DataFrame, unit: str, round_: str, leg: str, value: str) -> DataFrame:
+    """(unit, round, baseline, treated, speedup) of interleaved rounds: legs are paired inside a round."""
+    sums = runs.groupBy(unit, round_).agg(F.avg(F.when(F.col(leg) == "baseline", F.col(value))).alias("baseline"), F.avg(F.when(F.col(leg) == "treated", F.col(value))).alias("treated"))
+    both = sums.filter("baseline is not null and treated is not null and treated <> 0")
+    return both.withColumn("speedup", F.col("baseline") / F.col("treated"))
+
+
+def ranked(rows: DataFrame, group: str, value: str, tie: str) -> DataFrame:
+    """``rows`` with ``rank``: 1 for the largest value of its group; ties by ``tie``, nulls last."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.col(value).desc_nulls_last(), F.col(tie))))
+
+
+def top_and_bottom(rows: DataFrame, value: str, tie: str, best: int = 10, worst: int = 5) -> DataFrame:
+    """The ``best`` rows of largest value and the ``worst`` of smallest, with ``side``; null values are left out."""
+    known = rows.filter(F.col(value).isNotNull())
+    top_ = known.orderBy(F.col(value).desc(), F.col(tie)).limit(best).withColumn("side", F.lit("saved"))
+    return top_.union(known.orderBy(F.col(value), F.col(tie)).limit(worst).withColumn("side", F.lit("regressed")))
+
+
+def newest(rows: DataFrame, ts: str, tie: str, n: int = 10) -> DataFrame:
+    """The ``n`` latest rows; ties by ``tie``."""
+    return rows.orderBy(F.col(ts).desc_nulls_last(), F.col(tie)).limit(n)
+
+
+def status_label(success: Column) -> Column:
+    return F.when(success, "OK").otherwise("FAIL")
+
+
+def benchmark_summary(runs: DataFrame) -> DataFrame:
+    """(name, duration_secs, status, speedup) over runs (name, duration_secs, success): speedup against the run named baseline."""
+    base = runs.filter("name = 'baseline' and success").agg(F.min("duration_secs").alias("base"))  # one row
+    return runs.crossJoin(F.broadcast(base)).select("name", "duration_secs", status_label(F.col("success")).alias("status"), F.when(F.col("success"), F.try_divide("base", "duration_secs")).alias("speedup"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CORPUS = "rank int, name string, version string, downloads long, kind string, baseline_build_secs double, slicer_build_secs double, speedup double, status string"
+CORPUS = "rank int, name string, version string, downloads long, kind string, baseline_build_secs double, treated_build_secs double, speedup double, status string"
 BENCH = "name string, duration_secs double, success boolean"
+TIMING_UNIT = "i int, name string, version string, mode string, start double, duration double"
 COMMANDS = "file string, directory string, command string"
 MOST_COMMANDS, MOST_SOURCES = 500, 300  # caps that are the feature of these scans
 
@@ -69,3 +70,59 @@ def read_symbols(spark: SparkSession, path: str) -> DataFrame:
 
 def write_profile(profile: DataFrame, path: str) -> None:
     profile.write.mode("overwrite").json(path)
+
+
+def read_timings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, unit, name, version, mode, started, secs) of timing reports: HTML pages that hold the units as JSON."""
+    data = F.regexp_extract("value", r"(?s)(?:const|let|var)\s+UNIT_DATA\s*=\s*(\[.*?\])\s*;", 1)
+    pages = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json(data, f"array<struct<{TIMING_UNIT}>>").alias("units"))
+    return pages.select("file", F.explode("units").alias("u")).select("file", F.col("u.i").alias("unit"), "u.name", "u.version", "u.mode", F.col("u.start").alias("started"), F.col("u.duration").alias("secs"))
+
+
+def read_bench_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(crate, runs, mean_secs, failed) over the bench.json files of a folder of crates."""
+    rows = spark.read.schema(BENCH).option("recursiveFileLookup", "true").option("pathGlobFilter", "bench.json").json(path)
+    crate = F.regexp_extract(F.input_file_name(), r"/([^/]+)/bench\.json$", 1)
+    return rows.groupBy(crate.alias("crate")).agg(F.count("*").alias("runs"), F.avg("duration_secs").alias("mean_secs"), F.count_if(~F.col("success")).alias("failed"))
+
+
+def write_named_dump(items: DataFrame, path: str) -> None:
+    """Lines `scid:lo name` of items, sorted in each file."""
+    items.select(F.concat(F.concat_ws(":", "scid", "lo"), F.lit(" "), "path").alias("value")).sortWithinPartitions("value").write.mode("overwrite").text(path)
+
+
+def write_diagnostics(lines: DataFrame, path: str) -> bool:
+    """Write diagnostics (log, n, line) as a log, if there are any; whether it did."""
+    if lines.isEmpty():
+        return False
+    lines.sort("log", "n").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+    return True
+
+
+def write_symbols(symbols: DataFrame, path: str) -> None:
+    """A version script that exports ``symbols`` (symbol) and hides the rest."""
+    body = F.concat_ws("\n", F.array_sort(F.collect_set(F.concat(F.lit("    "), "symbol", F.lit(";")))))
+    symbols.agg(F.concat(F.lit("{\n  global:\n"), body, F.lit("\n  local: *;\n};")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_state(table: DataFrame, path: str, by: str) -> None:
+    """Analysis state (marks, seeds, caches) as Parquet, a folder for each value of ``by``; only values in ``table`` are replaced."""
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def append_results(results: DataFrame, path: str) -> None:
+    """Add rows to a table of results, a folder for each project."""
+    results.write.mode("append").partitionBy("project").parquet(path)
+
+
+def write_report(results: DataFrame, path: str, title: str, columns: list[str]) -> None:
+    """An HTML table of ``results``; made for summaries: the rows become one page."""
+    safe = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), safe(c), F.lit("</td>")) for c in columns], F.lit("</tr>"))
+    head = "".join(f"<th>{c}</th>" for c in columns)
+    page = results.agg(F.concat_ws("\n", F.array_sort(F.collect_list(row))).alias("rows"))
+    page.select(F.concat(F.lit(f"<html><head><title>{title}</title></head><body><table><tr>{head}</tr>\n"), "rows", F.lit("\n</table></body></html>")).alias("value")).write.mode("overwrite").text(path)
