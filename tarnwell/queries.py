@@ -80,7 +80,8 @@ def _part_items(spark, sf_dir):
         F.when(p % 3 == 0, "AssocFn").when(p % 3 == 1, "Fn").otherwise("Static").alias("kind"),
         *[(p % m == 0).alias(n) for n, m in (("no_mangle", 11), ("used_linker", 13), ("has_symbol_name", 17), ("has_linkage", 19), ("is_drop_impl", 23), ("is_entry", 29), ("requires_mono", 31), ("is_async", 37))],
         (p % 5).alias("trait_key"), (p % 2 == 0).alias("trait_dyn_compatible"),
-        (p % 7).cast("string").alias("scid"), p.cast("string").alias("lo"), F.col("p_brand").alias("brand"),
+        (p % 7).cast("string").alias("scid"), p.cast("string").alias("lo"), F.col("p_brand").alias("brand"), (p % 7).cast("int").alias("krate"),
+        (F.col("p_size") > 40).alias("in_reachable_set"), (p % 2 == 1).alias("is_public"),
     )
 
 

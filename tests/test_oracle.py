@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tarnwell.queries import ORACLE_SQL, QUERIES
+from tarnwell.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
