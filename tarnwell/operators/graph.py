@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 from ..plans.numbering import numbered
 
+SMALL = 1_000_000  # rows of a counted, checkpointed table up to which it is handed to every executor (tens of MB)
 COMPACT = 8  # steps after which the parts of the visited set are written together
 
 
@@ -23,6 +24,11 @@ def pack_key(krate: Column, index: Column) -> Column:
     return F.shiftleft(krate.cast("long"), 32).bitwiseOR(index.cast("long"))
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """``table``, broadcast if ``rows``, its counted size, is small: the other side then stays where it is, hot keys included."""
+    return F.broadcast(table) if rows <= SMALL else table
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, expand: DataFrame | None = None) -> DataFrame:
     """(key): everything reachable from ``seeds`` (key), seeds included; targets that are no node are marked too.
 
@@ -34,11 +40,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, expand: DataFrame | None = Non
     edges = cut(edges)
     frontier = cut(seeds.filter("key is not null").select(F.col("key").cast("long")).distinct())
     parts = [frontier]
-    while not frontier.isEmpty():
+    while n := frontier.count():
         seen = parts[0]
         for part in parts[1:]:
             seen = seen.union(part)
-        found = edges.join(frontier, F.col("src") == F.col("key")).select(F.col("dst").cast("long").alias("key")).distinct()
+        found = edges.join(_small(frontier, n), F.col("src") == F.col("key")).select(F.col("dst").cast("long").alias("key")).distinct()
         frontier = cut(found.join(seen, "key", "left_anti"))
         parts.append(frontier)
         if len(parts) > COMPACT:
@@ -117,11 +123,11 @@ def topological_levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     out, level = open_.select("key", F.lit(None).cast("int").alias("level")).limit(0), 0
     while True:
         ready = cut(open_.join(left.select(F.col("src").alias("key")), "key", "left_anti"))
-        if ready.isEmpty():
+        if not (n := ready.count()):
             break
         out = out.union(ready.select("key", F.lit(level).alias("level")))
-        open_ = cut(open_.join(ready, "key", "left_anti"))
-        left = cut(left.join(ready.select(F.col("key").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        open_ = cut(open_.join(_small(ready, n), "key", "left_anti"))
+        left = cut(left.join(_small(ready.select(F.col("key").alias("dst")), n), "dst", "left_anti").select("src", "dst"))
         level += 1
         if level % COMPACT == 0:
             out = cut(out)
@@ -206,8 +212,8 @@ def labelled_reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(label, key): what each label of ``seeds`` (label, key) reaches, its seeds included. Size: labels times nodes reached."""
     edges = cut(edges.filter("src is not null and dst is not null").select("src", "dst").distinct())
     seen = frontier = cut(seeds.select("label", F.col("key").cast("long").alias("key")).distinct())
-    while not frontier.isEmpty():
-        found = frontier.join(edges, F.col("key") == F.col("src")).select("label", F.col("dst").cast("long").alias("key")).distinct()
+    while n := frontier.count():
+        found = edges.join(_small(frontier, n), F.col("key") == F.col("src")).select("label", F.col("dst").cast("long").alias("key")).distinct()
         frontier = cut(found.join(seen, ["label", "key"], "left_anti"))
         seen = cut(seen.union(frontier))
     return seen

@@ -309,6 +309,8 @@ s AS (SELECT *, max(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORD
 SELECT doc_id, count(*) AS n_kept, CAST(min(n) AS INT) AS first_line FROM s WHERE b OR (open = 1 AND (starts_with(line, ' ') OR trim(line, ' ') = '')) GROUP BY 1""",
     "section_carry": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS asked_at FROM conversations",
     "byte_offsets": """SELECT doc_id, CAST(octet_length(encode(text)) - octet_length(encode(list_last(string_split(text, chr(10))))) AS BIGINT) AS last_offset, len(string_split(text, chr(10))) AS n_lines FROM documents""",
+    "fnv1a_hash": """SELECT p_partkey, lpad(lower(to_hex(CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split(p_name, ''), lambda x: CAST(ord(x) AS HUGEINT))),
+  lambda h, b: (CAST(xor(CAST(h AS UBIGINT), CAST(b AS UBIGINT)) AS HUGEINT) * 1099511628211) % CAST(18446744073709551616 AS HUGEINT)) AS UBIGINT))), 16, '0') AS hash FROM part""",
     "names": "SELECT p_partkey, replace(p_brand || '-' || p_type, '-', '_') AS crate, 'unit' AS unit, substr(md5(p_name), 1, 12) AS plan, lpad(lower(to_hex(p_partkey)), 16, '0') AS key FROM part",
     "cache_hit_miss": f"SELECT hit, count(*) AS n, min(key) AS least_key FROM (SELECT {_SHA} AS key, {_SHA} IN (SELECT {_SHA} FROM part WHERE p_partkey % 3 = 0) AS hit FROM part) GROUP BY 1",
     "staleness_gate": "SELECT o_orderkey, o_orderkey % 4 <> 0 AND o_orderkey % 10 <> 1 AS fresh FROM orders",

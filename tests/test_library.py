@@ -14,6 +14,13 @@ def one(spark, column, **values):
 
 def test_scalars(spark):
     assert one(spark, scalars.fnv1a_hex(F.col("s")), s="abc") == "e71fa2190541574b"
+    texts = [b"", b"a", b"foobar", *(bytes([k % 256]) * (k * 7 % 50) for k in range(60)), b"long" * 500]
+    for text, got in zip(texts, scalars.fnv1a(texts).tolist(), strict=True):
+        h = scalars.FNV_OFFSET
+        for byte in text:
+            h = (h ^ byte) * scalars.FNV_PRIME % (1 << 64)
+        assert got == h
+    assert len(scalars.fnv1a([])) == 0 and one(spark, scalars.fnv1a_hex(F.col("s").cast("string")), s=None) is None
     got = [one(spark, scalars.without_version(F.col("s")), s=s) for s in ("regex-1.10.2", "foo-bar", "a-b-2x")]
     assert got == ["regex", "foo-bar", "a-b"]
     assert one(spark, scalars.includes(F.col("s")), s='#include <a.h>\n  #include "b/c.h"\n// #include <d>') == ["a.h", "b/c.h"]
