@@ -75,7 +75,7 @@ def deletion_levels(spark, sf_dir):
 def unlinked_functions(spark, sf_dir):
     part = _table(spark, sf_dir, "part")
     items = part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("symbol"), F.col("p_brand").alias("crate"), (F.col("p_partkey") % 3 == 0).alias("is_trait_impl"), (F.col("p_size") > 5).alias("is_fn_like"))
-    linked = part.filter("p_retailprice > 950").select(F.col("p_name").alias("symbol"))
+    linked = part.filter("p_retailprice > 999").select(F.col("p_name").alias("symbol"))
     return policies.unlinked(items, linked, part.filter("p_brand like '%1'").select(F.col("p_brand").alias("crate")))
 
 
@@ -259,7 +259,7 @@ UNION SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag NOT IN ('A',
     "feedback_seeds": f"{_REACHED} SELECT key FROM r JOIN part ON key = {_KEY} WHERE p_partkey % 7 <> 3",
     "keep_export": f"{_REACHED} SELECT CAST(p_partkey % 7 AS VARCHAR) AS scid, CAST(p_partkey AS VARCHAR) AS lo FROM r JOIN part ON key = {_KEY} WHERE p_partkey % 7 <> 3",
     "deletion_levels": f"{_REACHED}, x AS ({_level(1, f'{_GONE} AND p_partkey % 2 = 0')} UNION ALL {_level(2, f'({_GONE} AND p_partkey % 2 = 0) OR ({_PRIVATE_OTHER})')} UNION ALL {_level(3, f'({_GONE}) OR ({_PRIVATE_OTHER})')} UNION ALL {_level(4, _UNREACHED)}) SELECT CAST(level AS INT) AS level, count(*) AS n, min(key) AS least, max(key) AS greatest FROM x GROUP BY 1",
-    "unlinked_functions": "SELECT p_partkey AS key FROM part WHERE p_partkey % 3 <> 0 AND p_size > 5 AND p_brand NOT LIKE '%1' AND p_name NOT IN (SELECT p_name FROM part WHERE p_retailprice > 950)",
+    "unlinked_functions": "SELECT p_partkey AS key FROM part WHERE p_partkey % 3 <> 0 AND p_size > 5 AND p_brand NOT LIKE '%1' AND p_name NOT IN (SELECT p_name FROM part WHERE p_retailprice > 999)",
     "emitted_keep": f"SELECT CAST(p_partkey % 7 AS VARCHAR) AS scid, CAST(p_partkey AS VARCHAR) AS lo FROM part WHERE p_size > 5 AND NOT ({_SAFE} AND {_UNMADE})",
     "trait_calls": "SELECT DISTINCT l_orderkey AS src, p_partkey AS dst FROM lineitem JOIN part ON p_partkey <= 400 AND p_size = l_linenumber AND p_partkey % 50 = l_suppkey % 50",
     "dependency_degrees": f"WITH e AS ({_EDGES}), x AS (SELECT src AS key, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) SELECT key, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM x GROUP BY 1",
