@@ -320,6 +320,13 @@ def test_licenses(spark, odd, none):
     assert license_scan.license_notices(odd).count() == 12 and license_scan.license_notices(none).count() == 0
 
 
+def test_many_notices_in_a_long_text():
+    text = b"x under the MIT license, under teh mit license. " * 3000
+    n_words, n_base, first, last, base, labels, score, spans = license_scan.scan(text)
+    assert (n_words, n_base, first, last, base, labels, score) == (27000, 3000, 1, 26992, "mit", "mit", 1.0)
+    assert [s["first"] for s in spans] == [k for i in range(3000) for k in (9 * i + 1, 9 * i + 5)]
+
+
 # all
 
 
