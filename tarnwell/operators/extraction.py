@@ -7,7 +7,7 @@ and types, which are reachability with stops.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import reachable
@@ -22,23 +22,25 @@ POINTER_CASTS = ("ReifyFnPointer", "ClosureFnPointer")
 VALUES_WITH_MEMORY = ("Indirect", "Slice", "Pointer")
 
 
-def operands(statements: DataFrame) -> DataFrame:
-    """(src, kind, target): the operands that count of each statement (src, rvalue, operands array<struct<kind, target>>).
+def _counted() -> Column:
+    """The operands that count of a statement; [] for a null list or an rvalue that is none of the listed kinds."""
+    most = F.when(F.col("rvalue").isin(*ONE_OPERAND), 1).when(F.col("rvalue").isin(*TWO_OPERANDS), 2).when(F.col("rvalue").isin(*ALL_OPERANDS), F.size("operands")).otherwise(0)
+    return F.coalesce(F.slice("operands", F.lit(1), F.greatest(most, F.lit(0))), F.array())
 
-    A null list, or an rvalue that is none of the listed kinds, has none.
-    """
-    most = F.when(F.col("rvalue").isin(*ONE_OPERAND), 1).when(F.col("rvalue").isin(*TWO_OPERANDS), 2).when(F.col("rvalue").isin(*ALL_OPERANDS), F.size("operands"))
-    return statements.filter(most.isNotNull() & (most > 0)).select("src", F.explode(F.slice("operands", F.lit(1), most)).alias("x")).select("src", "x.kind", "x.target")
+
+def operands(statements: DataFrame) -> DataFrame:
+    """(src, kind, target): the operands that count of each statement (src, rvalue, operands array<struct<kind, target>>)."""
+    return statements.select("src", F.explode(_counted()).alias("x")).select("src", "x.kind", "x.target")
 
 
 def body_edges(statements: DataFrame) -> DataFrame:
-    """(src, dst): calls, constructed closures, and functions named as a value in an assignment.
+    """(src, dst): calls, constructed closures, and functions named as a value in an assignment; one pass over the table.
 
     statements: (src, kind, target, rvalue, operands); kind is call, assign or one of the closures.
     """
-    direct = statements.filter(F.col("kind").isin("call", *CLOSURES) & F.col("target").isNotNull()).select("src", F.col("target").alias("dst"))
-    named = operands(statements.filter("kind = 'assign'")).filter("kind = 'fn' and target is not null").select("src", F.col("target").alias("dst"))
-    return direct.union(named).distinct()
+    named = F.transform(F.filter(_counted(), lambda x: x["kind"] == "fn"), lambda x: x["target"])
+    targets = F.when(F.col("kind").isin("call", *CLOSURES), F.array("target")).when(F.col("kind") == "assign", named)
+    return statements.select("src", F.explode(targets).alias("dst")).filter("dst is not null").distinct()
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 Fact = tuple[str, str, int, str | None, str | None]
 Parser = Callable[[str], Iterable[Fact]]
 PARSERS: dict[str, Parser] = {}
@@ -164,8 +166,10 @@ def call_graph(facts: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Items (id, key, kind, name, line) and calls (src, dst) between functions, resolved by name inside ``key``.
 
     A call reaches every function of that name, or whose path ends in it; ids are hashes of
-    (key, name, line). A name that is defined often gives one edge for each definition.
+    (key, name, line). A name that is defined often gives one edge for each definition. The facts
+    are checkpointed, so that texts are parsed once.
     """
+    facts = cut(facts)
     items = facts.filter("kind <> 'call'").select(F.xxhash64(key, "name", "line").alias("id"), key, "kind", "name", "line")
     functions = items.filter("kind = 'fn'")
     last = F.element_at(F.split("name", "::"), -1)
