@@ -14,6 +14,12 @@ that some document window and some item window begin at the same word whatever t
 Windows with fewer words of the items' vocabulary than the allowed edits leave are skipped; no
 passage within the allowed edits is lost by that.
 
+The walks alone miss passages whose edits stand in one block and passages of long items. So runs of
+``RUN`` words that a document shares with an item are looked up as well: an edit changes at most
+RUN of an item's n - RUN + 1 runs, so a passage with up to t edits keeps n - RUN + 1 - RUN * t of
+them, within n + t words. Every place that has so many is verified in the same way; no passage
+within the allowed edits is lost, whatever the item's length and wherever the edits are.
+
 Documents stay where they are read. The items are a stated query set: they are collected in blocks
 of bounded size, and each block is held against all documents.
 """
@@ -35,7 +41,9 @@ from .scratch import arrow_batches
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)  # window sizes; longer items use the last
+RUN = 3  # words of a run; shorter where so many edits are allowed that no run of this length must be left
 WINDOWS = 4096  # document windows embedded at a time
+HITS = 1 << 20  # runs found held at a time, or those of one text
 _PAD = np.uint64(0x8F4C7E21A3D5B969)
 
 
@@ -73,6 +81,23 @@ def _window(n: int) -> tuple[int, int]:
     return best
 
 
+def _run(n: int, edits: int) -> tuple[int, int]:
+    """Words of a run, and the runs that are left of an item of ``n`` words after ``edits``."""
+    for q in range(RUN, 1, -1):
+        if n - q + 1 - q * edits > 0:
+            return q, n - q + 1 - q * edits
+    return 1, max(n - edits, 1)
+
+
+def _runs(value: np.ndarray, q: int) -> np.ndarray:
+    """Hash of the ``q`` words from each word on."""
+    n = max(len(value) - q + 1, 0)
+    out = np.full(n, q, np.uint64)
+    for k in range(q):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + value[k : k + n])
+    return out
+
+
 def walk(window: np.ndarray, steps: np.ndarray, seed: int) -> np.ndarray:
     """Hash of what the CGK walk of ``seed`` writes at ``steps``, for each row of words of ``window``."""
     rows, size = window.shape
@@ -127,6 +152,56 @@ class Items:
                 tables.append((steps, seed, keys[order], order))
             self.classes.append((size, stride, max(self.most[i] for i in items), np.unique(words), owner, tables))
 
+        by_run = defaultdict(list)
+        for i, words in enumerate(self.words):
+            if len(words):
+                by_run[_run(len(words), self.most[i])[0]].append(i)
+        # of each length of a run: the distinct runs of all items, and the items of each
+        self.runs = []
+        for q, items in sorted(by_run.items()):
+            own = [np.unique(_runs(self.words[i], q)) for i in items]
+            keys, item = np.concatenate(own), np.repeat(np.array(items), [len(x) for x in own])
+            order = np.argsort(keys, kind="stable")
+            distinct, first = np.unique(keys[order], return_index=True)
+            self.runs.append((q, distinct, np.append(first, len(keys)), item[order]))
+        self.left = np.array([_run(len(w), t)[1] for w, t in zip(self.words, self.most, strict=True)], np.int64)
+        self.span = np.array([len(w) + t for w, t in zip(self.words, self.most, strict=True)], np.int64)
+
+    def _places(self, value: np.ndarray, place: np.ndarray, length: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, begin, end) of the stretches that keep enough runs of an item to hold it."""
+        for q, distinct, first, items in self.runs:
+            got = _runs(value, q)
+            at = np.minimum(np.searchsorted(distinct, got), len(distinct) - 1)
+            inside = place[: len(got)] + q <= length[owner[: len(got)]]
+            where = np.flatnonzero((distinct[at] == got) & inside)
+            many = first[at[where] + 1] - first[at[where]]
+            total = np.cumsum(many)
+            cuts = np.searchsorted(total, np.arange(HITS, int(total[-1]) if len(total) else 0, HITS))
+            # cut between texts, so that a passage stays whole
+            cuts = np.unique(np.searchsorted(owner[where], owner[where[cuts]])) if len(cuts) else cuts
+            for part, n in zip(np.split(where, cuts), np.split(many, cuts), strict=True):
+                if not len(part):
+                    continue
+                word = np.repeat(part, n)
+                item = items[np.repeat(first[at[part]], n) + np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)]
+                order = np.lexsort((word, owner[word], item))
+                word, item = word[order], item[order]
+                new = np.concatenate([[True], (item[1:] != item[:-1]) | (owner[word[1:]] != owner[word[:-1]])])
+                reach = self.span[item] - q
+                key = np.cumsum(new) * (2 * len(value) + int(self.span.max()) + 1) + word
+                behind = np.searchsorted(key, key + reach, "right")
+                dense = behind - np.arange(len(key)) >= self.left[item]
+                mark = np.zeros(len(key) + 1, np.int64)
+                np.add.at(mark, np.flatnonzero(dense), 1)
+                np.add.at(mark, behind[dense], -1)
+                kept = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+                if not len(kept):
+                    continue
+                apart = np.flatnonzero(np.diff(key[kept]) > reach[kept[1:]]) + 1
+                for some in np.split(kept, apart):
+                    i, lo, hi = int(item[some[0]]), int(word[some[0]]), int(word[some[-1]])
+                    yield int(owner[lo]), i, lo + q - int(self.span[i]), hi + int(self.span[i])
+
     def _apart(self, item: int, text: np.ndarray) -> bool:
         """Whether a stretch lacks too many of an item's words: each of them costs an edit at least."""
         bag, have = self.bags[item], Counter(text.tolist())
@@ -164,6 +239,20 @@ class Items:
             length, begin = np.diff(bounds), bounds[:-1]
             owner = np.repeat(np.arange(len(length)), length)
             place = np.arange(len(value)) - begin[owner]
+
+            def verify(text: int, item: int, a: int, b: int) -> None:
+                if self._apart(item, value[a:b]):
+                    return
+                cost, x, y = self._distance(item, value[a:b])
+                if cost <= self.most[item]:
+                    hit = (cost, a - int(begin[text]) + x, a - int(begin[text]) + y)
+                    best[text, item] = min(best.get((text, item), hit), hit)
+
+            searched = defaultdict(list)
+            for text, item, a, b in self._places(value, place, length, owner):
+                a, b = max(int(begin[text]), a), min(int(bounds[text + 1]), b)
+                searched[text, item].append((a, b))
+                verify(text, item, a, b)
             for size, stride, edits, vocabulary, owners, tables in self.classes:
                 at = np.minimum(np.searchsorted(vocabulary, value), len(vocabulary) - 1)
                 known = np.concatenate([[0], np.cumsum(vocabulary[at] == value)])
@@ -185,12 +274,8 @@ class Items:
                                 tried.add((item, first))
                                 t, n = self.most[item], len(self.words[item])
                                 a, b = max(int(begin[text]), first - 2 * t), min(int(bounds[text + 1]), first + n + 2 * t)
-                                if self._apart(item, value[a:b]):
-                                    continue
-                                cost, x, y = self._distance(item, value[a:b])
-                                if cost <= t:
-                                    hit = (cost, a - int(begin[text]) + x, a - int(begin[text]) + y)
-                                    best[text, item] = min(best.get((text, item), hit), hit)
+                                if not any(x <= a and b <= y for x, y in searched[text, item]):
+                                    verify(text, item, a, b)
             for (text, item), hit in sorted(best.items()):
                 yield done + text, item, *hit
             done += part.stop - part.start
