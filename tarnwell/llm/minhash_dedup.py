@@ -4,7 +4,8 @@ A document is the set of its distinct word shingles. Its signature has ``coordin
 is the joint minimum of ``width`` hash permutations, so two documents agree in one with probability
 J ** width. The join works on these coordinates:
 
-1. Documents with the same set are one class, which its smallest id stands for.
+1. Texts with the same set are one class, which its smallest id stands for. Of several classes with
+   the same smallest id all but one get a number behind all ids. Classes that share an id are linked.
 2. Each class is posted under (coordinate, value) for the first ``coordinates - matches + 1``
    coordinates: two classes that agree in ``matches`` or more must meet in one of them (prefix).
 3. Lists are worked off in rounds of hubs: each member is compared with one hub of its list, so a
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.numbering import numbered
 from .components import components
 from .kernels import mix64, pieces, word_lists
 from .scratch import Scratch
@@ -101,6 +103,10 @@ def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _digest(shingles: bytes) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 def _features(how: MinHash):
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
 
@@ -113,7 +119,7 @@ def _features(how: MinHash):
                 [
                     batch.column("id"),
                     pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
+                    pa.array([_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
                     pa.array([rows[i].tobytes() if i in rows else None for i in range(len(sets))], pa.binary()),
                 ],
                 schema=schema,
@@ -127,8 +133,10 @@ def _sets(how: MinHash):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(_texts(batch.column("text")), how.shingle)
-            yield pa.record_batch([batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], schema=schema)
+            sets = [x.tobytes() for x in shingle_sets(_texts(batch.column("text")), how.shingle)]
+            # an id can come with other texts than that of its class
+            own = pa.array([_digest(x) == d for x, d in zip(sets, batch.column("digest").to_pylist(), strict=True)], pa.bool_())
+            yield pa.record_batch([batch.column("id"), pa.array(sets, pa.binary())], schema=schema).filter(own)
 
     return run
 
@@ -230,11 +238,11 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     features = scratch.save(source.mapInArrow(_features(how), "id long, n long, digest binary, signature binary"), "features")
     full = features.filter("id is not null and digest is not null")
-    classes = full.groupBy("digest").agg(F.min("id").alias("node"))
+    classes = scratch.save(_classes(full, scratch), "classes")
     members = scratch.save(full.select("id", "n", "digest").join(classes, "digest").select("id", "n", "node"), "members")
-    nodes = full.join(classes.select(F.col("digest").alias("d"), "node"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("node")))
-    signed = scratch.save(nodes.select("id", "signature").dropDuplicates(["id", "signature"]), "signatures")
-    bare = scratch.save(features.filter("id is null or digest is null").select("id", "n", F.col("id").alias("component_id")), "bare")
+    nodes = full.join(classes.select(F.col("digest").alias("d"), "least", "node"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("least")))
+    signed = scratch.save(nodes.select(F.col("node").alias("id"), "signature").dropDuplicates(["id", "signature"]), "signatures")
+    bare = scratch.save(features.filter("id is null or digest is null").select("id", "n"), "bare")
     scratch.drop(features)
 
     posted = signed.mapInArrow(_postings(how), "list long, id long").repartition("list")
@@ -242,8 +250,9 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     lists = scratch.save(posted.join(shared, "list"), "lists")
     listed = scratch.save(lists.select("id").distinct(), "listed")
     n_listed = listed.count()
-    wanted = F.broadcast(listed) if n_listed <= 100_000 else listed.hint("shuffle_hash")
-    sets = scratch.save(source.join(wanted, "id", "left_semi").mapInArrow(_sets(how), "id long, shingles binary"), "sets")
+    texts = classes.join(listed.withColumnRenamed("id", "node"), "node", "left_semi")
+    wanted = F.broadcast(texts) if n_listed <= 100_000 else texts.hint("shuffle_hash")
+    sets = scratch.save(source.join(wanted, F.col("id") == F.col("least")).select(F.col("node").alias("id"), "digest", "text").mapInArrow(_sets(how), "id long, shingles binary"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         joined = (
@@ -259,7 +268,9 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
         return scratch.save(components(links, scratch).withColumnRenamed("node", "id"), "labels")
 
     star = lists.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    labels = join_up(None, confirm(star))
+    several = scratch.save(members.groupBy("id").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last"), "several")
+    own = members.join(several, "id").select(F.col("node").alias("u"), F.col("first").alias("v"))  # the texts of one id
+    labels = join_up(None, confirm(star).union(own))
 
     # another hub for the lists that are not yet in one component
     active = _active(lists, labels)
@@ -275,7 +286,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     rows = (
         active.join(largest, "list")
         .select("list", "id", "component", (F.col("component") != F.col("main")).alias("outside"), cuts.alias("cuts"), F.ceil((F.col("n") - F.col("k")) / F.lit(how.block)).cast("long").alias("turns"))
-        .join(signed.dropDuplicates(["id"]), "id")
+        .join(signed, "id")
     )
     # a member lies in one cut of its list, a document outside asks every cut; those who ask are split into turns
     zero = F.lit(0).cast("long")
@@ -297,9 +308,13 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     last = left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInArrow(_confirm_blocks(how), "u long, v long")
     labels = join_up(labels, last)
 
-    found = members.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").select(
-        "id", "n", F.coalesce("component", "node").alias("component_id")
-    )
+    def component_of(rows: DataFrame) -> DataFrame:
+        return rows.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component_id", F.coalesce("component", "node"))
+
+    found = component_of(members).select("id", "n", "component_id")
+    # rows without shingles go with the other texts of their id
+    other = scratch.save(members.join(bare.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("node").alias("node")), "other")
+    bare = bare.join(component_of(other).select("id", "component_id"), "id", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
     return found.union(bare).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -308,6 +323,22 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     )
 
 
+def _classes(full: DataFrame, scratch: Scratch) -> DataFrame:
+    """(digest, least, node): the smallest id of each set, and the number that stands for the set.
+
+    That is least, but for sets whose least already stands for another one: they follow the
+    largest id. They share their least with a set of a smaller number, so no component is named by them.
+    """
+    classes = full.groupBy("digest").agg(F.min("id").alias("least"))
+    taken = classes.groupBy("least").agg(F.count("*").alias("k"), F.min("digest").alias("first")).filter("k > 1")
+    extra = scratch.save(classes.join(taken, "least").filter("digest <> first").select("digest"), "extra")
+    if extra.isEmpty():
+        return classes.withColumn("node", F.col("least"))
+    last = full.agg(F.max("id")).first()[0]
+    numbers = numbered(extra, ["digest"], "number").select("digest", (F.col("number") + F.lit(last)).alias("number"))
+    return classes.join(numbers, "digest", "left").select("digest", "least", F.coalesce("number", "least").alias("node"))
+
+
 def _active(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """(list, id, component) of the lists whose members are in more than one component."""
     known = lists.select("list", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tarnwell.llm import decontaminate
+from tarnwell.llm import decontaminate, minhash_dedup
 
 
 def prose(n, seed):
@@ -62,3 +62,36 @@ def test_leaks_places_held_in_parts(monkeypatch):
     whole = list(block.find([" ".join(x).encode() for x in texts]))
     monkeypatch.setattr(decontaminate, "HITS", 7)
     assert list(block.find([" ".join(x).encode() for x in texts])) == whole and len(whole) >= 30
+
+
+def changed(words, k, r):
+    out = list(words)
+    for at in r.sample(range(len(words)), k):
+        out[at] = f"new{r.randrange(10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_of_ids_with_several_texts(spark, seed):
+    r = random.Random(seed)
+    bases = [prose(60, 1000 * seed + k) for k in range(8)]
+    rows = [(1, bases[0]), (1, bases[1]), (1, bases[2]), (1, bases[2]), (2, bases[2]), (9, bases[4]), (9, []), (10, []), (10, None), (3, changed(bases[1], 1, r)), (4, changed(bases[4], 2, r))]
+    for k in range(120):  # similarity from 0.5 to 1, ids that repeat
+        rows.append((r.randrange(5, 90), changed(r.choice(bases[3:]), r.choice([0, 1, 2, 4, 5, 6, 8]), r)))
+    rows.append((-7, changed(bases[2], 2, r)))
+    sets = [frozenset(zip(w, w[1:])) if w else frozenset() for _, w in rows]
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root(rows[a][0]), root(rows[b][0])))
+                parent[high] = low
+    texts = spark.createDataFrame([(i, None if w is None else " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in minhash_dedup.near_duplicates(texts, minhash_dedup.MinHash(shingle=2)).collect())
+    assert got == sorted((i, len(s), root(i), root(i) == i) for (i, _), s in zip(rows, sets, strict=True))
