@@ -4,8 +4,9 @@ Base kinds are patterns. The method adds spans by entropy: candidate strings (ru
 letters and digits of the usual encodings) get a character class, and a window slides over each.
 The window's counts are kept incrementally: a step adds one character, drops one, and corrects the
 sum of c * log2(c) for those two, from which the window's Shannon entropy follows. Windows at or
-above the threshold of their class are merged into spans. Candidates with an allow-listed part and
-spans that lie in a base span are suppressed; base spans always stay.
+above the threshold of their class are merged into spans. Windows that overlap an allow-listed part and spans
+that lie in a base span are suppressed; the rest of such a candidate is scored, and base spans
+always stay.
 
 Everything is one projection: no exchange, no Python. Positions are code points.
 """
@@ -24,7 +25,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 CANDIDATE = r"[A-Za-z0-9+/]{20,}={0,2}"
-# Parts that mark a candidate as a placeholder or as an ordinary sequence.
+# Parts that mark the windows around them as a placeholder or as an ordinary sequence.
 ALLOWED = r"(?i)example|sample|placeholder|dummy|xxxxx|0123456789|abcdefghij|qwertyui|(.)\1{7}"
 
 
@@ -83,6 +84,11 @@ def _of_kind(places: Column, kind: str) -> Column:
     return F.transform(places, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end")))
 
 
+def _allowed(candidate: Column) -> Column:
+    """The allow-listed parts of a candidate, by position in it."""
+    return _placed(candidate, ALLOWED, lambda hit: F.lit(True), F.regexp_extract_all(candidate, F.lit(ALLOWED), 0))
+
+
 def _windows(candidate: Column, base: Column) -> Column:
     """Spans (start, kind, end) of a candidate's windows of high entropy, merged."""
 
@@ -91,7 +97,7 @@ def _windows(candidate: Column, base: Column) -> Column:
         weights = F.array(*[F.expr("0.0D" if c == 0 else f"{c} * log2({c}D)") for c in range(w + 2)])  # c * log2(c)
         number = KINDS.index(k.name)
 
-        def scan(codes: Column, weight: Column) -> Column:
+        def scan(codes: Column, weight: Column, allowed: Column) -> Column:
             def step(acc: Column, i: Column) -> Column:
                 into, out = codes[i], F.when(i >= w, codes[F.greatest(i - w, F.lit(0))]).otherwise(F.lit(-1))
                 # drop one, add one: the sum changes by the terms of these two characters
@@ -99,7 +105,8 @@ def _windows(candidate: Column, base: Column) -> Column:
                 have = acc["counts"][into] - F.when(out == into, 1).otherwise(0)
                 total = acc["total"] + less + weight[have + 1] - weight[have]
                 counts = F.transform(acc["counts"], lambda c, at: c + F.when(at == into, 1).otherwise(0) - F.when(at == out, 1).otherwise(0))
-                high = (i >= w - 1) & (F.log2(F.lit(float(w))) - total / F.lit(float(w)) >= F.lit(k.bits))
+                clear = ~F.exists(allowed, lambda x: (x["start"] <= i) & (x["end"] > i - (w - 1)))
+                high = (i >= w - 1) & clear & (F.log2(F.lit(float(w))) - total / F.lit(float(w)) >= F.lit(k.bits))
                 joins = high & (acc["end"] > i - w)
                 done = F.when(high & ~joins & (acc["end"] > 0), F.concat(acc["runs"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["runs"])
                 return F.struct(
@@ -116,7 +123,7 @@ def _windows(candidate: Column, base: Column) -> Column:
             return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, last)
 
         codes = F.transform(F.split(candidate["text"], ""), lambda ch: F.ascii(ch))
-        runs = let(weights, lambda weight: let(codes, lambda c: scan(c, weight)))
+        runs = let(weights, lambda weight: let(codes, lambda c: let(_allowed(candidate["text"]), lambda a: scan(c, weight, a))))
         return F.transform(runs, lambda r: F.struct((candidate["start"] + r["start"]).alias("start"), F.lit(number).alias("kind"), (candidate["start"] + r["end"]).alias("end")))
 
     chosen = F.when(candidate["text"].rlike(CLASSES[0].whole), of_class(CLASSES[0]))
@@ -147,7 +154,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         _placed(text, ASSIGN, value, every(ASSIGN)).alias("assign"),
         _placed(text, ACCESS, always, every(ACCESS)).alias("access"),
         _placed(text, HEX, always, every(HEX)).alias("hex"),
-        _placed(text, CANDIDATE, lambda hit: hit.rlike("[0-9]") & ~hit.rlike(ALLOWED), every(CANDIDATE)).alias("candidates"),
+        _placed(text, CANDIDATE, lambda hit: hit.rlike("[0-9]"), every(CANDIDATE)).alias("candidates"),
     )
     base = F.array_sort(F.concat(*[_of_kind(F.col(k), k) for k in KINDS[:3]]))
     both = let(base, lambda b: F.struct(b.alias("base"), F.flatten(F.transform(F.col("candidates"), lambda c: _windows(c, b))).alias("added")))

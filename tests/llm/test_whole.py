@@ -1,11 +1,12 @@
 """Inputs on which an operator once did less than its whole job."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 
-from tarnwell.llm import decontaminate, minhash_dedup
+from tarnwell.llm import decontaminate, minhash_dedup, secret_scan
 
 
 def prose(n, seed):
@@ -95,3 +96,21 @@ def test_near_duplicates_of_ids_with_several_texts(spark, seed):
     texts = spark.createDataFrame([(i, None if w is None else " ".join(w)) for i, w in rows], "doc_id long, text string")
     got = sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in minhash_dedup.near_duplicates(texts, minhash_dedup.MinHash(shingle=2)).collect())
     assert got == sorted((i, len(s), root(i), root(i) == i) for (i, _), s in zip(rows, sets, strict=True))
+
+
+def test_secrets_beside_allowed_parts(spark):
+    r = random.Random(6)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwyz0123456789+/") for _ in range(n))
+    long = key(60) + "A" * 12 + key(60)
+    texts = [long, "example/" + key(40), key(40) + "/sample", "x" * 30 + "0", "EXAMPLE" + key(12), key(30) + "dummy" + key(10)]
+    k = secret_scan.CLASSES[2]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in secret_scan.secrets(rows).collect():
+        text, hits = texts[row.doc_id], set()
+        parts = [m.span() for m in re.finditer(secret_scan.ALLOWED, text)]
+        for i in range(len(text) - k.window + 1):
+            p = np.array([text[i : i + k.window].count(c) for c in set(text[i : i + k.window])]) / k.window
+            if -(p * np.log2(p)).sum() >= k.bits and not any(a < i + k.window and b > i for a, b in parts):
+                hits |= set(range(i, i + k.window))
+        got = {x for s in row.spans.split(",") if s for x in range(*map(int, s.split(":")[1:]))}
+        assert parts and got == hits and bool(hits) == (row.doc_id in (0, 1, 2, 5))
