@@ -14,8 +14,7 @@ import numpy as np
 
 BLOCK = 1 << 20
 LONG_WORD = 1 << 16  # longer words are hashed by digest, so that a block stays small
-_MASK = (1 << 64) - 1
-_BYTE_BASE = 0x9E3779B97F4A7C15
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # the first k of eight bytes
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -57,8 +56,29 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_byte_powers = _Powers(_BYTE_BASE)
-_byte_values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one little-endian number; behind the end stand zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span of ``data`` (a block of bounded size).
+
+    A span is cut into numbers of eight bytes; each is mixed with its place in the span before they
+    are added up, so neither repeated nor exchanged parts cancel.
+    """
+    size = end - start
+    eights = _eights(data)
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(eights[start] & _MASKS[np.minimum(size, 8)])
+    rows, place = np.flatnonzero(size > 8), 1
+    while len(rows):
+        left = size[rows] - 8 * place
+        value = eights[start[rows] + 8 * place] & _MASKS[np.minimum(left, 8)]
+        out[rows] += mix64(value ^ np.uint64(place * 0xD6E8FEB86659FD93 % (1 << 64)))
+        rows, place = rows[left > 8], place + 1
+    return mix64(out)
 
 
 def _blocks(data: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -94,20 +114,9 @@ def words_of(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray,
             continue
         usual = end - start <= LONG_WORD
         value = np.zeros(len(start), dtype=np.uint64)
-        if len(block) <= 2 * BLOCK:
-            up, down = _byte_powers.to(len(block))
-            total = np.zeros(len(block) + 1, dtype=np.uint64)
-            np.cumsum(_byte_values[block] * up, out=total[1:])
-            value = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-        else:
-            usual &= False
+        value[usual] = span_hashes(block, start[usual], end[usual])
         for i in np.flatnonzero(~usual):
-            word = block[start[i] : end[i]]
-            if len(word) > LONG_WORD:
-                value[i] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), "little")
-            else:
-                up, _ = _byte_powers.to(len(word))
-                value[i] = mix64(np.array([(_byte_values[word] * up).sum(dtype=np.uint64) + np.uint64(len(word))]))[0]
+            value[i] = int.from_bytes(hashlib.blake2b(block[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
         starts.append(start + at)
         ends.append(end + at)
         hashes.append(value)
@@ -155,11 +164,3 @@ def pieces(texts: list[bytes], limit: int = BLOCK) -> Iterator[slice]:
         size += len(text) + 1
     if begin < len(texts):
         yield slice(begin, len(texts))
-
-
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span of ``data`` (a block of bounded size)."""
-    up, down = _byte_powers.to(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_byte_values[data] * up[:-1], out=total[1:])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
