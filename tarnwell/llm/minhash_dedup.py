@@ -6,18 +6,24 @@ J ** width. The join works on these coordinates:
 
 1. Texts with the same set are one class, which its smallest id stands for. Of several classes with
    the same smallest id all but one get a number behind all ids. Classes that share an id are linked.
-2. Each class is posted under (coordinate, value) for the first ``coordinates - matches + 1``
-   coordinates: two classes that agree in ``matches`` or more must meet in one of them (prefix).
-3. Lists are worked off in rounds of hubs: each member is compared with one hub of its list, so a
-   list of n documents costs n comparisons and not n * n. Members already joined are skipped.
-4. What is left are lists whose members are still in several components. There every document
-   outside the list's largest component is compared with the list, in blocks of bounded size:
-   collisions are counted over whole signatures, a pair is taken in the first list it shares only
-   (later lists skip it), and pairs with ``matches`` collisions or more are verified.
+2. Each class is posted under all its (coordinate, value) pairs; lists with one member go.
+3. Prefix: lists are ordered by length, then key. Of its k lists a class keeps all but the last
+   ``matches - 1``. Two classes that collide in ``matches`` lists or more meet in the first list they
+   share, which both keep; classes with fewer lists than ``matches`` collide with nobody and go.
+4. Lists are worked off in two rounds of hubs: each member is held against one hub of its list, so a
+   list of n classes gives n pairs and not n * n. Collisions of a pair are counted by merging the
+   lists it was met in; pairs with ``matches`` or more are verified.
+5. What is left are lists whose members are still in several components. There every class outside
+   the list's largest component is compared with the list, in blocks of bounded size: collisions are
+   counted over whole signatures, pairs below ``matches`` go, and a pair is taken in the first list
+   it shares only (later lists skip it).
 
 Every link is confirmed on the full sets: 100 * intersection >= percent * union. At the defaults a
 pair of similarity 0.8 is missed with a probability of 1.5e-6; no list is cut, whatever its size.
 Pairs inside one component are not enumerated; no link between components is lost.
+
+Long lists are rows of joins on the list, written before they are grouped, so that adaptive
+execution can split them; groupings are by partial aggregates or by blocks.
 """
 
 from __future__ import annotations
@@ -49,10 +55,6 @@ class MinHash:
     seed: int = 20240229
     block: int = 1024
 
-    @property
-    def prefix(self) -> int:
-        return self.coordinates - self.matches + 1
-
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; fewer words than ``size``: one shingle."""
@@ -141,24 +143,20 @@ def _sets(how: MinHash):
     return run
 
 
-def _list_keys(table: np.ndarray, how: MinHash) -> np.ndarray:
-    """The list of each prefix coordinate's value: a 64-bit key of (coordinate, value)."""
-    coordinate = np.arange(1, how.prefix + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return mix64(table[:, : how.prefix] + coordinate).view(np.int64)
+def _list_keys(table: np.ndarray) -> np.ndarray:
+    """The list of each coordinate's value: a 64-bit key of (coordinate, value)."""
+    coordinate = np.arange(1, table.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mix64(table + coordinate).view(np.int64)
 
 
-def _postings(how: MinHash):
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("list", pa.int64()), ("id", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), how.prefix)
-            yield pa.record_batch([pa.array(_list_keys(table, how).ravel()), pa.array(ids, pa.int64())], schema=schema)
-
-    return run
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), table.shape[1])
+        yield pa.record_batch([pa.array(_list_keys(table).ravel()), pa.array(ids, pa.int64())], schema=schema)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -183,23 +181,27 @@ def _confirm(how: MinHash):
 
 
 def _collisions(how: MinHash):
-    """In one block of one list: the pairs to verify, packed by the document outside the component."""
+    """In one block of one list: the pairs to verify, packed by the class outside the component."""
 
     def run(group: pa.Table) -> pa.Table:
         out: list[tuple[int, int, list[int]]] = []
-        rows = group.to_pydict()
-        ids, comp = np.array(rows["id"]), np.array(rows["component"])
-        outside, asks = np.array(rows["outside"]), np.array(rows["asks"])
-        sigs = np.frombuffer(b"".join(rows["signature"]), np.uint64).reshape(len(ids), -1)
-        lists = _list_keys(sigs, how)
-        at = int(np.flatnonzero((lists == rows["list"][0]).all(axis=0))[0])
-        members, blocks = np.flatnonzero(~asks), rows["blocks"][0]
+        ids, comp, outside, asks = (group.column(x).to_numpy() for x in ("id", "component", "outside", "asks"))
+        lists = _list_keys(np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint64).reshape(len(ids), -1))
+        pair = pa.concat_arrays([x.flatten() for x in group.column("lists").chunks])
+        key, first = np.unique(pair.field("list").to_numpy(), return_index=True)
+        place = np.empty(len(key), np.int64)
+        place[np.lexsort((key, pair.field("n").to_numpy()[first]))] = np.arange(len(key))  # in the order of prefixes
+        at = np.minimum(np.searchsorted(key, lists), len(key) - 1)
+        rank = np.where(key[at] == lists, place[at], len(key))
+        this, blocks = int(place[np.searchsorted(key, group.column("list")[0].as_py())]), group.column("blocks")[0].as_py()
+        members = np.flatnonzero(~asks)
         for i in np.flatnonzero(asks):
-            # a pair of two documents outside is taken once, by the larger id
+            # a pair of two classes outside is taken once, by the larger id
             other = members[(comp[members] != comp[i]) & ((ids[members] < ids[i]) | ~outside[members])]
-            same = sigs[other] == sigs[i]
-            first = same[:, :at].any(axis=1)  # met in an earlier list
-            hit = ids[other[~first & (same.sum(axis=1) >= how.matches)]]
+            same = lists[other] == lists[i]
+            enough = same.sum(axis=1) >= how.matches
+            first = np.where(same[enough], rank[i], len(key)).min(axis=1, initial=len(key)) == this  # else met in an earlier list
+            hit = ids[other[enough][first]]
             for block in np.unique(hit % blocks):
                 out.append((int(ids[i]), int(block), hit[hit % blocks == block].tolist()))
         return pa.table(
@@ -245,16 +247,18 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     bare = scratch.save(features.filter("id is null or digest is null").select("id", "n"), "bare")
     scratch.drop(features)
 
-    posted = signed.mapInArrow(_postings(how), "list long, id long").repartition("list")
-    shared = posted.groupBy("list").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1")
-    lists = scratch.save(posted.join(shared, "list"), "lists")
+    profiles = scratch.save(_profiles(signed, how), "profiles")
+    scratch.drop(signed)
+    lists = scratch.save(_lists(profiles, how), "lists")
     listed = scratch.save(lists.select("id").distinct(), "listed")
     n_listed = listed.count()
     texts = classes.join(listed.withColumnRenamed("id", "node"), "node", "left_semi")
     wanted = F.broadcast(texts) if n_listed <= 100_000 else texts.hint("shuffle_hash")
     sets = scratch.save(source.join(wanted, F.col("id") == F.col("least")).select(F.col("node").alias("id"), "digest", "text").mapInArrow(_sets(how), "id long, shingles binary"), "sets")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def confirm(met: DataFrame) -> DataFrame:
+        """Links (u, v) of pairs (a, b), one row for each list they were met in."""
+        pairs = met.groupBy("a", "b").agg(F.count("*").alias("collisions")).filter(F.col("collisions") >= how.matches)
         joined = (
             pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
@@ -267,35 +271,58 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
             links = links.union(known.select(F.col("id").alias("u"), F.col("component").alias("v")))
         return scratch.save(components(links, scratch).withColumnRenamed("node", "id"), "labels")
 
-    star = lists.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     several = scratch.save(members.groupBy("id").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last"), "several")
     own = members.join(several, "id").select(F.col("node").alias("u"), F.col("first").alias("v"))  # the texts of one id
+    star = lists.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     labels = join_up(None, confirm(star).union(own))
 
-    # another hub for the lists that are not yet in one component
-    active = _active(lists, labels)
-    hubs = active.groupBy("list").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id")).alias("hub2"))
-    second = active.join(hubs, "list").filter("component <> hub2.component")
-    labels = join_up(labels, confirm(second.select(F.greatest("id", "hub2.id").alias("a"), F.least("id", "hub2.id").alias("b")).distinct()))
+    for again in (True, False):
+        active = _active(lists, labels, scratch)
+        if active.isEmpty():
+            break
+        links = confirm(_second_hubs(active)) if again else _remainder(active, profiles, sets, n_listed, how, scratch)
+        labels = join_up(labels, links)
+
+    def component_of(rows: DataFrame) -> DataFrame:
+        return rows.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component_id", F.coalesce("component", "node"))
+
+    found = component_of(members).select("id", "n", "component_id")
+    # rows without shingles go with the other texts of their id
+    other = scratch.save(members.join(bare.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("node").alias("node")), "other")
+    bare = bare.join(component_of(other).select("id", "component_id"), "id", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
+    return found.union(bare).select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
+    )
+
 
-    # all that is left, exactly: documents outside the largest component of their list
-    active = scratch.save(_active(lists, labels), "active")
+def _second_hubs(active: DataFrame) -> DataFrame:
+    """(a, b), one row for each list: its members against another hub of it, the first in an order of all ids."""
+    hubs = active.groupBy("list").agg(F.min_by(F.struct("id", "component"), F.struct(F.xxhash64("id"), "id")).alias("hub"))
+    apart = active.join(hubs, "list").filter("component <> hub.component")
+    return apart.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b"))
+
+
+def _remainder(active: DataFrame, profiles: DataFrame, sets: DataFrame, n_listed: int, how: MinHash, scratch: Scratch) -> DataFrame:
+    """All links (u, v) that are left, exactly: classes outside the largest component of their list against the list."""
     sized = active.groupBy("list", "component").agg(F.count("*").alias("k"), F.min("id").alias("least"))
     largest = sized.groupBy("list").agg(F.max_by("component", F.struct("k", "least")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("k"))
     cuts, block = F.ceil(F.col("n") / F.lit(how.block)).cast("long"), F.lit(max(1, n_listed // how.block))
     rows = (
         active.join(largest, "list")
         .select("list", "id", "component", (F.col("component") != F.col("main")).alias("outside"), cuts.alias("cuts"), F.ceil((F.col("n") - F.col("k")) / F.lit(how.block)).cast("long").alias("turns"))
-        .join(signed, "id")
+        .join(profiles, "id")
     )
-    # a member lies in one cut of its list, a document outside asks every cut; those who ask are split into turns
+    # a member lies in one cut of its list, a class outside asks every cut; those who ask are split into turns
     zero = F.lit(0).cast("long")
-    own, turn = F.pmod(F.xxhash64("id"), "cuts"), F.pmod(F.xxhash64("id", F.lit(1)), "turns")
-    member = rows.select("*", own.alias("cut"), F.explode(F.sequence(zero, F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asks"))
+    cut, turn = F.pmod(F.xxhash64("id"), "cuts"), F.pmod(F.xxhash64("id", F.lit(1)), "turns")
+    member = rows.select("*", cut.alias("cut"), F.explode(F.sequence(zero, F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asks"))
     asking = rows.filter("outside").select("*", F.explode(F.sequence(zero, F.col("cuts") - 1)).alias("cut"), turn.alias("turn"), F.lit(True).alias("asks"))
     packed = (
         member.unionByName(asking)
-        .select("list", "cut", "turn", "id", "component", "outside", "asks", "signature", block.cast("long").alias("blocks"))
+        .select("list", "cut", "turn", "id", "component", "outside", "asks", "signature", "lists", block.cast("long").alias("blocks"))
         .groupBy("list", "cut", "turn")
         .applyInArrow(_collisions(how), "a long, block long, others array<long>")
     )
@@ -305,22 +332,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     right = sets.join(active.select("id").distinct(), "id", "left_semi").select(
         "*", F.pmod("id", block.cast("long")).alias("block"), F.explode(F.sequence(zero, F.lit(salts - 1).cast("long"))).alias("salt")
     )
-    last = left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInArrow(_confirm_blocks(how), "u long, v long")
-    labels = join_up(labels, last)
-
-    def component_of(rows: DataFrame) -> DataFrame:
-        return rows.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component_id", F.coalesce("component", "node"))
-
-    found = component_of(members).select("id", "n", "component_id")
-    # rows without shingles go with the other texts of their id
-    other = scratch.save(members.join(bare.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("node").alias("node")), "other")
-    bare = bare.join(component_of(other).select("id", "component_id"), "id", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
-    return found.union(bare).select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        "component_id",
-        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
-    )
+    return left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInArrow(_confirm_blocks(how), "u long, v long")
 
 
 def _classes(full: DataFrame, scratch: Scratch) -> DataFrame:
@@ -339,8 +351,26 @@ def _classes(full: DataFrame, scratch: Scratch) -> DataFrame:
     return classes.join(numbers, "digest", "left").select("digest", "least", F.coalesce("number", "least").alias("node"))
 
 
-def _active(lists: DataFrame, labels: DataFrame) -> DataFrame:
+def _profiles(signed: DataFrame, how: MinHash) -> DataFrame:
+    """(id, lists, signature) of the classes in ``matches`` or more lists of two members or more.
+
+    lists: array of (n, list), n the list's members, in ascending order.
+    """
+    posted = signed.select("id", "signature").mapInArrow(_postings, "list long, id long")
+    shared = posted.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1")
+    own = posted.join(shared, "list").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "list"))).alias("lists"))
+    return own.filter(F.size("lists") >= how.matches).join(signed, "id")
+
+
+def _lists(profiles: DataFrame, how: MinHash) -> DataFrame:
+    """(list, id, hub): the members of each list in whose prefix it is, if there are two; hub: the least of them."""
+    prefix = F.slice("lists", F.lit(1), F.size("lists") - (how.matches - 1))
+    kept = profiles.select(F.explode(F.transform(prefix, lambda x: x["list"])).alias("list"), "id")
+    return kept.join(kept.groupBy("list").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1").drop("n"), "list")
+
+
+def _active(lists: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(list, id, component) of the lists whose members are in more than one component."""
-    known = lists.select("list", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = scratch.save(lists.select("list", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "known")
     mixed = known.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("list")
-    return known.join(mixed, "list", "left_semi")
+    return scratch.save(known.join(mixed, "list"), "active")

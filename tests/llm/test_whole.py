@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tarnwell.llm import decontaminate, minhash_dedup, secret_scan
+from tarnwell.llm import decontaminate, kernels, minhash_dedup, secret_scan
 
 
 def prose(n, seed):
@@ -114,3 +114,50 @@ def test_secrets_beside_allowed_parts(spark):
                 hits |= set(range(i, i + k.window))
         got = {x for s in row.spans.split(",") if s for x in range(*map(int, s.split(":")[1:]))}
         assert parts and got == hits and bool(hits) == (row.doc_id in (0, 1, 2, 5))
+
+
+def linked_components(rows, least=80):
+    """The brute-force answer of near_duplicates for rows (id, words), at two-word shingles."""
+    sets = [frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([(x,) for x in w]) for _, w in rows]
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                low, high = sorted((root(rows[a][0]), root(rows[b][0])))
+                parent[high] = low
+    return sorted((i, len(s), root(i), root(i) == i) for (i, _), s in zip(rows, sets, strict=True))
+
+
+def test_near_duplicates_in_long_lists(spark):
+    """Three long lists whose members are mostly not linked, in blocks of four."""
+    r = random.Random(8)
+    rows = []
+    for k in range(3):
+        base = prose(60, 500 + k)
+        for n in range(40):
+            rows.append((len(rows), changed(base, r.choice([1, 3, 6, 8, 9, 10, 12]), r)))
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted(map(tuple, minhash_dedup.near_duplicates(texts, minhash_dedup.MinHash(shingle=2, block=4)).collect()))
+    want = linked_components(rows)
+    assert got == want and 6 < len({x[2] for x in want}) < 100
+
+
+def test_words_of_periodic_letters():
+    """Words that polynomial hashes modulo 2**64 cannot tell apart; words across blocks of eight bytes."""
+    word = b"a"
+    for _ in range(10):
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    other = word.translate(bytes.maketrans(b"ab", b"ba"))
+    value, _ = kernels.word_lists([word + b" " + other + b" " + word])
+    assert value[0] != value[1] and value[0] == value[2]
+    words = [b"x" * n for n in range(1, 40)] + [b"x" * n + b"y" + b"x" * 8 for n in range(30)] + [b"x\x00", b"\x00x", b"z" * (kernels.LONG_WORD + 9)]
+    value, _ = kernels.word_lists([b" ".join(words), b" ".join(words[::-1])])
+    assert len(set(value.tolist())) == len(words) and (value[: len(words)] == value[len(words) :][::-1]).all()
+    sets = minhash_dedup.shingle_sets([word + b" " + other, other + b" " + word], 1)
+    assert len(sets[0]) == 2 and (sets[0] == sets[1]).all()
