@@ -1,24 +1,19 @@
 """Passages of benchmark items in documents, up to a share of edited words.
 
-Texts are sequences of words (lower-case letters and digits). For each item the documents' windows
-of about the item's size are embedded by CGK random walks: a walk reads the window from its start,
-writes the word it stands on at every step, and moves on by a random bit that depends on the step
-and that word. Two windows a few edits apart read mostly the same words at the same steps after the
-walks have met again, so edit distance becomes Hamming distance of what is written. Of each walk a
-few steps are sampled (bit-sampling LSH); windows that agree in all samples of a repetition with a
-window of an item are candidates, and repetitions are added until the target recall is reached.
-Candidates are verified by the exact edit distance of the whole item to the best stretch around.
-
-Windows start at multiples of a stride, and an item is embedded from each of its first offsets, so
-that some document window and some item window begin at the same word whatever the alignment.
-Windows with fewer words of the items' vocabulary than the allowed edits leave are skipped; no
-passage within the allowed edits is lost by that.
-
-The walks alone miss passages whose edits stand in one block and passages of long items. So runs of
-``RUN`` words that a document shares with an item are looked up as well: an edit changes at most
-RUN of an item's n - RUN + 1 runs, so a passage with up to t edits keeps n - RUN + 1 - RUN * t of
-them, within n + t words. Every place that has so many is verified in the same way; no passage
-within the allowed edits is lost, whatever the item's length and wherever the edits are.
+Texts are sequences of words (lower-case letters and digits). Finding an item takes three steps:
+
+1. Prefilter. An edit changes at most RUN of an item's n - RUN + 1 runs of RUN words, so a passage
+   with up to t edits keeps n - RUN + 1 - RUN * t of them, within n + t words. Stretches of a document
+   that keep fewer are skipped; no passage within the allowed edits is lost by that.
+2. CGK walks with bit-sampling LSH. Windows of about the size that t edits must leave of the item are
+   embedded by random walks, from every word of the stretch and from every word of the item (of an
+   item of more than LONGEST words: from every eighth, so that several windows cover all of it): a
+   walk writes the word it stands on at every step, and moves on by a random bit that depends on the
+   step and that word. Two windows a few edits apart read mostly the same words at the same steps
+   after the walks have met again, so edit distance becomes Hamming distance of what is written. Of
+   each walk a few steps are sampled. A stretch is a candidate if, in one repetition, a window of it
+   agrees in all samples with one of the item; repetitions follow from the target recall.
+3. Candidates are verified by the exact edit distance of the whole item to the best part of the stretch.
 
 Documents stay where they are read. The items are a stated query set: they are collected in blocks
 of bounded size, and each block is held against all documents.
@@ -30,6 +25,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +36,10 @@ from .kernels import mix64, pieces, word_lists
 from .scratch import arrow_batches
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)  # window sizes; longer items use the last
+_SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)  # window sizes
+LONGEST = 64  # words of an item from which its windows begin at every eighth word
 RUN = 3  # words of a run; shorter where so many edits are allowed that no run of this length must be left
-WINDOWS = 4096  # document windows embedded at a time
+WINDOWS = 512  # windows embedded at a time
 HITS = 1 << 20  # runs found held at a time, or those of one text
 _PAD = np.uint64(0x8F4C7E21A3D5B969)
 
@@ -51,15 +48,15 @@ _PAD = np.uint64(0x8F4C7E21A3D5B969)
 class Decontamination:
     """percent: edits allowed, of an item's words. samples: steps that must agree in a repetition.
 
-    agree: share of a walk's steps on which passages worth finding agree at least; with it, the
-    repetitions follow from recall. block_bytes: text of benchmark items held at a time.
+    agree: share of a walk's steps on which the best windows of passages worth finding agree at
+    least; with it, the repetitions follow from recall. block_bytes: text of items held at a time.
     """
 
     percent: int = 20
-    samples: int = 4
-    agree: float = 0.55
-    recall: float = 0.9
-    block_bytes: int = 4 << 20
+    samples: int = 3
+    agree: float = 0.5
+    recall: float = 0.99
+    block_bytes: int = 2 << 20
     seed: int = 4242
 
     @property
@@ -71,14 +68,10 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word_lists([x.translate(_PLAIN) for x in texts])
 
 
-def _window(n: int) -> tuple[int, int]:
-    """Window size and stride for an item of ``n`` words: size + stride - 1 <= n."""
-    best = (1, 1)
-    for w in _SIZES:
-        stride = 1 << max(0, (max(1, w // 4)).bit_length() - 1)
-        if w + stride - 1 <= n:
-            best = (w, stride)
-    return best
+def _windows(n: int, edits: int) -> tuple[int, list[int]]:
+    """Window size for an item of ``n`` words, and the words its windows begin at."""
+    size = max(w for w in _SIZES if w <= max(1, n - edits))
+    return size, sorted({*range(0, n - size + 1, 1 if n <= LONGEST else 8), n - size})
 
 
 def _run(n: int, edits: int) -> tuple[int, int]:
@@ -98,22 +91,39 @@ def _runs(value: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def walk(window: np.ndarray, steps: np.ndarray, seed: int) -> np.ndarray:
-    """Hash of what the CGK walk of ``seed`` writes at ``steps``, for each row of words of ``window``."""
-    rows, size = window.shape
-    flat, base = window.ravel(), np.arange(rows) * size
-    at = np.zeros(rows, np.int64)
-    out = np.full(rows, seed, np.uint64)
-    last, taken = int(steps.max()), set(steps.tolist())
-    bits = flat
-    for j in range(last + 1):
-        if j % 64 == 0:
-            bits = mix64(flat ^ np.uint64((seed * 0x9E3779B97F4A7C15 + j * 0xD6E8FEB86659FD93) % (1 << 64)))
-        inside = base + np.minimum(at, size - 1)
-        if j in taken:
-            out = mix64(out * np.uint64(31) + np.where(at < size, flat[inside], _PAD))
-        at += ((bits[inside] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-    return out
+class Walks:
+    """The repetitions of one window size: a seed and sampled steps each."""
+
+    def __init__(self, size: int, how: Decontamination):
+        rng = np.random.default_rng((how.seed, size))
+        n = min(how.samples, 2 * size)
+        self.size = size
+        self.seeds = rng.integers(1, 1 << 62, how.repetitions).astype(np.uint64)
+        steps = np.stack([np.sort(rng.choice(2 * size, n, replace=False)) for _ in range(how.repetitions)])
+        self.last = int(steps.max())
+        self.taken = [np.flatnonzero((steps == j).any(axis=1)) for j in range(self.last + 1)]
+
+    def keys(self, window: np.ndarray) -> np.ndarray:
+        """Hash of the repetition and of what its walk writes at its steps, for each row of words: (rows, repetitions)."""
+        out = [self._keys(window[k : k + WINDOWS]) for k in range(0, len(window), WINDOWS)]
+        return np.concatenate(out) if out else np.zeros((0, len(self.seeds)), np.uint64)
+
+    def _keys(self, window: np.ndarray) -> np.ndarray:
+        rows, size = window.shape
+        flat, base = window.ravel(), (np.arange(rows) * size)[:, None]
+        at = np.zeros((rows, len(self.seeds)), np.int64)
+        out = np.repeat(self.seeds[None, :], rows, axis=0)
+        which = np.arange(len(self.seeds))
+        for j in range(self.last + 1):
+            if j % 64 == 0:  # the bits of 64 steps
+                bits = mix64(flat[:, None] ^ mix64(self.seeds + np.uint64(j))).ravel()
+            inside = base + np.minimum(at, size - 1)
+            if len(own := self.taken[j]):
+                word = np.where(at[:, own] < size, flat[inside[:, own]], _PAD)
+                out[:, own] = mix64(out[:, own] * np.uint64(31) + word)
+            if j < self.last:
+                at += ((bits[inside * len(self.seeds) + which] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
+        return out
 
 
 class Items:
@@ -127,30 +137,22 @@ class Items:
         self.ids = [x[0] for x in rows]
         self.bags = [Counter(w.tolist()) for w in self.words]
         self.most = [len(w) * how.percent // 100 for w in self.words]
-        by_window = defaultdict(list)
+        by_size = defaultdict(list)
         for i, words in enumerate(self.words):
             if len(words):
-                by_window[_window(len(words))].append(i)
-        self.classes = []
-        for (size, stride), items in sorted(by_window.items()):
-            flat, start, owner = [], [], []
-            at = 0
-            for i in items:
-                flat.append(self.words[i])
-                for offset in range(stride):
-                    start.append(at + offset)
-                    owner.append((i, offset))
-                at += len(self.words[i])
-            words, start = np.concatenate(flat), np.array(start, np.int64)
-            tables = []
-            rng = np.random.default_rng((how.seed, size))
-            for r in range(how.repetitions):
-                steps = np.sort(rng.choice(2 * size, min(how.samples, 2 * size), replace=False))
-                seed = int(rng.integers(1, 1 << 62))
-                keys = walk(words[start[:, None] + np.arange(size)], steps, seed)
-                order = np.argsort(keys, kind="stable")
-                tables.append((steps, seed, keys[order], order))
-            self.classes.append((size, stride, max(self.most[i] for i in items), np.unique(words), owner, tables))
+                size, starts = _windows(len(words), self.most[i])
+                by_size[size].append((i, words[np.array(starts)[:, None] + np.arange(size)]))
+        # of each window size: the walks, the keys of all items' windows in order, and the item of each
+        self.size = np.zeros(len(self.words), np.int64)
+        self.walks = []
+        for size, items in sorted(by_size.items()):
+            walks = Walks(size, how)
+            keys = walks.keys(np.concatenate([x for _, x in items])).ravel()
+            item = np.repeat(np.array([i for i, x in items for _ in range(len(x))]), how.repetitions)
+            order = np.lexsort((item, keys))
+            new = np.concatenate([[True], (np.diff(keys[order]) != 0) | (np.diff(item[order]) != 0)])
+            self.walks.append((walks, keys[order][new], item[order][new]))
+            self.size[[i for i, _ in items]] = size
 
         by_run = defaultdict(list)
         for i, words in enumerate(self.words):
@@ -202,6 +204,34 @@ class Items:
                     i, lo, hi = int(item[some[0]]), int(word[some[0]]), int(word[some[-1]])
                     yield int(owner[lo]), i, lo + q - int(self.span[i]), hi + int(self.span[i])
 
+    def _candidates(self, value: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether each place (item, begin, end, text), in order, has a window whose walk agrees with one of its item's."""
+        out = np.zeros(len(places), bool)
+        for walks, keys, items in self.walks:
+            own = np.flatnonzero(self.size[places[:, 0]] == walks.size)
+            if not len(own):
+                continue
+            begin, many = places[own, 1], np.maximum(places[own, 2] - places[own, 1] - walks.size + 1, 0)
+            start = np.unique(np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum()))
+            wide = len(value) + 1
+            key = places[own, 0] * wide + begin
+            for k in range(0, len(start), WINDOWS):
+                some = start[k : k + WINDOWS]
+                got = walks.keys(value[some[:, None] + np.arange(walks.size)]).ravel()
+                lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
+                met = np.flatnonzero(hi > lo)
+                n = (hi - lo)[met]
+                item = items[np.repeat(lo[met] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                at = np.repeat(some[met // len(walks.seeds)], n)
+                hit = np.unique(item * wide + at)
+                # the places of an item may overlap: the last one that begins before a window, and the one before it
+                last = np.searchsorted(key, hit, "right") - 1
+                for which in (last, last - 1):
+                    row = own[np.maximum(which, 0)]
+                    inside = (which >= 0) & (places[row, 0] == hit // wide) & (hit % wide + walks.size <= places[row, 2]) & (hit % wide >= places[row, 1])
+                    out[row[inside]] = True
+        return out
+
     def _apart(self, item: int, text: np.ndarray) -> bool:
         """Whether a stretch lacks too many of an item's words: each of them costs an edit at least."""
         bag, have = self.bags[item], Counter(text.tolist())
@@ -234,72 +264,48 @@ class Items:
         done = 0
         for part in pieces(texts):
             value, bounds = _words(texts[part])
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            tried = set()
             length, begin = np.diff(bounds), bounds[:-1]
             owner = np.repeat(np.arange(len(length)), length)
             place = np.arange(len(value)) - begin[owner]
-
-            def verify(text: int, item: int, a: int, b: int) -> None:
+            rows = [(item, max(int(begin[text]), a), min(int(bounds[text + 1]), b), text) for text, item, a, b in self._places(value, place, length, owner)]
+            places = np.array(sorted(rows), np.int64).reshape(-1, 4)
+            best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            for item, a, b, text in places[self._candidates(value, places)].tolist():
                 if self._apart(item, value[a:b]):
-                    return
+                    continue
                 cost, x, y = self._distance(item, value[a:b])
                 if cost <= self.most[item]:
                     hit = (cost, a - int(begin[text]) + x, a - int(begin[text]) + y)
                     best[text, item] = min(best.get((text, item), hit), hit)
-
-            searched = defaultdict(list)
-            for text, item, a, b in self._places(value, place, length, owner):
-                a, b = max(int(begin[text]), a), min(int(bounds[text + 1]), b)
-                searched[text, item].append((a, b))
-                verify(text, item, a, b)
-            for size, stride, edits, vocabulary, owners, tables in self.classes:
-                at = np.minimum(np.searchsorted(vocabulary, value), len(vocabulary) - 1)
-                known = np.concatenate([[0], np.cumsum(vocabulary[at] == value)])
-                start = np.flatnonzero((place % stride == 0) & (place + size <= length[owner]))
-                start = start[known[start + size] - known[start] >= size - edits]
-                if not len(start):
-                    continue
-                for some in np.split(start, range(WINDOWS, len(start), WINDOWS)):
-                    window = value[some[:, None] + np.arange(size)]
-                    for steps, seed, keys, order in tables:
-                        got = walk(window, steps, seed)
-                        lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-                        for i in np.flatnonzero(hi > lo).tolist():
-                            for k in order[lo[i] : hi[i]].tolist():
-                                item, offset = owners[k]
-                                text, first = int(owner[some[i]]), int(some[i]) - offset
-                                if (item, first) in tried:
-                                    continue
-                                tried.add((item, first))
-                                t, n = self.most[item], len(self.words[item])
-                                a, b = max(int(begin[text]), first - 2 * t), min(int(bounds[text + 1]), first + n + 2 * t)
-                                if not any(x <= a and b <= y for x, y in searched[text, item]):
-                                    verify(text, item, a, b)
             for (text, item), hit in sorted(best.items()):
                 yield done + text, item, *hit
             done += part.stop - part.start
 
 
-def benchmark_blocks(benchmark: DataFrame, how: Decontamination, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, bytes]]]:
+def benchmark_blocks(benchmark: DataFrame, how: Decontamination, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[tuple[int, bytes], ...]]:
     """The items in blocks of about ``block_bytes`` of text; null ids and null texts are left out."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = n_bytes // how.block_bytes + 1
     for b in range(blocks):
         own = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        got = [(r.id, r.text.encode()) for r in own.distinct().collect()]  # about block_bytes of text
+        got = tuple(sorted((r.id, r.text.encode()) for r in own.distinct().collect()))  # about block_bytes of text
         if got:
             yield got
 
 
-def _leaks(rows: list[tuple[int, bytes]], how: Decontamination):
+@lru_cache(maxsize=2)
+def _indexed(rows: tuple[tuple[int, bytes], ...], how: Decontamination) -> Items:
+    """The index of a block, built once for each Python worker."""
+    return Items(list(rows), how)
+
+
+def _leaks(rows: tuple[tuple[int, bytes], ...], how: Decontamination):
     schema = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("edits", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = None
         for batch in batches:
-            items = items or Items(rows, how)
+            items = _indexed(rows, how)
             ids = batch.column("id").to_pylist()
             found = [(ids[t], items.ids[i], *rest) for t, i, *rest in items.find([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()])]
             yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in range(5)], schema=schema)
@@ -324,11 +330,10 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, how: Decontamination
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "edits", F.col("first").alias("first_word"), F.col("last").alias("end_word"))
 
 
-def _clean(rows: list[tuple[int, bytes]], how: Decontamination, text_col: str):
+def _clean(rows: tuple[tuple[int, bytes], ...], how: Decontamination, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = None
         for batch in batches:
-            items = items or Items(rows, how)
+            items = _indexed(rows, how)
             texts = [x or b"" for x in batch.column(text_col).cast(pa.binary()).to_pylist()]
             keep = np.ones(len(texts), bool)
             keep[[x[0] for x in items.find(texts)]] = False
