@@ -3,11 +3,17 @@
 Words are runs of letters and digits, in lower case. At every anchor (a common word) starts a chain:
 the anchor and the next content words, other common words skipped. The set of a document's chains,
 as 64-bit hashes, is its signature set; frequent function words make such chains follow the flowing
-text and not lists and menus. A text without a complete chain has its whole word sequence as one.
-
-Two sets are compared by Jaccard similarity, pruned: sets are put in length partitions whose bounds
-grow by a constant factor, and sets of partitions too far apart to reach the least likeness of
-interest are not intersected.
+text and not lists and menus. Where no anchor stands among GAP words (lists, other languages), every
+content word starts a chain, until an anchor comes: what a chain is depends on the words around it
+only, so an edit changes chains nearby and no others. A text without a complete chain has its whole
+word sequence as one.
+
+The fingerprint is the signature set written out, so two fingerprints can be compared by themselves:
+their likeness is the Jaccard similarity of the sets. The comparison is pruned. Sets that are empty,
+or whose ranges of hashes do not meet, are not intersected. A caller who asks for pairs above a
+least likeness puts sets in length partitions whose bounds grow by 1 / least; sets that are two
+partitions apart, or whose lengths rule it out, are then given 0 without a look at them. By default
+every value is exact.
 """
 
 from __future__ import annotations
@@ -32,26 +38,28 @@ ANCHORS = tuple(
     )
 )
 CHAIN = 2  # content words that follow an anchor
-LEAST = 0.05  # likeness below this may be given as 0 when the set lengths alone rule out more
+GAP = 12  # words without an anchor behind which content words start chains
 
 
 def signature_set(text: Column, chain: int = CHAIN) -> Column:
     """Distinct chain hashes of a text in ascending order; [] for texts without words.
 
     The k-th anchor (from 0) stands at word i, so i - k content words precede it: its chain begins
-    with content word number i - k.
+    with content word number i - k. Likewise, p - k anchors precede the k-th content word, at word p.
     """
+    stands = lambda w: w.isin(*ANCHORS)
 
-    def sets(words: Column) -> Column:
-        stands = lambda w: w.isin(*ANCHORS)
-        content = F.filter(words, lambda w: ~stands(w))
-        anchors = F.filter(F.transform(words, lambda w, i: F.when(stands(w), i)), lambda i: i.isNotNull())
-
-        def chains(c: Column, a: Column) -> Column:
-            made = F.transform(a, lambda i, k: F.when(i - k + chain <= F.size(c), F.xxhash64(words[i], *[F.get(c, i - k + j) for j in range(chain)])))
-            return F.array_sort(F.array_distinct(F.filter(made, lambda h: h.isNotNull())))
+    def chains(words: Column, at: Column, anchors: Column) -> Column:
+        """Of words, the positions of content words and those of anchors."""
+        follow = lambda k: [F.get(words, F.get(at, k + j)) for j in range(chain)]
+        of_anchors = F.transform(anchors, lambda i, k: F.when(i - k + chain <= F.size(at), F.xxhash64(words[i], *follow(i - k))))
+        alone = lambda p, k: p - F.coalesce(F.get(anchors, p - k - 1), F.lit(-1)) > GAP
+        of_gaps = F.transform(at, lambda p, k: F.when((k + 1 + chain <= F.size(at)) & alone(p, k), F.xxhash64(words[p], *follow(k + 1))))
+        return F.array_sort(F.array_distinct(F.filter(F.concat(of_anchors, of_gaps), lambda h: h.isNotNull())))
 
-        made = let(content, lambda c: let(anchors, lambda a: chains(c, a)))
+    def sets(words: Column) -> Column:
+        placed = lambda own: F.filter(F.transform(words, lambda w, i: F.when(own(w), i)), lambda i: i.isNotNull())
+        made = let(placed(lambda w: ~stands(w)), lambda at: let(placed(stands), lambda anchors: chains(words, at, anchors)))
         whole = F.when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
         return let(made, lambda m: F.when(F.size(m) > 0, m).otherwise(whole))
 
@@ -59,27 +67,35 @@ def signature_set(text: Column, chain: int = CHAIN) -> Column:
 
 
 def fingerprint(signatures: Column) -> Column:
-    """Number of signatures and a digest of them, as a string; equal sets have equal ones."""
-    return F.concat_ws("-", F.size(signatures).cast("string"), F.md5(F.array_join(F.transform(signatures, lambda h: F.hex(h)), ",")))
+    """The signatures in hexadecimal digits, in ascending order, comma-joined; '' for an empty set."""
+    return F.array_join(F.transform(signatures, lambda h: F.lower(F.hex(h))), ",")
 
 
-def length_partition(signatures: Column, least: float = LEAST) -> Column:
+def length_partition(signatures: Column, least: float) -> Column:
     """Number of the set's length partition: sets that reach ``least`` lie in the same or in neighbouring ones."""
     return F.floor(F.log(F.greatest(F.size(signatures), F.lit(1)).cast("double")) / F.lit(math.log(1 / least))).cast("int")
 
 
-def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
-    """Jaccard similarity of two signature sets; two empty sets are alike (1). Pruned by length, see ``least``."""
+def likeness(a: Column, b: Column, least: float | None = None) -> Column:
+    """Jaccard similarity of two ascending signature sets; two empty sets are alike (1). Below ``least``, if given, it may be 0."""
 
     def of(x: Column, y: Column) -> Column:
         small, large = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
-        apart = (F.abs(length_partition(x, least) - length_partition(y, least)) > 1) | (small < F.lit(least) * large)
+        apart = (F.get(x, F.size(x) - 1) < F.get(y, F.lit(0))) | (F.get(y, F.size(y) - 1) < F.get(x, F.lit(0)))
+        if least:
+            apart = (F.abs(length_partition(x, least) - length_partition(y, least)) > 1) | (small < F.lit(least) * large) | apart
         exact = let(F.size(F.array_intersect(x, y)), lambda n: n / (F.size(x) + F.size(y) - n))
-        return F.when(large == 0, F.lit(1.0)).when(small == 0, F.lit(0.0)).when(apart, F.lit(0.0)).otherwise(exact)
+        return F.when(large == 0, F.lit(1.0)).when((small == 0) | apart, F.lit(0.0)).otherwise(exact)
 
     return let(a, lambda x: let(b, lambda y: of(x, y)))
 
 
+def fingerprint_likeness(a: Column, b: Column, least: float | None = None) -> Column:
+    """``likeness`` of two written fingerprints."""
+    read = lambda f: F.array_sort(F.transform(F.filter(F.split(f, ","), lambda h: h != ""), lambda h: F.conv(h, 16, -10).cast("bigint")))
+    return likeness(read(a), read(b), least)
+
+
 def spot_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, signatures array<long>, fingerprint) of each row; null texts count as empty, null ids stay."""
     sets = docs.select(F.col(id_col), signature_set(F.col(text_col)).alias("signatures"))

@@ -93,10 +93,11 @@ def test_leaks_odd(spark, odd, none):
 
 
 def test_walks_of_equal_windows_agree():
-    window = np.arange(40, dtype=np.uint64).reshape(2, 20) % np.uint64(20)
-    steps = np.array([0, 5, 30])
-    a, b = decontaminate.walk(window, steps, 7)
-    assert a == b
+    walks = decontaminate.Walks(20, decontaminate.Decontamination())
+    window = np.arange(60, dtype=np.uint64).reshape(3, 20)
+    window[1] = window[0]
+    a, b, c = walks.keys(window)
+    assert len(set(a.tolist())) == walks.seeds.size and (a == b).all() and not (a == c).any()
 
 
 # 3
@@ -271,21 +272,22 @@ def test_pieces(spark, odd, none):
 
 
 def test_fingerprints_brute_force(spark):
-    texts = [sentence(60, seed=i) for i in range(8)] + ["", None, "no anchor here", sentence(60, seed=0), "x"]
+    bare = " ".join(f"w{i}" for i in range(60))
+    texts = [sentence(60, seed=i) for i in range(8)] + ["", None, "no anchor here", sentence(60, seed=0), "x", bare, bare + " the end of it", sentence(20, seed=3) + " " + bare]
     ids = [3 * i + 5 for i in range(len(texts))]
     got = {r.doc_id: r for r in fingerprints.fingerprint_pairs(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()}
 
     def chains(text):
-        words, out = re.findall(r"\w+", text.lower()), set()
+        words, out, last = re.findall(r"[^\W_]+", text.lower()), set(), -1
         for i, w in enumerate(words):
             rest = [x for x in words[i + 1 :] if x not in fingerprints.ANCHORS][:2]
-            if w in fingerprints.ANCHORS and len(rest) == 2:
+            last = i if w in fingerprints.ANCHORS else last
+            if (w in fingerprints.ANCHORS or i - last > fingerprints.GAP) and len(rest) == 2:
                 out.add((w, *rest))
         return out or ({" ".join(words)} if words else set())
 
     def alike(a, b):
-        value = len(a & b) / len(a | b) if a | b else 1.0
-        return 0.0 if a | b and min(len(a), len(b)) < fingerprints.LEAST * max(len(a), len(b)) else value
+        return len(a & b) / len(a | b) if a | b else 1.0
 
     for k, t in enumerate(texts):
         t, after = t or "", texts[(k + 1) % len(texts)] or ""
@@ -294,6 +296,11 @@ def test_fingerprints_brute_force(spark):
         assert (row.n_chars, row.edited) == (len(t), edited)
         assert row.near_edited == pytest.approx(alike(chains(t), chains(edited))) and row.near_next == pytest.approx(alike(chains(t), chains(after)))
     assert got[ids[0]].fingerprint == got[ids[11]].fingerprint != got[ids[1]].fingerprint
+    assert got[ids[13]].near_edited > 0.5 and got[ids[13]].near_next > 0.9
+    written = spark.createDataFrame([tuple(x) for x in got.values()], list(got[ids[0]].__fields__))
+    for least in (None, 0.5):
+        for row in written.select("near_edited", fingerprints.fingerprint_likeness(F.col("fingerprint"), F.col("edited_fingerprint"), least).alias("again")).collect():
+            assert row.again == row.near_edited or (least and row.again == 0 and row.near_edited < least)
 
 
 def test_fingerprints_odd(odd, none):
