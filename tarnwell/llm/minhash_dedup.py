@@ -22,8 +22,8 @@ Every link is confirmed on the full sets: 100 * intersection >= percent * union.
 pair of similarity 0.8 is missed with a probability of 1.5e-6; no list is cut, whatever its size.
 Pairs inside one component are not enumerated; no link between components is lost.
 
-Long lists are rows of joins on the list, written before they are grouped, so that adaptive
-execution can split them; groupings are by partial aggregates or by blocks.
+Long lists are rows of joins on the list. Both sides of such a join are written tables, so that
+adaptive execution can split a long list; groupings are by partial aggregates or by blocks.
 """
 
 from __future__ import annotations
@@ -247,9 +247,9 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     bare = scratch.save(features.filter("id is null or digest is null").select("id", "n"), "bare")
     scratch.drop(features)
 
-    profiles = scratch.save(_profiles(signed, how), "profiles")
+    profiles = scratch.save(_profiles(signed, how, scratch), "profiles")
     scratch.drop(signed)
-    lists = scratch.save(_lists(profiles, how), "lists")
+    lists = scratch.save(_lists(profiles, how, scratch), "lists")
     listed = scratch.save(lists.select("id").distinct(), "listed")
     n_listed = listed.count()
     texts = classes.join(listed.withColumnRenamed("id", "node"), "node", "left_semi")
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
         active = _active(lists, labels, scratch)
         if active.isEmpty():
             break
-        links = confirm(_second_hubs(active)) if again else _remainder(active, profiles, sets, n_listed, how, scratch)
+        links = confirm(_second_hubs(active, scratch)) if again else _remainder(active, profiles, sets, n_listed, how, scratch)
         labels = join_up(labels, links)
 
     def component_of(rows: DataFrame) -> DataFrame:
@@ -298,9 +298,9 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     )
 
 
-def _second_hubs(active: DataFrame) -> DataFrame:
+def _second_hubs(active: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b), one row for each list: its members against another hub of it, the first in an order of all ids."""
-    hubs = active.groupBy("list").agg(F.min_by(F.struct("id", "component"), F.struct(F.xxhash64("id"), "id")).alias("hub"))
+    hubs = scratch.save(active.groupBy("list").agg(F.min_by(F.struct("id", "component"), F.struct(F.xxhash64("id"), "id")).alias("hub")), "hubs")
     apart = active.join(hubs, "list").filter("component <> hub.component")
     return apart.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b"))
 
@@ -308,7 +308,7 @@ def _second_hubs(active: DataFrame) -> DataFrame:
 def _remainder(active: DataFrame, profiles: DataFrame, sets: DataFrame, n_listed: int, how: MinHash, scratch: Scratch) -> DataFrame:
     """All links (u, v) that are left, exactly: classes outside the largest component of their list against the list."""
     sized = active.groupBy("list", "component").agg(F.count("*").alias("k"), F.min("id").alias("least"))
-    largest = sized.groupBy("list").agg(F.max_by("component", F.struct("k", "least")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("k"))
+    largest = scratch.save(sized.groupBy("list").agg(F.max_by("component", F.struct("k", "least")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("k")), "largest")
     cuts, block = F.ceil(F.col("n") / F.lit(how.block)).cast("long"), F.lit(max(1, n_listed // how.block))
     rows = (
         active.join(largest, "list")
@@ -351,26 +351,27 @@ def _classes(full: DataFrame, scratch: Scratch) -> DataFrame:
     return classes.join(numbers, "digest", "left").select("digest", "least", F.coalesce("number", "least").alias("node"))
 
 
-def _profiles(signed: DataFrame, how: MinHash) -> DataFrame:
+def _profiles(signed: DataFrame, how: MinHash, scratch: Scratch) -> DataFrame:
     """(id, lists, signature) of the classes in ``matches`` or more lists of two members or more.
 
     lists: array of (n, list), n the list's members, in ascending order.
     """
     posted = signed.select("id", "signature").mapInArrow(_postings, "list long, id long")
-    shared = posted.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = scratch.save(posted.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     own = posted.join(shared, "list").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "list"))).alias("lists"))
     return own.filter(F.size("lists") >= how.matches).join(signed, "id")
 
 
-def _lists(profiles: DataFrame, how: MinHash) -> DataFrame:
+def _lists(profiles: DataFrame, how: MinHash, scratch: Scratch) -> DataFrame:
     """(list, id, hub): the members of each list in whose prefix it is, if there are two; hub: the least of them."""
     prefix = F.slice("lists", F.lit(1), F.size("lists") - (how.matches - 1))
     kept = profiles.select(F.explode(F.transform(prefix, lambda x: x["list"])).alias("list"), "id")
-    return kept.join(kept.groupBy("list").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1").drop("n"), "list")
+    hubs = scratch.save(kept.groupBy("list").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1").drop("n"), "hubs")
+    return kept.join(hubs, "list")
 
 
 def _active(lists: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(list, id, component) of the lists whose members are in more than one component."""
     known = scratch.save(lists.select("list", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "known")
-    mixed = known.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("list")
+    mixed = scratch.save(known.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("list"), "mixed")
     return scratch.save(known.join(mixed, "list"), "active")
