@@ -4,8 +4,9 @@ Encoding keeps an agenda of adjacent symbol pairs ordered by the score of the pi
 from the left, and merges until no pair makes a piece. Merges cannot cross a place where white
 space follows another character, nor a line feed, if no piece of the vocabulary does; the text is
 cut there, and what a segment becomes is remembered. In each Arrow batch, the segments met for the
-first time are checked against the sentencepiece library in one call; were one to differ, the
-library's ids are taken.
+first time are checked against the sentencepiece library in one call; were one to differ, the job
+fails with the segment (``strict``, the default), or the library's ids are taken and the codec's
+``disagreements`` counts it.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ _SPACE = "▁"
 class PieceCodec:
     """Encoder and decoder of one model file. Models that rewrite their input are refused."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, strict: bool = True):
         import sentencepiece
 
+        self.strict, self.disagreements = strict, 0
+
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
         n = lib.get_piece_size()
         pieces = [lib.id_to_piece(i) for i in range(n)]
@@ -180,8 +183,12 @@ class PieceCodec:
             if mine is None:
                 mine = np.array(self.agenda(segment), dtype="<i4").tobytes()
             right = array("i", ids if segment[0] == " " else ids[lead:]).tobytes()
-            # of a lone blank the library is given nothing
-            own[segment] = mine if mine == right or segment == " " else right
+            if mine != right and segment != " ":  # of a lone blank the library is given nothing
+                self.disagreements += 1
+                if self.strict:
+                    raise ValueError(f"the agenda gives other ids than the library for {segment[:80]!r}")
+                mine = right
+            own[segment] = mine
         return own
 
     _cut = re.compile(r"\n| +[^ \n]*|[^ \n]+")
