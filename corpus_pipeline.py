@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tarnwell.llm.decontaminate import without_leaks
 from tarnwell.llm.line_dedup import remove_repeated_lines
 from tarnwell.llm.minhash_dedup import MinHash, near_duplicates
-from tarnwell.llm.queries import TOKENIZERS
+from tarnwell.llm.queries import tokenizer_file
 from tarnwell.llm.scratch import Scratch
 from tarnwell.llm.sentencepieces import encode_pieces
 from tarnwell.llm.toxicity import train, without_toxic
@@ -42,7 +42,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and whether decoding them gives the text back."""
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = tokenizer_file("piece_bpe_32k.model")
     rows = encode_pieces(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"), F.col("text").alias("kept_text")), model, decoded=True)
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.coalesce(F.col("decoded") == F.col("kept_text"), F.lit(False)).alias("round_trip"))
 

@@ -18,7 +18,12 @@ from .substring_dedup import Repeats, remove_repeats
 from .token_files import tokens_round_trip
 from .toxicity import toxicity, train
 
-TOKENIZERS = "/opt/tokenizers"
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file, from the package that brings them; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,14 +64,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-def op7_token_files(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+def op7_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read back from the files."""
-    return tokens_round_trip(_table(spark, sf_dir, "documents"), vocabulary)
+    return tokens_round_trip(_table(spark, sf_dir, "documents"), vocabulary or tokenizer_file("byte_bpe_50k.json"))
 
 
-def op8_sentencepieces(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+def op8_sentencepieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    rows = encode_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded=True)
+    rows = encode_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), model or tokenizer_file("piece_bpe_32k.model"), decoded=True)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -58,9 +58,19 @@ class Model:
     bias: float
     bits: int
 
+    def _table(self) -> np.ndarray:
+        """Of each number its place among the features or -1; made once for each Python worker's copy of the model."""
+        if "places" not in self.__dict__:
+            table = np.full(1 << self.bits, -1, np.int32)
+            table[self.features] = np.arange(len(self.features))
+            self.__dict__["places"] = table
+        return self.__dict__["places"]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "places"}  # not sent to executors
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        table = np.full(1 << self.bits, -1, np.int32)
-        table[self.features] = np.arange(len(self.features))
+        table = self._table()
         width = max(1, len(self.features))
         cut = [(i, y) for i, x in enumerate(texts) for y in _cuts(x)]
         owners, blocks = np.array([x[0] for x in cut], np.int64), [x[1] for x in cut]
