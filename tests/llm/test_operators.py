@@ -177,12 +177,51 @@ def test_toxicity_odd(spark, odd):
     assert len(rows) == 12 and all(0 <= r.score <= 1 and r.predicted == 0 for r in rows)
 
 
-def test_negative_risk_is_reversed():
-    how = toxicity.Learning(bits=10, clear=0.1, least_documents=1, steps=50)
-    p, u = [np.array([1, 2], np.uint32)] * 20, [np.array([2, 3], np.uint32)] * 40 + [np.array([1, 3], np.uint32)] * 4
-    model = toxicity.fit(p, u, 0.3, how)
-    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
-    assert weight[1] > weight[3]
+def test_risk_and_gradient_against_direct_computation():
+    """Risk as written in the docstring, gradient by finite differences, on both sides of the correction."""
+    r = np.random.default_rng(3)
+    rows = [np.flatnonzero(r.random(6) < 0.4) for _ in range(30)]
+    n_pos, word, owner = 10, np.concatenate(rows), np.repeat(np.arange(30), [len(x) for x in rows])
+    sides = set()
+    for k in range(40):
+        weight, prior = r.normal(0, 2, 7), float(r.uniform(0.05, 0.95))
+
+        def parts(w):
+            score = np.array([w[x].sum() + w[-1] for x in rows])
+            positive = prior * np.mean([np.log(1 + np.exp(-s)) for s in score[:n_pos]])
+            return positive, np.mean([np.log(1 + np.exp(s)) for s in score[n_pos:]]) - prior * np.mean([np.log(1 + np.exp(s)) for s in score[:n_pos]])
+
+        positive, negative, gradient = toxicity.risk(weight, word, owner, n_pos, 20, prior)
+        assert (positive, negative) == pytest.approx(parts(weight))
+        sides.add(negative >= 0)
+        target = (lambda w: sum(parts(w))) if negative >= 0 else (lambda w: -parts(w)[1])
+        for i in range(7):
+            step = np.eye(7)[i] * 1e-6
+            assert gradient[i] == pytest.approx((target(weight + step) - target(weight - step)) / 2e-6, abs=1e-6)
+    assert sides == {True, False}
+
+
+def test_toxicity_of_few_rows(spark, none):
+    """No rows, no labels, one class only, labels given twice."""
+    texts = spark.createDataFrame([(i, "some words here") for i in range(50)], "doc_id long, text string")
+    for labels in ([], [(i, 1) for i in range(50)], [(i, 0) for i in range(50)], [(i, y) for i in range(50) for y in (0, 1)]):
+        table = spark.createDataFrame(labels, "doc_id long, toxic int")
+        for docs_ in (texts, none.select("doc_id", "text")):
+            model = toxicity.train(docs_, table)
+            assert all(0 <= r.score <= 1 for r in toxicity.toxicity(texts, model).collect())
+
+
+def test_toxicity_of_long_texts(monkeypatch):
+    """A text cut into blocks has the features and the score of the whole."""
+    text = sentence(4000, seed=2).encode()
+    whole = set(toxicity.features_of([text], 22)[0].tolist())
+    names = np.array(sorted(whole))[::7]
+    model = toxicity.Model(names, np.linspace(-1, 1, len(names)).astype(np.float32), 0.1, 22)
+    score = model.scores([text, b"", b"word1"])
+    monkeypatch.setattr(toxicity, "BLOCK", 1000)
+    assert len(list(toxicity._cuts(text))) > 5
+    assert set(np.concatenate([toxicity.features_of([x], 22)[0] for x in toxicity._cuts(text)]).tolist()) == whole
+    assert model.scores([text, b"", b"word1"]) == pytest.approx(score)
 
 
 # 6
