@@ -17,8 +17,10 @@ A bucket then removes the words covered by such windows. Windows are judged on t
 
 Scale: what a bucket or a shard holds is bounded by its size, whatever the data look like: a window
 that occurs a million times is one entry in the message of a bucket. Sizes grow with the square
-root of the input, which keeps the number of messages in proportion to the input. The texts are
-shuffled once; the three passes over a bucket read the same exchange.
+root of the input, which keeps the number of messages in proportion to the input, up to GROWTH times
+(256 MB of text a bucket, a sketch of 256 MB a shard, from 4 TB of text on); beyond that there are
+more of them and messages get shorter, to some 170 windows each at 100 TB. The texts are shuffled
+once; the three passes over a bucket read the same exchange.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from .kernels import Windows, mix64, pieces, word_lists
 from .scratch import arrow_batches
 
 ROWS = 2
+GROWTH = 32
 _ROW_SALTS = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
@@ -59,7 +62,7 @@ class _Plan:
 
     @classmethod
     def of(cls, how: Repeats, n_bytes: int) -> _Plan:
-        larger = max(1.0, math.sqrt(n_bytes / how.growth_from))
+        larger = min(max(1.0, math.sqrt(n_bytes / how.growth_from)), float(GROWTH))
         windows = how.shard_windows * larger
         # English and most other texts have about six bytes a word; a shard may hold more
         return cls(

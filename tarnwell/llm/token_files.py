@@ -37,12 +37,16 @@ REMEMBERED = 700_000  # segments
 
 @dataclass(frozen=True)
 class Files:
-    """block_ids: ids of a chunk. bits: bit planes in place of byte planes. shard_bytes: text of a shard."""
+    """block_ids: ids of a chunk. bits: bit planes in place of byte planes. shard_bytes: least text of a shard.
+
+    most_shards: beyond so many, shards grow; a shard is written a chunk at a time, whatever its size.
+    """
 
     block_ids: int = 1 << 17
     bits: bool = False
     level: int = 3
     shard_bytes: int = 24 << 20
+    most_shards: int = 50_000
 
 
 def pack(ids: np.ndarray, bits: bool = False, level: int = 3) -> bytes:
@@ -302,7 +306,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, how: Files = Files
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("id"), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(max(1, n_bytes // how.shard_bytes + 1), *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(min(how.most_shards, n_bytes // how.shard_bytes + 1), *order).sortWithinPartitions(*order)
     dealt.mapInArrow(_write(vocabulary, how, end_id), _CHUNK_DDL).write.parquet(path)
 
 
