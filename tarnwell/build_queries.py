@@ -56,7 +56,7 @@ def forced_elimination(spark, sf_dir):
 
 def feedback_seeds(spark, sf_dir):
     keep = graph.keep_export(_reached(spark, sf_dir), _part_items(spark, sf_dir), 3)
-    return graph.feedback_seeds(keep, _part_items(spark, sf_dir))
+    return graph.feedback_seeds(keep, _part_items(spark, sf_dir).filter("krate = 5"))
 
 
 def keep_export(spark, sf_dir):
@@ -84,8 +84,8 @@ def emitted_keep(spark, sf_dir):
 
 
 def trait_calls(spark, sf_dir):
-    calls = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_linenumber").alias("trait_method"), (F.col("l_suppkey") % 50).alias("self_type"))
-    impls = _table(spark, sf_dir, "part").filter("p_partkey <= 400").select(F.col("p_size").alias("trait_method"), (F.col("p_partkey") % 50).alias("self_type"), F.col("p_partkey").alias("method"))
+    calls = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_linenumber").alias("trait_method"), F.col("l_partkey").alias("self_type"))
+    impls = _table(spark, sf_dir, "part").select((F.col("p_partkey") % 7 + 1).alias("trait_method"), F.col("p_partkey").alias("self_type"), (F.col("p_partkey") * 10).alias("method"))
     return graph.trait_call_edges(calls, impls)
 
 
@@ -105,8 +105,13 @@ def admission_waves(spark, sf_dir):
 
 
 def _ring(spark, sf_dir):
-    nation = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"))
-    return nation, nation.select(F.col("key").alias("src"), ((F.col("key") * F.col("key") + 1) % 25).alias("dst"))
+    """Customers in blocks of four: rings in two blocks of three, with edges between some neighbouring blocks, at times both ways."""
+    k = F.col("key")
+    nodes = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("key"))
+    block = F.floor(k / 4)
+    ring = nodes.filter(block % 3 != 0).select(k.alias("src"), (block * 4 + (k + 1) % 4).alias("dst"))
+    on, back = nodes.filter(k % 20 == 0).select(k.alias("src"), (k + 4).alias("dst")), nodes.filter(k % 36 == 20).select(k.alias("src"), (k - 4).alias("dst"))
+    return nodes, ring.union(on).union(back)
 
 
 def cyclic_nodes(spark, sf_dir):
@@ -118,10 +123,10 @@ def cycles_broken(spark, sf_dir):
 
 
 def phase_dependencies(spark, sf_dir):
-    nation = _table(spark, sf_dir, "nation")
-    n = F.col("n_nationkey").cast("long")
-    deps = nation.select(n.alias("src"), (n * 2 + 1).alias("dst")).filter("dst < 25")
-    return graph.phase_graph(nation.select(n.alias("unit"), (F.col("n_regionkey") == 0).alias("is_binary")), deps)[1]
+    customer = _table(spark, sf_dir, "customer")
+    k = F.col("c_custkey").cast("long")
+    deps = customer.select((k / 2).cast("long").alias("src"), k.alias("dst")).filter("src > 0")
+    return graph.phase_graph(customer.select(k.alias("unit"), (F.col("c_nationkey") == 0).alias("is_binary")), deps)[1]
 
 
 def warm_tiers(spark, sf_dir):
@@ -136,8 +141,9 @@ def size_weights(spark, sf_dir):
 
 
 def greedy_order(spark, sf_dir):
-    """Market segments in the order of what their nations have in common; no SQL form."""
-    needs = _table(spark, sf_dir, "customer").filter("c_acctbal > 9900").select(F.col("c_mktsegment").alias("project"), F.col("c_nationkey").cast("string").alias("dep"), (F.col("c_nationkey") % 7 + 1).cast("double").alias("weight"))
+    """Market segments in the order of what their customers' dependencies have in common."""
+    dep = F.col("c_custkey") * F.length("c_mktsegment") % 997
+    needs = _table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("project"), dep.cast("string").alias("dep"), (dep % 7 + 1).cast("double").alias("weight"))
     return spark.createDataFrame(list(enumerate(graph.greedy_overlap_order(needs), 1)), "position long, project string")
 
 
@@ -191,7 +197,7 @@ def daemon_decisions(spark, sf_dir):
 
 
 def log_numbers(spark, sf_dir):
-    return lines.log_sum(lines.lines_of(_table(spark, sf_dir, "documents"), "doc_id"), r"([0-9]{1,6}) ")
+    return lines.log_sum(lines.lines_of(_table(spark, sf_dir, "documents"), "doc_id"), r"([0-9]+) ").select(F.col("total").cast("string").alias("total"))
 
 
 def log_counts(spark, sf_dir):
@@ -235,7 +241,9 @@ _KEY = f"p_partkey + {PART}"
 _UNREACHED = f"{_KEY} NOT IN (SELECT key FROM r)"
 _UNMADE = "p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 2)"
 _GONE = f"{_SAFE} AND {_UNREACHED} AND {_UNMADE}"
-_RING = "e AS (SELECT CAST(n_nationkey AS BIGINT) AS src, CAST((n_nationkey * n_nationkey + 1) % 25 AS BIGINT) AS dst FROM nation), w AS (SELECT src, dst FROM e UNION SELECT w.src, e.dst FROM w JOIN e ON e.src = w.dst), c AS (SELECT src AS key FROM w WHERE src = dst), held AS (SELECT key FROM c UNION SELECT a.dst FROM w a JOIN c x ON x.key = a.src JOIN w b ON b.src = a.dst JOIN c y ON y.key = b.dst)"
+_RING = """k AS (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer), e AS (
+  SELECT k AS src, k // 4 * 4 + (k + 1) % 4 AS dst FROM k WHERE k // 4 % 3 <> 0 UNION SELECT k, k + 4 FROM k WHERE k % 20 = 0 UNION SELECT k, k - 4 FROM k WHERE k % 36 = 20
+), w AS (SELECT src, dst FROM e UNION SELECT w.src, e.dst FROM w JOIN e ON e.src = w.dst), pair AS (SELECT a.src, a.dst FROM w a JOIN w b ON a.src = b.dst AND a.dst = b.src)"""
 _DELTA = FIRST_SQL["unit_delta"]
 
 
@@ -243,11 +251,23 @@ def _level(number: int, condition: str) -> str:
     return f"SELECT {number} AS level, {_KEY} AS key FROM part WHERE {condition}"
 
 
+def _greedy_sql(steps: int) -> str:
+    """Greedy order unrolled: in each step the project left with most weight in common with what is built, ties by name."""
+    out = """WITH n AS (SELECT DISTINCT c_mktsegment AS p, c_custkey * length(c_mktsegment) % 997 AS d FROM customer), w AS (SELECT p, d, CAST(d % 7 + 1 AS DOUBLE) AS w FROM n),
+s1 AS (SELECT p FROM (SELECT p, sum(w) AS g FROM w GROUP BY 1) ORDER BY g DESC, p LIMIT 1)"""
+    for k in range(2, steps + 1):
+        done = " UNION ALL ".join(f"SELECT p FROM s{j}" for j in range(1, k))
+        out += f""",
+s{k} AS (SELECT p FROM (SELECT p, coalesce(sum(w) FILTER (d IN (SELECT d FROM w WHERE p IN ({done}))), 0) AS g FROM w WHERE p NOT IN ({done}) GROUP BY 1) ORDER BY g DESC, p LIMIT 1)"""
+    return out + " " + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS position, p AS project FROM s{k}" for k in range(1, steps + 1))
+
+
 _PRIVATE_OTHER = f"p_partkey % 2 = 0 AND p_size <= 5 AND {_UNREACHED} AND {_UNMADE}"
 
 ORACLE_SQL: dict[str, str] = {
     "seed_collection": f"SELECT {_KEY} AS key FROM part WHERE p_size > 40 OR p_partkey % 29 = 0 OR (p_partkey % 2 = 0 AND p_partkey % 5 IN (1, 2)) OR p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)",
     "body_edges": """SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity > 5
+UNION SELECT l_orderkey, unnest([l_partkey, l_suppkey]) FROM lineitem WHERE l_returnflag = 'A'
 UNION SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag NOT IN ('A', 'R') AND l_linenumber <= 3
 UNION SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag NOT IN ('A', 'R') AND l_linenumber = 3""",
     "constant_functions": """WITH RECURSIVE m AS (
@@ -256,22 +276,23 @@ UNION SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag NOT IN ('A',
 ) SELECT DISTINCT c_custkey AS key FROM m JOIN customer ON c_custkey = id WHERE id % 3 = 0""",
     "codegened_items": f"SELECT {_KEY} AS key, CASE WHEN p_size > 20 THEN false ELSE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 2) END AS codegened FROM part",
     "forced_elimination": f"{_REACHED} SELECT {_KEY} AS key FROM part WHERE {_GONE} AND NOT p_retailprice > 950",
-    "feedback_seeds": f"{_REACHED} SELECT key FROM r JOIN part ON key = {_KEY} WHERE p_partkey % 7 <> 3",
+    "feedback_seeds": f"{_REACHED} SELECT key FROM r JOIN part ON key = {_KEY} WHERE p_partkey % 7 = 5",
     "keep_export": f"{_REACHED} SELECT CAST(p_partkey % 7 AS VARCHAR) AS scid, CAST(p_partkey AS VARCHAR) AS lo FROM r JOIN part ON key = {_KEY} WHERE p_partkey % 7 <> 3",
     "deletion_levels": f"{_REACHED}, x AS ({_level(1, f'{_GONE} AND p_partkey % 2 = 0')} UNION ALL {_level(2, f'({_GONE} AND p_partkey % 2 = 0) OR ({_PRIVATE_OTHER})')} UNION ALL {_level(3, f'({_GONE}) OR ({_PRIVATE_OTHER})')} UNION ALL {_level(4, _UNREACHED)}) SELECT CAST(level AS INT) AS level, count(*) AS n, min(key) AS least, max(key) AS greatest FROM x GROUP BY 1",
     "unlinked_functions": "SELECT p_partkey AS key FROM part WHERE p_partkey % 3 <> 0 AND p_size > 5 AND p_brand NOT LIKE '%1' AND p_name NOT IN (SELECT p_name FROM part WHERE p_retailprice > 999)",
     "emitted_keep": f"SELECT CAST(p_partkey % 7 AS VARCHAR) AS scid, CAST(p_partkey AS VARCHAR) AS lo FROM part WHERE p_size > 5 AND NOT ({_SAFE} AND {_UNMADE})",
-    "trait_calls": "SELECT DISTINCT l_orderkey AS src, p_partkey AS dst FROM lineitem JOIN part ON p_partkey <= 400 AND p_size = l_linenumber AND p_partkey % 50 = l_suppkey % 50",
+    "trait_calls": "SELECT DISTINCT l_orderkey AS src, p_partkey * 10 AS dst FROM lineitem JOIN part ON p_partkey = l_partkey AND p_partkey % 7 + 1 = l_linenumber",
     "dependency_degrees": f"WITH e AS ({_EDGES}), x AS (SELECT src AS key, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) SELECT key, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM x GROUP BY 1",
     "topological_order": FIRST_SQL["topo_levels"].rsplit("SELECT CAST(level", 1)[0] + "SELECT key, position FROM (SELECT key, row_number() OVER (ORDER BY level, key) AS position FROM every) WHERE key >= 0",
     "admission_waves": f"SELECT key, rank, (rank - 1) // 4 + 1 AS wave FROM (SELECT key, row_number() OVER (ORDER BY cp DESC, key) AS rank FROM ({FIRST_SQL['critical_path']}))",
-    "cyclic_nodes": f"WITH RECURSIVE {_RING} SELECT key FROM held",
-    "cycles_broken": f"WITH RECURSIVE {_RING} SELECT src, dst FROM e WHERE NOT (src IN (SELECT key FROM held) AND dst IN (SELECT key FROM held)) OR dst < src",
-    "phase_dependencies": """WITH RECURSIVE u AS (SELECT CAST(n_nationkey AS BIGINT) AS k, n_regionkey = 0 AS b FROM nation), d AS (SELECT k AS s, k * 2 + 1 AS t FROM u WHERE k * 2 + 1 < 25),
-w AS (SELECT k AS l, k FROM u WHERE b UNION SELECT w.l, d.t FROM w JOIN d ON d.s = w.k)
-SELECT k * 2 + 1 AS src, k * 2 AS dst FROM u UNION SELECT s * 2, t * 2 FROM d UNION SELECT w.k * 2 + 1, w.l * 2 FROM w JOIN u ON u.k = w.k WHERE NOT u.b""",
+    "cyclic_nodes": f"WITH RECURSIVE {_RING} SELECT k AS key FROM k WHERE k IN (SELECT src FROM pair)",
+    "cycles_broken": f"WITH RECURSIVE {_RING} SELECT src, dst FROM e WHERE dst < src OR (src, dst) NOT IN (SELECT (src, dst) FROM pair)",
+    "phase_dependencies": """WITH u AS (SELECT CAST(c_custkey AS BIGINT) AS k, c_nationkey = 0 AS b FROM customer), d AS (SELECT k // 2 AS s, k AS t FROM u WHERE k > 1)
+SELECT k * 4 + 1 AS src, k * 4 AS dst FROM u UNION SELECT k * 4 + 1, k * 4 + 2 FROM u WHERE NOT b UNION SELECT k * 4 + 2, k * 4 FROM u WHERE b
+UNION SELECT s * 4, t * 4 FROM d UNION SELECT t * 4 + 2, s * 4 + 2 FROM d""",
     "warm_tiers": "SELECT p_partkey, t.tier FROM part LEFT JOIN (SELECT p_brand AS b, CAST(min(p_size % 3 + 1) AS INT) AS tier FROM part WHERE p_partkey % 50 = 0 GROUP BY 1) t ON t.b = p_brand WHERE p_size <= 25",
     "size_weights": "SELECT o_orderkey, round(least(greatest(o_totalprice * 100 / 350.0, 100.0), 60000.0), 4) AS weight_ms FROM orders",
+    "greedy_order": _greedy_sql(5),
     "elimination_counters": f"{_REACHED} SELECT p_brand AS brand, count(*) FILTER (p_size > 5) AS total_fn_like, count(*) FILTER (p_size > 40) AS reachable_set, count(*) FILTER ({_KEY} IN (SELECT key FROM r)) AS post_bfs, count(*) FILTER ({_GONE}) AS eliminated FROM part GROUP BY 1",
     "size_reduction": "SELECT p_brand, CAST(sum(p_size) AS BIGINT) AS before, CAST(coalesce(sum(p_size) FILTER (p_size <= 20), 0) AS BIGINT) AS after, round(100.0 * (sum(p_size) - coalesce(sum(p_size) FILTER (p_size <= 20), 0)) / sum(p_size), 6) AS percent_removed FROM part GROUP BY 1",
     "source_size": "SELECT count(*) AS files, CAST(coalesce(sum(CASE WHEN text IS NULL OR text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END), 0) AS BIGINT) AS lines FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 600)",
@@ -283,7 +304,7 @@ SELECT k * 2 + 1 AS src, k * 2 AS dst FROM u UNION SELECT s * 2, t * 2 FROM d UN
     "overhead_labels": f"SELECT unit, round(baseline / (treated + 2), 6) AS end_to_end, CASE WHEN baseline / (treated + 2) >= 1 THEN 'saved' ELSE 'overhead' END AS label FROM ({_PAIRS})",
     "routes": "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'compiler' WHEN page_id % 3 = 0 OR regexp_matches(url, '/(registry|git|vendor)/') THEN 'cache' ELSE 'driver' END AS route FROM pages",
     "daemon_decisions": "SELECT o_custkey, o_custkey % 10 = 0 OR (count(*) * 10 > 150 AND sum(o_totalprice) / 10 > 150000) AS daemon FROM orders GROUP BY 1",
-    "log_numbers": "SELECT CAST(coalesce(sum(CAST(nullif(regexp_extract(line, '([0-9]{1,6}) ', 1), '') AS BIGINT)), 0) AS BIGINT) AS total FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)",
+    "log_numbers": "SELECT CAST(coalesce(sum(TRY_CAST(x AS DECIMAL(38, 0))), 0) AS VARCHAR) AS total FROM (SELECT unnest(regexp_extract_all(line, '([0-9]+) ', 1)) AS x FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))",
     "log_counts": "SELECT count(*) FILTER (o_orderstatus = 'P' AND o_orderkey % 3 <> 0) AS warnings, count(*) FILTER (o_orderstatus = 'F') AS errors FROM orders",
     "feature_split": "SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS feature, CAST(s_nationkey AS VARCHAR) IN (SELECT CAST(c_nationkey AS VARCHAR) FROM customer WHERE CAST(c_nationkey AS VARCHAR) < '2') AS supported FROM supplier",
     "merged_values": "SELECT coalesce(s.k, c.k) AS key, CASE WHEN s.k IS NOT NULL THEN s.v ELSE c.v END AS value FROM (SELECT c_nationkey AS k, max(c_acctbal) AS v FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, max(s_acctbal) AS v FROM supplier GROUP BY 1) s ON s.k = c.k",

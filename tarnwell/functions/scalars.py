@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+# Offset and prime of FNV-1a, 64 bits.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+# Fixed value: an include directive of a C source.
+INCLUDE = r"""(?m)^\s*#include\s*[<"](.*?)[>"]"""
 FEW = 16  # texts at or below which a step over all of them costs more than a loop
 
 
@@ -45,6 +48,12 @@ def hex16(key: Column) -> Column:
     return F.lpad(F.lower(F.hex(key)), 16, "0")
 
 
+def parse_hex(digits: Column) -> Column:
+    """decimal(20,0) of up to 16 hex digits, blanks around them ignored; null for anything else."""
+    text = F.trim(digits)
+    return F.when(text.rlike("^[0-9a-fA-F]{1,16}$"), F.conv(text, 16, 10)).cast("decimal(20,0)")
+
+
 def crate_name(name: Column) -> Column:
     return F.translate(name, "-", "_")
 
@@ -56,7 +65,7 @@ def without_version(unit: Column) -> Column:
 
 def includes(text: Column) -> Column:
     """Headers that a C source includes, in order."""
-    return F.regexp_extract_all(text, F.lit(r"""(?m)^\s*#include\s*[<"](.*?)[>"]"""), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(INCLUDE), F.lit(1))
 
 
 def frontmatter(text: Column) -> Column:
@@ -77,18 +86,37 @@ def with_edition(manifest: Column, edition: str = "2021") -> Column:
 
 
 def cache_key(*parts: Column) -> Column:
-    """SHA-256 over the parts that decide an artefact, nulls as empty."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+    """SHA-256 over the parts that decide an artefact, each with its length before it; a null is told from an empty part."""
+    text = [p.cast("string") for p in parts]
+    return F.sha2(F.concat_ws("|", *[F.when(t.isNull(), "-").otherwise(F.concat(F.length(t), F.lit(":"), t)) for t in text]), 256)
+
+
+def script_cache_path(path: Column, root: str = "/tmp", prefix: str = "script-") -> Column:
+    """The cache folder of a script by the hash of its path; null for null."""
+    return F.concat(F.lit(f"{root.rstrip('/')}/{prefix}"), fnv1a_hex(path))
 
 
 def plan_key(path: Column) -> Column:
     return F.substring(F.md5(path), 1, 12)
 
 
-def skip_decision(stubs: Column, total: Column) -> Column:
-    """skip if nothing would be cut, or under five stubs that are under 2 % of all; else cut."""
-    few = (stubs < 5) & (stubs < 0.02 * total)
-    return F.when(stubs == 0, "skip").when(few, "skip").otherwise("cut")
+def skip_decision(stubs: Column, total: Column, threshold: str | None = None) -> Column:
+    """skip or cut.
+
+    threshold: None: skip if nothing would be cut, or under five stubs that are under 2 % of all;
+    'auto': skip if nothing would be cut; '0' or 'never': never skip; a number: skip below it.
+    """
+    if threshold is None:
+        few = (stubs == 0) | ((stubs < 5) & (stubs < 0.02 * total))
+    elif threshold == "auto":
+        few = stubs == 0
+    elif threshold in ("0", "never"):
+        few = F.lit(False)
+    elif threshold.isdecimal():
+        few = stubs < int(threshold)
+    else:
+        raise ValueError(f"not a threshold: {threshold}")
+    return F.when(few, "skip").otherwise("cut")
 
 
 def daemon_decision(cached: Column, files: Column, lines: Column) -> Column:

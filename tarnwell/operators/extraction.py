@@ -34,12 +34,14 @@ def operands(statements: DataFrame) -> DataFrame:
 
 
 def body_edges(statements: DataFrame) -> DataFrame:
-    """(src, dst): calls, constructed closures, and functions named as a value in an assignment; one pass over the table.
+    """(src, dst): calls, functions among a call's arguments, constructed closures, and functions named as a value in an assignment.
 
-    statements: (src, kind, target, rvalue, operands); kind is call, assign or one of the closures.
+    statements: (src, kind, target, rvalue, operands); kind is call, whose operands are its arguments,
+    assign or one of the closures. One pass over the table.
     """
-    named = F.transform(F.filter(_counted(), lambda x: x["kind"] == "fn"), lambda x: x["target"])
-    targets = F.when(F.col("kind").isin("call", *CLOSURES), F.array("target")).when(F.col("kind") == "assign", named)
+    functions = lambda some: F.transform(F.filter(some, lambda x: x["kind"] == "fn"), lambda x: x["target"])
+    called = F.array_append(F.coalesce(functions(F.col("operands")), F.array()), F.col("target"))
+    targets = F.when(F.col("kind") == "call", called).when(F.col("kind").isin(*CLOSURES), F.array("target")).when(F.col("kind") == "assign", functions(_counted()))
     return statements.select("src", F.explode(targets).alias("dst")).filter("dst is not null").distinct()
 
 

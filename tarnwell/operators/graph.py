@@ -3,6 +3,10 @@
 Nodes are BIGINT keys, edges rows (src, dst). Loops run on the driver, one small distributed plan a
 step; each step's result is checkpointed, so plans stay small and survive lost executors. The
 number of steps is the depth of the graph.
+
+Edges are dealt once by the end at which steps enter them, with a few salts so that a hub's edges
+lie in several partitions, and stay there: what a step moves is its frontier and what it finds.
+Visited nodes keep the partitioning they were found with, so they are not moved again either.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from ..plans.numbering import numbered
 
 SMALL = 1_000_000  # rows of a counted, checkpointed table up to which it is handed to every executor (tens of MB)
 COMPACT = 8  # steps after which the parts of the visited set are written together
+SALTS = 8  # partitions that the edges of one node are dealt to
 
 
 def pack_key(krate: Column, index: Column) -> Column:
@@ -24,9 +29,24 @@ def pack_key(krate: Column, index: Column) -> Column:
     return F.shiftleft(krate.cast("long"), 32).bitwiseOR(index.cast("long"))
 
 
-def _small(table: DataFrame, rows: int) -> DataFrame:
-    """``table``, broadcast if ``rows``, its counted size, is small: the other side then stays where it is, hot keys included."""
-    return F.broadcast(table) if rows <= SMALL else table
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _dealt(edges: DataFrame, by: str) -> DataFrame:
+    """Distinct edges (src, dst, salt) without nulls, checkpointed, dealt by (``by``, salt) and sorted so."""
+    other = "dst" if by == "src" else "src"
+    rows = edges.filter("src is not null and dst is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    return cut(salted.repartition(_parts(edges), by, "salt").sortWithinPartitions(by, "salt"))
+
+
+def _step(edges: DataFrame, by: str, nodes: DataFrame, rows: int) -> DataFrame:
+    """``edges`` (see _dealt) that ``nodes`` (key, ...), of counted size ``rows``, enter at ``by``, with the columns of both."""
+    if rows <= SMALL:
+        return edges.join(F.broadcast(nodes), F.col(by) == F.col("key"))
+    spread = nodes.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.join(spread, (F.col(by) == F.col("key")) & (F.col("salt") == F.col("s"))).drop("s")
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, expand: DataFrame | None = None) -> DataFrame:
@@ -34,21 +54,23 @@ def reachable(edges: DataFrame, seeds: DataFrame, expand: DataFrame | None = Non
 
     expand: if given, only nodes in it (key) are expanded further. Cycles end; null keys are ignored.
     """
-    edges = edges.filter("src is not null and dst is not null").select("src", "dst").distinct()
     if expand is not None:
         edges = edges.join(expand.select(F.col("key").alias("src")), "src", "left_semi")
-    edges = cut(edges)
-    frontier = cut(seeds.filter("key is not null").select(F.col("key").cast("long")).distinct())
+    edges = _dealt(edges, "src")
+    by_key = lambda df: df.repartition(_parts(edges), "key").sortWithinPartitions("key")
+    frontier = cut(by_key(seeds.filter("key is not null").select(F.col("key").cast("long").alias("key")).distinct()))
     parts = [frontier]
     while n := frontier.count():
-        seen = parts[0]
-        for part in parts[1:]:
-            seen = seen.union(part)
-        found = edges.join(_small(frontier, n), F.col("src") == F.col("key")).select(F.col("dst").cast("long").alias("key")).distinct()
-        frontier = cut(found.join(seen, "key", "left_anti"))
+        found = _step(edges, "src", frontier, n).select(F.col("dst").alias("key")).distinct()
+        for part in parts:
+            found = found.join(part, "key", "left_anti")
+        frontier = cut(found.sortWithinPartitions("key"))
         parts.append(frontier)
         if len(parts) > COMPACT:
-            parts = [cut(seen.union(frontier))]
+            seen = parts[0]
+            for part in parts[1:]:
+                seen = seen.union(part)
+            parts = [cut(by_key(seen))]
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
@@ -113,46 +135,46 @@ def codegen_units(units: DataFrame, gone: DataFrame) -> DataFrame:
     return units.join(drop, ["cgu", "item"], "left_anti").groupBy("cgu").agg(F.count("*").alias("n_items"), F.sum("size").alias("size"))
 
 
-def topological_levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:
-    """(key, level): 0 for nodes without dependencies, else one above the highest dependency; null on or behind a cycle.
+def _peeled(nodes: DataFrame, deps: DataFrame) -> DataFrame:
+    """(key, weight, level, cp) of the nodes (key, weight) not on or behind a cycle; cp: weight plus the largest cp of the dependencies.
 
-    deps: src depends on dst. Every step peels the nodes all of whose dependencies are peeled.
+    Every step peels the nodes all of whose dependencies are peeled. Dependencies are counted once;
+    a step enters those on what the step before peeled, and carries on with nodes that some of
+    their dependencies were peeled of and some not.
     """
-    left = cut(deps.select("src", "dst").filter("src is not null and dst is not null").distinct())
-    open_ = cut(nodes.select("key").filter("key is not null").distinct())
-    out, level = open_.select("key", F.lit(None).cast("int").alias("level")).limit(0), 0
-    while True:
-        ready = cut(open_.join(left.select(F.col("src").alias("key")), "key", "left_anti"))
-        if not (n := ready.count()):
-            break
-        out = out.union(ready.select("key", F.lit(level).alias("level")))
-        open_ = cut(open_.join(_small(ready, n), "key", "left_anti"))
-        left = cut(left.join(_small(ready.select(F.col("key").alias("dst")), n), "dst", "left_anti").select("src", "dst"))
+    edges = _dealt(deps, "dst")
+    nodes = cut(nodes.filter("key is not null").select(F.col("key").cast("long").alias("key"), F.col("weight").cast("double").alias("weight")).dropDuplicates(["key"]))
+    need = edges.groupBy(F.col("src").alias("key")).agg(F.count("*").alias("need"))
+    need = cut(nodes.join(need, "key").repartition(_parts(deps), "key").sortWithinPartitions("key"))
+    ready = cut(nodes.join(edges.select(F.col("src").alias("key")), "key", "left_anti").select("key", "weight", F.lit(0).alias("level"), F.col("weight").alias("cp")))
+    out, partly, level = ready, need.select("key", "weight", "need", F.lit(None).cast("double").alias("best")).limit(0), 0
+    while n := ready.count():
         level += 1
+        told = _step(edges, "dst", ready.select("key", "cp"), n).groupBy(F.col("src").alias("key")).agg(F.count("*").alias("met"), F.max("cp").alias("best"))
+        new = told.join(need, "key").select("key", "weight", (F.col("need") - F.col("met")).alias("need"), "best")
+        known = partly.join(told.select("key", "met", F.col("best").alias("more")), "key", "left")
+        kept = known.select("key", "weight", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need"), F.greatest("best", "more").alias("best"))
+        moved = cut(kept.unionByName(new.join(partly.select("key"), "key", "left_anti")) if level > 1 else new)
+        ready = moved.filter("need = 0").select("key", "weight", F.lit(level).alias("level"), (F.col("weight") + F.col("best")).alias("cp"))
+        partly = moved.filter("need > 0")
+        out = out.union(ready)
         if level % COMPACT == 0:
             out = cut(out)
-    return out.union(open_.select("key", F.lit(None).cast("int").alias("level")))
+    return out
+
+
+def topological_levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:
+    """(key, level): 0 for nodes without dependencies, else one above the highest dependency; null on or behind a cycle.
+
+    deps: src depends on dst.
+    """
+    keys = nodes.select("key").filter("key is not null").distinct()
+    return keys.join(_peeled(keys.withColumn("weight", F.lit(0.0)), deps).select("key", "level"), "key", "left")
 
 
 def critical_path(weights: DataFrame, deps: DataFrame) -> DataFrame:
     """(key, weight, cp): cp = weight + largest cp of the dependencies, bottom up; nodes on or behind a cycle are left out."""
-    left = cut(deps.select("src", "dst").distinct())
-    open_ = cut(weights.select("key", "weight"))
-    best = open_.select("key", F.lit(0.0).alias("best")).limit(0)
-    out = open_.select("key", "weight", F.lit(0.0).alias("cp")).limit(0)
-    step = 0
-    while True:
-        ready = cut(open_.join(left.select(F.col("src").alias("key")), "key", "left_anti").join(best, "key", "left").select("key", "weight", (F.col("weight") + F.coalesce("best", F.lit(0.0))).alias("cp")))
-        if ready.isEmpty():
-            return out
-        out = out.union(ready)
-        told = left.join(ready.select(F.col("key").alias("dst"), "cp"), "dst").select(F.col("src").alias("key"), F.col("cp").alias("best"))
-        best = cut(best.union(told).groupBy("key").agg(F.max("best").alias("best")))
-        left = cut(left.join(ready.select(F.col("key").alias("dst")), "dst", "left_anti").select("src", "dst"))
-        open_ = cut(open_.join(ready, "key", "left_anti"))
-        step += 1
-        if step % COMPACT == 0:
-            out = cut(out)
+    return _peeled(weights, deps).select("key", "weight", "cp")
 
 
 def codegened(items: DataFrame, gone: DataFrame, mono_items: DataFrame) -> DataFrame:
@@ -194,29 +216,20 @@ def forced_elimination(items: DataFrame, reached: DataFrame, forced: DataFrame,
 def phase_graph(units: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (key, unit, phase) and deps (src, dst) of a build in which libraries are generated after the binaries' analysis.
 
-    units: (unit, is_binary), unit below 2**31; phase 0: analysis, 1: generation, key = unit * 2 + phase. Analysis
-    follows the analysis of dependencies, generation follows the own analysis and, for libraries,
-    the analysis of every binary that depends on them, directly or not: no cycle of its own arises.
+    units: (unit, is_binary), unit below 2**31; phase 0: analysis, 1: generation, 2: a barrier that is
+    passed when every binary that depends on the unit, directly or not, and the unit itself if it is
+    one, is analysed; key = unit * 4 + phase. Analysis follows the analysis of dependencies,
+    generation follows the own analysis and, for libraries, the own barrier; a barrier follows those
+    of the units that depend on it. So waits take a row for each dependency, not one for each pair of
+    a library and a binary, and no cycle of its own arises.
     """
-    phase = units.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("phase"), F.col("unit").cast("long").alias("unit"))
-    nodes = phase.select((F.col("unit") * 2 + F.col("phase")).alias("key"), "unit", "phase")
-    own = units.select((F.col("unit").cast("long") * 2 + 1).alias("src"), (F.col("unit").cast("long") * 2).alias("dst"))
-    before = deps.select((F.col("src").cast("long") * 2).alias("src"), (F.col("dst").cast("long") * 2).alias("dst"))
-    libraries = units.filter("not is_binary").select(F.col("unit").alias("library"))
-    pairs = labelled_reach(deps, units.filter("is_binary").select(F.col("unit").alias("label"), F.col("unit").alias("key")))
-    waits = pairs.join(libraries, F.col("key") == F.col("library")).select((F.col("key").cast("long") * 2 + 1).alias("src"), (F.col("label").cast("long") * 2).alias("dst"))
-    return nodes, own.union(before).union(waits).distinct()
-
-
-def labelled_reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(label, key): what each label of ``seeds`` (label, key) reaches, its seeds included. Size: labels times nodes reached."""
-    edges = cut(edges.filter("src is not null and dst is not null").select("src", "dst").distinct())
-    seen = frontier = cut(seeds.select("label", F.col("key").cast("long").alias("key")).distinct())
-    while n := frontier.count():
-        found = edges.join(_small(frontier, n), F.col("key") == F.col("src")).select("label", F.col("dst").cast("long").alias("key")).distinct()
-        frontier = cut(found.join(seen, ["label", "key"], "left_anti"))
-        seen = cut(seen.union(frontier))
-    return seen
+    at = lambda unit, phase: F.col(unit).cast("long") * 4 + phase
+    pair = lambda df, src, dst: df.select(src.alias("src"), dst.alias("dst"))
+    phase = units.select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("phase"), F.col("unit").cast("long").alias("unit"))
+    nodes = phase.select((F.col("unit") * 4 + F.col("phase")).alias("key"), "unit", "phase")
+    own = pair(units, at("unit", 1), at("unit", 0)).union(pair(units.filter("not is_binary"), at("unit", 1), at("unit", 2))).union(pair(units.filter("is_binary"), at("unit", 2), at("unit", 0)))
+    between = pair(deps, at("src", 0), at("dst", 0)).union(pair(deps, at("dst", 2), at("src", 2)))
+    return nodes, own.union(between).distinct()
 
 
 def degrees(nodes: DataFrame, deps: DataFrame) -> DataFrame:
@@ -226,19 +239,99 @@ def degrees(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     return nodes.select("key").distinct().join(counts, "key", "left").select("key", F.coalesce("n_out", F.lit(0)).alias("n_out"), F.coalesce("n_in", F.lit(0)).alias("n_in"))
 
 
+def strong_components(deps: DataFrame) -> DataFrame:
+    """(key, component): the nodes on cycles, with the largest key of their strongly connected component.
+
+    Nodes that cannot lie on a cycle are peeled from both ends. Of what is left, every node takes the
+    largest key that reaches it; those that reach this key again along nodes with the same one are
+    its component. The rest goes into the next round.
+    """
+    left = cut(deps.filter("src is not null and dst is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct())
+    out = left.filter("src = dst").select(F.col("src").alias("key"), F.col("src").alias("component"))
+    left = cut(left.filter("src <> dst"))
+    while True:
+        for here, there in (("src", "dst"), ("dst", "src")):
+            turned = left.select(F.col(here).alias("src"), F.col(there).alias("dst"))
+            nodes = turned.select(F.col("src").alias("key")).union(turned.select("dst")).distinct()
+            open_ = topological_levels(nodes, turned).filter("level is null").select("key")
+            left = cut(_inside(left, open_))
+        if left.isEmpty():
+            return out.groupBy("key").agg(F.max("component").alias("component"))
+        colour = _largest_reaching(left)
+        same = left.join(colour.select(F.col("key").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("key").alias("dst"), F.col("colour").alias("b")), "dst")
+        back = same.filter("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        met = reachable(back, colour.filter("key = colour").select("key"))
+        found = cut(met.join(colour, "key").select("key", F.col("colour").alias("component")))
+        out = cut(out.union(found.join(found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component"), "component").select("key", "component")))
+        rest = colour.join(found, "key", "left_anti").select("key")
+        left = cut(_inside(left, rest))
+
+
+def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges both of whose ends are among ``nodes`` (key)."""
+    return edges.join(nodes.select(F.col("key").alias("src")), "src", "left_semi").join(nodes.select(F.col("key").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+def _largest_reaching(edges: DataFrame) -> DataFrame:
+    """(key, colour): the largest key from which a node is reached, its own included; only nodes that changed are followed."""
+    dealt = _dealt(edges, "src")
+    nodes = edges.select(F.col("src").alias("key")).union(edges.select("dst")).distinct()
+    colour = changed = cut(nodes.withColumn("colour", F.col("key")))
+    while n := changed.count():
+        told = _step(dealt, "src", changed, n).groupBy(F.col("dst").alias("key")).agg(F.max("colour").alias("more"))
+        both = cut(colour.join(told, "key", "left").select("key", F.greatest("colour", "more").alias("colour"), (F.coalesce("more", F.lit(None)) > F.col("colour")).alias("new")))
+        colour, changed = both.select("key", "colour"), both.filter("new").select("key", "colour")
+    return colour
+
+
 def cyclic(nodes: DataFrame, deps: DataFrame) -> DataFrame:
-    """(key): nodes on a cycle, or on a path from one cycle to another: what is left after peeling from both ends."""
-    behind = topological_levels(nodes, deps).filter("level is null").select("key")
-    inner = deps.join(behind.select(F.col("key").alias("src")), "src", "left_semi").join(behind.select(F.col("key").alias("dst")), "dst", "left_semi")
-    back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return topological_levels(behind, back).filter("level is null").select("key")
+    """(key): nodes that lie on a cycle, a dependency on oneself included."""
+    return nodes.select("key").distinct().join(strong_components(deps).select("key"), "key", "left_semi")
 
 
 def without_cycles(nodes: DataFrame, deps: DataFrame) -> DataFrame:
-    """``deps`` (src, dst) made acyclic: between nodes of ``cyclic``, only dependencies on a smaller key stay."""
-    held = cut(cyclic(nodes, deps))
-    a, b = held.select(F.col("key").alias("src"), F.lit(True).alias("a")), held.select(F.col("key").alias("dst"), F.lit(True).alias("b"))
-    return deps.join(a, "src", "left").join(b, "dst", "left").filter("a is null or b is null or dst < src").select("src", "dst")
+    """``deps`` (src, dst) made acyclic: of those inside a cycle's strongly connected component, only dependencies on a smaller key stay."""
+    held = cut(strong_components(deps).join(nodes.select("key").distinct(), "key", "left_semi"))
+    a = held.select(F.col("key").alias("src"), F.col("component").alias("a"))
+    b = held.select(F.col("key").alias("dst"), F.col("component").alias("b"))
+    return deps.join(a, "src", "left").join(b, "dst", "left").filter("not (a <=> b) or a is null or dst < src").select("src", "dst")
+
+
+def independent_parts(edges: DataFrame, nodes: DataFrame, max_steps: int = 60) -> DataFrame:
+    """(key, part): the parts of ``nodes`` (key), such as a reachable set, that share no edge and can be built apart.
+
+    part: the smallest key. Edges count in both directions, those with an end outside ``nodes`` not.
+    Every step points nodes at the smallest neighbour known, then neighbours at each other, until
+    each part is a star; the number of steps grows with the logarithm of the longest chain.
+    """
+    own = _inside(edges, cut(nodes.filter("key is not null").select("key").distinct()))
+    now = cut(own.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    for _ in range(max_steps):
+        ends = now.select(F.col("u").alias("key"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(now.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("key").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).filter("out > 1 or (out > 0 and into > 0)").isEmpty():
+            break
+        both = now.union(now.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        wide = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = wide.groupBy("u").agg(F.min("v").alias("m"))
+        now = cut(wide.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(least).filter("u <> v").distinct())
+    else:
+        raise RuntimeError(f"parts did not settle in {max_steps} steps")
+    return nodes.select("key").filter("key is not null").distinct().join(now.select(F.col("u").alias("key"), "v"), "key", "left").select("key", F.coalesce("v", "key").alias("part"))
+
+
+def cross_partition_seeds(items: DataFrame) -> DataFrame:
+    """(key): where a walk over the union of all partitions starts: entries of binaries, public items of libraries, Drop impls, statics.
+
+    items: (key, is_entry, is_public, in_library, is_drop_impl, kind); a null attribute is no reason to start.
+    """
+    return items.filter("is_entry or (is_public and in_library) or is_drop_impl or kind = 'Static'").select("key").distinct()
+
+
+def marks_by_partition(items: DataFrame, reached: DataFrame) -> DataFrame:
+    """(krate, key, is_seed): reached items of each partition; is_seed: public ones of libraries, the seeds of their own walk."""
+    public = F.coalesce(F.col("is_public") & F.col("in_library"), F.lit(False))
+    return items.join(reached, "key", "left_semi").select("krate", "key", public.alias("is_seed"))
 
 
 def topological_order(nodes: DataFrame, deps: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -273,16 +366,22 @@ def weight_ms(size_bytes: Column) -> Column:
 def greedy_overlap_order(needs: DataFrame) -> list[str]:
     """Projects in build order from (project, dep, weight): heaviest first, then most weight in common with what is built.
 
-    Ties go by name. The project list is a stated, small set; sums are made on executors.
+    Ties go by name. The project list is a stated, small set, and greedy choice takes a step a
+    project; a step adds up, on executors, what the dependencies that it builds first bring to each project.
     """
-    needs = needs.dropDuplicates(["project", "dep"])
+    needs = cut(needs.dropDuplicates(["project", "dep"]).repartition("dep"))
     total = {r.project: r.w for r in needs.groupBy("project").agg(F.sum("weight").alias("w")).collect()}
+    common = dict(total)
     order: list[str] = []
     built = needs.select("dep").limit(0)
     while total:
-        common = {r.project: r.w for r in needs.join(built, "dep", "left_semi").groupBy("project").agg(F.sum("weight").alias("w")).collect()} if order else total
         name = min(total, key=lambda p: (-common.get(p, 0.0), p))
+        common = {} if not order else common
         order.append(name)
         del total[name]
-        built = cut(built.union(needs.filter(F.col("project") == name).select("dep")).distinct())
+        if total:
+            new = cut(needs.filter(F.col("project") == name).select("dep").join(built, "dep", "left_anti"))
+            for r in needs.join(new, "dep", "left_semi").groupBy("project").agg(F.sum("weight").alias("w")).collect():
+                common[r.project] = common.get(r.project, 0.0) + r.w
+            built = cut(built.union(new))
     return order

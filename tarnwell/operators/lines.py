@@ -22,9 +22,10 @@ def pattern_frequency(texts: DataFrame, pattern: str, group: int = 0, most: int
 
 
 def log_sum(lines: DataFrame, pattern: str) -> DataFrame:
-    """(total): sum of the numbers that ``pattern`` finds in (line); 0 without any."""
-    found = F.try_to_number(F.regexp_extract("line", pattern, 1), F.lit("999999999999"))
-    return lines.filter(F.col("line").rlike(pattern)).agg(F.coalesce(F.sum(found.cast("long")), F.lit(0)).alias("total"))
+    """(total decimal(38,0)): sum of the numbers in every match of ``pattern`` in (line), its first group; 0 without any."""
+    found = lines.select(F.explode(F.regexp_extract_all(F.col("line"), F.lit(pattern), F.lit(1))).alias("x"))
+    number = F.expr("try_cast(x as decimal(38,0))")
+    return found.agg(F.coalesce(F.sum(number), F.lit(0)).cast("decimal(38,0)").alias("total"))
 
 
 def diagnostic_counts(lines: DataFrame) -> DataFrame:
@@ -62,6 +63,11 @@ def features(lines: DataFrame, by: str) -> DataFrame:
     return own.select(by, F.trim(F.split("line", "=", 2)[0]).alias("feature")).distinct()
 
 
+def features_of_all(lines: DataFrame, by: str) -> DataFrame:
+    """(feature): the union of the features of all manifests."""
+    return features(lines, by).select("feature").distinct()
+
+
 def byte_offsets(lines: DataFrame, by: str) -> DataFrame:
     """(by, n, line, offset): bytes before each line, line ends included."""
     own = Window.partitionBy(by).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,6 +92,16 @@ def missing_features(required: DataFrame, offered: DataFrame) -> tuple[DataFrame
     return required.join(offered, "feature", "left_semi"), required.join(offered, "feature", "left_anti")
 
 
+def first_unsupported(missing: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` of the missing features (feature), by name, for a report."""
+    return missing.orderBy("feature").limit(n)
+
+
+def first_in_order(rows: DataFrame, key: str, n: int = 20) -> DataFrame:
+    """The first ``n`` rows in the order of ``key``, which tells rows apart; nulls last."""
+    return rows.orderBy(F.col(key).asc_nulls_last()).limit(n)
+
+
 def merged(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value) of both maps, the second's value where both have the key."""
     both = first.select(key, value, F.lit(0).alias("order")).union(second.select(key, value, F.lit(1).alias("order")))

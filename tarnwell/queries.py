@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
@@ -143,7 +143,7 @@ def topo_levels(spark, sf_dir):
 
 def critical_path(spark, sf_dir):
     weights, deps = _dag(spark, sf_dir)
-    return graph.critical_path(weights, deps).filter(F.col("key") < CUSTOMER).select("key", F.round("cp", 2).alias("cp"))
+    return graph.critical_path(weights, deps).select("key", F.round("cp", 2).alias("cp"))
 
 
 def _pairs(spark, sf_dir):
@@ -216,10 +216,15 @@ def log_segments(spark, sf_dir):
     return lines.log_segments(rows, "doc_id", "^(The|In|Und|La) ").groupBy("doc_id").agg(F.count("*").alias("n_kept"), F.min("n").alias("first_line"))
 
 
+def _manifests(spark, sf_dir):
+    """(p_partkey, n, line): the lines of a manifest for each part."""
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("[package]\nname = "), "p_name", F.lit("\n\n[features]\nf"), size, F.lit(" = []\n# g = 1\n[dependencies]\nx = "), size)
+    return lines.lines_of(_table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey")
+
+
 def section_carry(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations")
-    asked = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("turn"))
-    return turns.select("conv_id", "turn", asked.alias("asked_at"))
+    return lines.sections(_manifests(spark, sf_dir), "p_partkey")
 
 
 def byte_offsets(spark, sf_dir):
@@ -235,7 +240,7 @@ def names(spark, sf_dir):
     return _table(spark, sf_dir, "part").select(
         "p_partkey",
         scalars.crate_name(F.concat_ws("-", "p_brand", "p_type")).alias("crate"),
-        scalars.without_version(F.concat_ws("-", F.lit("unit"), F.col("p_size").cast("string"))).alias("unit"),
+        scalars.without_version(F.concat_ws("-", "p_brand", F.when(F.col("p_size") % 3 == 0, "2d-core").when(F.col("p_size") % 3 == 1, F.concat("p_size", F.lit(".1"))).otherwise("core"))).alias("unit"),
         scalars.plan_key(F.col("p_name")).alias("plan"),
         scalars.hex16(F.col("p_partkey")).alias("key"),
     )
@@ -270,7 +275,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_SHA = "sha256(p_brand || '|' || p_type || '|' || p_size)"
+_SHA = "sha256(length(p_brand) || ':' || p_brand || '|' || length(p_type) || ':' || p_type || '|' || length(CAST(p_size AS VARCHAR)) || ':' || p_size)"
 _BUCKET = " + ".join(f"CASE WHEN speedup >= {e} THEN 1 ELSE 0 END" for e in measurements.EDGES)
 
 ORACLE_SQL: dict[str, str] = {
@@ -288,10 +293,11 @@ nl AS (SELECT n_nationkey AS k, n_regionkey AS r, coalesce((SELECT max(l) + 1 FR
 rl AS (SELECT r_regionkey AS k, coalesce((SELECT max(l) + 1 FROM nl WHERE r = r_regionkey), 0) AS l FROM region),
 every AS (SELECT k + {ORDER} AS key, 0 AS level FROM o UNION ALL SELECT k + {CUSTOMER}, l FROM cl UNION ALL SELECT k, l FROM nl UNION ALL SELECT k - 100, l FROM rl)
 SELECT CAST(level AS INT) AS level, count(*) AS n, min(key) AS least FROM every GROUP BY 1""",
-    "critical_path": """WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, c_acctbal + coalesce((SELECT greatest(max(o_totalprice), 0) FROM orders WHERE o_custkey = c_custkey), 0) AS cp FROM customer),
+    "critical_path": f"""WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, c_acctbal + coalesce((SELECT greatest(max(o_totalprice), 0) FROM orders WHERE o_custkey = c_custkey), 0) AS cp FROM customer),
 n AS (SELECT n_nationkey AS k, n_regionkey AS r, 1.0 + n_nationkey % 3 + coalesce((SELECT max(cp) FROM c WHERE c.n = n_nationkey), 0) AS cp FROM nation),
 r AS (SELECT r_regionkey - 100 AS k, 1.0 + coalesce((SELECT max(cp) FROM n WHERE n.r = r_regionkey), 0) AS cp FROM region)
-SELECT CAST(k AS BIGINT) AS key, round(cp, 2) AS cp FROM n UNION ALL SELECT CAST(k AS BIGINT), round(cp, 2) FROM r""",
+SELECT CAST(k AS BIGINT) AS key, round(cp, 2) AS cp FROM n UNION ALL SELECT CAST(k AS BIGINT), round(cp, 2) FROM r
+UNION ALL SELECT k + {CUSTOMER}, round(cp, 2) FROM c UNION ALL SELECT o_orderkey + {ORDER}, round(o_totalprice, 2) FROM orders""",
     "paired_speedup": f"SELECT unit, kind, round(baseline, 6) AS baseline, round(treated, 6) AS treated, round(speedup, 6) AS speedup, round(saved, 6) AS saved FROM ({_PAIRS})",
     "speedup_percentiles": f"SELECT kind, count(*) AS n, round(avg(speedup), 6) AS mean, round(quantile_cont(speedup, 0.1), 6) AS p10, round(quantile_cont(speedup, 0.5), 6) AS median, round(quantile_cont(speedup, 0.9), 6) AS p90 FROM ({_PAIRS}) GROUP BY 1",
     "speedup_share": f"SELECT kind, round(avg(CASE WHEN speedup >= 1 THEN 1.0 ELSE 0 END), 6) AS ge_1_0, round(avg(CASE WHEN speedup >= 1.5 THEN 1.0 ELSE 0 END), 6) AS ge_1_5, round(avg(CASE WHEN speedup >= 2 THEN 1.0 ELSE 0 END), 6) AS ge_2_0 FROM ({_PAIRS}) GROUP BY 1",
@@ -307,11 +313,13 @@ SELECT CAST(k AS BIGINT) AS key, round(cp, 2) AS cp FROM n UNION ALL SELECT CAST
 m AS (SELECT *, regexp_matches(line, '^(The|In|Und|La) ') AS b FROM l),
 s AS (SELECT *, max(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS open FROM m)
 SELECT doc_id, count(*) AS n_kept, CAST(min(n) AS INT) AS first_line FROM s WHERE b OR (open = 1 AND (starts_with(line, ' ') OR trim(line, ' ') = '')) GROUP BY 1""",
-    "section_carry": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS asked_at FROM conversations",
+    "section_carry": """SELECT p_partkey, CAST(x.n AS INT) AS n, x.section AS section, x.line AS line FROM (SELECT p_partkey, unnest([
+  {'n': 1, 'section': 'package', 'line': 'name = ' || p_name}, {'n': 2, 'section': 'package', 'line': ''}, {'n': 4, 'section': 'features', 'line': 'f' || p_size || ' = []'},
+  {'n': 5, 'section': 'features', 'line': '# g = 1'}, {'n': 7, 'section': 'dependencies', 'line': 'x = ' || p_size}]) AS x FROM part)""",
     "byte_offsets": """SELECT doc_id, CAST(octet_length(encode(text)) - octet_length(encode(list_last(string_split(text, chr(10))))) AS BIGINT) AS last_offset, len(string_split(text, chr(10))) AS n_lines FROM documents""",
     "fnv1a_hash": """SELECT p_partkey, lpad(lower(to_hex(CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split(p_name, ''), lambda x: CAST(ord(x) AS HUGEINT))),
   lambda h, b: (CAST(xor(CAST(h AS UBIGINT), CAST(b AS UBIGINT)) AS HUGEINT) * 1099511628211) % CAST(18446744073709551616 AS HUGEINT)) AS UBIGINT))), 16, '0') AS hash FROM part""",
-    "names": "SELECT p_partkey, replace(p_brand || '-' || p_type, '-', '_') AS crate, 'unit' AS unit, substr(md5(p_name), 1, 12) AS plan, lpad(lower(to_hex(p_partkey)), 16, '0') AS key FROM part",
+    "names": "SELECT p_partkey, replace(p_brand || '-' || p_type, '-', '_') AS crate, p_brand || CASE p_size % 3 WHEN 0 THEN '-2d-core' WHEN 1 THEN '' ELSE '-core' END AS unit, substr(md5(p_name), 1, 12) AS plan, lpad(lower(to_hex(p_partkey)), 16, '0') AS key FROM part",
     "cache_hit_miss": f"SELECT hit, count(*) AS n, min(key) AS least_key FROM (SELECT {_SHA} AS key, {_SHA} IN (SELECT {_SHA} FROM part WHERE p_partkey % 3 = 0) AS hit FROM part) GROUP BY 1",
     "staleness_gate": "SELECT o_orderkey, o_orderkey % 4 <> 0 AND o_orderkey % 10 <> 1 AS fresh FROM orders",
     "session_debounce": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CORPUS = "rank int, name string, version string, downloads long, kind string, baseline_build_secs double, treated_build_secs double, speedup double, status string"
@@ -12,20 +14,25 @@ COMMANDS = "file string, directory string, command string"
 MOST_COMMANDS, MOST_SOURCES = 500, 300  # caps that are the feature of these scans
 
 
-def read_keep(spark: SparkSession, path: str) -> DataFrame:
-    """(scid, lo) of a keep file: one pair of hex halves a line; comments, blank and malformed lines are skipped."""
+def keep_pairs(lines: DataFrame) -> DataFrame:
+    """(scid, lo) of the lines (value) of keep files: one pair of hex halves a line; comments, blank and malformed lines are skipped."""
     line = F.trim("value")
     halves = F.split(line, ":", 2)
-    rows = spark.read.text(path).filter((line != "") & ~line.startswith("#")).select(F.try_element_at(halves, F.lit(1)).alias("scid"), F.try_element_at(halves, F.lit(2)).alias("lo"))
+    rows = lines.filter((line != "") & ~line.startswith("#")).select(F.try_element_at(halves, F.lit(1)).alias("scid"), F.try_element_at(halves, F.lit(2)).alias("lo"))
     return rows.filter("scid rlike '^[0-9a-fA-F]{1,16}$' and lo rlike '^[0-9a-fA-F]{1,16}$'").select(*[F.lpad(F.lower(c), 16, "0").alias(c) for c in ("scid", "lo")]).distinct()
 
 
+def read_keep(spark: SparkSession, path: str) -> DataFrame:
+    """(scid, lo) of a keep file, see keep_pairs."""
+    return keep_pairs(spark.read.text(path))
+
+
 def write_keep(keep: DataFrame, path: str, per_partition: bool = False) -> None:
-    """Append pairs (scid, lo) to a keep file, or write one sorted file a scid."""
+    """Append pairs (scid, lo), sorted, to a keep file, or write one sorted file a scid."""
     if per_partition:
         keep.repartition("scid").sortWithinPartitions("scid", "lo").select("scid", F.concat_ws(":", "scid", "lo").alias("value")).write.partitionBy("scid").mode("overwrite").text(path)
     else:
-        keep.select(F.concat_ws(":", "scid", "lo").alias("value")).write.mode("append").text(path)
+        keep.select(F.concat_ws(":", "scid", "lo").alias("value")).sort("value").write.mode("append").text(path)
 
 
 def read_marks(spark: SparkSession, path: str) -> DataFrame:
@@ -36,10 +43,10 @@ def read_marks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_key_values(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of lines key=value; the later line of a file wins."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line")).filter("line like '%=%'")
+    """(key, value) of lines key=value; the later line of a file wins, and of several files the last by name."""
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line")).filter("line like '%=%'")
     parts = F.split("line", "=", 2)
-    return rows.select("n", F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value")).groupBy("key").agg(F.max_by("value", "n").alias("value"))
+    return rows.select(F.struct("file", "n").alias("at"), F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value")).groupBy("key").agg(F.max_by("value", "at").alias("value"))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -51,8 +58,9 @@ def read_bench(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_compile_commands(spark: SparkSession, path: str, most: int = MOST_COMMANDS) -> DataFrame:
-    """(path, command): the first ``most`` entries, relative files joined to their directory."""
-    rows = spark.read.schema(COMMANDS).json(path, multiLine=True).limit(most)
+    """(path, command): the first ``most`` entries of the array, by file and place; relative files are joined to their directory."""
+    pages = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("page"), F.from_json("value", f"array<struct<{COMMANDS}>>").alias("entries"))
+    rows = pages.select("page", F.posexplode("entries").alias("n", "x")).orderBy("page", "n").limit(most).select("x.*")
     return rows.select(F.when(F.col("file").startswith("/"), F.col("file")).otherwise(F.concat_ws("/", "directory", "file")).alias("path"), "command")
 
 
@@ -99,10 +107,18 @@ def write_diagnostics(lines: DataFrame, path: str) -> bool:
     return True
 
 
+def _between(head: list[str], rows: DataFrame, tail: list[str]) -> DataFrame:
+    """(value): lines of head, then ``rows`` (value) in order, then lines of tail; dealt by ranges, so that part files follow each other."""
+    spark = rows.sparkSession
+    ends = spark.createDataFrame([(k, i, x) for k, lines in ((0, head), (2, tail)) for i, x in enumerate(lines)], "part int, n long, value string")
+    every = ends.unionByName(rows.select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("n"), "value"))
+    return every.sort("part", "n", "value").select("value")
+
+
 def write_symbols(symbols: DataFrame, path: str) -> None:
-    """A version script that exports ``symbols`` (symbol) and hides the rest."""
-    body = F.concat_ws("\n", F.array_sort(F.collect_set(F.concat(F.lit("    "), "symbol", F.lit(";")))))
-    symbols.agg(F.concat(F.lit("{\n  global:\n"), body, F.lit("\n  local: *;\n};")).alias("value")).write.mode("overwrite").text(path)
+    """A version script that exports ``symbols`` (symbol) and hides the rest: the part files in the order of their names."""
+    rows = symbols.select(F.concat(F.lit("    "), "symbol", F.lit(";")).alias("value")).filter("value is not null").distinct()
+    _between(["{", "  global:"], rows, ["  local: *;", "};"]).write.mode("overwrite").text(path)
 
 
 def write_state(table: DataFrame, path: str, by: str) -> None:
@@ -120,9 +136,46 @@ def append_results(results: DataFrame, path: str) -> None:
 
 
 def write_report(results: DataFrame, path: str, title: str, columns: list[str]) -> None:
-    """An HTML table of ``results``; made for summaries: the rows become one page."""
+    """An HTML table of ``results``, rows in their written order: the part files in the order of their names."""
     safe = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), safe(c), F.lit("</td>")) for c in columns], F.lit("</tr>"))
     head = "".join(f"<th>{c}</th>" for c in columns)
-    page = results.agg(F.concat_ws("\n", F.array_sort(F.collect_list(row))).alias("rows"))
-    page.select(F.concat(F.lit(f"<html><head><title>{title}</title></head><body><table><tr>{head}</tr>\n"), "rows", F.lit("\n</table></body></html>")).alias("value")).write.mode("overwrite").text(path)
+    top = f"<html><head><title>{title}</title></head><body><table><tr>{head}</tr>"
+    _between([top], results.select(row.alias("value")), ["</table></body></html>"]).write.mode("overwrite").text(path)
+
+
+ANALYSIS = ("DEFINED_ITEMS", "CALL_EDGES", "TRAIT_IMPLS", "STATICS", "NO_MANGLE")  # fixed values: sections of an analysis record
+
+
+def analysis_rows(records: DataFrame, by: str = "crate") -> DataFrame:
+    """(by, section, item, target) of the texts (by, text) of analysis records.
+
+    A line that is a section's name, in brackets or with a colon too, begins it; others are its
+    entries, ``item`` or ``item -> target``. Entries before the first section and in unknown ones
+    are left out, blank lines and null texts too. The sections run inside one record.
+    """
+    lines = records.select(by, F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
+    name = F.when(F.col("line").rlike(r"^\[?[A-Z_]+\]?:?$"), F.regexp_extract("line", "([A-Z_]+)", 1))
+    section = F.last(name, ignorenulls=True).over(Window.partitionBy(by).orderBy("n"))
+    rows = lines.withColumn("name", name).withColumn("section", section).filter(F.col("name").isNull() & F.col("section").isin(*ANALYSIS))
+    both = F.split("line", r"\s*->\s*", 2)
+    return rows.select(by, "section", both[0].alias("item"), F.get(both, F.lit(1)).alias("target"))
+
+
+def read_analysis(spark: SparkSession, path: str) -> DataFrame:
+    """(crate, section, item, target) of the .analysis files in a folder, see analysis_rows."""
+    crate = F.regexp_extract(F.input_file_name(), r"([^/]+)\.analysis$", 1)
+    texts = spark.read.option("pathGlobFilter", "*.analysis").text(path, wholetext=True).select(crate.alias("crate"), F.col("value").alias("text"))
+    return analysis_rows(texts)
+
+
+def analysis_graph(rows: DataFrame, key: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items (key, crate, item), edges (src, dst) and seeds (key) of analysis records, for a walk over all of them.
+
+    key: of an item's path. Seeds: items named main, statics, no_mangle items and the items of Drop impls.
+    """
+    defined = rows.filter("section = 'DEFINED_ITEMS'").select(key(F.col("item")).alias("key"), "crate", "item").distinct()
+    edges = rows.filter("section = 'CALL_EDGES' and target is not null").select(key(F.col("item")).alias("src"), key(F.col("target")).alias("dst")).distinct()
+    drop = (F.col("section") == "TRAIT_IMPLS") & F.col("target").rlike(r"(^|::)Drop$")
+    seeds = rows.filter(drop | F.col("section").isin("STATICS", "NO_MANGLE") | ((F.col("section") == "DEFINED_ITEMS") & F.col("item").rlike("(^|::)main$")))
+    return defined, edges, seeds.select(key(F.col("item")).alias("key")).distinct()

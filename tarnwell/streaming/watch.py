@@ -19,9 +19,9 @@ def debounce(events: DataFrame, key: str, ts: str = "ts", gap: str = "500 millis
 
 
 def stale(current: DataFrame, marks: DataFrame, by: str, hash_col: str) -> DataFrame:
-    """(by, fresh): whether the marks of a unit were made from its present content; without marks: not fresh."""
-    known = marks.select(by, F.col(hash_col).alias("marked"))
-    return current.join(known, by, "left").select(by, F.coalesce(F.col(hash_col) == F.col("marked"), F.lit(False)).alias("fresh"))
+    """(by, fresh): whether marks of a unit were made from its present content; without marks or a hash: not fresh. Marks may repeat."""
+    known = marks.select(by, hash_col, F.lit(True).alias("fresh")).distinct()
+    return current.select(by, hash_col).join(known, [by, hash_col], "left").select(by, F.coalesce("fresh", F.lit(False)).alias("fresh"))
 
 
 def recompute(current: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
