@@ -16,7 +16,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
@@ -162,6 +162,32 @@ def parse_sources(texts: DataFrame, key: str, backend: str | Parser = "tree", te
     return out.withColumnRenamed("key", key) if key != "key" else out
 
 
+def crate_sources(manifests: DataFrame, sources: DataFrame) -> DataFrame:
+    """(crate, path, text) of ``sources`` (path, text): the crate is that of the nearest folder above with a manifest.
+
+    manifests: (path, text) with a [package] name, dashes as underscores; those without a name are
+    workspaces and own nothing. Sources below no crate are left out. One join on folders: a source
+    has a row for each folder above it.
+    """
+    name = F.regexp_extract("text", r"(?m)^\s*name\s*=\s*\"([^\"]+)\"", 1)
+    folder = lambda path: F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    crates = manifests.select(folder(F.col("path")).alias("folder"), F.translate(name, "-", "_").alias("crate")).filter("crate <> ''").dropDuplicates(["folder"])
+    steps = F.split(folder(F.col("path")), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
+    owner = sources.select("path", F.explode(above).alias("folder")).join(crates, "folder").groupBy("path").agg(F.max_by("crate", F.length("folder")).alias("crate"))
+    return sources.join(owner, "path").select("crate", "path", "text")
+
+
+def read_workspace(spark: SparkSession, path: str, manifest: str = "Cargo.toml", pattern: str = "*.rs") -> DataFrame:
+    """(crate, path, text) of the source files below ``path``, see crate_sources; parse_sources takes them."""
+
+    def read(glob: str) -> DataFrame:
+        rows = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
+        return rows.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+    return crate_sources(read(manifest), read(pattern))
+
+
 def call_graph(facts: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Items (id, key, kind, name, line) and calls (src, dst) between functions, resolved by name inside ``key``.
 
