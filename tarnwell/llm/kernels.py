@@ -14,7 +14,7 @@ import numpy as np
 
 BLOCK = 1 << 20
 LONG_WORD = 1 << 16  # longer words are hashed by digest, so that a block stays small
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # the first k of eight bytes
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # the first k of eight bytes
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -56,7 +56,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-def _eights(data: np.ndarray) -> np.ndarray:
+def eights_of(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each byte on as one little-endian number; behind the end stand zeros."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
@@ -70,12 +70,12 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     are added up, so neither repeated nor exchanged parts cancel.
     """
     size = end - start
-    eights = _eights(data)
-    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(eights[start] & _MASKS[np.minimum(size, 8)])
+    eights = eights_of(data)
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(eights[start] & FIRST_BYTES[np.minimum(size, 8)])
     rows, place = np.flatnonzero(size > 8), 1
     while len(rows):
         left = size[rows] - 8 * place
-        value = eights[start[rows] + 8 * place] & _MASKS[np.minimum(left, 8)]
+        value = eights[start[rows] + 8 * place] & FIRST_BYTES[np.minimum(left, 8)]
         out[rows] += mix64(value ^ np.uint64(place * 0xD6E8FEB86659FD93 % (1 << 64)))
         rows, place = rows[left > 8], place + 1
     return mix64(out)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .kernels import BLOCK, pieces, span_hashes
+from .kernels import BLOCK, FIRST_BYTES, eights_of, pieces, span_hashes
 from .scratch import Scratch, arrow_batches
 
 _HEAD = struct.Struct("<4sBBI")  # magic, 1 for bit planes, number of planes, number of ids
@@ -76,8 +76,14 @@ def unpack(chunk: bytes) -> np.ndarray:
     return (np.packbits(out, axis=1, bitorder="little") if bits else out).reshape(-1).view("<u4")
 
 
+def _gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of ``pool`` in a row."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class _Known:
-    """Ids of segments by a 64-bit hash, a check value (first bytes and length): an open-addressed table in arrays.
+    """Ids of segments by a 64-bit hash: an open-addressed table in arrays. The bytes are kept and compared.
 
     When it is full, segments not used since the last time go.
     """
@@ -89,9 +95,11 @@ class _Known:
 
     def clear(self) -> None:
         n = self.mask + 1
-        self.keys, self.checks = np.zeros(n, np.uint64), np.zeros(n, np.uint64)  # key 0: free
+        self.keys = np.zeros(n, np.uint64)  # 0: free
         self.start, self.size, self.used = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)
-        self.pool, self.count = np.zeros(0, np.uint32), 0
+        self.begin, self.length = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.pool, self.text, self.count = np.zeros(0, np.uint32), np.zeros(0, np.uint8), 0
+        self.eights = eights_of(self.text)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, or the free one where it would go."""
@@ -104,13 +112,23 @@ class _Known:
             open_ = open_[(found != keys[open_]) & (found != 0)]
         return at
 
-    def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(slot, whether it holds the segment) of each."""
+    def find(self, keys: np.ndarray, eights: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, whether it holds the segment) of each; the segments' bytes lie in ``eights`` (see eights_of)."""
         at = self.slots(keys)
-        return at, (self.keys[at] == keys) & (self.checks[at] == checks)
-
-    def add(self, keys: np.ndarray, checks: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """Segments with distinct keys, none of which is known; their ids lie in the pool."""
+        hit = (self.keys[at] == keys) & (self.length[at] == size)
+        rows, place = np.flatnonzero(hit), 0
+        while len(rows):
+            left = size[rows] - 8 * place
+            differ = ((eights[start[rows] + 8 * place] ^ self.eights[self.begin[at[rows]] + 8 * place]) & FIRST_BYTES[np.minimum(left, 8)]) != 0
+            hit[rows[differ]] = False
+            rows, place = rows[(left > 8) & ~differ], place + 1
+        return at, hit
+
+    def _add(self, keys: np.ndarray, text: np.ndarray, length: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Segments with distinct keys, none of which is known; their bytes and ids in a row."""
+        begin, start = len(self.text) + np.cumsum(length) - length, len(self.pool) + np.cumsum(size) - size
+        self.text, self.pool = np.concatenate([self.text, text]), np.concatenate([self.pool, ids])
+        self.eights = eights_of(self.text)
         self.count += len(keys)
         left = np.arange(len(keys))
         while len(left):
@@ -118,21 +136,17 @@ class _Known:
             self.keys[at] = keys[left]  # of several for one free slot, one stays
             won = self.keys[at] == keys[left]
             own, at = left[won], at[won]
-            self.checks[at], self.start[at], self.size[at], self.used[at] = checks[own], start[own], size[own], True
+            self.begin[at], self.length[at], self.start[at], self.size[at], self.used[at] = begin[own], length[own], start[own], size[own], True
             left = left[~won]
 
-    def learn(self, keys: np.ndarray, checks: np.ndarray, ids: list[np.ndarray]) -> None:
-        n = np.array([len(x) for x in ids], np.int64)
-        begin = len(self.pool) + np.cumsum(n) - n
-        self.pool = np.concatenate([self.pool, *ids])
-        self.add(keys, checks, begin, n)
+    def learn(self, keys: np.ndarray, text: np.ndarray, length: np.ndarray, ids: list[np.ndarray]) -> None:
+        self._add(keys, text, length, np.concatenate([self.pool[:0], *ids]), np.array([len(x) for x in ids], np.int64))
 
     def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of slots in a row, and how many each has."""
         self.used[at] = True
         n = self.size[at].astype(np.int64)
-        ends = np.cumsum(n)
-        return self.pool[np.repeat(self.start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
+        return _gathered(self.pool, self.start[at], n), n
 
     def shrink(self) -> None:
         if self.count <= self.most:
@@ -142,10 +156,10 @@ class _Known:
             self.clear()
             return
         pool, n = self.ids(kept)
-        keys, checks = self.keys[kept], self.checks[kept]
+        keys, length = self.keys[kept], self.length[kept].astype(np.int64)
+        text = _gathered(self.text, self.begin[kept], length)
         self.clear()
-        self.pool = pool
-        self.add(keys, checks, np.cumsum(n) - n, n)
+        self._add(keys, text, length, pool, n)
         self.used[:] = False
 
 
@@ -222,20 +236,17 @@ class SegmentEncoder:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
         key = span_hashes(flat[:n], start, end) | np.uint64(1)
-        head = np.zeros(len(start), np.uint64)
-        size = end - start
-        for k in range(7):
-            head = (head << np.uint64(8)) | np.where(k < size, flat[start + k], 0).astype(np.uint64)
-        check = (head << np.uint64(8)) | np.minimum(size, 255).astype(np.uint64)
-        entry, hit = self.known.find(key, check)
+        size, eights = end - start, eights_of(flat)
+        entry, hit = self.known.find(key, eights, start, size)
         if not hit.all():
             new, first = np.unique(key[~hit], return_index=True)
             at = np.flatnonzero(~hit)[first]
             found = self._segments([flat[a:b].tobytes().decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
             clash = self.known.keys[self.known.slots(new)] == new  # another segment has this hash: such texts go whole
-            self.known.learn(new[~clash], check[at][~clash], [x for x, c in zip(found, clash.tolist(), strict=True) if not c])
+            own = at[~clash]
+            self.known.learn(new[~clash], _gathered(flat, start[own], size[own]), size[own], [x for x, c in zip(found, clash.tolist(), strict=True) if not c])
             late = np.flatnonzero(~hit)
-            entry[late], hit[late] = self.known.find(key[late], check[late])
+            entry[late], hit[late] = self.known.find(key[late], eights, start[late], size[late])
         ids, many = self.known.ids(entry)
         ends = np.concatenate([[0], np.cumsum(many)])[np.searchsorted(start, bounds)]
         for i in {int(np.searchsorted(bounds, a, "right")) - 1 for a in start[~hit].tolist()}:

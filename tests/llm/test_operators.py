@@ -290,6 +290,21 @@ def test_tokens(spark, odd, none, tmp_path):
     assert token_files.tokens_round_trip(none, BPE).count() == 0
 
 
+def test_segments_of_one_hash(monkeypatch):
+    """Segments that share a hash are told apart by their bytes; so are those of tables that forget."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    hashes = token_files.span_hashes
+    monkeypatch.setattr(token_files, "span_hashes", lambda data, start, end: hashes(data, start, end) % np.uint64(7) * np.uint64(1 << 40))
+    monkeypatch.setattr(token_files, "REMEMBERED", 20)
+    codes = token_files.SegmentEncoder(BPE)
+    for k in range(12):
+        texts = [sentence(30) + " x" * k, "", "wordword" * 5 + f" wordword{'word' * k}", f"word{k} wordworda wordwordb"]
+        for text, ids in zip(texts, codes.encode(texts), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 # 8
 
 
