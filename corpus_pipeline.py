@@ -1,7 +1,9 @@
 """Corpus pipeline: toxicity, repeated lines, near-duplicates, benchmark leaks, piece encoding.
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a
-DataFrame; all but the last return the columns of documents.
+DataFrame; all but the last return the columns of documents. Rows with null ids or null texts, empty
+texts and repeated rows go through every stage as the operators' docstrings say; empty tables give
+empty tables.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from tarnwell.llm.decontaminate import without_leaks
 from tarnwell.llm.line_dedup import remove_repeated_lines
 from tarnwell.llm.minhash_dedup import MinHash, near_duplicates
 from tarnwell.llm.queries import tokenizer_file
-from tarnwell.llm.scratch import Scratch
+from tarnwell.llm.scratch import Scratch, working_tables
 from tarnwell.llm.sentencepieces import encode_pieces
 from tarnwell.llm.toxicity import train, without_toxic
 
@@ -41,10 +43,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids and whether decoding them gives the text back."""
+    """Every document's ids; round_trip: whether they decode to its text (false for null texts). lang and source where docs has them."""
     model = tokenizer_file("piece_bpe_32k.model")
-    rows = encode_pieces(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"), F.col("text").alias("kept_text")), model, decoded=True)
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.coalesce(F.col("decoded") == F.col("kept_text"), F.lit(False)).alias("round_trip"))
+    names = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    rows = encode_pieces(docs.select(*names, F.coalesce("text", F.lit("")).alias("text"), F.col("text").alias("kept_text")), model, decoded=True)
+    return rows.select(*names, F.size("ids").cast("long").alias("n_tokens"), "ids", F.coalesce(F.col("decoded") == F.col("kept_text"), F.lit(False)).alias("round_trip"))
 
 
 STAGES = [
@@ -60,9 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over documents, each written and read again."""
-    scratch = Scratch(spark, "pipeline")
+    """The stages one after the other over documents, each written and read again; what a stage needed in between goes with it."""
+    scratch, written = Scratch(spark, "pipeline"), []
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with working_tables(spark):
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.drop(*written)
+        written = [docs]
     return docs

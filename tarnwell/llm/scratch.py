@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Session settings of the operators.
+    """Session settings of the operators; they stay, as results are lazy and run under them.
 
     Arrow batches handed to Python are bounded by rows and bytes, as whole texts can be long.
     Shuffle files go when the query that made them ends: every step's result is a written table,
@@ -39,12 +42,35 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
+_scope: ContextVar[str | None] = ContextVar("working_tables", default=None)
+
+
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[str]:
+    """A scope whose operators put their working tables into one folder, which goes at its end.
+
+    Results are lazy and read these tables: write them before the scope ends.
+    """
+    root = f"{shared_folder(spark)}/scope-{uuid.uuid4().hex}"
+    token = _scope.set(root)
+    try:
+        yield root
+    finally:
+        _scope.reset(token)
+        _remove(spark, root)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Scratch:
     """Parquet tables of one operator run, under a folder of its own in the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{_scope.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._made = 0
         arrow_batches(spark)
 
@@ -62,8 +88,5 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that nothing reads any more, to keep the shared folder small."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            where = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-            where.getFileSystem(conf).delete(where, True)
+            _remove(self.spark, table.scratch_path)

@@ -388,9 +388,104 @@ def test_many_notices_in_a_long_text():
     assert [s["first"] for s in spans] == [k for i in range(3000) for k in (9 * i + 1, 9 * i + 5)]
 
 
+def letters_apart(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_licenses_against_every_span():
+    """Labels by the edit distance of every span of words to every phrase."""
+    r, found = random.Random(4), 0
+    for k in range(150):
+        notice = license_scan.NOTICES[k % len(license_scan.NOTICES)]
+        phrase = list(notice.phrase)
+        for _ in range(r.randrange(notice.edits + 3)):
+            at = r.randrange(len(phrase))
+            phrase[at : at + 1] = r.choice([[], ["x"], [phrase[at], "y"], [" "]])
+        text = " ".join(["some", "words", "".join(phrase), "license", "of", "version", "2", "use"])
+        words, want = text.split(), set()
+        for n in license_scan.NOTICES:
+            loose = n.phrase.rstrip("0123456789 ") if n.edits else n.phrase
+            fixed = n.phrase[len(loose) :]
+            for i in range(len(words)):
+                for j in range(i + 1, min(len(words), i + 12) + 1):
+                    span = " ".join(words[i:j])
+                    if span.endswith(fixed) and letters_apart(loose, span[: len(span) - len(fixed)]) <= n.edits:
+                        want.add(n.label)
+        assert license_scan.scan(text.encode())[5] == ",".join(sorted(want)), text
+        found += bool(want)
+    assert 60 < found < 150
+
+
 # all
 
 
+def test_stages_on_odd_rows(spark, odd, none):
+    """Null ids and texts, empty, blank, long and repeated rows, texts that share an id, no rows; columns beyond those of documents."""
+    import corpus_pipeline
+
+    more = odd.union(spark.createDataFrame([(1, "another text of the first id", "en", 0, "x"), (5, None, None, None, None)], odd.schema))
+    for table, least in ((more, 9), (none, 0)):
+        docs_ = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs_, SMALL)
+            assert out.columns == table.columns, name
+            docs_ = spark.createDataFrame(out.collect(), table.schema)
+        rows = corpus_pipeline.STAGES[-1][1](spark, docs_, SMALL).collect()
+        assert len(rows) == docs_.count() >= least
+        assert all(r.n_tokens == len(r.ids) >= 1 for r in rows)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """An id that comes with other texts, copies and null: each row comes back, alike whatever the order."""
+    texts = spark.createDataFrame([(1, sentence(70, seed=1)), (1, sentence(70, seed=2)), (1, None), (2, sentence(70, seed=1)), (2, ""), (3, sentence(70, seed=2)), (3, sentence(70, seed=2))], "doc_id long, text string")
+    for rows in (texts, texts.orderBy(F.col("text").desc_nulls_last())):
+        removed = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(rows).collect())
+        assert removed == [(1, 0, 0), (1, 70, 0), (1, 70, 0), (2, 0, 0), (2, 70, 70), (3, 70, 70), (3, 70, 70)]
+        assert line_dedup.remove_repeated_lines(rows).count() == 7 and license_scan.license_notices(rows).count() == 7 and secret_scan.secrets(rows).count() == 7
+        assert {r.start for r in token_files.tokens_round_trip(rows, BPE).collect()} == {r.start for r in token_files.tokens_round_trip(texts, BPE).collect()}
+        pairs = fingerprints.fingerprint_pairs(rows).collect()
+        assert len(pairs) == 7 and {r.near_next for r in pairs if r.doc_id == 3} == {0.0}
+        assert sentencepieces.encode_pieces(rows, PIECES).count() == 7
+
+
+def test_clashing_columns(spark):
+    """Columns named like those that operators add or use."""
+    names = ["n_lines", "n_removed", "row", "marks", "version", "ids", "decoded", "score", "kept", "bucket", "component_id", "lines", "at"]
+    table = spark.createDataFrame([(1, "a\nb\nc", *names), (2, "a\nb\nc\nd", *names)], ["doc_id", "text", *names])
+    out = line_dedup.remove_repeated_lines(table)
+    assert {(r.doc_id, r.text, r.row, r.marks, r.n_removed) for r in out.collect()} == {(1, "a\nb\nc", "row", "marks", 0), (2, "d", "row", "marks", 3)}
+    assert {(r.doc_id, r.decoded, r.score) for r in sentencepieces.encode_pieces(table, PIECES, decoded=True).collect()} == {(1, "a\nb\nc", "score"), (2, "a\nb\nc\nd", "score")}
+    model = toxicity.train(table, spark.createDataFrame([], "doc_id long, toxic int"))
+    for rows in (substring_dedup.remove_repeats(table), minhash_dedup.near_duplicates(table), toxicity.toxicity(table, model), toxicity.without_toxic(table, model), secret_scan.secrets(table), token_files.tokens_round_trip(table, BPE), fingerprints.fingerprint_pairs(table), license_scan.license_notices(table)):
+        assert rows.count() == 2
+
+
+def test_texts_beyond_a_block(spark):
+    """Texts of more than a megabyte, in one word and in many."""
+    long = " ".join(f"w{i}" for i in range(200_000))
+    texts = docs(spark, long, "x" * 1_200_000, long + " tail")
+    words = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(texts).collect()}
+    assert words == {1: (200_000, 0), 2: (1, 0), 3: (200_001, 200_000)}
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(texts).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_working_tables_go_with_their_scope(spark):
+    import os
+
+    from tarnwell.llm.scratch import working_tables
+
+    with working_tables(spark) as root:
+        out = minhash_dedup.near_duplicates(docs(spark, sentence(20), sentence(20))).collect()
+        assert len(out) == 2 and os.listdir(root.removeprefix("file://"))
+    assert not os.path.exists(root.removeprefix("file://"))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
