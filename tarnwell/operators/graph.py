@@ -59,18 +59,23 @@ def reachable(edges: DataFrame, seeds: DataFrame, expand: DataFrame | None = Non
     edges = _dealt(edges, "src")
     by_key = lambda df: df.repartition(_parts(edges), "key").sortWithinPartitions("key")
     frontier = cut(by_key(seeds.filter("key is not null").select(F.col("key").cast("long").alias("key")).distinct()))
-    parts = [frontier]
+    parts, met = [frontier], 0
     while n := frontier.count():
+        met += n
         found = _step(edges, "src", frontier, n).select(F.col("dst").alias("key")).distinct()
-        for part in parts:
-            found = found.join(part, "key", "left_anti")
-        frontier = cut(found.sortWithinPartitions("key"))
+        if met <= SMALL:  # a counted size; beyond it, parts lie dealt and sorted by key, as what is found
+            frontier = cut(found.join(F.broadcast(_union(parts)), "key", "left_anti"))
+        else:
+            for part in parts:
+                found = found.join(part, "key", "left_anti")
+            frontier = cut(found.sortWithinPartitions("key"))
         parts.append(frontier)
-        if len(parts) > COMPACT:
-            seen = parts[0]
-            for part in parts[1:]:
-                seen = seen.union(part)
-            parts = [cut(by_key(seen))]
+        if len(parts) > COMPACT and met > SMALL:
+            parts = [cut(by_key(_union(parts)))]
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
@@ -249,22 +254,19 @@ def strong_components(deps: DataFrame) -> DataFrame:
     left = cut(deps.filter("src is not null and dst is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct())
     out = left.filter("src = dst").select(F.col("src").alias("key"), F.col("src").alias("component"))
     left = cut(left.filter("src <> dst"))
-    while True:
-        for here, there in (("src", "dst"), ("dst", "src")):
-            turned = left.select(F.col(here).alias("src"), F.col(there).alias("dst"))
-            nodes = turned.select(F.col("src").alias("key")).union(turned.select("dst")).distinct()
-            open_ = topological_levels(nodes, turned).filter("level is null").select("key")
-            left = cut(_inside(left, open_))
-        if left.isEmpty():
-            return out.groupBy("key").agg(F.max("component").alias("component"))
+    for here, there in (("src", "dst"), ("dst", "src")):
+        turned = left.select(F.col(here).alias("src"), F.col(there).alias("dst"))
+        nodes = turned.select(F.col("src").alias("key")).union(turned.select("dst")).distinct()
+        left = cut(_inside(left, topological_levels(nodes, turned).filter("level is null").select("key")))
+    while not left.isEmpty():
         colour = _largest_reaching(left)
         same = left.join(colour.select(F.col("key").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("key").alias("dst"), F.col("colour").alias("b")), "dst")
         back = same.filter("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         met = reachable(back, colour.filter("key = colour").select("key"))
         found = cut(met.join(colour, "key").select("key", F.col("colour").alias("component")))
         out = cut(out.union(found.join(found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component"), "component").select("key", "component")))
-        rest = colour.join(found, "key", "left_anti").select("key")
-        left = cut(_inside(left, rest))
+        left = cut(_inside(left, colour.join(found, "key", "left_anti").select("key")))
+    return out.groupBy("key").agg(F.max("component").alias("component"))
 
 
 def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:

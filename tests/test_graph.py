@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tarnwell.operators import graph
@@ -79,3 +82,42 @@ def test_reduction(spark):
     fns = items(spark, "a", "b", "c", "d")
     row = graph.reduction_by(fns, spark.createDataFrame([(0,), (0,), (3,)], "key long"), "krate").collect()[0]
     assert (row.n_items, row.n_marked, row.removed, row.skip) == (4, 2, 2, False)
+
+
+@pytest.mark.parametrize("small", [0, 1_000_000])
+def test_walks_beside_brute_force(spark, monkeypatch, small):
+    """Random graphs with a hub, cycles, loops, repeated edges and null ends; frontiers broadcast and joined with salts."""
+    monkeypatch.setattr(graph, "SMALL", small)
+    monkeypatch.setattr(graph, "COMPACT", 2)
+    r = random.Random(small)
+    pairs = [(0, k) for k in range(1, 30)] + [(r.randrange(60), r.randrange(60)) for _ in range(50)] + [(5, 5), (0, 1), (None, 3), (3, None)] + [(40 + k, 41 + k) for k in range(9)]
+    known = {p for p in pairs if None not in p}
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    reach = {k: {k} for k in range(60)}
+    for _ in range(60):
+        for a, b in known:
+            reach[a] |= reach[b]
+    got = {x.key for x in graph.reachable(edges, spark.createDataFrame([(0,), (40,)], "key long")).collect()}
+    assert got == reach[0] | reach[40]
+
+    nodes = spark.createDataFrame([(k, float(k % 7)) for k in range(60)], "key long, weight double")
+    level, cost = {}, {}
+    for _ in range(60):
+        for k in range(60):
+            out = {b for a, b in known if a == k}
+            if k not in level and out <= level.keys():
+                level[k] = 1 + max((level[x] for x in out), default=-1)
+                cost[k] = k % 7 + max((cost[x] for x in out), default=0)
+    assert {x.key: x.level for x in graph.topological_levels(nodes, edges).collect()} == {k: level.get(k) for k in range(60)}
+    assert {x.key: x.cp for x in graph.critical_path(nodes, edges).collect()} == cost
+
+    circle = {k for k in range(60) if any(k in reach[b] for a, b in known if a == k)}
+    got = {x.key: x.component for x in graph.strong_components(edges).collect()}
+    assert got == {k: max(j for j in circle if j in reach[k] and k in reach[j]) for k in circle}
+    parts = {x.key: x.part for x in graph.independent_parts(edges, nodes.filter("key <> 0").select("key")).collect()}
+    side = {k: k for k in range(1, 60)}
+    for _ in range(60):
+        for a, b in known:
+            if a and b:
+                side[a] = side[b] = min(side[a], side[b])
+    assert parts == side
