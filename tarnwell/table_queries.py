@@ -17,7 +17,9 @@ from .queries import _EDGES, _REACHED, _SAFE, PART, _edges, _manifests, _part_it
 from .sources import files, parsers
 from .streaming import watch
 
-_P = F.col("p_partkey")
+
+def _p() -> F.Column:
+    return F.col("p_partkey")
 
 
 def _text(spark: SparkSession, rows: DataFrame, name: str, by: str | None = None) -> str:
@@ -56,7 +58,7 @@ def keep_appended(spark, sf_dir):
 
 
 def compile_commands(spark, sf_dir):
-    entry = F.to_json(F.struct(F.when(_P % 3 == 0, F.concat(F.lit("/abs/"), _P)).otherwise(F.concat(F.lit("src/"), _P)).alias("file"), F.lit("/build").alias("directory"), F.col("p_type").alias("command")))
+    entry = F.to_json(F.struct(F.when(_p() % 3 == 0, F.concat(F.lit("/abs/"), _p())).otherwise(F.concat(F.lit("src/"), _p())).alias("file"), F.lit("/build").alias("directory"), F.col("p_type").alias("command")))
     rows = _bodies(_table(spark, sf_dir, "part"), "p_size", "p_partkey", entry)
     value = F.concat(F.lit("["), F.replace(F.col("value"), F.lit("\n"), F.lit(",\n")), F.lit("]"))
     path = _text(spark, rows.select(F.lpad(F.col("p_size").cast("string"), 3, "0").alias("size"), value.alias("value")), "commands", "size")
@@ -70,32 +72,32 @@ def source_tree(spark, sf_dir):
 
 
 def linked_symbols(spark, sf_dir):
-    kind = F.element_at(F.array(*[F.lit(x) for x in "tTwWUd"]), (_P % 6 + 1).cast("int"))
-    rows = _table(spark, sf_dir, "part").select(F.concat(F.lpad(F.hex(_P), 16, "0"), F.lit(" "), kind, F.lit(" "), "p_name").alias("value"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in "tTwWUd"]), (_p() % 6 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "part").select(F.concat(F.lpad(F.hex(_p()), 16, "0"), F.lit(" "), kind, F.lit(" "), "p_name").alias("value"))
     return files.read_symbols(spark, _text(spark, rows, "symbols"))
 
 
 def timing_reports(spark, sf_dir):
-    unit = F.to_json(F.struct(_P.cast("int").alias("i"), F.col("p_brand").alias("name"), F.lit("1.0").alias("version"), F.lit("todo").alias("mode"), (_P * 0.5).alias("start"), F.col("p_size").cast("double").alias("duration")))
+    unit = F.to_json(F.struct(_p().cast("int").alias("i"), F.col("p_brand").alias("name"), F.lit("1.0").alias("version"), F.lit("todo").alias("mode"), (_p() * 0.5).alias("start"), F.col("p_size").cast("double").alias("duration")))
     rows = _bodies(_table(spark, sf_dir, "part"), "p_size", "p_partkey", unit)
     page = F.concat(F.lit("<html><script>const UNIT_DATA = ["), F.replace(F.col("value"), F.lit("\n"), F.lit(",\n")), F.lit("];</script></html>"))
     return files.read_timings(spark, _text(spark, rows.select("p_size", page.alias("value")), "timings", "p_size")).drop("file")
 
 
 def key_values(spark, sf_dir):
-    pair = F.concat(F.lit("k"), _P, F.lit(" = "), "p_size", F.lit("\n# no pair\nk"), _P, F.lit("=v="), _P, F.lit("\nall = "), "p_size")
+    pair = F.concat(F.lit("k"), _p(), F.lit(" = "), "p_size", F.lit("\n# no pair\nk"), _p(), F.lit("=v="), _p(), F.lit("\nall = "), "p_size")
     return files.read_key_values(spark, _text(spark, _bodies(_table(spark, sf_dir, "part"), "p_size", "p_partkey", pair), "values", "p_size"))
 
 
 def named_dump(spark, sf_dir):
     path = new_folder(spark, "dump")
-    files.write_named_dump(_table(spark, sf_dir, "part").select((_P % 7).alias("scid"), _P.alias("lo"), F.col("p_name").alias("path")), path)
+    files.write_named_dump(_table(spark, sf_dir, "part").select((_p() % 7).alias("scid"), _p().alias("lo"), F.col("p_name").alias("path")), path)
     return spark.read.text(path)
 
 
 def error_log(spark, sf_dir):
     path, part = new_folder(spark, "errors"), _table(spark, sf_dir, "part")
-    rows = part.select(F.col("p_brand").alias("log"), _P.alias("n"), F.concat(F.lit("error: "), "p_name").alias("line"))
+    rows = part.select(F.col("p_brand").alias("log"), _p().alias("n"), F.concat(F.lit("error: "), "p_name").alias("line"))
     wrote = files.write_diagnostics(rows.filter("n % 10 = 0"), path) and not files.write_diagnostics(rows.filter("n < 0"), path)
     return spark.read.text(path).groupBy("value").agg(F.count("*").alias("n")).withColumn("wrote", F.lit(wrote))
 
@@ -133,13 +135,13 @@ def result_report(spark, sf_dir):
 
 
 def benchmark_table(spark, sf_dir):
-    runs = _table(spark, sf_dir, "part").select(F.when(_P == 1, "baseline").otherwise(F.concat(F.lit("r"), _P)).alias("name"), F.col("p_size").cast("double").alias("duration_secs"), (_P % 4 != 3).alias("success"))
+    runs = _table(spark, sf_dir, "part").select(F.when(_p() == 1, "baseline").otherwise(F.concat(F.lit("r"), _p())).alias("name"), F.col("p_size").cast("double").alias("duration_secs"), (_p() % 4 != 3).alias("success"))
     return measurements.benchmark_summary(runs).withColumn("speedup", F.round("speedup", 6))
 
 
 def incremental_misses(spark, sf_dir):
     now = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.md5("p_name").alias("hash"))
-    return watch.recompute(now, now.filter("p_partkey % 3 > 0").withColumn("hash", F.when(_P % 5 == 0, "old").otherwise(F.col("hash"))), ["p_partkey", "p_brand", "hash"]).select("p_partkey")
+    return watch.recompute(now, now.filter("p_partkey % 3 > 0").withColumn("hash", F.when(_p() % 5 == 0, "old").otherwise(F.col("hash"))), ["p_partkey", "p_brand", "hash"]).select("p_partkey")
 
 
 # extraction and parsing
@@ -161,8 +163,8 @@ def asm_symbols(spark, sf_dir):
 
 
 def dynamic_traits(spark, sf_dir):
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("Ref", "RawPtr", "Dynamic", "Adt")]), (_P % 4 + 1).cast("int"))
-    types = _table(spark, sf_dir, "part").select(_P.alias("type_id"), kind.alias("kind"), F.when(_P % 3 != 0, _P % 11).alias("principal"), F.when((_P % 4 < 2) & (_P % 8 != 0), F.floor(_P / 2)).alias("inner"), "p_size")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("Ref", "RawPtr", "Dynamic", "Adt")]), (_p() % 4 + 1).cast("int"))
+    types = _table(spark, sf_dir, "part").select(_p().alias("type_id"), kind.alias("kind"), F.when(_p() % 3 != 0, _p() % 11).alias("principal"), F.when((_p() % 4 < 2) & (_p() % 8 != 0), F.floor(_p() / 2)).alias("inner"), "p_size")
     return extraction.dynamic_traits(types, types.filter("p_size > 45").select("type_id"))
 
 
@@ -173,7 +175,7 @@ def _code(spark, sf_dir):
     head, *rest = _CODE.format("\0").split("\0")
     parts = [F.lit(head)]
     for piece in rest:
-        parts += [_P.cast("string"), F.lit(piece)]
+        parts += [_p().cast("string"), F.lit(piece)]
     return _table(spark, sf_dir, "part").select("p_partkey", F.concat(*parts).alias("text"))
 
 
@@ -205,8 +207,8 @@ def item_lines(spark, sf_dir):
 def workspace_sources(spark, sf_dir):
     """Sources of nested crates: each part's file lies in the crate of its size, in a folder of which a crate of its own may be."""
     size = F.col("p_size").cast("string")
-    sources = _table(spark, sf_dir, "part").select(F.concat(F.lit("/w/c"), size, F.when(_P % 2 == 0, "/inner"), F.lit("/src/f"), _P, F.lit(".rs")).alias("path"), F.lit("fn x() {}").alias("text"))
-    sources = sources.filter("path is not null").unionByName(_table(spark, sf_dir, "part").filter("p_partkey % 2 = 1").select(F.concat(F.lit("/w/c"), size, F.lit("/src/f"), _P, F.lit(".rs")).alias("path"), F.lit("fn x() {}").alias("text")))
+    sources = _table(spark, sf_dir, "part").select(F.concat(F.lit("/w/c"), size, F.when(_p() % 2 == 0, "/inner"), F.lit("/src/f"), _p(), F.lit(".rs")).alias("path"), F.lit("fn x() {}").alias("text"))
+    sources = sources.filter("path is not null").unionByName(_table(spark, sf_dir, "part").filter("p_partkey % 2 = 1").select(F.concat(F.lit("/w/c"), size, F.lit("/src/f"), _p(), F.lit(".rs")).alias("path"), F.lit("fn x() {}").alias("text")))
     manifests = _table(spark, sf_dir, "part").select("p_size").distinct()
     text = lambda name: F.concat(F.lit("[package]\nname = \""), name, F.lit("\"\n"))
     own = manifests.select(F.concat(F.lit("/w/c"), size, F.lit("/Cargo.toml")).alias("path"), text(F.concat(F.lit("c-"), size)).alias("text"))
@@ -229,8 +231,8 @@ def first_types(spark, sf_dir):
 
 def scripts(spark, sf_dir):
     """Scripts with and without a #! line, a manifest and an edition."""
-    manifest = F.when(_P % 3 == 0, F.lit("[package]\nedition = \"2018\"\n")).when(_P % 3 == 1, F.concat(F.lit("[package]\nname = \"p"), _P, F.lit("\"\n"))).otherwise(F.lit("[dependencies]\n"))
-    text = F.concat(F.when(_P % 2 == 0, "#!/usr/bin/env run\n").otherwise(""), F.when(_P % 5 > 0, F.concat(F.lit("---cargo\n"), manifest, F.lit("---\n"))).otherwise(""), F.lit("#include <a.h>\n  #include \"b"), _P, F.lit(".h\"\nfn main() {}\n"))
+    manifest = F.when(_p() % 3 == 0, F.lit("[package]\nedition = \"2018\"\n")).when(_p() % 3 == 1, F.concat(F.lit("[package]\nname = \"p"), _p(), F.lit("\"\n"))).otherwise(F.lit("[dependencies]\n"))
+    text = F.concat(F.when(_p() % 2 == 0, "#!/usr/bin/env run\n").otherwise(""), F.when(_p() % 5 > 0, F.concat(F.lit("---cargo\n"), manifest, F.lit("---\n"))).otherwise(""), F.lit("#include <a.h>\n  #include \"b"), _p(), F.lit(".h\"\nfn main() {}\n"))
     front = scalars.frontmatter(F.col("text"))
     rows = _table(spark, sf_dir, "part").select("p_partkey", text.alias("text")).select("p_partkey", "text", front.alias("manifest"))
     return rows.select("p_partkey", F.array_join(scalars.includes(F.col("text")), ",").alias("includes"), "manifest", scalars.has_edition(F.col("manifest")).alias("has_edition"), scalars.with_edition(F.col("manifest")).alias("completed"))
@@ -241,7 +243,7 @@ def script_caches(spark, sf_dir):
 
 
 def hex_numbers(spark, sf_dir):
-    digits = F.when(_P % 4 == 0, F.concat(F.lit(" "), F.lower(F.hex(_P)))).when(_P % 4 == 1, F.concat(F.lit("ffffffff"), F.lpad(F.hex(_P), 8, "0"))).when(_P % 4 == 2, F.concat(F.hex(_P), F.lit("xyz"))).otherwise(F.lit(""))
+    digits = F.when(_p() % 4 == 0, F.concat(F.lit(" "), F.lower(F.hex(_p())))).when(_p() % 4 == 1, F.concat(F.lit("ffffffff"), F.lpad(F.hex(_p()), 8, "0"))).when(_p() % 4 == 2, F.concat(F.hex(_p()), F.lit("xyz"))).otherwise(F.lit(""))
     return _table(spark, sf_dir, "part").select("p_partkey", scalars.parse_hex(digits).cast("string").alias("number"))
 
 
@@ -249,7 +251,7 @@ def hex_numbers(spark, sf_dir):
 
 
 def packed_keys(spark, sf_dir):
-    return _table(spark, sf_dir, "part").select("p_partkey", graph.pack_key(F.col("p_size"), _P).alias("key"))
+    return _table(spark, sf_dir, "part").select("p_partkey", graph.pack_key(F.col("p_size"), _p()).alias("key"))
 
 
 def keep_rules(spark, sf_dir):
@@ -287,7 +289,7 @@ def _parts_called(spark, sf_dir):
     """Parts call the part of twice their number, and odd ones that behind it."""
     n = _table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("most"))
     part = _table(spark, sf_dir, "part").crossJoin(F.broadcast(n))  # one row
-    every = part.select((_P + PART).alias("src"), (_P * 2 + PART).alias("dst"), "most").union(part.filter(_P % 2 == 1).select(_P + PART, _P * 2 + 1 + PART, "most"))
+    every = part.select((_p() + PART).alias("src"), (_p() * 2 + PART).alias("dst"), "most").union(part.filter(_p() % 2 == 1).select(_p() + PART, _p() * 2 + 1 + PART, "most"))
     return every.filter(F.col("dst") <= F.col("most") + PART).select("src", "dst")
 
 
@@ -316,10 +318,10 @@ def cross_partition_marks(spark, sf_dir):
 
 def analysis_walk(spark, sf_dir):
     """What a walk over analysis records, one for each size, reaches."""
-    p = _P.cast("string")
+    p = _p().cast("string")
     line = F.concat(
-        F.lit("[DEFINED_ITEMS]\n"), F.when(_P == 7, "main").otherwise(F.concat(F.lit("p"), p)), F.lit("\nCALL_EDGES:\n"), F.when(_P == 7, F.lit("main -> p14\n")).otherwise(F.concat(F.lit("p"), p, F.lit(" -> p"), _P * 2, F.lit("\n"))),
-        F.when(_P % 500 == 3, F.concat(F.lit("NO_MANGLE\np"), p, F.lit("\n"))).otherwise(""), F.when(_P % 500 == 9, F.concat(F.lit("TRAIT_IMPLS\np"), p, F.lit(" -> core::Drop\n"))).otherwise(F.concat(F.lit("TRAIT_IMPLS\np"), p, F.lit(" -> Clone\n"))),
+        F.lit("[DEFINED_ITEMS]\n"), F.when(_p() == 7, "main").otherwise(F.concat(F.lit("p"), p)), F.lit("\nCALL_EDGES:\n"), F.when(_p() == 7, F.lit("main -> p14\n")).otherwise(F.concat(F.lit("p"), p, F.lit(" -> p"), _p() * 2, F.lit("\n"))),
+        F.when(_p() % 500 == 3, F.concat(F.lit("NO_MANGLE\np"), p, F.lit("\n"))).otherwise(""), F.when(_p() % 500 == 9, F.concat(F.lit("TRAIT_IMPLS\np"), p, F.lit(" -> core::Drop\n"))).otherwise(F.concat(F.lit("TRAIT_IMPLS\np"), p, F.lit(" -> Clone\n"))),
     )
     texts = _bodies(_table(spark, sf_dir, "part"), "p_size", "p_partkey", line).select(F.concat(F.lit("c"), F.col("p_size")).alias("crate"), F.col("value").alias("text"))
     items, edges, seeds = files.analysis_graph(files.analysis_rows(texts))
@@ -327,7 +329,7 @@ def analysis_walk(spark, sf_dir):
 
 
 def independent_parts(spark, sf_dir):
-    nodes = _table(spark, sf_dir, "part").filter("p_partkey % 9 > 0").select((_P + PART).alias("key"))
+    nodes = _table(spark, sf_dir, "part").filter("p_partkey % 9 > 0").select((_p() + PART).alias("key"))
     return graph.independent_parts(_parts_called(spark, sf_dir), nodes)
 
 

@@ -1,5 +1,10 @@
 """The library's registered queries against their SQL, on the smallest tables."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -37,3 +42,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() >= 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_imports_without_a_session():
+    """A new process, in which no Spark session runs, can list the queries."""
+    root = Path(__file__).resolve().parent.parent
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, env={**os.environ, "PYTHONPATH": str(root)}, check=True, timeout=120)
