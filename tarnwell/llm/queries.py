@@ -12,11 +12,14 @@ from .fingerprints import fingerprint_pairs
 from .license_scan import license_notices
 from .line_dedup import remove_repeated_lines
 from .minhash_dedup import MinHash, near_duplicates
+from .quality import quality
+from .quality import train as train_quality
 from .secret_scan import secrets
 from .sentencepieces import encode_pieces
 from .substring_dedup import Repeats, remove_repeats
 from .token_files import tokens_round_trip
 from .toxicity import toxicity, train
+from .vector_codes import Coding, vector_codes, with_label_error
 
 
 def tokenizer_file(name: str) -> str:
@@ -91,6 +94,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_notices(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, code, error, label_error, codebooks_sha256."""
+    found = vector_codes(_table(spark, sf_dir, "embeddings"), Coding())
+    out = with_label_error(found.rows)
+    return out.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, feature."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -102,12 +118,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepieces": op8_sentencepieces,
     "op9_fingerprints": op9_fingerprints,
     "op10_license_scan": op10_license_scan,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_quality": op12_quality,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Codebooks and codes of op11, a round a pair of tables; squared distances are whole numbers below 2**53."""
+    steps = [f"""WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, label, part, y, list_inner_product(y, y) AS yy
+  FROM (SELECT vec_id, label, i AS part, x[i * (len(x) // {parts}) + 1:(i + 1) * (len(x) // {parts})] AS y FROM v, range({parts}) r(i))
+), b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, y AS c FROM p QUALIFY e < {entries}
+)"""]
+    assign = "SELECT vec_id, label, p.part, any_value(y) AS y, min(CAST(yy - 2 * list_inner_product(y, c) + list_inner_product(c, c) AS BIGINT) * 256 + e) AS m FROM p JOIN b{0} b ON b.part = p.part GROUP BY 1, 2, 3"
+    for k in range(rounds):
+        steps.append(f""", a{k} AS MATERIALIZED ({assign.format(k)}), b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.e, coalesce(n.c, b.c) AS c FROM b{k} b LEFT JOIN (
+    SELECT part, e, list(f ORDER BY place) AS c FROM (
+      SELECT part, m % 256 AS e, place, floor(sum(x) / count(*)) AS f FROM (SELECT part, m, unnest(y) AS x, unnest(range(len(y))) AS place FROM a{k}) GROUP BY 1, 2, 3
+    ) GROUP BY 1, 2) n ON n.part = b.part AND n.e = b.e
+)""")
+    steps.append(f""", a AS MATERIALIZED ({assign.format(rounds)}), r AS (
+  SELECT vec_id, label, string_agg(lpad(lower(to_hex(m % 256)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a GROUP BY 1, 2
+), s AS (
+  SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, e, place)) AS h FROM (SELECT part, e, unnest(c) AS x, unnest(range(len(c))) AS place FROM b{rounds})
+) SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s.h AS codebooks_sha256 FROM r, s""")
+    return "".join(steps)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(),
     "op1_substring_dedup": f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
 win AS (
