@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import Mining, collocations
 from .decontaminate import Decontamination, benchmark_leaks
 from .fingerprints import fingerprint_pairs
 from .license_scan import license_notices
@@ -107,6 +108,11 @@ def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score."""
+    return collocations(_table(spark, sf_dir, "documents"), Mining())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_vector_codes": op11_vector_codes,
     "op12_quality": op12_quality,
+    "op13_collocations": op13_collocations,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -154,6 +161,23 @@ def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_collocations": f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 5) r(k) WHERE len(ws) >= k)
+  ) GROUP BY 1, 2, 3
+), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 30),
+cut AS (SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS first_, array_to_string(ws[j + 1:k], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT cut.lang, cut.phrase, cut.a, j, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * cut.a // (x.f + y.f) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = first_ JOIN f y ON y.lang = cut.lang AND y.phrase = rest),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, a AS longer, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 4) r(m) WHERE m < k)),
+kept AS (SELECT low.* FROM low LEFT JOIN (SELECT lang, phrase, max(longer) AS longer FROM inside GROUP BY 1, 2) b USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000
+""",
     "op11_vector_codes": _codes_sql(),
     "op1_substring_dedup": f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
