@@ -178,61 +178,120 @@ def _bucketed(trie, size, digits, whole, bits, least):
     return run
 
 
-def _summed(least: int, as_bits: bool):
-    """Adds up the counts of rows that follow each other with one slice and part; as_bits: a bit a bucket, whether it came often."""
+def _summed(most: int | None, bits_of: int | None = None):
+    """Adds up the counts of rows that follow each other with one slice and part, up to ``most``; bits_of: gives a bit a count, whether it reaches this."""
     schema = pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, None
         packer, reader = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        kind = "<u4" if most else "<i8"
 
         def out() -> pa.RecordBatch:
-            blob = np.packbits(total >= least, bitorder="little").tobytes() if as_bits else packer.compress(total.astype("<u4").tobytes())
+            blob = packer.compress(total.astype(kind).tobytes()) if bits_of is None else np.packbits(total >= bits_of, bitorder="little").tobytes()
             return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), [blob]], schema=schema)
 
         for batch in batches:
             for k, part, blob in zip(*(batch.column(c).to_pylist() for c in ("slice", "part", "counts")), strict=True):
-                counts = np.frombuffer(reader.decompress(blob), "<u4")
+                counts = np.frombuffer(reader.decompress(blob), kind).astype(np.int64)
                 if (k, part) != key:
                     if key is not None:
                         yield out()
-                    key, total = (k, part), np.zeros(len(counts), np.uint32)
-                total = np.minimum(total + counts, least).astype(np.uint32)
+                    key, total = (k, part), np.zeros(len(counts), np.int64)
+                total += counts
+                if most:
+                    np.minimum(total, most, out=total)
         if key is not None:
             yield out()
 
     return run
 
 
+def _added(rows: DataFrame, most: int | None, bits_of: int | None = None) -> DataFrame:
+    """(slice, counts): counts summed by slice and part, then by slice, so that no task adds up what all others counted."""
+    kind = "slice int, part int, counts binary"
+    dealt = lambda df: df.repartition("slice", "part").sortWithinPartitions("slice", "part")
+    first = dealt(rows).mapInArrow(_summed(most), kind).withColumn("part", F.lit(0))
+    return dealt(first).mapInArrow(_summed(most, bits_of), kind).select("slice", "counts")
+
+
 def _proposed(trie, size, digits, whole, bits, often: Broadcast):
-    """The distinct safe windows of a task whose bucket came often."""
-    names = [f"w{k}" for k in range(size)]
+    """The distinct safe windows of a task whose bucket came often, packed by slice of their buckets."""
+    schema = pa.schema([("slice", pa.int32()), ("windows", pa.binary())])
+    low = bits - _slices(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = often.value
+        bitmap, packer = often.value, zstandard.ZstdCompressor(level=1)
         for bucket, key, rows in _windows(batches, trie, size, digits, whole, bits, True):
             keep = np.flatnonzero((bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1)
-            rows = rows[keep[np.unique(key[keep], return_index=True)[1]]]
-            yield pa.record_batch([pa.array(rows[:, k], pa.int32()) for k in range(size)], names=names)
+            keep = keep[np.unique(key[keep], return_index=True)[1]]
+            keep = keep[np.argsort(bucket[keep], kind="stable")]
+            bounds = np.searchsorted(bucket[keep], np.arange((1 << (bits - low)) + 1) << low)
+            for k in np.flatnonzero(np.diff(bounds)):
+                part = rows[keep[bounds[k] : bounds[k + 1]]].astype("<i4")
+                yield pa.record_batch([pa.array([k], pa.int32()), [packer.compress(part.tobytes())]], schema=schema)
 
     return run
 
 
-def _counted(trie: Broadcast, phrases: Broadcast, size: int, digits: int):
-    """How often a task's texts hold each phrase of a trie."""
-    names = [f"w{k}" for k in range(size)] + ["n"]
+def _distinct(size: int):
+    """The distinct windows of rows that follow each other with one slice."""
+    names = [f"w{k}" for k in range(size)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = phrases.value
-        total = np.zeros(len(rows), np.int64)
+        reader, at, held = zstandard.ZstdDecompressor(), None, np.zeros(0, f"V{4 * size}")
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = np.frombuffer(held.tobytes(), "<i4").reshape(-1, size)
+            for k in range(0, len(rows), 1 << 16):
+                yield pa.record_batch([pa.array(rows[k : k + (1 << 16), j], pa.int32()) for j in range(size)], names=names)
+
+        for batch in batches:
+            for k, blob in zip(batch.column("slice").to_pylist(), batch.column("windows").to_pylist(), strict=True):
+                if k != at:
+                    yield from out()
+                    at, held = k, held[:0]
+                held = np.unique(np.concatenate([held, np.frombuffer(reader.decompress(blob), held.dtype)]))
+        yield from out()
+
+    return run
+
+
+PHRASES = 1 << 14  # phrases whose counts are one row
+
+
+def _counted(trie: Broadcast, n: int, size: int, digits: int):
+    """How often a task's texts hold each of the ``n`` phrases of a trie, a row for each slice of them that was met."""
+    schema = pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n, np.int64)
         for batch in batches:
             for blob in batch.column("ids").to_pylist():
                 ids = np.frombuffer(blob, "<i4")
                 for at in range(0, len(ids), FLUSH):  # a stretch and what its last windows need of the next one
                     hit = trie.value.windows(ids[at : at + FLUSH + size - 1], size, digits)
-                    total += np.bincount(hit[hit >= 0], minlength=len(rows))
-        met = np.flatnonzero(total)
-        yield pa.record_batch([*(pa.array(rows[met, k], pa.int32()) for k in range(size)), pa.array(total[met])], names=names)
+                    total += np.bincount(hit[hit >= 0], minlength=n)
+        packer, part = zstandard.ZstdCompressor(level=1), int(total.sum()) & 31  # spreads a slice's counts over tasks
+        for k in range(0, n, PHRASES):
+            if total[k : k + PHRASES].any():
+                yield pa.record_batch([pa.array([k // PHRASES], pa.int32()), pa.array([part], pa.int32()), [packer.compress(total[k : k + PHRASES].astype("<i8").tobytes())]], schema=schema)
+
+    return run
+
+
+def _spelled(phrases: Broadcast, size: int, least: int):
+    """The phrases whose summed counts reach ``least``."""
+    names = [f"w{k}" for k in range(size)] + ["a"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for k, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                n = np.frombuffer(reader.decompress(blob), "<i8")
+                often = np.flatnonzero(n >= least)
+                rows = phrases.value[k * PHRASES + often]
+                yield pa.record_batch([*(pa.array(rows[:, j], pa.int32()) for j in range(size)), pa.array(n[often])], names=names)
 
     return run
 
@@ -280,16 +339,13 @@ class _Miner:
                 x.destroy()
 
     def often(self, tables: list[DataFrame], bits: int) -> np.ndarray:
-        """A bit for each bucket: whether its counts reach ``least``; summed by slice and part, then by slice."""
+        """A bit for each bucket: whether its counts reach ``least``."""
         rows = tables[0]
         for table in tables[1:]:
             rows = rows.union(table)
-        kind = "slice int, part int, counts binary"
-        for as_bits in (False, True):
-            rows = rows.repartition("slice", "part").sortWithinPartitions("slice", "part").mapInArrow(_summed(self.how.least, as_bits), kind).withColumn("part", F.lit(0))
         bitmap = np.zeros(1 << bits >> 3, np.uint8)
         size = 1 << (bits - _slices(bits)) >> 3
-        for r in rows.collect():
+        for r in _added(rows, self.how.least, self.how.least).collect():
             bitmap[r.slice * size : (r.slice + 1) * size] = np.frombuffer(r.counts, np.uint8)
         return bitmap
 
@@ -304,8 +360,9 @@ class _Miner:
         self.scratch.drop(*counts)
         found = []
         for trie, _ in rounds():
-            rows_ = numbers.select("ids").mapInArrow(_proposed(trie, size, digits, whole, bits, often), ", ".join(f"{x} int" for x in names))
-            found.append(self.scratch.save(rows_.distinct(), "candidates"))
+            packed = numbers.select("ids").mapInArrow(_proposed(trie, size, digits, whole, bits, often), "slice int, windows binary")
+            packed = packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(_distinct(size), ", ".join(f"{x} int" for x in names))
+            found.append(self.scratch.save(packed, "candidates"))
         often.destroy()
         candidates = found[0]
         for table in found[1:]:
@@ -314,8 +371,9 @@ class _Miner:
             candidates = candidates.join(before.select(*[F.col(f"w{k}").alias(f"w{k + 1}") for k in range(size - 1)]), names[1:], "left_semi").select(*names)
         out = []
         for trie, rows_ in self.tries(candidates, candidates.count(), size, digits):
-            n = numbers.select("ids").mapInArrow(_counted(trie, rows_, size, digits), ", ".join(f"{x} int" for x in names) + ", n long")
-            out.append(self.scratch.save(n.groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "phrases"))
+            counts = numbers.select("ids").mapInArrow(_counted(trie, len(rows_.value), size, digits), "slice int, part int, counts binary")
+            spelled = _added(counts, None).mapInArrow(_spelled(rows_, size, least), ", ".join(f"{x} int" for x in names) + ", a long")
+            out.append(self.scratch.save(spelled, "phrases"))
         table = out[0] if out else candidates.withColumn("a", F.lit(0).cast("long")).limit(0)
         for more in out[1:]:
             table = table.union(more)
