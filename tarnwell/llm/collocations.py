@@ -51,7 +51,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _UPPER_CASE, _LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAKS = r"[.,;:!?\x0A-\x0D\x20\x09]+"
-FLUSH = 1 << 22  # windows that a task holds before it passes them on
+FLUSH = 1 << 20  # windows that a task holds before it passes them on
 MOST_BUCKETS = 27  # bits
 LEAST_BUCKETS = 16
 
@@ -132,8 +132,8 @@ def _hashed(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def _windows(batches: Iterator[pa.RecordBatch], trie: Broadcast | None, size: int, digits: int, whole: bool, bits: int, full: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """Buckets of about FLUSH safe windows at a time; full: also an exact key of each and its numbers."""
+def _windows(batches: Iterator[pa.RecordBatch], trie: Broadcast | None, size: int, digits: int, whole: bool, bits: int, often: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Buckets of about FLUSH safe windows at a time; with a bitmap ``often`` only windows whose bucket is set, also an exact key of each and its numbers."""
     held, rows = [], 0
     for batch in batches:
         for blob in batch.column("ids").to_pylist():
@@ -142,12 +142,15 @@ def _windows(batches: Iterator[pa.RecordBatch], trie: Broadcast | None, size: in
                 continue
             every, first = _safe(ids, trie.value if trie else None, size, digits, whole)
             for k in range(0, len(every), FLUSH):
-                at = every[k : k + FLUSH]
-                part = ((_hashed(ids, at, size) >> np.uint64(64 - bits)).astype(np.int64),)
-                if full:
-                    part += (first[k : k + FLUSH].astype(np.int64) << 32 | ids[at + size - 1], np.stack([ids[at + j] for j in range(size)], 1))
-                held.append(part)
-                rows += len(at)
+                at, own = every[k : k + FLUSH], first[k : k + FLUSH]
+                bucket = (_hashed(ids, at, size) >> np.uint64(64 - bits)).astype(np.int64)
+                if often is None:
+                    held.append((bucket,))
+                else:
+                    kept = np.flatnonzero((often[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1)
+                    bucket, at, own = bucket[kept], at[kept], own[kept]
+                    held.append((bucket, own.astype(np.int64) << 32 | ids[at + size - 1], np.stack([ids[at + j] for j in range(size)], 1)))
+                rows += len(bucket)
                 if rows >= FLUSH:
                     yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                     held, rows = [], 0
@@ -167,7 +170,7 @@ def _bucketed(trie, size, digits, whole, bits, least):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
-        for (bucket,) in _windows(batches, trie, size, digits, whole, bits, False):
+        for (bucket,) in _windows(batches, trie, size, digits, whole, bits):
             bucket = np.sort(bucket)
             bounds = np.searchsorted(bucket, np.arange((1 << (bits - low)) + 1) << low)
             for k in np.flatnonzero(np.diff(bounds)):
@@ -221,10 +224,9 @@ def _proposed(trie, size, digits, whole, bits, often: Broadcast):
     low = bits - _slices(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, packer = often.value, zstandard.ZstdCompressor(level=1)
-        for bucket, key, rows in _windows(batches, trie, size, digits, whole, bits, True):
-            keep = np.flatnonzero((bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1)
-            keep = keep[np.unique(key[keep], return_index=True)[1]]
+        packer = zstandard.ZstdCompressor(level=1)
+        for bucket, key, rows in _windows(batches, trie, size, digits, whole, bits, often.value):
+            keep = np.unique(key, return_index=True)[1]
             keep = keep[np.argsort(bucket[keep], kind="stable")]
             bounds = np.searchsorted(bucket[keep], np.arange((1 << (bits - low)) + 1) << low)
             for k in np.flatnonzero(np.diff(bounds)):
