@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+from .ranks import quantiles
+
 # Bucket edges of the speedup histogram.
 EDGES = (0.5, 0.8, 1.0, 1.5, 2.0, 5.0, 20.0)
 
@@ -23,9 +26,10 @@ def with_overhead(baseline: Column, treated: Column, overhead: Column) -> Column
 
 
 def percentiles(pairs: DataFrame, group: str, value: str = "speedup") -> DataFrame:
-    """(group, n, mean, p10, median, p90), interpolated."""
-    p = lambda q: F.percentile(F.col(value), F.lit(q))
-    return pairs.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), p(0.1).alias("p10"), p(0.5).alias("median"), p(0.9).alias("p90"))
+    """(group, n, mean, p10, median, p90), interpolated; by rank selection over ranges, so groups may be of any size."""
+    base = pairs.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    found = quantiles(pairs, group, value, {"p10": 0.1, "median": 0.5, "p90": 0.9}).withColumnRenamed(group, "_of")
+    return base.join(found, F.col(group).eqNullSafe(F.col("_of")), "left").drop("_of")
 
 
 def shares(pairs: DataFrame, group: str, value: str = "speedup", thresholds: tuple[float, ...] = (1.0, 1.5, 2.0)) -> DataFrame:
@@ -103,8 +107,10 @@ def source_size(texts: DataFrame, order: str, most: int = 600, text_col: str = "
 
 
 def repeated_runs(runs: DataFrame, unit: str, value: str) -> DataFrame:
-    """(unit, runs, mean, median) over repeated runs; null values are no runs."""
-    return runs.groupBy(unit).agg(F.count(value).alias("runs"), F.avg(value).alias("mean"), F.percentile(F.col(value), F.lit(0.5)).alias("median"))
+    """(unit, runs, mean, median) over repeated runs; null values are no runs. By rank selection, as in ``percentiles``."""
+    base = runs.groupBy(unit).agg(F.count(value).alias("runs"), F.avg(value).alias("mean"))
+    found = quantiles(runs, unit, value, {"median": 0.5}).withColumnRenamed(unit, "_of")
+    return base.join(found, F.col(unit).eqNullSafe(F.col("_of")), "left").drop("_of")
 
 
 def pair_rounds(runs: DataFrame, unit: str, round_: str, leg: str, value: str) -> DataFrame:
@@ -115,8 +121,8 @@ def pair_rounds(runs: DataFrame, unit: str, round_: str, leg: str, value: str) -
 
 
 def ranked(rows: DataFrame, group: str, value: str, tie: str) -> DataFrame:
-    """``rows`` with ``rank``: 1 for the largest value of its group; ties by ``tie``, nulls last."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.col(value).desc_nulls_last(), F.col(tie))))
+    """``rows`` with ``rank``: 1 for the largest value of its group; ties by ``tie``, nulls last. By ranges, so groups may be of any size."""
+    return ranks.ranked(rows, group, [F.col(value).desc_nulls_last(), F.col(tie)])
 
 
 def top_and_bottom(rows: DataFrame, value: str, tie: str, best: int = 10, worst: int = 5) -> DataFrame:
