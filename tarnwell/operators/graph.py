@@ -275,15 +275,21 @@ def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _largest_reaching(edges: DataFrame) -> DataFrame:
-    """(key, colour): the largest key from which a node is reached, its own included; only nodes that changed are followed."""
+    """(key, colour): the largest key from which a node is reached, its own included; only nodes that changed are followed and written."""
     dealt = _dealt(edges, "src")
+    few = dealt.count() <= SMALL  # then what a step tells is no more
     nodes = edges.select(F.col("src").alias("key")).union(edges.select("dst")).distinct()
-    colour = changed = cut(nodes.withColumn("colour", F.col("key")))
+    changed = cut(nodes.withColumn("colour", F.col("key")))
+    latest = lambda parts: _union(parts).groupBy("key").agg(F.max("colour").alias("colour"))
+    parts = [changed]
     while n := changed.count():
         told = _step(dealt, "src", changed, n).groupBy(F.col("dst").alias("key")).agg(F.max("colour").alias("more"))
-        both = cut(colour.join(told, "key", "left").select("key", F.greatest("colour", "more").alias("colour"), (F.coalesce("more", F.lit(None)) > F.col("colour")).alias("new")))
-        colour, changed = both.select("key", "colour"), both.filter("new").select("key", "colour")
-    return colour
+        known = _union(parts).join(F.broadcast(told) if few else told, "key").groupBy("key").agg(F.max("colour").alias("had"), F.max("more").alias("colour"))
+        changed = cut(known.filter("colour > had").select("key", "colour"))
+        parts.append(changed)
+        if len(parts) > COMPACT:
+            parts = [cut(latest(parts))]
+    return latest(parts)
 
 
 def cyclic(nodes: DataFrame, deps: DataFrame) -> DataFrame:

@@ -62,6 +62,29 @@ def with_flags(policy: Policy, flags: Iterable[str], presets: dict[int, Iterable
     return Policy(policy.keep, level, frozenset(features | set((presets or {}).get(level, ()))))
 
 
+def resolved_flags(rows: DataFrame, key: str, flags: str, local_registry: str, presets: dict[int, Iterable[str]] | None = None) -> DataFrame:
+    """(key, level, features): what the flags of each row resolve to, as ``with_flags`` does from the default level.
+
+    flags: flags in their order, separated by blanks; null or blank: none. local_registry: boolean, null
+    is false. features: sorted names, comma-joined. A flag that is none fails the query. Of each name
+    the last flag counts, so a row's flags are taken apart and put together by built-in functions alone.
+    """
+    word = F.filter(F.split(F.coalesce(F.col(flags), F.lit("")), r"\s+"), lambda x: x != "")
+    each = rows.select(key, F.posexplode(word).alias("n", "flag"))
+    off, on = F.regexp_extract("flag", "^-fno-(.+)$", 1), F.regexp_extract("flag", "^-f(.+)$", 1)
+    level = F.when(F.col("flag") == "-O", "4").otherwise(F.regexp_extract("flag", "^-O([0-9]+)$", 1))
+    known = F.when((off != "") | (on != ""), F.lit(None).cast("string")).when(level.isin(*map(str, LEVEL_TEXT)), level).otherwise(F.raise_error(F.concat(F.lit("not a flag: "), "flag")))
+    parts = each.select(key, "n", F.when(off != "", off).otherwise(on).alias("name"), (off == "").alias("on"), known.cast("int").alias("level"))
+    last = parts.filter("name <> ''").groupBy(key, "name").agg(F.max_by("on", "n").alias("on")).filter("on").groupBy(key).agg(F.collect_set("name").alias("names"))
+    levels = parts.filter("level is not null").groupBy(key).agg(F.max_by("level", "n").alias("level"))
+    out = rows.select(key, F.when(F.coalesce(F.col(local_registry), F.lit(False)), default_level(True)).otherwise(default_level()).alias("first")).join(levels, key, "left").join(last, key, "left")
+    out = out.select(key, F.coalesce("level", "first").alias("level"), F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+    brought = F.array().cast("array<string>")
+    for number, names in (presets or {}).items():
+        brought = F.when(F.col("level") == number, F.array(*map(F.lit, names))).otherwise(brought)
+    return out.select(key, "level", F.array_join(F.array_sort(F.array_union("names", brought)), ",").alias("features"))
+
+
 def may_go(policy: Policy) -> Column:
     """Whether none of the policy's optional rules keeps an item; null attributes keep it."""
     out = F.lit(True)

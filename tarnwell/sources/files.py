@@ -91,7 +91,12 @@ def read_bench_reports(spark: SparkSession, path: str) -> DataFrame:
     """(crate, runs, mean_secs, failed) over the bench.json files of a folder of crates."""
     rows = spark.read.schema(BENCH).option("recursiveFileLookup", "true").option("pathGlobFilter", "bench.json").json(path)
     crate = F.regexp_extract(F.input_file_name(), r"/([^/]+)/bench\.json$", 1)
-    return rows.groupBy(crate.alias("crate")).agg(F.count("*").alias("runs"), F.avg("duration_secs").alias("mean_secs"), F.count_if(~F.col("success")).alias("failed"))
+    return aggregate_bench(rows.withColumn("crate", crate))
+
+
+def aggregate_bench(rows: DataFrame) -> DataFrame:
+    """(crate, runs, mean_secs, failed) over runs (crate, duration_secs, success)."""
+    return rows.groupBy("crate").agg(F.count("*").alias("runs"), F.avg("duration_secs").alias("mean_secs"), F.count_if(~F.col("success")).alias("failed"))
 
 
 def write_named_dump(items: DataFrame, path: str) -> None:
