@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from . import graph
-from .chains import deep_levels
 
 ORDERS = ("key_up", "key_down", "degree_up", "degree_down")
 
 
-def cycle_edges(nodes: DataFrame, deps: DataFrame, rounds: int = 2) -> DataFrame:
+def cycle_edges(nodes: DataFrame, deps: DataFrame, rounds: int = 1, levels_of: Callable[[DataFrame, DataFrame], DataFrame] = graph.topological_levels) -> DataFrame:
     """(src, dst, component, gone): the dependencies inside strongly connected components; those that are gone leave no cycle, and are few, not the fewest.
 
     Inside a strongly connected component, an order of its nodes makes the dependencies that run
@@ -20,6 +21,7 @@ def cycle_edges(nodes: DataFrame, deps: DataFrame, rounds: int = 2) -> DataFrame
     dependants, either way, and each component takes the one that cuts fewest. What is left has
     levels; cut dependencies that lead to a lower level come back, all of them at once, as they agree
     with one order. This is repeated ``rounds`` times. Dependencies on oneself always go.
+    levels_of: takes a step a level; ``chains.deep_levels`` is for components with long chains.
     """
     held = cut(graph.strong_components(deps).join(nodes.select("key").distinct(), "key", "left_semi"))
     every = deps.filter("src is not null and dst is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
@@ -39,13 +41,13 @@ def cycle_edges(nodes: DataFrame, deps: DataFrame, rounds: int = 2) -> DataFrame
     for _ in range(rounds):
         if gone.filter("gone").isEmpty():
             break
-        levels = cut(deep_levels(held.select("key"), gone.filter("not gone")))
+        levels = cut(levels_of(held.select("key"), gone.filter("not gone").select("src", "dst")))
         at = lambda end: levels.select(F.col("key").alias(end), F.col("level").alias(f"{end}_level"))
         gone = cut(gone.join(at("src"), "src").join(at("dst"), "dst").select("src", "dst", "component", (F.col("gone") & (F.col("src_level") <= F.col("dst_level"))).alias("gone")))
     return gone.union(loops.select("src", "dst", "component", F.lit(True).alias("gone")))
 
 
-def cycle_cut(nodes: DataFrame, deps: DataFrame, rounds: int = 2) -> DataFrame:
+def cycle_cut(nodes: DataFrame, deps: DataFrame, rounds: int = 1) -> DataFrame:
     """(src, dst, component): the dependencies to take out of ``deps`` so that no cycle is left, see cycle_edges."""
     return cycle_edges(nodes, deps, rounds).filter("gone").select("src", "dst", "component")
 

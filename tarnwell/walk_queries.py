@@ -103,7 +103,7 @@ def cycles_cut(spark, sf_dir):
     """Of each component of cycles_broken's graph: its edges, whether few are cut, and whether no cycle is left."""
     inside = cut(cycles.cycle_edges(*_ring(spark, sf_dir)))
     keys = inside.select(F.col("src").alias("key"), "component").union(inside.select("dst", "component")).distinct()
-    level = chains.deep_levels(keys, inside.filter("not gone"))
+    level = graph.topological_levels(keys, inside.filter("not gone").select("src", "dst"))
     done = keys.join(level, "key").groupBy("component").agg((F.count_if(F.col("level").isNull()) == 0).alias("acyclic"))
     per = inside.groupBy("component").agg(F.count("*").alias("n_edges"), F.count_if("gone").alias("n_cut"), F.count_if(F.col("dst") > F.col("src")).alias("n_up"))
     return per.join(done, "component").select("component", "n_edges", (F.col("n_cut") <= F.col("n_up")).alias("no_more_than_upward"), (F.col("n_cut") * 2 <= F.col("n_edges")).alias("at_most_half"), "acyclic")
