@@ -11,6 +11,7 @@ from .operators import extraction, policies
 from .plans.lineage import new_folder
 from .queries import _table
 from .sources import files, mir, versions
+from .streaming import watch
 
 
 def _bodies(spark, sf_dir):
@@ -81,9 +82,40 @@ def flag_table(spark, sf_dir):
     return policies.resolved_flags(_table(spark, sf_dir, "part").select("p_partkey", flags.alias("flags"), (p % 2 == 0).alias("local_registry")), "p_partkey", "flags", "local_registry", {4: ("wide", "deep")})
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (mir_edges, mir_casts, state_versions, state_latest, bench_reports, flag_table)}
+def quiet_changes(spark, sf_dir):
+    """Runs of a user's events closer than half an hour whose last event's type is not that of the run before."""
+    out = watch.quiet_changes(_table(spark, sf_dir, "events"), "user_id", "ts", "event_type", "30 minutes")
+    return out.select(F.col("user_id").cast("string").alias("user_id"), F.unix_micros("at").alias("at_us"), "hash")
+
+
+def watch_stream(spark, sf_dir):
+    """The same from a stream with state, over files of events; a last event of no user closes all runs."""
+    path, kind = new_folder(spark, "events"), "user_id long, ts timestamp, event_type string"
+    events = _table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    events.write.parquet(f"{path}/in/a")
+    end = events.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts"))
+    end.select(F.lit(None).cast("long").alias("user_id"), "ts", F.lit("end").alias("event_type")).withColumn("user_id", F.lit(-1).cast("long")).write.parquet(f"{path}/in/b")
+    store, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+        out = watch.watch(stream, "user_id", "ts", "event_type", 30 * 60 * 1000, "1 day")
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.parquet(f"{path}/out").select(F.col("key").alias("user_id"), F.unix_micros("at").alias("at_us"), "hash")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (mir_edges, mir_casts, state_versions, state_latest, bench_reports, flag_table, quiet_changes, watch_stream)}
+
+_QUIET = """WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)),
+s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_type ROWS UNBOUNDED PRECEDING) AS k FROM g),
+r AS (SELECT user_id, k, max({'t': ts, 'h': event_type}) AS x FROM s GROUP BY 1, 2), q AS (SELECT user_id, x.t AS t, x.h AS hash, lag(x.h) OVER (PARTITION BY user_id ORDER BY x.t) AS had FROM r)
+SELECT CAST(user_id AS VARCHAR) AS user_id, epoch_us(t) AS at_us, hash FROM q WHERE had IS NULL OR had <> hash"""
 
 ORACLE_SQL: dict[str, str] = {
+    "quiet_changes": _QUIET,
+    "watch_stream": _QUIET,
     "mir_edges": """WITH k AS (SELECT p_partkey AS p FROM part), e AS (SELECT p, unnest([p * 2, p * 3, p * 5]) AS q FROM k)
 SELECT DISTINCT 'p' || p AS caller, 'p' || q AS callee FROM e WHERE q IN (SELECT p FROM k) UNION ALL SELECT 'p' || p, 'p' || p || '::{closure#0}' FROM k
 UNION ALL SELECT 'p' || p || '::{closure#0}', 'p' || p * 7 FROM k WHERE p * 7 IN (SELECT p FROM k)""",

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 
 def debounce(events: DataFrame, key: str, ts: str = "ts", gap: str = "500 milliseconds", lateness: str | None = None) -> DataFrame:
@@ -33,3 +37,80 @@ def cache_lookup(wanted: DataFrame, cache: DataFrame, key: str = "key") -> DataF
     """``wanted`` with ``hit``."""
     return wanted.join(cache.select(key, F.lit(True).alias("hit")).distinct(), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
+
+
+def quiet_changes(events: DataFrame, key: str, ts: str, hash_col: str, gap: str = "500 milliseconds") -> DataFrame:
+    """(key, at, hash): runs of events closer than ``gap``, by their last event, whose hash is not that of the run before.
+
+    The batch form of ``QuietChanges``. Of events at one time the larger hash is the later one; null keys, times and hashes are left out.
+    """
+    rows = events.select(key, F.col(ts).cast("timestamp").alias("at"), F.col(hash_col).cast("string").alias("hash")).dropna()
+    runs = rows.groupBy(key, F.session_window("at", gap).alias("w")).agg(F.max(F.struct("at", "hash")).alias("x")).select(key, "x.at", "x.hash")
+    before = F.lag("hash").over(Window.partitionBy(key).orderBy("at"))
+    return runs.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") != F.col("hash"))).drop("_before")
+
+
+class QuietChanges(StatefulProcessor):
+    """Lets a file through once it is quiet, if its contents changed: what a watcher acts on.
+
+    Rows are (key, at, hash). State of a key: the hash let through last, and its events since, which
+    are those of a gap and of the allowed lateness. When the watermark has passed the end of a run of
+    events closer than ``gap_ms``, the run's last hash goes through, unless it is the one before; a
+    timer at that end brings a key back that gets no more rows. Late events are put in their place, so
+    results do not depend on the order of arrival within the lateness, nor on the cut into batches.
+    """
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.passed = handle.getValueState("passed", "hash string")
+        self.waiting = handle.getListState("waiting", "at long, hash string")
+
+    def _settle(self, key, rows: list[tuple[int, str]], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        """Let closed runs through and keep the rest; times in microseconds."""
+        last = self.passed.get()[0] if self.passed.exists() else None
+        out, run, open_, gap = [], [], [], self.gap_ms * 1000
+        for event in [*sorted(rows), None]:
+            if run and (event is None or event[0] - run[-1][0] >= gap):
+                if run[-1][0] + gap <= watermark_ms * 1000:
+                    if run[-1][1] != last:
+                        out.append(run[-1])
+                        last = run[-1][1]
+                else:
+                    open_ += run
+                run = []
+            if event is not None:
+                run.append(event)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if open_:
+            self.waiting.put(open_)
+            ends = [a for (a, _), b in zip(open_, [*open_[1:], (open_[-1][0] + gap, "")], strict=True) if b[0] - a >= gap]
+            self.handle.registerTimer(-(-(ends[0] + gap) // 1000))
+        else:
+            self.waiting.clear()
+        if out:
+            self.passed.update((last,))
+            yield pd.DataFrame({"key": [key[0]] * len(out), "at": pd.to_datetime([x[0] for x in out], unit="us", utc=True), "hash": [x[1] for x in out]})
+
+    def _held(self) -> list[tuple[int, str]]:
+        return [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(t), h) for part in rows for t, h in zip(part["us"], part["hash"], strict=True)]
+        yield from self._settle(key, self._held() + new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settle(key, self._held(), timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def watch(events: DataFrame, key: str, ts: str, hash_col: str, gap_ms: int = 500, lateness: str = "1 second") -> DataFrame:
+    """(key string, at, hash): ``QuietChanges`` over a stream of events; the state store must be that of RocksDB."""
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("at"), F.col(hash_col).cast("string").alias("hash")).dropna()
+    rows = rows.withWatermark("at", lateness).withColumn("us", F.unix_micros("at"))
+    return rows.groupBy("key").transformWithStateInPandas(QuietChanges(gap_ms), "key string, at timestamp, hash string", "append", "eventtime")
