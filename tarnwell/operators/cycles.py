@@ -52,13 +52,13 @@ def cycle_cut(nodes: DataFrame, deps: DataFrame, rounds: int = 1) -> DataFrame:
     return cycle_edges(nodes, deps, rounds).filter("gone").select("src", "dst", "component")
 
 
-def bounded_parts(edges: DataFrame, nodes: DataFrame, most: int, rounds: int = 30) -> DataFrame:
+def bounded_parts(edges: DataFrame, nodes: DataFrame, most: int, rounds: int = 8) -> DataFrame:
     """(key, part, size): parts of ``nodes`` (key) of at most ``most`` nodes that few of ``edges`` (src, dst) run between.
 
     Size-bounded label propagation over parts: all nodes begin alone. In every round a hash makes each
     part one that asks or one that takes; one that asks turns to the taking part that it has most
     edges with among those with room for it, and a taking part admits askers by their number of
-    edges until it is full. Rounds end when several in a row admit none. Edges count both ways, those
+    edges until it is full. Rounds end after ``rounds``, or when several in a row admit none. Edges count both ways, those
     with an end outside ``nodes`` not. A part's name is that of one of its nodes.
 
     A part that very many ask is asked by salts first: more than ``most`` askers cannot be admitted,
