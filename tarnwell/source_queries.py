@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import extraction, policies
 from .plans.lineage import new_folder
 from .queries import _table
-from .sources import files, mir, versions
+from .sources import files, mir, names, parsers, versions
 from .streaming import watch
 
 
@@ -106,14 +106,65 @@ def watch_stream(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").select(F.col("key").alias("user_id"), F.unix_micros("at").alias("at_us"), "hash")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (mir_edges, mir_casts, state_versions, state_latest, bench_reports, flag_table, quiet_changes, watch_stream)}
+def _named_sources(spark, sf_dir):
+    """A file for each part in the crate of its brand, all with the same names: a type, its trait, a helper, and calls of the type of the next part."""
+    part = _table(spark, sf_dir, "part").select("p_partkey", F.lower(F.translate("p_brand", "#", "_")).alias("crate"))
+    following = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("crate").alias("there"), F.concat(F.lit("m"), "p_partkey").alias("file"))
+    rows = part.join(following, "p_partkey", "left")
+    there, file = F.coalesce("there", "crate"), F.coalesce("file", F.concat(F.lit("m"), "p_partkey"))
+    odd = F.col("p_partkey") % 2 == 1
+    text = F.concat(
+        F.when(odd, F.concat(F.lit("use "), there, F.lit("::"), file, F.lit("::Item as Other;\n"))).otherwise(F.concat(F.lit("use "), there, F.lit("::{"), file, F.lit(" as next};\n"))),
+        F.lit(
+            "use crate::shared::*;\npub struct Item { n: i64 }\nimpl Item { pub fn new() -> Self { Item { n: 1 } } fn run(&self) { self.draw(); } }\n"
+            "impl Draw for Item { fn draw(&self) { helper(); } }\nfn helper() { }\npub fn go(x: &Item) { let y = "
+        ),
+        F.when(odd, "Other").otherwise("next::Item"), F.lit("::new(); y.run(); x.draw(); x.twice(); }\n"),
+    )
+    sources = rows.select("crate", F.concat(F.lit("/w/"), "crate", F.lit("/src/m"), "p_partkey", F.lit(".rs")).alias("path"), text.alias("text"))
+    shared = F.lit("pub trait Draw { fn draw(&self); fn twice(&self) { } }\n")
+    return sources.union(part.select("crate").distinct().select("crate", F.concat(F.lit("/w/"), "crate", F.lit("/src/shared.rs")), shared))
+
+
+def named_calls(spark, sf_dir):
+    """Calls between functions of many equal names, each resolved to one, by owner and name."""
+    functions, calls = names.resolved_calls(names.source_names(_named_sources(spark, sf_dir)))
+    at = lambda end, to: functions.select(F.col("id").alias(end), F.concat(F.coalesce("owner", "module"), F.lit("."), "name").alias(to))
+    return calls.join(at("src", "caller"), "src").join(at("dst", "callee"), "dst").select("caller", "callee", "how")
+
+
+def edges_saved(spark, sf_dir):
+    """Edges by names alone, in a crate, and edges when names are resolved, over the same sources."""
+    sources = _named_sources(spark, sf_dir)
+    functions, resolved = names.resolved_calls(names.source_names(sources))
+    crate = functions.select(F.col("id").alias("src"), "crate")
+    resolved = resolved.join(crate, "src").groupBy("crate").agg(F.count("*").alias("resolved"))
+    # calls by name are counted, not listed: callers of a name times functions of that name
+    facts = parsers.parse_sources(sources.select(F.concat_ws(" ", "crate", "path").alias("file"), "text"), "file", "braces")
+    facts = facts.withColumn("crate", F.split("file", " ")[0]).withColumn("called", F.coalesce("target", "name"))
+    defined = facts.filter("kind = 'fn'").groupBy("crate", "name").agg(F.count("*").alias("n_defined"))
+    called = facts.filter("kind = 'call'").select("crate", "file", "within", F.col("target").alias("name")).distinct().groupBy("crate", "name").agg(F.count("*").alias("n_calls"))
+    by_name = called.join(defined, ["crate", "name"]).groupBy("crate").agg(F.sum(F.col("n_calls") * F.col("n_defined")).alias("by_name"))
+    return by_name.join(resolved, "crate")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (mir_edges, mir_casts, state_versions, state_latest, bench_reports, flag_table, quiet_changes, watch_stream, named_calls, edges_saved)}
 
 _QUIET = """WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)),
 s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_type ROWS UNBOUNDED PRECEDING) AS k FROM g),
 r AS (SELECT user_id, k, max({'t': ts, 'h': event_type}) AS x FROM s GROUP BY 1, 2), q AS (SELECT user_id, x.t AS t, x.h AS hash, lag(x.h) OVER (PARTITION BY user_id ORDER BY x.t) AS had FROM r)
 SELECT CAST(user_id AS VARCHAR) AS user_id, epoch_us(t) AS at_us, hash FROM q WHERE had IS NULL OR had <> hash"""
 
+# the parts with their file and the file that each calls
+_FILES = """p AS (SELECT p_partkey AS k, lower(replace(p_brand, '#', '_')) AS crate FROM part),
+f AS (SELECT a.crate, a.crate || '::m' || a.k AS here, CASE WHEN b.k IS NULL THEN a.crate || '::m' || a.k ELSE b.crate || '::m' || b.k END AS there FROM p a LEFT JOIN p b ON b.k = a.k + 1)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "named_calls": f"""WITH {_FILES} SELECT here || '::Item.run' AS caller, here || '::Item.draw' AS callee, 'receiver' AS how FROM f
+UNION ALL SELECT here || '::Item.draw', here || '.helper', 'path' FROM f UNION ALL SELECT here || '.go', there || '::Item.new', 'path' FROM f
+UNION ALL SELECT here || '.go', there || '::Item.run', 'receiver' FROM f UNION ALL SELECT here || '.go', here || '::Item.draw', 'receiver' FROM f
+UNION ALL SELECT here || '.go', crate || '::shared::Draw.twice', 'trait' FROM f""",
+    "edges_saved": f"""WITH {_FILES} SELECT crate, CAST(count(*) * (3 * count(*) + 2 * (count(*) + 1) + 1) AS BIGINT) AS by_name, CAST(6 * count(*) AS BIGINT) AS resolved FROM f GROUP BY crate""",
     "quiet_changes": _QUIET,
     "watch_stream": _QUIET,
     "mir_edges": """WITH k AS (SELECT p_partkey AS p FROM part), e AS (SELECT p, unnest([p * 2, p * 3, p * 5]) AS q FROM k)

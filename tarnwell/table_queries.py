@@ -22,19 +22,29 @@ def _p() -> F.Column:
     return F.col("p_partkey")
 
 
-def _text(spark: SparkSession, rows: DataFrame, name: str, by: str | None = None) -> str:
+def _text(spark: SparkSession, rows: DataFrame, name: str, *by: str) -> str:
     """Write (value) as text, one file for each value of ``by`` where given; the folder."""
     path = new_folder(spark, name)
-    (rows.repartition(by).write.partitionBy(by) if by else rows.write).text(path)
+    (rows.repartition(*by).write.partitionBy(*by) if by else rows.write).text(path)
     return path
 
 
+BLOCK = 100_000  # numbers whose lines share a file
+
+
 def _bodies(rows: DataFrame, by: str, order: str, line: F.Column) -> DataFrame:
     """(by, value): the lines of each group in ``order``, as one text; a group is a file."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), "\n")
     return rows.groupBy(by).agg(joined.alias("value"))
 
 
+def _blocks(rows: DataFrame, by: str, order: str, line: F.Column) -> DataFrame:
+    """(by, block, value) as ``_bodies``, a file for each group and BLOCK of numbers, so that no file grows with the table."""
+    rows = rows.withColumn("block", F.lpad(F.floor(F.col(order) / BLOCK).cast("string"), 12, "0"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), "\n")
+    return rows.groupBy(by, "block").agg(joined.alias("value"))
+
+
 # readers and writers
 
 
@@ -59,9 +69,9 @@ def keep_appended(spark, sf_dir):
 
 def compile_commands(spark, sf_dir):
     entry = F.to_json(F.struct(F.when(_p() % 3 == 0, F.concat(F.lit("/abs/"), _p())).otherwise(F.concat(F.lit("src/"), _p())).alias("file"), F.lit("/build").alias("directory"), F.col("p_type").alias("command")))
-    rows = _bodies(_table(spark, sf_dir, "part"), "p_size", "p_partkey", entry)
+    rows = _blocks(_table(spark, sf_dir, "part"), "p_size", "p_partkey", entry)
     value = F.concat(F.lit("["), F.replace(F.col("value"), F.lit("\n"), F.lit(",\n")), F.lit("]"))
-    path = _text(spark, rows.select(F.lpad(F.col("p_size").cast("string"), 3, "0").alias("size"), value.alias("value")), "commands", "size")
+    path = _text(spark, rows.select(F.lpad(F.col("p_size").cast("string"), 3, "0").alias("size"), "block", value.alias("value")), "commands", "size", "block")
     return files.read_compile_commands(spark, path)
 
 
@@ -79,14 +89,14 @@ def linked_symbols(spark, sf_dir):
 
 def timing_reports(spark, sf_dir):
     unit = F.to_json(F.struct(_p().cast("int").alias("i"), F.col("p_brand").alias("name"), F.lit("1.0").alias("version"), F.lit("todo").alias("mode"), (_p() * 0.5).alias("start"), F.col("p_size").cast("double").alias("duration")))
-    rows = _bodies(_table(spark, sf_dir, "part"), "p_size", "p_partkey", unit)
+    rows = _blocks(_table(spark, sf_dir, "part"), "p_size", "p_partkey", unit)
     page = F.concat(F.lit("<html><script>const UNIT_DATA = ["), F.replace(F.col("value"), F.lit("\n"), F.lit(",\n")), F.lit("];</script></html>"))
-    return files.read_timings(spark, _text(spark, rows.select("p_size", page.alias("value")), "timings", "p_size")).drop("file")
+    return files.read_timings(spark, _text(spark, rows.select("p_size", "block", page.alias("value")), "timings", "p_size", "block")).drop("file")
 
 
 def key_values(spark, sf_dir):
     pair = F.concat(F.lit("k"), _p(), F.lit(" = "), "p_size", F.lit("\n# no pair\nk"), _p(), F.lit("=v="), _p(), F.lit("\nall = "), "p_size")
-    return files.read_key_values(spark, _text(spark, _bodies(_table(spark, sf_dir, "part"), "p_size", "p_partkey", pair), "values", "p_size"))
+    return files.read_key_values(spark, _text(spark, _blocks(_table(spark, sf_dir, "part"), "p_size", "p_partkey", pair), "values", "p_size", "block"))
 
 
 def named_dump(spark, sf_dir):
@@ -323,7 +333,7 @@ def analysis_walk(spark, sf_dir):
         F.lit("[DEFINED_ITEMS]\n"), F.when(_p() == 7, "main").otherwise(F.concat(F.lit("p"), p)), F.lit("\nCALL_EDGES:\n"), F.when(_p() == 7, F.lit("main -> p14\n")).otherwise(F.concat(F.lit("p"), p, F.lit(" -> p"), _p() * 2, F.lit("\n"))),
         F.when(_p() % 500 == 3, F.concat(F.lit("NO_MANGLE\np"), p, F.lit("\n"))).otherwise(""), F.when(_p() % 500 == 9, F.concat(F.lit("TRAIT_IMPLS\np"), p, F.lit(" -> core::Drop\n"))).otherwise(F.concat(F.lit("TRAIT_IMPLS\np"), p, F.lit(" -> Clone\n"))),
     )
-    texts = _bodies(_table(spark, sf_dir, "part"), "p_size", "p_partkey", line).select(F.concat(F.lit("c"), F.col("p_size")).alias("crate"), F.col("value").alias("text"))
+    texts = _blocks(_table(spark, sf_dir, "part"), "p_size", "p_partkey", line).select(F.concat(F.lit("c"), F.col("p_size")).alias("crate"), F.col("value").alias("text"))
     items, edges, seeds = files.analysis_graph(files.analysis_rows(texts))
     return items.join(graph.reachable(edges, seeds), "key", "left_semi").select("crate", "item")
 
