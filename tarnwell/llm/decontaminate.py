@@ -5,14 +5,15 @@ Texts are sequences of words (lower-case letters and digits). Finding an item ta
 1. Prefilter. An edit changes at most RUN of an item's n - RUN + 1 runs of RUN words, so a passage
    with up to t edits keeps n - RUN + 1 - RUN * t of them, within n + t words. Stretches of a document
    that keep fewer are skipped; no passage within the allowed edits is lost by that.
-2. CGK walks with bit-sampling LSH. Windows of about the size that t edits must leave of the item are
-   embedded by random walks, from every word of the stretch and from every word of the item (of an
-   item of more than LONGEST words: from every eighth, so that several windows cover all of it): a
-   walk writes the word it stands on at every step, and moves on by a random bit that depends on the
-   step and that word. Two windows a few edits apart read mostly the same words at the same steps
+2. CGK walks with bit-sampling LSH. Windows of about the size that t edits must leave of the item,
+   however long it is, are embedded by random walks, from every word of the stretch and from every
+   word of the item (of an item of n words: from every (1 + n // GRID)-th): a walk writes the word
+   it stands on at every step, and moves on by a random bit that depends on the step and that word. Two windows a few edits apart read mostly the same words at the same steps
    after the walks have met again, so edit distance becomes Hamming distance of what is written. Of
    each walk a few steps are sampled. A stretch is a candidate if, in one repetition, a window of it
    agrees in all samples with one of the item; repetitions follow from the target recall.
+   With ``runs`` off, step 1 is left out and walks start at every word of every text: the same search
+   at some hundred times the cost, against which step 1 can be held.
 3. Candidates are verified by the exact edit distance of the whole item to the best part of the stretch.
 
 Documents stay where they are read. The items are a stated query set: they are collected in blocks
@@ -36,10 +37,9 @@ from .kernels import mix64, pieces, word_lists
 from .scratch import arrow_batches
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)  # window sizes
-LONGEST = 64  # words of an item from which its windows begin at every eighth word
+GRID = 512  # words of an item from which its windows begin at every second, third, ... word
 RUN = 3  # words of a run; shorter where so many edits are allowed that no run of this length must be left
-WINDOWS = 512  # windows embedded at a time
+WINDOWS = 1024  # windows embedded at a time
 HITS = 1 << 20  # runs found held at a time, or those of one text
 _PAD = np.uint64(0x8F4C7E21A3D5B969)
 
@@ -50,6 +50,7 @@ class Decontamination:
 
     agree: share of a walk's steps on which the best windows of passages worth finding agree at
     least; with it, the repetitions follow from recall. block_bytes: text of items held at a time.
+    runs: whether walks are made only in stretches that keep enough runs of words.
     """
 
     percent: int = 20
@@ -57,6 +58,7 @@ class Decontamination:
     agree: float = 0.5
     recall: float = 0.99
     block_bytes: int = 2 << 20
+    runs: bool = True
     seed: int = 4242
 
     @property
@@ -69,9 +71,10 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(n: int, edits: int) -> tuple[int, list[int]]:
-    """Window size for an item of ``n`` words, and the words its windows begin at."""
-    size = max(w for w in _SIZES if w <= max(1, n - edits))
-    return size, sorted({*range(0, n - size + 1, 1 if n <= LONGEST else 8), n - size})
+    """Window size for an item of ``n`` words, a power of two or three halves of one, and the words its windows begin at."""
+    power = 1 << (max(1, n - edits).bit_length() - 1)
+    size = power * 3 // 2 if 1 < power * 3 // 2 <= n - edits else power
+    return size, sorted({*range(0, n - size + 1, 1 + n // GRID), n - size})
 
 
 def _run(n: int, edits: int) -> tuple[int, int]:
@@ -104,16 +107,24 @@ class Walks:
         self.taken = [np.flatnonzero((steps == j).any(axis=1)) for j in range(self.last + 1)]
 
     def keys(self, window: np.ndarray) -> np.ndarray:
-        """Hash of the repetition and of what its walk writes at its steps, for each row of words: (rows, repetitions)."""
-        out = [self._keys(window[k : k + WINDOWS]) for k in range(0, len(window), WINDOWS)]
+        """As ``along``, for each row of words."""
+        return self.along(window.ravel(), np.arange(len(window)) * self.size)
+
+    def along(self, value: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Hash of the repetition and of what its walk writes at its steps, for the window at each of ``starts``, ascending: (windows, repetitions)."""
+        out = [self._keys(value, starts[k : k + WINDOWS]) for k in range(0, len(starts), WINDOWS)]
         return np.concatenate(out) if out else np.zeros((0, len(self.seeds)), np.uint64)
 
-    def _keys(self, window: np.ndarray) -> np.ndarray:
-        rows, size = window.shape
-        flat, base = window.ravel(), (np.arange(rows) * size)[:, None]
-        at = np.zeros((rows, len(self.seeds)), np.int64)
-        out = np.repeat(self.seeds[None, :], rows, axis=0)
-        which = np.arange(len(self.seeds))
+    def _keys(self, value: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        # the words under the windows, each once: windows overlap
+        many, size = len(self.seeds), self.size
+        fresh = np.minimum(np.diff(starts, prepend=starts[0] - size), size)
+        ends = np.cumsum(fresh)
+        flat = value[np.repeat(starts + size - ends, fresh) + np.arange(ends[-1])]
+        base = (ends - size)[:, None]
+        at = np.zeros((len(starts), many), np.int64)
+        out = np.repeat(self.seeds[None, :], len(starts), axis=0)
+        which = np.arange(many)
         for j in range(self.last + 1):
             if j % 64 == 0:  # the bits of 64 steps
                 bits = mix64(flat[:, None] ^ mix64(self.seeds + np.uint64(j))).ravel()
@@ -122,7 +133,7 @@ class Walks:
                 word = np.where(at[:, own] < size, flat[inside[:, own]], _PAD)
                 out[:, own] = mix64(out[:, own] * np.uint64(31) + word)
             if j < self.last:
-                at += ((bits[inside * len(self.seeds) + which] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
+                at += ((bits[inside * many + which] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
         return out
 
 
@@ -141,13 +152,13 @@ class Items:
         for i, words in enumerate(self.words):
             if len(words):
                 size, starts = _windows(len(words), self.most[i])
-                by_size[size].append((i, words[np.array(starts)[:, None] + np.arange(size)]))
+                by_size[size].append((i, np.array(starts)))
         # of each window size: the walks, the keys of all items' windows in order, and the item of each
         self.size = np.zeros(len(self.words), np.int64)
         self.walks = []
         for size, items in sorted(by_size.items()):
             walks = Walks(size, how)
-            keys = walks.keys(np.concatenate([x for _, x in items])).ravel()
+            keys = np.concatenate([walks.along(self.words[i], x).ravel() for i, x in items])
             item = np.repeat(np.array([i for i, x in items for _ in range(len(x))]), how.repetitions)
             order = np.lexsort((item, keys))
             new = np.concatenate([[True], (np.diff(keys[order]) != 0) | (np.diff(item[order]) != 0)])
@@ -204,31 +215,53 @@ class Items:
                     i, lo, hi = int(item[some[0]]), int(word[some[0]]), int(word[some[-1]])
                     yield int(owner[lo]), i, lo + q - int(self.span[i]), hi + int(self.span[i])
 
+    def _met(self, value: np.ndarray, walks: Walks, keys: np.ndarray, items: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(items, starts of windows) that agree in one repetition, without repetitions; ``starts`` ascend."""
+        wide = len(value) + 1
+        for k in range(0, len(starts), WINDOWS):
+            some = starts[k : k + WINDOWS]
+            got = walks.along(value, some).ravel()
+            lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
+            met = np.flatnonzero(hi > lo)
+            n = (hi - lo)[met]
+            item = items[np.repeat(lo[met] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            hit = np.unique(item * wide + np.repeat(some[met // len(walks.seeds)], n))
+            yield hit // wide, hit % wide
+
+    def _everywhere(self, value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Places (item, begin, end, text), in order, around all windows of the texts whose walk agrees with one of an item's."""
+        length, hits = np.diff(bounds), [np.zeros((0, 4), np.int64)]
+        for walks, keys, items in self.walks:
+            many = np.maximum(length - walks.size + 1, 0)
+            starts = np.repeat(bounds[:-1] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            for item, at in self._met(value, walks, keys, items, starts):
+                text = np.searchsorted(bounds, at, "right") - 1
+                hits.append(np.stack([item, np.maximum(at - self.span[item], bounds[text]), np.minimum(at + self.span[item], bounds[text + 1]), text], axis=1))
+        rows = np.concatenate(hits)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        # begins and ends of a text ascend together: places that touch are one
+        apart = (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 3]) != 0) | (rows[1:, 1] > rows[:-1, 2])
+        first = np.flatnonzero(np.concatenate([[True], apart])[: len(rows)])
+        last = np.append(first[1:], len(rows)) - 1 if len(rows) else first
+        return np.stack([rows[first, 0], rows[first, 1], rows[last, 2], rows[first, 3]], axis=1)
+
     def _candidates(self, value: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Whether each place (item, begin, end, text), in order, has a window whose walk agrees with one of its item's."""
         out = np.zeros(len(places), bool)
+        wide = len(value) + 1
         for walks, keys, items in self.walks:
             own = np.flatnonzero(self.size[places[:, 0]] == walks.size)
             if not len(own):
                 continue
             begin, many = places[own, 1], np.maximum(places[own, 2] - places[own, 1] - walks.size + 1, 0)
-            start = np.unique(np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum()))
-            wide = len(value) + 1
+            starts = np.unique(np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum()))
             key = places[own, 0] * wide + begin
-            for k in range(0, len(start), WINDOWS):
-                some = start[k : k + WINDOWS]
-                got = walks.keys(value[some[:, None] + np.arange(walks.size)]).ravel()
-                lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-                met = np.flatnonzero(hi > lo)
-                n = (hi - lo)[met]
-                item = items[np.repeat(lo[met] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                at = np.repeat(some[met // len(walks.seeds)], n)
-                hit = np.unique(item * wide + at)
+            for item, at in self._met(value, walks, keys, items, starts):
                 # the places of an item may overlap: the last one that begins before a window, and the one before it
-                last = np.searchsorted(key, hit, "right") - 1
+                last = np.searchsorted(key, item * wide + at, "right") - 1
                 for which in (last, last - 1):
                     row = own[np.maximum(which, 0)]
-                    inside = (which >= 0) & (places[row, 0] == hit // wide) & (hit % wide + walks.size <= places[row, 2]) & (hit % wide >= places[row, 1])
+                    inside = (which >= 0) & (places[row, 0] == item) & (at + walks.size <= places[row, 2]) & (at >= places[row, 1])
                     out[row[inside]] = True
         return out
 
@@ -267,10 +300,14 @@ class Items:
             length, begin = np.diff(bounds), bounds[:-1]
             owner = np.repeat(np.arange(len(length)), length)
             place = np.arange(len(value)) - begin[owner]
-            rows = [(item, max(int(begin[text]), a), min(int(bounds[text + 1]), b), text) for text, item, a, b in self._places(value, place, length, owner)]
-            places = np.array(sorted(rows), np.int64).reshape(-1, 4)
+            if self.how.runs:
+                rows = [(item, max(int(begin[text]), a), min(int(bounds[text + 1]), b), text) for text, item, a, b in self._places(value, place, length, owner)]
+                places = np.array(sorted(rows), np.int64).reshape(-1, 4)
+                places = places[self._candidates(value, places)]
+            else:
+                places = self._everywhere(value, bounds)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for item, a, b, text in places[self._candidates(value, places)].tolist():
+            for item, a, b, text in places.tolist():
                 if self._apart(item, value[a:b]):
                     continue
                 cost, x, y = self._distance(item, value[a:b])
