@@ -10,8 +10,9 @@ Digits of a phrase never match with edits: version 1 is not a misspelt version 2
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ class Notice:
     base: bool = False
 
 
-# Phrases of short notices, their labels, and edits (about one in ten characters).
+# Phrases of short notices, their labels, and edits (about one in ten characters, at most 4).
 NOTICES = (
     Notice("mit", "under the mit license", 2, base=True),
     Notice("apache-2", "apache license version 2", 2, base=True),
@@ -45,6 +46,38 @@ NOTICES = (
     Notice("bsd", "redistribution and use in source and binary forms", 4),
     Notice("mit", "permission is hereby granted free of charge", 4),
     Notice("cc-by", "creative commons attribution", 2),
+    Notice("cc-by-sa", "creative commons attribution sharealike", 3),
+    Notice("cc-by-nd", "creative commons attribution noderivs", 3),
+    Notice("cc-by-sa", "cc by sa", 0),
+    Notice("cc0", "cc0 1 0 universal", 0),
+    Notice("apache-2", "licensed under the apache license", 3),
+    Notice("mit", "provided as is without warranty of any kind", 4),
+    Notice("bsd", "nor the names of its contributors", 3),
+    Notice("bsd", "this list of conditions and the following disclaimer", 4),
+    Notice("isc", "to use copy modify and or distribute", 3),
+    Notice("zlib", "without any express or implied warranty", 3),
+    Notice("unlicense", "free and unencumbered software", 3),
+    Notice("bsl-1", "boost software license version 1", 2),
+    Notice("artistic-2", "artistic license 2", 1),
+    Notice("lgpl", "gnu library general public license", 3),
+    Notice("agpl", "gnu affero general public license", 3),
+    Notice("gpl-2", "gnu general public license version 2", 3),
+    Notice("gpl-3", "gnu general public license version 3", 3),
+    Notice("gfdl", "gnu free documentation license", 3),
+    Notice("epl", "eclipse public license", 2),
+    Notice("cddl", "common development and distribution license", 4),
+    Notice("cpl", "common public license", 2),
+    Notice("eupl", "european union public licence", 2),
+    Notice("ms-pl", "microsoft public license", 2),
+    Notice("psf", "python software foundation license", 3),
+    Notice("ofl", "sil open font license", 2),
+    Notice("odbl", "open database license", 2),
+    Notice("lppl", "latex project public license", 2),
+    Notice("cecill", "cecill free software license agreement", 3),
+    Notice("w3c", "w3c software notice and license", 3),
+    Notice("unicode", "unicode license agreement", 2),
+    Notice("openssl", "openssl license", 1),
+    Notice("postgresql", "postgresql license", 1),
 )
 
 
@@ -151,19 +184,35 @@ _OUT = [
 _DDL = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, first: long, end: long, edits: long>>"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [scan(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.record_batch([batch.column("id"), *(pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_OUT))], names=["id", *(n for n, _ in _OUT)])
+@lru_cache(maxsize=8)
+def _finders(notices: tuple[Notice, ...]) -> list[Finder]:
+    """The searches of a list of notices, built once for each Python worker."""
+    for notice in notices:
+        if notice.edits < 0 or notice.phrase.encode() != words_joined(notice.phrase.encode())[0] or len(notice.phrase.rstrip("0123456789 ")) <= 2 * notice.edits:
+            raise ValueError(f"a phrase is words of small letters and digits, longer than two characters an edit: {notice}")
+    return [Finder(x) for x in notices]
 
 
-def license_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _scan(notices: tuple[Notice, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            finders = _finders(notices)
+            rows = [scan(x or b"", finders) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([batch.column("id"), *(pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_OUT))], names=["id", *(n for n, _ in _OUT)])
+
+    return run
+
+
+def license_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: Iterable[Notice] = NOTICES) -> DataFrame:
     """One row a document: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
+    notices: the phrases to look for, in any number; one that no text can match raises ValueError.
     Null texts count as empty: no words, no labels ('' and '[]'), score 0. Null ids and repeated
     rows are each scanned and returned. Other columns are ignored. Rows stay where they are read:
     there is no exchange.
     """
     arrow_batches(docs.sparkSession)
+    notices = tuple(notices)
+    _finders(notices)  # refused before the job, not in it
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan, f"id long, {_DDL}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_scan(notices), f"id long, {_DDL}").withColumnRenamed("id", id_col)
