@@ -5,7 +5,9 @@ from confirmed toxic examples (P) and unlabelled text (U). U is drawn from the r
 be learned from, toxic ones included, and its labels are not looked at; the class prior p is the
 share of toxic rows among those rows. Features whose share differs clearly between P and U are
 chosen first, by counts made on executors. With the prior the risk of calling U negative contains
-the toxic part of U, which P estimates: risk = p * R_P(+) + max(0, R_U(-) - p * R_P(-)). The maximum
+the toxic part of U, which P estimates: risk = m * p * R_P(+) + max(0, R_U(-) - p * R_P(-)). m is
+``missed``, how many times as bad a missed toxic text is as a false alarm; m = 1 gives the plain
+estimator of the error risk, and the m that is trained with is that of Learning. The maximum
 keeps the negative part from going below zero; where it does, its gradient step is reversed
 (non-negative correction). Scores are computed by executors over whole texts.
 

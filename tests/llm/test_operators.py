@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -506,7 +507,8 @@ def test_substring_and_line_sql(spark):
     from tarnwell.llm.queries import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    for path in sorted(Path(SMALL).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     for name, sql in ORACLE_SQL.items():
         got, want = QUERIES[name](spark, SMALL).toArrow(), con.execute(sql).fetchdf()
         assert sorted(map(str, got.select(list(want.columns)).to_pylist())) == sorted(map(str, want.astype(object).to_dict("records"))), name

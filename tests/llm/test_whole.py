@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tarnwell.llm import decontaminate, kernels, minhash_dedup, secret_scan
+from tarnwell.llm import decontaminate, kernels, license_scan, line_dedup, minhash_dedup, secret_scan, toxicity
 
 
 def prose(n, seed):
@@ -65,6 +65,80 @@ def test_leaks_places_held_in_parts(monkeypatch):
     assert list(block.find([" ".join(x).encode() for x in texts])) == whole and len(whole) >= 30
 
 
+def test_leaks_by_walks_alone():
+    """Without the runs the walks find the same; places merge, so an item planted twice is one row of its best place."""
+    r = random.Random(8)
+    items = [prose(n, n) for n in (1, 4, 7, 15, 40, 100, 300)]
+    texts = [prose(30, k) + edited(items[k % 7], "evenly", r) + prose(20, k + 99) + (items[k % 7] if k % 5 == 0 else []) for k in range(21)] + [[], ["word1"]]
+    rows, texts = [(i, " ".join(x).encode()) for i, x in enumerate(items)], [" ".join(x).encode() for x in texts]
+    alone = list(decontaminate.Items(rows, decontaminate.Decontamination(runs=False)).find(texts))
+    assert alone == list(decontaminate.Items(rows, decontaminate.Decontamination()).find(texts)) and len(alone) >= 21
+    assert list(decontaminate.Items(rows, decontaminate.Decontamination(runs=False)).find([])) == []
+
+
+def test_walks_along_a_text_equal_those_of_its_windows():
+    walks, value = decontaminate.Walks(12, decontaminate.Decontamination()), np.random.default_rng(1).integers(0, 9, 400).astype(np.uint64)
+    starts = np.array([0, 1, 2, 7, 30, 31, 200, 388])
+    assert (walks.along(value, starts) == walks.keys(value[starts[:, None] + np.arange(12)])).all()
+
+
+def test_long_texts(spark):
+    """Texts of megabytes, past the block size, hold what short ones hold."""
+    filler = "some filler of no note at all, line after line\n" * 40_000
+    item = " ".join(prose(30, 4))
+    text = filler + item + " under the mit licence " + filler
+    rows = spark.createDataFrame([(1, text), (2, "short\nof\nlines")], "doc_id long, text string")
+    leak = decontaminate.benchmark_leaks(rows, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [(x.doc_id, x.item_id, x.edits, x.first_word) for x in leak] == [(1, 9, 0, 40_000 * 10)]
+    notice = license_scan.license_notices(rows).filter("doc_id = 1").first()
+    assert notice.labels == "mit" and notice.n_words == 80_000 * 10 + 30 + 4
+    kept = {x.doc_id: x for x in line_dedup.remove_repeated_lines(rows).collect()}
+    assert kept[1].n_removed == 39_999 + 39_999 and kept[2].text == "short\nof\nlines"
+
+
+def test_own_columns_stay_without_counts(spark):
+    rows = spark.createDataFrame([(1, "a\nb\nc\na\nb\nc", 7, "x")], "doc_id long, text string, n_lines int, n_removed string")
+    out = line_dedup.remove_repeated_lines(rows, counts=False)
+    assert out.columns == rows.columns and [tuple(x) for x in out.collect()] == [(1, "a\nb\nc", 7, "x")]
+    import corpus_pipeline
+
+    assert [tuple(x) for x in corpus_pipeline.line_dedup_stage(spark, rows, "").collect()] == [(1, "a\nb\nc", 7, "x")]
+
+
+def test_notices_of_ones_own(spark):
+    rows = spark.createDataFrame([(1, "Use of the Acme shared licence is free. Under the MIT license."), (2, None)], "doc_id long, text string")
+    own = [license_scan.Notice("acme", "acme shared license", 1, base=True)]
+    got = {x.doc_id: x for x in license_scan.license_notices(rows, notices=own).collect()}
+    assert (got[1].labels, got[1].n_base, [tuple(s) for s in got[1].spans], got[2].labels) == ("acme", 0, [("acme", 3, 6, 1)], "")
+    assert license_scan.license_notices(rows, notices=[]).filter("labels <> '' or score <> 0").isEmpty()
+    for wrong in (license_scan.Notice("x", "Acme", 0), license_scan.Notice("x", "cc by", 3), license_scan.Notice("x", "", 0)):
+        with pytest.raises(ValueError):
+            license_scan.license_notices(rows, notices=[wrong])
+
+
+@pytest.mark.parametrize("missed", [1.0, toxicity.Learning().missed])
+def test_risk_at_the_weight_that_is_trained_with(missed):
+    r = np.random.default_rng(6)
+    rows = [np.flatnonzero(r.random(5) < 0.5) for _ in range(24)]
+    word, owner, sides = np.concatenate(rows), np.repeat(np.arange(24), [len(x) for x in rows]), set()
+    for _ in range(40):
+        weight, prior = r.normal(0, 2, 6), float(r.uniform(0.05, 0.95))
+
+        def parts(w):
+            score = np.array([w[x].sum() + w[-1] for x in rows])
+            toxic, clean = np.log(1 + np.exp(-score)), np.log(1 + np.exp(score))
+            return missed * prior * toxic[:8].mean(), clean[8:].mean() - prior * clean[:8].mean()
+
+        positive, negative, gradient = toxicity.risk(weight, word, owner, 8, 16, prior, missed=missed)
+        assert (positive, negative) == pytest.approx(parts(weight))
+        sides.add(negative >= 0)
+        target = (lambda w: sum(parts(w))) if negative >= 0 else (lambda w: -parts(w)[1])
+        for i in range(6):
+            step = np.eye(6)[i] * 1e-6
+            assert gradient[i] == pytest.approx((target(weight + step) - target(weight - step)) / 2e-6, abs=1e-6)
+    assert sides == {True, False}
+
+
 def changed(words, k, r):
     out = list(words)
     for at in r.sample(range(len(words)), k):
