@@ -27,12 +27,16 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, later copies of repeated three-line windows cut out; n_chars counts what is left."""
-    out = remove_repeated_lines(docs).drop("n_lines", "n_removed")
+    out = remove_repeated_lines(docs, counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near-duplicates (five words, 0.8)."""
+    """One document, the smallest id, of each group of near-duplicates (five words, 0.8).
+
+    Rows that repeat an id share its fate: all go if one of their texts is a duplicate of a smaller
+    id's, else all stay. Rows with a null id stay.
+    """
     dropped = near_duplicates(docs, MinHash(shingle=5)).filter("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
