@@ -312,6 +312,16 @@ def whole_analysis(spark, sf_dir):
     return graph.analyse(_part_items(spark, sf_dir), _parts_called(spark, sf_dir), _traits(spark), _taken(spark, sf_dir), mono).gone
 
 
+def analysis_branches(spark, sf_dir):
+    """What goes where a keep table stands in for the walk, and where there is no entry: nothing there."""
+    items, calls, traits, taken = _part_items(spark, sf_dir), _parts_called(spark, sf_dir), _traits(spark), _taken(spark, sf_dir)
+    none = spark.createDataFrame([], "key long")
+    used = F.col("l_partkey")
+    keep = _table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select((used % 7).cast("string").alias("scid"), used.cast("string").alias("lo")).distinct()
+    kept = graph.analyse(items, calls, traits, taken, none, keep).gone.select(F.lit("keep table").alias("branch"), "key")
+    return kept.union(graph.analyse(items.withColumn("is_entry", F.lit(False)), calls, traits, taken, none).gone.select(F.lit("no entry"), "key"))
+
+
 def broken_invariant(spark, sf_dir):
     """Exported items that a walk from other seeds does not reach; from the analysis's own seeds there are none."""
     items = _part_items(spark, sf_dir)
@@ -350,7 +360,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         symbol_export, profile_file, state_table, result_store, result_report, benchmark_table, incremental_misses, adjacency_lists, cast_facts,
         asm_symbols, dynamic_traits, line_items, brace_items, own_parser, brace_depths, item_lines, workspace_sources, feature_union,
         unsupported_features, first_types, scripts, script_caches, hex_numbers, packed_keys, keep_rules, threshold_modes, flag_levels,
-        whole_analysis, broken_invariant, cross_partition_marks, analysis_walk, independent_parts,
+        whole_analysis, analysis_branches, broken_invariant, cross_partition_marks, analysis_walk, independent_parts,
     )
 }
 
@@ -416,6 +426,7 @@ SELECT p_partkey, 'a.h,b' || p_partkey || '.h' AS includes, manifest, manifest L
     "threshold_modes": "WITH n AS (SELECT l_suppkey, count(*) FILTER (l_quantity > 49) AS s FROM lineitem GROUP BY 1) SELECT l_suppkey, mode, CASE WHEN (mode = 'auto' AND s = 0) OR (mode = '3' AND s < 3) THEN 'skip' ELSE 'cut' END AS decision FROM n, (SELECT unnest(['auto', 'never', '0', '3']) AS mode)",
     "flag_levels": "SELECT * FROM (VALUES ('', false, 3, ''), ('-O1 -fcycle', false, 1, 'cycle'), ('-fcycle -fno-cycle -O', true, 4, 'deep,wide'), ('-fa -O0 -fb', true, 0, 'a,b'), ('', true, 1, '')) v(flags, local_registry, level, features)",
     "whole_analysis": f"WITH RECURSIVE {_CALLS}, {_OWN} SELECT p_partkey + {PART} AS key FROM part WHERE {_SAFE} AND p_partkey + {PART} NOT IN (SELECT key FROM own) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 2)",
+    "analysis_branches": f"SELECT 'keep table' AS branch, p_partkey + {PART} AS key FROM part WHERE {_SAFE} AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
     "broken_invariant": f"{_REACHED} SELECT 'other' AS walk, p_partkey + {PART} AS key FROM part WHERE p_size > 40 AND p_partkey + {PART} NOT IN (SELECT key FROM r)",
     "cross_partition_marks": f"""WITH RECURSIVE {_CALLS}, m AS (SELECT p_partkey + {PART} AS key FROM part WHERE (p_partkey % 3 = 0 AND p_partkey % 29 = 0) OR (p_partkey % 50 = 1 AND p_partkey % 7 <> 0) OR p_partkey % 97 = 0 OR p_partkey % 101 = 0
 UNION SELECT c.dst FROM m JOIN c ON c.src = m.key) SELECT CAST(p_partkey % 7 AS INT) AS krate, p_partkey + {PART} AS key, p_partkey % 50 = 1 AND p_partkey % 7 <> 0 AS is_seed FROM part JOIN m ON m.key = p_partkey + {PART}""",
