@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CORPUS = "rank int, name string, version string, downloads long, kind string, baseline_build_secs double, treated_build_secs double, speedup double, status string"
@@ -157,12 +157,14 @@ def analysis_rows(records: DataFrame, by: str = "crate") -> DataFrame:
 
     A line that is a section's name, in brackets or with a colon too, begins it; others are its
     entries, ``item`` or ``item -> target``. Entries before the first section and in unknown ones
-    are left out, blank lines and null texts too. The sections run inside one record.
+    are left out, blank lines and null texts too. The sections run inside one record; a ``by`` may
+    have several.
     """
-    lines = records.select(by, F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
-    name = F.when(F.col("line").rlike(r"^\[?[A-Z_]+\]?:?$"), F.regexp_extract("line", "([A-Z_]+)", 1))
-    section = F.last(name, ignorenulls=True).over(Window.partitionBy(by).orderBy("n"))
-    rows = lines.withColumn("name", name).withColumn("section", section).filter(F.col("name").isNull() & F.col("section").isin(*ANALYSIS))
+    # a part runs from a section's name to the next one: no window, so records of one ``by`` do not mix
+    name = r" *\[?([A-Z_]+)\]?:?[\r\x{85}\x{2028}\x{2029}]? *"
+    parts = records.select(by, F.explode(F.split("text", rf"(?dm)^(?={name}$)")).alias("part"))
+    parts = parts.select(by, F.regexp_extract("part", rf"(?d)\A{name}(?:\n|\z)", 1).alias("section"), F.split("part", "\n").alias("lines")).filter(F.col("section").isin(*ANALYSIS))
+    rows = parts.select(by, "section", F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("line")).withColumn("line", F.trim("line")).filter("line <> ''")
     both = F.split("line", r"\s*->\s*", 2)
     return rows.select(by, "section", both[0].alias("item"), F.get(both, F.lit(1)).alias("target"))
 
