@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .operators import extraction, graph, lines, measurements, policies
-from .queries import _EDGES, _PAIRS, _REACHED, _SAFE, ORACLE_SQL as FIRST_SQL, PART, _dag, _edges, _pairs, _part_items, _reached, _rounded, _table, _traits, critical_path, unit_delta
+from .queries import _EDGES, _PAIRS, _REACHED, _SAFE, ORACLE_SQL as FIRST_SQL, PART, _dag, _edges, _pairs, _part_items, _reached, _rounded, _spread, _table, _traits, critical_path, unit_delta
 from .sources import parsers
 
 
@@ -220,7 +220,7 @@ def parsed_calls(spark, sf_dir):
     """Calls between functions of generated sources: each part's function calls that of the part with twice its key."""
     p = F.col("p_partkey")
     code = F.concat(F.lit("fn p"), p, F.lit("(x: u8) { /* p0() */ p"), p * 2, F.lit("(\"p1()\"); }"))
-    facts = parsers.parse_sources(_table(spark, sf_dir, "part").select("p_brand", code.alias("text")), "p_brand")
+    facts = parsers.parse_sources(_spread(_table(spark, sf_dir, "part").select("p_partkey", "p_brand")).select("p_brand", code.alias("text")), "p_brand")
     items, calls = parsers.call_graph(facts, "p_brand")
     caller, callee = items.select(F.col("id").alias("src"), F.col("name").alias("caller")), items.select(F.col("id").alias("dst"), F.col("name").alias("callee"))
     return calls.join(caller, "src").join(callee, "dst").select("caller", "callee")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .parsers import NO_CALL, _comment_end
+from .parsers import NO_CALL, _comment_end, batched
 
 _TOKEN = re.compile(
     r"""(?P<skip>//[^\n]*|/\*|b?r(?P<hashes>\#*)"|b?"(?:[^"\\]|\\.)*"|b?'(?:[^'\\\n]|\\[^\n]{1,10}?)'|'[A-Za-z_]\w*)|(?P<path>[A-Za-z_]\w*(?:\s*::\s*[A-Za-z_]\w*)*)|(?P<sign>::|->|=>|[^\s\w])""",
@@ -380,10 +380,13 @@ def read_names(text: str) -> list[tuple]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for key, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            rows = [(key, *x) for x in read_names(text or "")]
-            yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ROW)], schema=_ROW)
+    def facts() -> Iterator[tuple]:
+        for batch in batches:
+            for key, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for fact in read_names(text or ""):
+                    yield (key, *fact)
+
+    return batched(facts(), _ROW)
 
 
 def _joined(*parts) -> Column:

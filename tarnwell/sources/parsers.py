@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -141,14 +142,24 @@ def by_tree(text: str) -> Iterator[Fact]:
 _FACTS = pa.schema([("key", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("line", pa.int64()), ("within", pa.string()), ("target", pa.string())])
 
 
+ROWS = 20_000  # facts in a batch, from which the next one begins
+
+
+def batched(found: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """``found`` rows as batches of ROWS, so that small texts don't get a batch each."""
+    rows = iter(found)
+    while block := list(islice(rows, ROWS)):
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*block, strict=True), schema, strict=True)], schema=schema)
+
+
 def _run(parse: Parser):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows = [(key, *x) for x in parse(text or "")]
-                yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_FACTS)], schema=_FACTS)
+                for fact in parse(text or ""):
+                    yield (key, *fact)
 
-    return run
+    return lambda batches: batched(facts(batches), _FACTS)
 
 
 def parse_sources(texts: DataFrame, key: str, backend: str | Parser = "tree", text_col: str = "text") -> DataFrame:

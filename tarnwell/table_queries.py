@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import scalars
 from .operators import extraction, graph, lines, measurements, policies
 from .plans.lineage import new_folder
-from .queries import _EDGES, _REACHED, _SAFE, PART, _edges, _manifests, _part_items, _reached, _table, _traits
+from .queries import _EDGES, _REACHED, _SAFE, PART, _edges, _manifests, _part_items, _reached, _spread, _table, _traits
 from .sources import files, parsers
 from .streaming import watch
 
@@ -186,7 +186,7 @@ def _code(spark, sf_dir):
     parts = [F.lit(head)]
     for piece in rest:
         parts += [_p().cast("string"), F.lit(piece)]
-    return _table(spark, sf_dir, "part").select("p_partkey", F.concat(*parts).alias("text"))
+    return _spread(_table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", F.concat(*parts).alias("text"))
 
 
 def line_items(spark, sf_dir):

@@ -1,5 +1,7 @@
 """What larger tables bring: several records of one group, long chains, many small texts, wide label sets."""
 
+import pyarrow as pa
+
 from tarnwell.sources import files
 
 
@@ -11,3 +13,14 @@ def test_records_of_one_crate_do_not_mix(spark):
     got = files.analysis_rows(spark.createDataFrame(records, "crate string, text string").repartition(1)).collect()
     want = [("c", "CALL_EDGES", "a", "b"), ("c", "DEFINED_ITEMS", "a", None), ("c", "DEFINED_ITEMS", "z", "w -> v"), ("c", "NO_MANGLE", "a", None), ("c", "NO_MANGLE", "x", None)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_small_texts_share_batches():
+    from tarnwell.sources import names, parsers
+
+    texts = pa.record_batch({"key": ["a", "b", "c"], "text": ["fn x() { y(); }", None, "fn y() {}"]})
+    (facts,) = parsers._run(parsers.PARSERS["braces"])(iter([texts, texts]))
+    assert facts.num_rows == 6
+    (found,) = names._read(iter([texts.rename_columns(["path", "text"])] * 2))
+    assert found.num_rows == 2 * sum(len(names.read_names(t or "")) for t in texts.column("text").to_pylist())
+    assert list(parsers._run(parsers.PARSERS["lines"])(iter([texts.slice(1, 1)]))) == []
