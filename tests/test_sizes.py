@@ -1,8 +1,12 @@
 """What larger tables bring: several records of one group, long chains, many small texts, wide label sets."""
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
+from tarnwell.operators import chains
 from tarnwell.sources import files
+from tests.test_deep import jobs
 
 
 def test_records_of_one_crate_do_not_mix(spark):
@@ -24,3 +28,40 @@ def test_small_texts_share_batches():
     (found,) = names._read(iter([texts.rename_columns(["path", "text"])] * 2))
     assert found.num_rows == 2 * sum(len(names.read_names(t or "")) for t in texts.column("text").to_pylist())
     assert list(parsers._run(parsers.PARSERS["lines"])(iter([texts.slice(1, 1)]))) == []
+
+
+def chain_by_hand(to, weights, start):
+    """Weights from ``start`` to the end of its chain; None in a ring or from where one weight is missing."""
+    seen, total = set(), 0.0
+    while start in weights:
+        if start in seen or weights[start] is None:
+            return None
+        seen.add(start)
+        total += weights[start]
+        start = to.get(start)
+    return total
+
+
+@pytest.mark.parametrize("width", [5, 200_000])
+def test_chains_across_ranges(spark, monkeypatch, width):
+    """Chains along keys, against them and at random, rings in a range and across, nodes without a weight."""
+    monkeypatch.setattr(chains, "RANGE", width)
+    to = {i: i + 1 for i in range(40)} | {i: i - 1 for i in range(60, 90)} | {100: 101, 101: 102, 102: 100, 103: 101, 110: 150, 150: 110, 130: 110, 45: 20, 46: 45, 47: 45, 200: 210, 210: 205, 205: 203, 203: 220}
+    weights = {k: float(k % 7) for k in {*to, *to.values()}} | {15: None}
+    got = chains.deep_critical_path(spark.createDataFrame(list(weights.items()), "key long, weight double"), spark.createDataFrame(list(to.items()), "src long, dst long")).collect()
+    ring = {k for k in weights if k >= 100 and k < 200}
+    assert {x.key: x.cp for x in got} == {k: chain_by_hand(to, weights, k) for k in weights if k not in ring}
+    for seeds in ([46, 75], [103, 203], [130], [0]):
+        want = set(seeds)
+        for k in seeds:
+            while (k := to.get(k)) is not None and k not in want:
+                want.add(k)
+        found = [x.key for x in chains.deep_reachable(spark.createDataFrame(list(to.items()), "src long, dst long"), spark.createDataFrame([(k,) for k in seeds], "key long")).collect()]
+        assert sorted(found) == sorted(want)
+
+
+def test_a_chain_along_keys_takes_few_jobs(spark):
+    n = 100_000
+    deps = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    weights = spark.range(n).select(F.col("id").alias("key"), F.lit(1.0).alias("weight"))
+    assert jobs(spark, "along keys", lambda: chains.deep_critical_path(weights, deps).agg(F.max("cp")).first()) < 40
