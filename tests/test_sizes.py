@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwell.operators import chains
+from tarnwell.operators import chains, walks
 from tarnwell.sources import files
 from tests.test_deep import jobs
 
@@ -65,3 +65,11 @@ def test_a_chain_along_keys_takes_few_jobs(spark):
     deps = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     weights = spark.range(n).select(F.col("id").alias("key"), F.lit(1.0).alias("weight"))
     assert jobs(spark, "along keys", lambda: chains.deep_critical_path(weights, deps).agg(F.max("cp")).first()) < 40
+
+
+def test_shortcuts_of_a_labelled_walk(spark):
+    """Pairs up to four edges apart, and none where a hub would bring many."""
+    line = spark.range(20).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {(r.src, r.dst) for r in walks._with_shortcuts(line).collect()} == {(i, i + k) for i in range(20) for k in range(1, 5) if i + k <= 20}
+    hub = spark.range(30).select(F.col("id").alias("src"), F.lit(100).cast("long").alias("dst")).union(spark.range(30).select(F.lit(100).cast("long"), F.col("id") + 200))
+    assert walks._with_shortcuts(hub).count() == 60
