@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import extraction, policies
 from .plans.lineage import new_folder
-from .queries import _table
+from .queries import _spread, _table
 from .sources import files, mir, names, parsers, versions
 from .streaming import watch
 
@@ -110,7 +110,7 @@ def _named_sources(spark, sf_dir):
     """A file for each part in the crate of its brand, all with the same names: a type, its trait, a helper, and calls of the type of the next part."""
     part = _table(spark, sf_dir, "part").select("p_partkey", F.lower(F.translate("p_brand", "#", "_")).alias("crate"))
     following = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("crate").alias("there"), F.concat(F.lit("m"), "p_partkey").alias("file"))
-    rows = part.join(following, "p_partkey", "left")
+    rows = _spread(part.join(following, "p_partkey", "left"))
     there, file = F.coalesce("there", "crate"), F.coalesce("file", F.concat(F.lit("m"), "p_partkey"))
     odd = F.col("p_partkey") % 2 == 1
     text = F.concat(
