@@ -11,14 +11,15 @@ empty texts. A phrase is a candidate from ``least`` occurrences on.
    frequent phrase. Tasks add safe windows up in buckets of their hash, up to ``least`` each, and
    merge their counts; a window whose bucket stays below ``least`` cannot be frequent. The others'
    distinct windows are the candidates: buckets overestimate, so none is lost.
-3. Candidates are dealt into blocks of bounded size. Each is made a double-array trie and broadcast;
-   numpy walks it from all places of the texts at once, level by level, and counts the accepting
-   states with bincount. The counts of all tasks are summed and those from ``least`` on stay. They are
+3. Candidates are dealt into blocks of bounded size, ranges of their order. Each is made a double-array trie and broadcast;
+   numpy walks it from all places of the texts whose word a phrase of the block begins with at once,
+   level by level, and counts the accepting states with bincount. The counts of all tasks are summed and those from ``least`` on stay. They are
    exact, and only they are used from here on.
 
-A broadcast trie has about ``block`` entries and a bitmap of buckets at most 2**27 bits, whatever the
-corpus; what is bounded so is paid with passes over the numbers, one for each block of frequent
-words, of candidates and of phrases at each size. Where more windows come than buckets can tell
+A broadcast trie has at most ``block`` entries, that of words twice as many, and a bitmap of buckets
+at most 2**29 bits, whatever the corpus; what is bounded so is paid with passes over the numbers, one
+for each block of frequent words, of candidates and of phrases at each size. Passes read all numbers;
+their walks together are those of one. Where more windows come than buckets can tell
 apart, buckets let more candidates through, and blocks grow in number; results stay exact.
 
 A cut after the first k words has l = occurrences of the first part, r = of the rest and the score
@@ -52,8 +53,9 @@ _LOWER[65:91] += 32
 _UPPER_CASE, _LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAKS = r"[.,;:!?\x0A-\x0D\x20\x09]+"
 FLUSH = 1 << 20  # windows that a task holds before it passes them on
-MOST_BUCKETS = 27  # bits
+MOST_BUCKETS = 29  # bits
 LEAST_BUCKETS = 16
+FEW_ROWS = {"parquet.block.row.count.limit": "16"}  # a row has the texts of a batch; Spark's reader holds what a row group has of up to 4,096 rows at once
 
 
 @dataclass(frozen=True)
@@ -110,7 +112,10 @@ def _coding(words: Broadcast, again: bool, last: bool):
     return run
 
 
-def _safe(ids: np.ndarray, trie: DoubleArray | None, size: int, digits: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+Span = tuple[int, int] | None  # from and to which first number a block's phrases go; None: all
+
+
+def _safe(ids: np.ndarray, trie: DoubleArray | None, span: Span, size: int, digits: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
     """(places, first parts) of windows of ``size`` numbers whose parts of size - 1 are phrases of ``trie``; of words for pairs.
 
     A first part is told by its place in the trie, or by its word. whole: the trie has all phrases, so
@@ -119,9 +124,13 @@ def _safe(ids: np.ndarray, trie: DoubleArray | None, size: int, digits: int, who
     if size == 2:
         at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
         return at, ids[at]
+    if not whole:
+        at, hit = trie.places(ids[:-1], size - 1, digits, span)
+        ok = (hit >= 0) & (ids[at + size - 1] > 0)
+        return at[ok], hit[ok]
     hit = trie.windows(ids, size - 1, digits)
     ok = (hit[: len(ids) - size + 1] >= 0) & (ids[size - 1 :] > 0)
-    at = np.flatnonzero(ok & (hit[1 : len(ids) - size + 2] >= 0) if whole else ok)
+    at = np.flatnonzero(ok & (hit[1 : len(ids) - size + 2] >= 0))
     return at, hit[at]
 
 
@@ -132,7 +141,7 @@ def _hashed(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def _windows(batches: Iterator[pa.RecordBatch], trie: Broadcast | None, size: int, digits: int, whole: bool, bits: int, often: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+def _windows(batches: Iterator[pa.RecordBatch], trie: Broadcast | None, span: Span, size: int, digits: int, whole: bool, bits: int, often: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """Buckets of about FLUSH safe windows at a time; with a bitmap ``often`` only windows whose bucket is set, also an exact key of each and its numbers."""
     held, rows = [], 0
     for batch in batches:
@@ -140,7 +149,7 @@ def _windows(batches: Iterator[pa.RecordBatch], trie: Broadcast | None, size: in
             ids = np.frombuffer(blob, "<i4")
             if len(ids) < size:
                 continue
-            every, first = _safe(ids, trie.value if trie else None, size, digits, whole)
+            every, first = _safe(ids, trie.value if trie else None, span, size, digits, whole)
             for k in range(0, len(every), FLUSH):
                 at, own = every[k : k + FLUSH], first[k : k + FLUSH]
                 bucket = (_hashed(ids, at, size) >> np.uint64(64 - bits)).astype(np.int64)
@@ -163,69 +172,93 @@ def _slices(bits: int) -> int:
     return max(4, bits - 20)
 
 
-def _bucketed(trie, size, digits, whole, bits, least):
+def _packed(places: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending places and their counts, as planes of bytes of the steps between places and of the counts."""
+    return np.concatenate([np.diff(places, prepend=0), counts]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(blob, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.cumsum(both[: len(both) // 2], dtype=np.int64), both[len(both) // 2 :]
+
+
+def _bucketed(trie, span, size, digits, whole, bits, least):
     """Counts of safe windows by bucket, up to ``least``, a row for each slice of the buckets that was met."""
     schema = pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
     low = bits - _slices(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
-        for (bucket,) in _windows(batches, trie, size, digits, whole, bits):
-            bucket = np.sort(bucket)
+        for (bucket,) in _windows(batches, trie, span, size, digits, whole, bits):
+            part = int(bucket[0] + len(bucket)) if len(bucket) else 0
+            bucket, counts = np.unique(bucket, return_counts=True)
             bounds = np.searchsorted(bucket, np.arange((1 << (bits - low)) + 1) << low)
-            for k in np.flatnonzero(np.diff(bounds)):
-                counts = np.bincount(bucket[bounds[k] : bounds[k + 1]] - (k << low), minlength=1 << low)
-                part = int(bucket[bounds[k]] + len(bucket)) & 31  # spreads a slice's counts over tasks
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part], pa.int32()), [packer.compress(np.minimum(counts, least).astype("<u4").tobytes())]], schema=schema)
+            met = np.flatnonzero(np.diff(bounds))
+            blobs = [packer.compress(_packed(bucket[bounds[k] : bounds[k + 1]] - (k << low), np.minimum(counts[bounds[k] : bounds[k + 1]], least))) for k in met]
+            yield pa.record_batch([pa.array(met, pa.int32()), pa.array((part + met) & 31, pa.int32()), blobs], schema=schema)  # parts spread a slice's counts over tasks
 
     return run
 
 
-def _summed(most: int | None, bits_of: int | None = None):
-    """Adds up the counts of rows that follow each other with one slice and part, up to ``most``; bits_of: gives a bit a count, whether it reaches this."""
+def _summed(most: int | None, low: int = 0, bits_of: int | None = None):
+    """Adds up the counts of rows that follow each other with one slice and part.
+
+    most: rows have places (see _packed) among 2**low, and sums go up to ``most``; else counts of all
+    places. bits_of: gives a bit a count, whether it reaches this.
+    """
     schema = pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, None
         packer, reader = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-        kind = "<u4" if most else "<i8"
 
         def out() -> pa.RecordBatch:
-            blob = packer.compress(total.astype(kind).tobytes()) if bits_of is None else np.packbits(total >= bits_of, bitorder="little").tobytes()
+            if bits_of is not None:
+                blob = np.packbits(total >= bits_of, bitorder="little").tobytes()
+            elif most:
+                met = np.flatnonzero(total)
+                blob = packer.compress(_packed(met, total[met]))
+            else:
+                blob = packer.compress(total.astype("<i8").tobytes())
             return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), [blob]], schema=schema)
 
         for batch in batches:
             for k, part, blob in zip(*(batch.column(c).to_pylist() for c in ("slice", "part", "counts")), strict=True):
-                counts = np.frombuffer(reader.decompress(blob), kind).astype(np.int64)
+                blob = reader.decompress(blob)
+                if most:
+                    places, counts = _unpacked(blob)
+                else:
+                    counts = np.frombuffer(blob, "<i8")
                 if (k, part) != key:
                     if key is not None:
                         yield out()
-                    key, total = (k, part), np.zeros(len(counts), np.int64)
-                total += counts
+                    key, total = (k, part), np.zeros(1 << low if most else len(counts), np.int64)
                 if most:
-                    np.minimum(total, most, out=total)
+                    total[places] = np.minimum(total[places] + counts, most)
+                else:
+                    total += counts
         if key is not None:
             yield out()
 
     return run
 
 
-def _added(rows: DataFrame, most: int | None, bits_of: int | None = None) -> DataFrame:
+def _added(rows: DataFrame, most: int | None, low: int = 0, bits_of: int | None = None) -> DataFrame:
     """(slice, counts): counts summed by slice and part, then by slice, so that no task adds up what all others counted."""
     kind = "slice int, part int, counts binary"
     dealt = lambda df: df.repartition("slice", "part").sortWithinPartitions("slice", "part")
-    first = dealt(rows).mapInArrow(_summed(most), kind).withColumn("part", F.lit(0))
-    return dealt(first).mapInArrow(_summed(most, bits_of), kind).select("slice", "counts")
+    first = dealt(rows).mapInArrow(_summed(most, low), kind).withColumn("part", F.lit(0))
+    return dealt(first).mapInArrow(_summed(most, low, bits_of), kind).select("slice", "counts")
 
 
-def _proposed(trie, size, digits, whole, bits, often: Broadcast):
+def _proposed(trie, span, size, digits, whole, bits, often: Broadcast):
     """The distinct safe windows of a task whose bucket came often, packed by slice of their buckets."""
     schema = pa.schema([("slice", pa.int32()), ("windows", pa.binary())])
     low = bits - _slices(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
-        for bucket, key, rows in _windows(batches, trie, size, digits, whole, bits, often.value):
+        for bucket, key, rows in _windows(batches, trie, span, size, digits, whole, bits, often.value):
             keep = np.unique(key, return_index=True)[1]
             keep = keep[np.argsort(bucket[keep], kind="stable")]
             bounds = np.searchsorted(bucket[keep], np.arange((1 << (bits - low)) + 1) << low)
@@ -241,9 +274,13 @@ def _distinct(size: int):
     names = [f"w{k}" for k in range(size)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, at, held = zstandard.ZstdDecompressor(), None, np.zeros(0, f"V{4 * size}")
+        reader, at, held, more, n = zstandard.ZstdDecompressor(), None, np.zeros(0, f"V{4 * size}"), [], 0
+
+        def merged() -> np.ndarray:
+            return np.unique(np.concatenate([held, *more])) if more else held
 
         def out() -> Iterator[pa.RecordBatch]:
+            held = merged()
             rows = np.frombuffer(held.tobytes(), "<i4").reshape(-1, size)
             for k in range(0, len(rows), 1 << 16):
                 yield pa.record_batch([pa.array(rows[k : k + (1 << 16), j], pa.int32()) for j in range(size)], names=names)
@@ -252,8 +289,11 @@ def _distinct(size: int):
             for k, blob in zip(batch.column("slice").to_pylist(), batch.column("windows").to_pylist(), strict=True):
                 if k != at:
                     yield from out()
-                    at, held = k, held[:0]
-                held = np.unique(np.concatenate([held, np.frombuffer(reader.decompress(blob), held.dtype)]))
+                    at, held, more, n = k, held[:0], [], 0
+                more.append(np.frombuffer(reader.decompress(blob), held.dtype))
+                n += len(more[-1])
+                if n > max(len(held), FLUSH >> 2):  # so that what is held is not sorted again for every row
+                    held, more, n = merged(), [], 0
         yield from out()
 
     return run
@@ -262,18 +302,24 @@ def _distinct(size: int):
 PHRASES = 1 << 14  # phrases whose counts are one row
 
 
-def _counted(trie: Broadcast, n: int, size: int, digits: int):
+def _counted(trie: Broadcast, span: Span, n: int, size: int, digits: int):
     """How often a task's texts hold each of the ``n`` phrases of a trie, a row for each slice of them that was met."""
     schema = pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n, np.int64)
+        total, held, rows = np.zeros(n, np.int64), [], 0
         for batch in batches:
             for blob in batch.column("ids").to_pylist():
                 ids = np.frombuffer(blob, "<i4")
                 for at in range(0, len(ids), FLUSH):  # a stretch and what its last windows need of the next one
-                    hit = trie.value.windows(ids[at : at + FLUSH + size - 1], size, digits)
-                    total += np.bincount(hit[hit >= 0], minlength=n)
+                    hit = trie.value.places(ids[at : at + FLUSH + size - 1], size, digits, span)[1]
+                    held.append(hit[hit >= 0])
+                    rows += len(held[-1])
+                    if rows >= FLUSH:
+                        total += np.bincount(np.concatenate(held), minlength=n)
+                        held, rows = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=n)
         packer, part = zstandard.ZstdCompressor(level=1), int(total.sum()) & 31  # spreads a slice's counts over tasks
         for k in range(0, n, PHRASES):
             if total[k : k + PHRASES].any():
@@ -304,39 +350,50 @@ class _Miner:
         self.scratch = Scratch(self.spark, "collocations")
         self.docs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def blocks(self, table: DataFrame, rows: int) -> Iterator[pa.Table]:
-        """``table``, of ``rows`` counted rows, in blocks of about ``block`` rows told by a hash."""
-        n = -(-rows // self.how.block)
-        for k in range(n):
-            yield table.filter(F.pmod(F.xxhash64(*table.columns), F.lit(n)) == k).toArrow()
+    def blocks(self, table: DataFrame, rows: int, most: int) -> Iterator[pa.Table]:
+        """``table``, of ``rows`` counted rows, in blocks of ``most`` rows, in the order of its columns."""
+        if rows <= most:
+            yield from [table.toArrow()] if rows else []
+            return
+        dealt = self.scratch.save(numbered(table, table.columns, "_row"), "numbered")
+        for k in range(-(-rows // most)):
+            yield dealt.filter((F.col("_row") > k * most) & (F.col("_row") <= (k + 1) * most)).select(*table.columns).toArrow()
+        self.scratch.drop(dealt)
 
     def words(self) -> DataFrame:
         """(lang, word, id, a): frequent words by number."""
-        lower = F.translate("text", _UPPER_CASE, _LOWER_CASE)
-        every = self.docs.select("lang", F.explode(F.split(lower, _BREAKS)).alias("word")).filter("word <> ''")
-        often = every.groupBy("lang", "word").agg(F.count("*").alias("a")).filter(F.col("a") >= self.how.least)
+        every = self.docs.select("lang", F.explode(F.split("text", _BREAKS)).alias("word")).filter("word <> ''")
+        written = every.groupBy("lang", "word").agg(F.count("*").alias("a"))  # words are lower-cased once, not at each place
+        lower = F.translate("word", _UPPER_CASE, _LOWER_CASE).alias("word")
+        often = written.select("lang", lower, "a").groupBy("lang", "word").agg(F.sum("a").alias("a")).filter(F.col("a") >= self.how.least)
         return self.scratch.save(numbered(often, ["lang", "word"], "id").select("lang", "word", F.col("id").cast("int").alias("id"), "a"), "words")
 
     def numbers(self, words: DataFrame, rows: int) -> DataFrame:
         """(lang, n, ids): the texts as numbers, and how many words they have."""
-        table, n, last = self.docs, -(-rows // self.how.block), None
-        for k, block in enumerate(self.blocks(words.select("lang", "word", "id"), rows)):
+        table, most, last = self.docs, 2 * self.how.block, None  # a pass writes all texts again, so blocks are larger here
+        n = -(-rows // most)
+        for k, block in enumerate(self.blocks(words.select("lang", "word", "id"), rows, most)):
             keys = [y.encode() + b"\xff" + w.encode() for y, w in zip(block["lang"].to_pylist(), block["word"].to_pylist(), strict=True)]
             trie = build(np.frombuffer(b"".join(keys), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int64))
             sent = self.spark.sparkContext.broadcast((trie, block["id"].to_numpy().astype(np.int32)))
-            table = self.scratch.save(table.mapInArrow(_coding(sent, k > 0, k == n - 1), "lang string, n long, ids binary, text binary"), "numbers")
+            table = self.scratch.save(table.mapInArrow(_coding(sent, k > 0, k == n - 1), "lang string, n long, ids binary, text binary"), "numbers", **FEW_ROWS)
             sent.destroy()
             if last is not None:
                 self.scratch.drop(last)
             last = table
         return table.select("lang", "n", "ids")
 
-    def tries(self, table: DataFrame, rows: int, size: int, digits: int) -> Iterator[tuple[Broadcast, Broadcast]]:
-        """(trie, phrases) of each block of ``table`` (w0, ..., of ``size`` numbers), broadcast while the caller is at it."""
-        for block in self.blocks(table.select(*[f"w{k}" for k in range(size)]), rows):
+    def tries(self, table: DataFrame, rows: int, size: int, digits: int) -> Iterator[tuple[Broadcast, Span, Broadcast]]:
+        """(trie, span, phrases) of each block of ``table`` (w0, ..., of ``size`` numbers), broadcast while the caller is at it.
+
+        Blocks are ranges, so that a task walks a block's trie from the places of its first numbers only:
+        the walks of all blocks together are those of one trie.
+        """
+        for block in self.blocks(table.select(*[f"w{k}" for k in range(size)]), rows, self.how.block):
             phrases = np.stack([block[f"w{k}"].to_numpy() for k in range(size)], 1).astype(np.int32)
+            span = (int(phrases[:, 0].min()), int(phrases[:, 0].max())) if rows > self.how.block else None
             sent = tuple(self.spark.sparkContext.broadcast(x) for x in (build(*digits_of(phrases, digits)), phrases))
-            yield sent
+            yield sent[0], span, sent[1]
             for x in sent:
                 x.destroy()
 
@@ -345,9 +402,9 @@ class _Miner:
         rows = tables[0]
         for table in tables[1:]:
             rows = rows.union(table)
-        bitmap = np.zeros(1 << bits >> 3, np.uint8)
-        size = 1 << (bits - _slices(bits)) >> 3
-        for r in _added(rows, self.how.least, self.how.least).collect():
+        bitmap, low = np.zeros(1 << bits >> 3, np.uint8), bits - _slices(bits)
+        size = 1 << low >> 3
+        for r in _added(rows, self.how.least, low, self.how.least).collect():
             bitmap[r.slice * size : (r.slice + 1) * size] = np.frombuffer(r.counts, np.uint8)
         return bitmap
 
@@ -356,13 +413,13 @@ class _Miner:
         names, least = [f"w{k}" for k in range(size)], self.how.least
         bits = min(MOST_BUCKETS, max(LEAST_BUCKETS, (windows // 2).bit_length()))
         whole = rows <= self.how.block
-        rounds = lambda: iter([(None, None)]) if size == 2 else self.tries(before, rows, size - 1, digits)
-        counts = [self.scratch.save(numbers.select("ids").mapInArrow(_bucketed(trie, size, digits, whole, bits, least), "slice int, part int, counts binary"), "buckets") for trie, _ in rounds()]
+        rounds = lambda: iter([(None, None, None)]) if size == 2 else self.tries(before, rows, size - 1, digits)
+        counts = [self.scratch.save(numbers.select("ids").mapInArrow(_bucketed(trie, span, size, digits, whole, bits, least), "slice int, part int, counts binary"), "buckets") for trie, span, _ in rounds()]
         often = self.spark.sparkContext.broadcast(self.often(counts, bits))
         self.scratch.drop(*counts)
         found = []
-        for trie, _ in rounds():
-            packed = numbers.select("ids").mapInArrow(_proposed(trie, size, digits, whole, bits, often), "slice int, windows binary")
+        for trie, span, _ in rounds():
+            packed = numbers.select("ids").mapInArrow(_proposed(trie, span, size, digits, whole, bits, often), "slice int, windows binary")
             packed = packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(_distinct(size), ", ".join(f"{x} int" for x in names))
             found.append(self.scratch.save(packed, "candidates"))
         often.destroy()
@@ -371,9 +428,10 @@ class _Miner:
             candidates = candidates.union(table)
         if not whole and size > 2:
             candidates = candidates.join(before.select(*[F.col(f"w{k}").alias(f"w{k + 1}") for k in range(size - 1)]), names[1:], "left_semi").select(*names)
+            candidates = self.scratch.save(candidates, "candidates")
         out = []
-        for trie, rows_ in self.tries(candidates, candidates.count(), size, digits):
-            counts = numbers.select("ids").mapInArrow(_counted(trie, len(rows_.value), size, digits), "slice int, part int, counts binary")
+        for trie, span, rows_ in self.tries(candidates, candidates.count(), size, digits):
+            counts = numbers.select("ids").mapInArrow(_counted(trie, span, len(rows_.value), size, digits), "slice int, part int, counts binary")
             spelled = _added(counts, None).mapInArrow(_spelled(rows_, size, least), ", ".join(f"{x} int" for x in names) + ", a long")
             out.append(self.scratch.save(spelled, "phrases"))
         table = out[0] if out else candidates.withColumn("a", F.lit(0).cast("long")).limit(0)

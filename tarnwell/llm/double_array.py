@@ -56,7 +56,14 @@ class DoubleArray:
     def windows(self, ids: np.ndarray, size: int, digits: int) -> np.ndarray:
         """What the ``size`` numbers from each place of ``ids`` on are accepted as, or -1; a 0 among them ends a walk."""
         out = np.full(len(ids), -1, np.int32)
-        rows = np.flatnonzero(ids[: max(0, len(ids) - size + 1)] > 0)
+        rows, hit = self.places(ids, size, digits)
+        out[rows] = hit
+        return out
+
+    def places(self, ids: np.ndarray, size: int, digits: int, first: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, accepted as or -1) of walks of ``size`` numbers that stay in the trie; first: only from numbers of this range on, ends included."""
+        starts = ids[: max(0, len(ids) - size + 1)]
+        rows = np.flatnonzero(starts > 0 if first is None else (starts >= max(1, first[0])) & (starts <= first[1]))
         state = np.zeros(len(rows), np.int32)
         for k in range(size):
             number = ids[rows + k]
@@ -64,8 +71,7 @@ class DoubleArray:
                 state, ok = self.step(state, (number >> shift) & ((1 << DIGIT) - 1))
                 ok &= number > 0
                 rows, state, number = rows[ok], state[ok], number[ok]
-        out[rows] = self.accept[state]
-        return out
+        return rows, self.accept[state]
 
 
 def digits_of(ids: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:

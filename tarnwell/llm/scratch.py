@@ -78,10 +78,10 @@ class Scratch:
         self._made += 1
         return f"{self.root}/{self._made:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as read back; its folder is ``table.scratch_path``."""
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """Write ``df`` and return it as read back; its folder is ``table.scratch_path``. options: of the writer."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

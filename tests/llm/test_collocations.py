@@ -1,10 +1,12 @@
 """Phrase mining against brute force; double-array tries against dictionaries."""
 
+import glob
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tarnwell.llm import collocations as mining
@@ -119,3 +121,43 @@ def test_double_array_of_numbers(highest, n, size):
     place = {tuple(x): i for i, x in enumerate(rows.tolist())}
     assert hit.tolist() == [place.get(tuple(ids[i : i + size].tolist()), -1) for i in range(len(ids))]
     assert (hit >= 0).sum() >= n // 8 * 0.5
+
+
+def test_blocks_are_ranges_and_are_walked_from_their_own_words(spark):
+    """Full blocks in order, each with the span of its first numbers; all blocks together walk what one trie walks."""
+    how = mining.Mining(block=40)
+    miner = mining._Miner(spark.createDataFrame([("x", "en")], "text string, lang string"), how, "text", "lang")
+    rows = sorted({(a, b) for a in range(1, 21) for b in range(1, 8) if (a * b) % 3})
+    table = spark.createDataFrame(rows, "w0 int, w1 int")
+    ids = np.random.default_rng(3).integers(0, 23, 4000).astype(np.int32)
+    got, sizes, spans, starts = [], [], [], 0
+    for trie, span, phrases in miner.tries(table, len(rows), 2, 1):
+        at, hit = trie.value.places(ids, 2, 1, span)
+        assert np.all((ids[at] >= span[0]) & (ids[at] <= span[1]))
+        starts += int(((ids >= span[0]) & (ids <= span[1])).sum())
+        got += [(int(i), *phrases.value[h].tolist()) for i, h in zip(at, hit, strict=True) if h >= 0]
+        sizes.append(len(phrases.value))
+        spans.append(span)
+    assert sizes == [40] * (len(rows) // 40) + [len(rows) % 40]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert starts < 2 * len(ids)  # not once for each block
+    known = set(rows)
+    assert sorted(got) == [(i, *x) for i, x in enumerate(zip(ids[:-1].tolist(), ids[1:].tolist(), strict=True)) if x in known]
+
+
+def test_numbers_lie_in_row_groups_of_few_rows(spark):
+    """A reader holds up to 4,096 rows of a row group at once, and a row has the texts of a batch."""
+    docs = spark.range(40 * 512).selectExpr("'of the ' as text", "'en' as lang").coalesce(1)
+    miner = mining._Miner(docs, mining.Mining(), "text", "lang")
+    words = miner.words()
+    miner.numbers(words, words.count())
+    (file,) = glob.glob(f"{miner.scratch.root.removeprefix('file://')}/*-numbers/*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_rows == 40 and max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 16
+
+
+def test_packed_counts():
+    places, counts = np.array([0, 3, 70_000, 1 << 20]), np.array([1, 30, 70_000, 2])
+    got = mining._unpacked(mining._packed(places, counts))
+    assert got[0].tolist() == places.tolist() and got[1].tolist() == counts.tolist()
+    assert [x.tolist() for x in mining._unpacked(mining._packed(places[:0], counts[:0]))] == [[], []]
