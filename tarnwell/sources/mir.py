@@ -90,8 +90,12 @@ def statements(bodies: DataFrame) -> DataFrame:
     places = functions(bodies).filter("place is not null").groupBy("place").agg(F.min("key").alias("closure"))
     of = F.xxhash64
     listed = F.transform("operands", lambda x: F.struct(x["kind"].alias("kind"), F.when(x["name"].isNotNull(), of(x["name"])).alias("target")))
-    rows = named.join(places, "place", "left")
-    return rows.select(of("name").alias("src"), "kind", F.when(F.col("kind") == "closure", F.col("closure")).otherwise(F.when(F.col("target").isNotNull(), of("target"))).alias("target"), "rvalue", listed.alias("operands"))
+    # most statements have no place: a second key deals them over all tasks, and no closure has theirs.
+    # A task holds its share of the closures, each a short row, and sorts no statements.
+    spread = F.when(F.col("place").isNull(), of("name")).otherwise(F.lit(0).cast("long")).alias("spread")
+    rows = named.select("place", spread, of("name").alias("src"), "kind", F.when(F.col("target").isNotNull(), of("target")).alias("to"), "rvalue", listed.alias("operands"))
+    rows = rows.join(places.withColumn("spread", F.lit(0).cast("long")).hint("shuffle_hash"), ["place", "spread"], "left")
+    return rows.select("src", "kind", F.when(F.col("kind") == "closure", F.col("closure")).otherwise(F.col("to")).alias("target"), "rvalue", "operands")
 
 
 def casts(bodies: DataFrame) -> DataFrame:

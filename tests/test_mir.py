@@ -1,6 +1,7 @@
 """Dumps of bodies to tables of statements, edges and casts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwell.operators import extraction, graph
 from tarnwell.sources import mir
@@ -81,3 +82,21 @@ def test_edges_by_name(spark, bodies):
 def test_casts(bodies):
     dynamic, taken = extraction.cast_facts(mir.casts(bodies))
     assert dynamic.count() == 1 and taken.count() == 1
+
+
+def test_statements_without_a_place_are_dealt_over_all_tasks(spark):
+    body = "fn f{}() -> () {{\n    bb0: {{\n        _1 = f{}() -> [return: bb1, unwind continue];\n        _2 = {{closure@src/a.rs:{}:1: 1:9}} {{ x: copy _1 }};\n    }}"
+    closure = "fn f{}::{{closure#0}}(_1: &{{closure@src/a.rs:{}:1: 1:9}}) -> () {{\n    bb0: {{\n        _0 = copy _1;\n    }}"
+    bodies = spark.createDataFrame([(t,) for k in range(400) for t in (body.format(k, k + 1, k), closure.format(k, k))], "body string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = mir.statements(bodies)
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 1200 and max(sizes) < 600
+        assert extraction.body_edges(rows).count() == 800
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
