@@ -177,16 +177,17 @@ def crate_sources(manifests: DataFrame, sources: DataFrame) -> DataFrame:
     """(crate, path, text) of ``sources`` (path, text): the crate is that of the nearest folder above with a manifest.
 
     manifests: (path, text) with a [package] name, dashes as underscores; those without a name are
-    workspaces and own nothing. Sources below no crate are left out. One join on folders: a source
-    has a row for each folder above it.
+    workspaces and own nothing. Sources below no crate are left out. Crates are found for folders, of
+    which there are few: a folder of sources has a row for each folder above it, a source only one.
     """
     name = F.regexp_extract("text", r"(?m)^\s*name\s*=\s*\"([^\"]+)\"", 1)
     folder = lambda path: F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
     crates = manifests.select(folder(F.col("path")).alias("folder"), F.translate(name, "-", "_").alias("crate")).filter("crate <> ''").dropDuplicates(["folder"])
-    steps = F.split(folder(F.col("path")), "/")
+    steps = F.split("folder", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
-    owner = sources.select("path", F.explode(above).alias("folder")).join(crates, "folder").groupBy("path").agg(F.max_by("crate", F.length("folder")).alias("crate"))
-    return sources.join(owner, "path").select("crate", "path", "text")
+    folders = sources.select(folder(F.col("path")).alias("folder")).distinct()
+    owner = folders.select(F.col("folder").alias("own"), F.explode(above).alias("folder")).join(crates, "folder").groupBy("own").agg(F.max_by("crate", F.length("folder")).alias("crate"))
+    return sources.withColumn("own", folder(F.col("path"))).join(owner, "own").select("crate", "path", "text")
 
 
 def read_workspace(spark: SparkSession, path: str, manifest: str = "Cargo.toml", pattern: str = "*.rs") -> DataFrame:

@@ -216,9 +216,9 @@ def item_lines(spark, sf_dir):
 
 def workspace_sources(spark, sf_dir):
     """Sources of nested crates: each part's file lies in the crate of its size, in a folder of which a crate of its own may be."""
-    size = F.col("p_size").cast("string")
-    sources = _table(spark, sf_dir, "part").select(F.concat(F.lit("/w/c"), size, F.when(_p() % 2 == 0, "/inner"), F.lit("/src/f"), _p(), F.lit(".rs")).alias("path"), F.lit("fn x() {}").alias("text"))
-    sources = sources.filter("path is not null").unionByName(_table(spark, sf_dir, "part").filter("p_partkey % 2 = 1").select(F.concat(F.lit("/w/c"), size, F.lit("/src/f"), _p(), F.lit(".rs")).alias("path"), F.lit("fn x() {}").alias("text")))
+    size, part = F.col("p_size").cast("string"), _spread(_table(spark, sf_dir, "part"))
+    sources = part.select(F.concat(F.lit("/w/c"), size, F.when(_p() % 2 == 0, "/inner"), F.lit("/src/f"), _p(), F.lit(".rs")).alias("path"), F.lit("fn x() {}").alias("text"))
+    sources = sources.filter("path is not null").unionByName(part.filter("p_partkey % 2 = 1").select(F.concat(F.lit("/w/c"), size, F.lit("/src/f"), _p(), F.lit(".rs")).alias("path"), F.lit("fn x() {}").alias("text")))
     manifests = _table(spark, sf_dir, "part").select("p_size").distinct()
     text = lambda name: F.concat(F.lit("[package]\nname = \""), name, F.lit("\"\n"))
     own = manifests.select(F.concat(F.lit("/w/c"), size, F.lit("/Cargo.toml")).alias("path"), text(F.concat(F.lit("c-"), size)).alias("text"))

@@ -1,5 +1,7 @@
 """What larger tables bring: several records of one group, long chains, many small texts, wide label sets."""
 
+import re
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +75,16 @@ def test_shortcuts_of_a_labelled_walk(spark):
     assert {(r.src, r.dst) for r in walks._with_shortcuts(line).collect()} == {(i, i + k) for i in range(20) for k in range(1, 5) if i + k <= 20}
     hub = spark.range(30).select(F.col("id").alias("src"), F.lit(100).cast("long").alias("dst")).union(spark.range(30).select(F.lit(100).cast("long"), F.col("id") + 200))
     assert walks._with_shortcuts(hub).count() == 60
+
+
+def test_crates_are_found_for_folders(spark):
+    """A source has one row, however deep it lies: its folder is looked up, not all folders above it."""
+    from tarnwell.sources import parsers
+
+    manifests = spark.createDataFrame([("/a/Cargo.toml", 'name = "a-b"'), ("/a/b/c/Cargo.toml", 'name = "c"'), ("Cargo.toml", "[workspace]")], "path string, text string")
+    sources = spark.range(3000).select(F.concat(F.lit("/a/b"), F.when(F.col("id") % 2 == 0, "/c/d/e").otherwise(""), F.lit("/f"), F.col("id"), F.lit(".rs")).alias("path"), F.lit("x").alias("text"))
+    sources = sources.union(spark.createDataFrame([("/z/x.rs", "x"), ("x.rs", "x"), (None, "x"), ("/a/b/f1.rs", "x")], "path string, text string"))
+    rows = parsers.crate_sources(manifests, sources)
+    assert {(r.crate, r["count"]) for r in rows.groupBy("crate").count().collect()} == {("a_b", 1501), ("c", 1500)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join Inner, \(path#\d+ = path#\d+\)", plan)  # all sources are looked up by their folder
