@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,8 +54,9 @@ def quiet_changes(events: DataFrame, key: str, ts: str, hash_col: str, gap: str
 class QuietChanges(StatefulProcessor):
     """Lets a file through once it is quiet, if its contents changed: what a watcher acts on.
 
-    Rows are (key, at, hash). State of a key: the hash let through last, and its events since, which
-    are those of a gap and of the allowed lateness. When the watermark has passed the end of a run of
+    Rows are (key, at, hash). State of a key, one value, as each access to it takes a round trip: the
+    hash let through last, its events since, which are those of a gap and of the allowed lateness, as
+    JSON, and its timer. When the watermark has passed the end of a run of
     events closer than ``gap_ms``, the run's last hash goes through, unless it is the one before; a
     timer at that end brings a key back that gets no more rows. Late events are put in their place, so
     results do not depend on the order of arrival within the lateness, nor on the cut into batches.
@@ -65,14 +67,14 @@ class QuietChanges(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.passed = handle.getValueState("passed", "hash string")
-        self.waiting = handle.getListState("waiting", "at long, hash string")
-
-    def _settle(self, key, rows: list[tuple[int, str]], watermark_ms: int) -> Iterator[pd.DataFrame]:
-        """Let closed runs through and keep the rest; times in microseconds."""
-        last = self.passed.get()[0] if self.passed.exists() else None
-        out, run, open_, gap = [], [], [], self.gap_ms * 1000
-        for event in [*sorted(rows), None]:
+        self.state = handle.getValueState("state", "passed string, waiting string, timer long")
+
+    def _settle(self, key, new: list[tuple[int, str]], watermark_ms: int, expired: bool) -> Iterator[pd.DataFrame]:
+        """Let closed runs through and keep the rest; times in microseconds. expired: the timer has gone off, and goes of itself."""
+        last, waiting, timer = self.state.get() or (None, None, None)
+        held = [(t, h) for t, h in json.loads(waiting)] if waiting else []
+        out, run, open_, first, gap = [], [], [], None, self.gap_ms * 1000
+        for event in [*sorted(held + new), None]:
             if run and (event is None or event[0] - run[-1][0] >= gap):
                 if run[-1][0] + gap <= watermark_ms * 1000:
                     if run[-1][1] != last:
@@ -80,30 +82,26 @@ class QuietChanges(StatefulProcessor):
                         last = run[-1][1]
                 else:
                     open_ += run
+                    first = run[-1][0] if first is None else first
                 run = []
             if event is not None:
                 run.append(event)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if open_:
-            self.waiting.put(open_)
-            ends = [a for (a, _), b in zip(open_, [*open_[1:], (open_[-1][0] + gap, "")], strict=True) if b[0] - a >= gap]
-            self.handle.registerTimer(-(-(ends[0] + gap) // 1000))
-        else:
-            self.waiting.clear()
+        due = -(-(first + gap) // 1000) if open_ else None
+        if due != timer:
+            if timer is not None and not expired:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.state.update((last, json.dumps(open_) if open_ else None, due))
         if out:
-            self.passed.update((last,))
             yield pd.DataFrame({"key": [key[0]] * len(out), "at": pd.to_datetime([x[0] for x in out], unit="us", utc=True), "hash": [x[1] for x in out]})
 
-    def _held(self) -> list[tuple[int, str]]:
-        return [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = [(int(t), h) for part in rows for t, h in zip(part["us"], part["hash"], strict=True)]
-        yield from self._settle(key, self._held() + new, timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(key, new, timerValues.getCurrentWatermarkInMs(), False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key, self._held(), timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(key, [], timerValues.getCurrentWatermarkInMs(), True)
 
     def close(self) -> None:
         pass

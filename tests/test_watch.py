@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 
 from tarnwell.streaming import watch
@@ -70,3 +71,78 @@ def test_stream_with_late_events_and_a_restart(spark, store, tmp_path):
     got = [(p, round(t, 3), h) for p, t, h in rows(spark.read.parquet(out), "key")]
     want = by_hand([e for batch in BATCHES for e in batch], 0.5)
     assert got == [w for w in want if w[0] != "end"]  # the last event's run is still open
+
+
+class Handle:
+    """A state handle that counts round trips."""
+
+    def __init__(self):
+        self.value, self.timers, self.trips = None, set(), 0
+
+    def trip(self):
+        self.trips += 1
+
+    def getValueState(self, name, schema):
+        return self
+
+    getListState = getValueState
+
+    def get(self):
+        self.trip()
+        return self.value
+
+    def exists(self):
+        self.trip()
+        return self.value is not None
+
+    def update(self, value):
+        self.trip()
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.update(None)
+
+    def listTimers(self):
+        self.trip()
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.trip()
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.trip()
+        self.timers.discard(at)
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_key_takes_few_round_trips():
+    """Three where a timer is set, two where none is."""
+    handle, changes = Handle(), watch.QuietChanges(500)
+    changes.init(handle)
+    trips = []
+
+    def told(out):
+        got = [tuple(r) for df in out for r in df[["key", "hash"]].itertuples(index=False)]
+        trips.append(handle.trips)
+        handle.trips = 0
+        return got
+
+    rows = lambda *x: [pd.DataFrame(x, columns=["us", "hash"])]
+    assert told(changes.handleInputRows(("k",), rows((0, "a"), (10_000, "b")), Now(0))) == []
+    assert handle.timers == {510}
+    assert told(changes.handleInputRows(("k",), rows((5_000, "c")), Now(0))) == []  # the run ends where it did
+    assert told(changes.handleExpiredTimer(("k",), Now(600), None)) == [("k", "b")]
+    handle.timers.clear()  # as the engine does
+    assert told(changes.handleInputRows(("k",), rows((9_000_000, "b"), (20_000_000, "z")), Now(10_000))) == []
+    assert handle.timers == {20_500}
+    assert trips == [3, 2, 2, 3]
