@@ -1,14 +1,16 @@
 """What larger tables bring: several records of one group, long chains, many small texts, wide label sets."""
 
+import random
 import re
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwell.operators import chains, walks
+from tarnwell.operators import chains, graph, walks
 from tarnwell.sources import files
 from tests.test_deep import jobs
+from tests.test_walks import frame, keys, live_by_hand, reach
 
 
 def test_records_of_one_crate_do_not_mix(spark):
@@ -88,3 +90,47 @@ def test_crates_are_found_for_folders(spark):
     assert {(r.crate, r["count"]) for r in rows.groupBy("crate").count().collect()} == {("a_b", 1501), ("c", 1500)}
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Join Inner, \(path#\d+ = path#\d+\)", plan)  # all sources are looked up by their folder
+
+
+@pytest.mark.parametrize("small, hub", [(1_000_000, 3), (0, 3), (0, 100_000)])
+def test_three_dispatch_walks_in_one(spark, monkeypatch, small, hub):
+    """Each way against a loop of its own, with hubs, nulls, and methods that only the wider ways reach."""
+    monkeypatch.setattr(graph, "SMALL", small)
+    monkeypatch.setattr(graph, "HUB", hub)
+    r = random.Random(11)
+    pick = r.randrange
+    edges = [(pick(80), pick(80)) for _ in range(30)] + [(7, k) for k in range(20, 30)] + [(None, 1), (0, None)]
+    builds, calls = [(pick(80), pick(15)) for _ in range(25)] + [(7, 3), (7, None)], [(pick(80), pick(9)) for _ in range(20)] + [(7, None)]
+    methods = [(pick(15), pick(9), pick(80)) for _ in range(40)] + [(3, None, 70), (3, 1, 71), (14, 1, 72), (None, 1, 79), (1, 1, None)]
+    seeds, clean = [0, 7, 7], [e for e in edges if None not in e]
+    got = walks.dispatch_ways(frame(spark, edges, "src", "dst"), frame(spark, [(s,) for s in seeds], "key"), frame(spark, builds, "src", "vtable"), frame(spark, methods, "vtable", "slot", "dst"), frame(spark, calls, "src", "slot"))
+    whole = [m for m in methods if m[0] is not None and m[2] is not None]
+    builds, calls = [b for b in builds if None not in b], [c for c in calls if None not in c]
+    want = [live_by_hand(clean, seeds, builds, [m for m in whole if m[1] is not None], calls)[0], live_by_hand(clean, seeds, builds, whole, None)[0], reach(clean, seeds + [m[2] for m in methods if m[2] is not None])]
+    assert [keys(df) for df in got] == want
+    assert want[0] < want[1] < want[2]
+
+
+def test_only_hubs_are_copied(spark, monkeypatch):
+    """Nodes that are no hubs go to one task each, and rows that are dealt already don't move when many nodes enter them."""
+    monkeypatch.setattr(graph, "SMALL", 0)
+    rows = spark.range(400).select((F.col("id") % 50).alias("key"), F.col("id").alias("to"))
+    dealt = walks._Dealt(rows, ["key"], "to")
+    found = dealt.entered(spark.range(10).select(F.col("id").alias("key")), 10)
+    assert found.count() == 80
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and re.search(r"SortMergeJoin.*\n\W*Filter.*\n\W*InMemoryTableScan", plan)  # neither exchanged nor sorted
+    dealt.release()
+    monkeypatch.setattr(graph, "HUB", 100)
+    dealt = walks._Dealt(rows.union(spark.range(300).select(F.lit(7).cast("long"), F.col("id") + 1000)), ["key"], "to")
+    assert [r.key for r in dealt.hubs.collect()] == [7]
+    assert dealt.entered(spark.range(6, 9).select(F.col("id").alias("key")), 3).count() == 324
+    assert dealt.heavy.select("salt").distinct().count() == 8
+    dealt.release()
+
+
+def test_met_tables_stay_few(spark):
+    met = walks._Met(["key"])
+    for i in range(12):
+        assert met.new(spark.range(i * 5, i * 5 + 10).select(F.col("id").alias("key")))[1] == (10 if i == 0 else 5)
+    assert met.n == 65 == met.all().distinct().count() and len(met.parts) <= graph.COMPACT
