@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwell.operators import chains, graph, walks
+from tarnwell.operators import blocks, chains, graph, walks
 from tarnwell.sources import files
 from tests.test_deep import jobs
 from tests.test_walks import frame, keys, live_by_hand, reach
@@ -134,3 +134,36 @@ def test_met_tables_stay_few(spark):
     for i in range(12):
         assert met.new(spark.range(i * 5, i * 5 + 10).select(F.col("id").alias("key")))[1] == (10 if i == 0 else 5)
     assert met.n == 65 == met.all().distinct().count() and len(met.parts) <= graph.COMPACT
+
+
+@pytest.mark.parametrize("edges_in_block", [1_000_000, 3])
+def test_components_inside_blocks_and_between(spark, monkeypatch, edges_in_block):
+    """Cycles inside blocks of four keys, through several blocks, in blocks that are not contracted, with loops, nulls and negative keys."""
+    monkeypatch.setattr(blocks, "BITS", 2)
+    monkeypatch.setattr(blocks, "EDGES", edges_in_block)
+    r = random.Random(4)
+    edges = [(r.randrange(-20, 60), r.randrange(-20, 60)) for _ in range(75)] + [(100, 101), (101, 100), (101, 110), (110, 111), (111, 100), (120, 120), (130, 131), (131, 140), (None, 1), (2, None), (100, 101)]
+    clean = {e for e in edges if None not in e}
+    to = {}
+    for a, b in clean:
+        to.setdefault(a, set()).add(b)
+    behind = {}
+    for k in {k for e in clean for k in e}:
+        met, todo = set(), list(to.get(k, ()))
+        while todo:
+            if (at := todo.pop()) not in met:
+                met.add(at)
+                todo += to.get(at, ())
+        behind[k] = met
+    want = {k: max(x for x in behind[k] if k in behind[x]) for k in behind if k in behind[k]}
+    got = graph.strong_components(frame(spark, edges, "src", "dst")).collect()
+    assert len(got) == len(want) and {x.key: x.component for x in got} == want
+    assert len(set(want.values())) < len(want)
+
+
+def test_rings_along_keys_take_few_jobs(spark):
+    """Small rings in a row with edges on to the next; some lie across the borders of blocks."""
+    k = F.col("id")
+    deps = spark.range(300_000).select(k.alias("src"), F.when(k % 3 == 2, k - 2).otherwise(k + 1).alias("dst")).union(spark.range(0, 299_997, 300).select(k, k + 3))
+    assert jobs(spark, "rings", lambda: graph.strong_components(deps).agg(F.count("*"), F.count_distinct("component")).first()) < 200
+    assert tuple(graph.strong_components(deps).agg(F.count("*"), F.count_distinct("component")).first()) == (300_000, 100_000)
