@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -167,3 +168,16 @@ def test_rings_along_keys_take_few_jobs(spark):
     deps = spark.range(300_000).select(k.alias("src"), F.when(k % 3 == 2, k - 2).otherwise(k + 1).alias("dst")).union(spark.range(0, 299_997, 300).select(k, k + 3))
     assert jobs(spark, "rings", lambda: graph.strong_components(deps).agg(F.count("*"), F.count_distinct("component")).first()) < 200
     assert tuple(graph.strong_components(deps).agg(F.count("*"), F.count_distinct("component")).first()) == (300_000, 100_000)
+
+
+def test_a_walk_of_many_labels_leaves_little_on_disk(spark):
+    """Ten labels begin at each of 20,000 nodes: what leads to what is written, not sets of labels at every step."""
+    k = F.col("id")
+    edges = spark.range(20_000).select(k.alias("src"), (k * 2).alias("dst")).union(spark.range(0, 20_000, 5).select(k, F.floor(k / 3)))
+    seeds = spark.range(200_000).select((k % 20_000).alias("key"), (F.floor(k / 20_000) * 100 + k % 100).alias("label"))
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    sets = walks.labelled_walk(edges, seeds)
+    assert size() - before < 3_000_000
+    assert sets.filter("key = 39998").agg(F.sum(F.bit_count("bits"))).first()[0] == 10  # of node 19999, to which nothing leads

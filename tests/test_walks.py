@@ -125,3 +125,36 @@ def test_a_cycle_without_a_seed_is_lost(spark):
     none, reached = frame(spark, [], "src", "dst"), frame(spark, [(0,), (1,), (2,), (3,)], "key")
     assert keys(walks.changed_walk(edges, reached, frame(spark, [(0,)], "key"), none, frame(spark, [(0, 1)], "src", "dst"))) == {0}
     assert keys(walks.changed_walk(edges, reached, frame(spark, [(1,)], "key"), none, none, frame(spark, [(0,)], "key"))) == {1, 2, 3}
+
+
+@pytest.mark.parametrize("spread", [walks.SPREAD, 0], ids=["pairs", "sets"])
+def test_labels_of_the_nodes_asked_for(spark, monkeypatch, spread):
+    """By pairs of nodes and by sets: cycles, loops, a long way, keys that are in two partitions or twice in one."""
+    monkeypatch.setattr(walks, "SPREAD", spread)
+    monkeypatch.setattr(graph, "SMALL", 500 if spread else 0)
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(9)] + [(20, 21), (21, 22), (22, 20), (7, 7), (None, 3)] + [(r.randrange(30), r.randrange(30)) for _ in range(12)]
+    seeds = [(r.randrange(30), r.randrange(200)) for _ in range(60)] + [(50, 5), (50, 63), (50, 64), (None, 1)]
+    pairs = walks._leading(frame(spark, sorted({e for e in edges if None not in e}), "src", "dst"), spread * len(seeds))
+    assert (pairs is None) == (spread == 0)
+    if pairs is not None:
+        clean = [e for e in edges if None not in e]
+        assert {(x.at, x.key) for x in pairs.collect()} == {(a, k) for a in range(30) for k in reach(clean, [a]) - {a}}
+    want = {(k, label) for key, label in seeds if key is not None for k in reach(edges, [key])}
+    asked = [(k, k % 4) for k in range(0, 60, 2)] + [(8, 9), (8, 0), (None, 2)]
+    items = spark.createDataFrame(asked, "key int, krate int")
+    got = walks.labelled_walk(frame(spark, edges, "src", "dst"), frame(spark, seeds, "key", "label"), walks.placed(items, "krate"))
+    assert got.columns == ["key", "krate", "n", "word", "bits"]
+    assert {(x.key, x.label) for x in walks.labels_of(got).collect()} == {(k, x) for k, x in want if (k, k % 4) in asked}
+    marks = {(x.krate, x.label): (x.n_items, x.n_marked) for x in walks.marks_by_label(items, got, "krate").collect()}
+    every = {}
+    for k, krate in asked:
+        for x in {x for key, x in want if key == k}:
+            every[krate, x] = every.get((krate, x), 0) + 1
+    assert marks == {at: (sum(1 for _, c in asked if c == at[0]), n) for at, n in every.items()}
+
+
+def test_places_in_words(spark):
+    rows = [(1, 0, 1), (2, 0, 2**62), (3, 1, -(2**63)), (4, 0, -(2**63) + 5), (5, 2, 2**62 + 1)]
+    got = {(x.key, x.label) for x in walks.labels_of(frame(spark, rows, "key", "word", "bits")).collect()}
+    assert got == {(1, 0), (2, 62), (3, 127), (4, 0), (4, 2), (4, 63), (5, 128), (5, 190)}
